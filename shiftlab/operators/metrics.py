@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlab.functions.vectors import cross_entropy
@@ -134,10 +134,10 @@ def dataset_summary(items: DataFrame, batch_size: int = 128, group: str = "domai
         F.countDistinct("y_true").alias("n_classes"),
         F.countDistinct(group).alias("n_groups"))
     per = per.withColumn("n_batches", F.ceil(F.col("n_rows") / F.lit(batch_size)).cast("bigint"))
-    total = per.agg(F.sum("n_rows").alias("total")).withColumn("k", F.lit(1))
-    return (per.withColumn("k", F.lit(1)).join(F.broadcast(total), "k").drop("k")
-               .select("split", "n_rows", "n_batches", "n_classes", "n_groups",
-                       F.col("total").cast("bigint").alias("n_total")))
+    # one row per split: the whole-table window runs on the small per-split table
+    total = F.sum("n_rows").over(Window.partitionBy())
+    return per.select("split", "n_rows", "n_batches", "n_classes", "n_groups",
+                      total.cast("bigint").alias("n_total"))
 
 
 def rows_per_group(items: DataFrame, group: str = "domain") -> DataFrame:

@@ -97,3 +97,365 @@ ORACLE["zero_shot_split_domain"] = with_fx(
     ["fx1", "fx1_long", "fx2", "fx12", "fx12_pred"],
     """SELECT split, domain, avg(CAST(y_true = y_pred AS DOUBLE)) AS acc, count(*) AS n
        FROM fx12_pred GROUP BY split, domain""")
+
+# --- P ---------------------------------------------------------------------------
+
+ORACLE["l2_normalize"] = with_fx(["fx1"], """
+SELECT item_id, CAST(pos - 1 AS INTEGER) AS pos, round(x / nrm, 6) AS value FROM (
+  SELECT item_id, UNNEST(features) AS x, UNNEST(range(1, len(features) + 1)) AS pos,
+         sqrt(list_dot_product(features, features)) AS nrm FROM fx1)""")
+
+_SCORES = with_fx(["fx1", "fx1_long", "fx2", "fx12"], """
+SELECT item_id, CAST(class_id AS INTEGER) AS class_id, round(score, 6) AS score FROM fx12""")
+ORACLE["contrastive_scores"] = _SCORES
+ORACLE["score_pairs"] = _SCORES
+
+_LINEAR = with_fx(["fx1", "fx1_long", "fx2"], """
+SELECT f.item_id, CAST(c.class_id AS INTEGER) AS class_id,
+       round(list_dot_product(f.features, c.vec) + c.class_id / 10.0, 6) AS score
+FROM fx1 f, fx2 c""")
+ORACLE["linear_scores"] = _LINEAR
+ORACLE["batch_inference"] = _LINEAR
+
+FX["fx12_prob"] = """fx12_prob AS (
+  SELECT item_id, split, y_true, class_id,
+         exp(score - max(score) OVER (PARTITION BY item_id))
+           / sum(exp(score - max(score) OVER (PARTITION BY item_id))) OVER (PARTITION BY item_id) AS prob
+  FROM fx12)"""
+FX["fx12_prob"] = """fx12_prob AS (
+  SELECT item_id, split, y_true, class_id, e / sum(e) OVER (PARTITION BY item_id) AS prob FROM (
+    SELECT item_id, split, y_true, class_id,
+           exp(score - max(score) OVER (PARTITION BY item_id)) AS e FROM fx12))"""
+
+ORACLE["softmax_probs"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_prob"], """
+SELECT item_id, CAST(class_id AS INTEGER) AS class_id, round(prob, 6) AS prob FROM fx12_prob""")
+
+ORACLE["prediction_table"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_prob"], """
+SELECT item_id, y_true, CAST(class_id AS INTEGER) AS class_id, round(prob, 6) AS prob FROM fx12_prob""")
+
+ORACLE["argmax_predictions"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_pred"], """
+SELECT item_id, y_pred FROM fx12_pred""")
+
+ORACLE["standardize_pixels"] = """
+SELECT vec_id AS item_id,
+       round((CAST(embedding[1] AS DOUBLE) - 0.48145466) / 0.26862954, 6) AS c0,
+       round((CAST(embedding[2] AS DOUBLE) - 0.4578275) / 0.26130258, 6) AS c1,
+       round((CAST(embedding[3] AS DOUBLE) - 0.40821073) / 0.27577711, 6) AS c2
+FROM embeddings"""
+
+ORACLE["single_domain_filter"] = with_fx(["fx1"], """
+SELECT item_id, split, domain FROM fx1 WHERE split <> 'train' OR domain = 0""")
+
+# --- A ---------------------------------------------------------------------------
+
+ORACLE["accuracy_by_split"] = with_fx(["fx3"], """
+SELECT run, split, avg(CAST(y_true = y_pred AS DOUBLE)) AS acc_avg, count(*) AS n
+FROM fx3 GROUP BY run, split""")
+
+ORACLE["group_accuracy"] = with_fx(["fx3"], """
+SELECT run, split, domain, avg(CAST(y_true = y_pred AS DOUBLE)) AS acc, count(*) AS n
+FROM fx3 GROUP BY run, split, domain""")
+
+ORACLE["worst_group"] = with_fx(["fx3"], """
+SELECT run, split, acc AS acc_wg, domain AS worst_group FROM (
+  SELECT run, split, domain, acc,
+         row_number() OVER (PARTITION BY run, split ORDER BY acc, domain) AS rn FROM (
+    SELECT run, split, domain, avg(CAST(y_true = y_pred AS DOUBLE)) AS acc
+    FROM fx3 GROUP BY run, split, domain)) WHERE rn = 1""")
+
+ORACLE["confusion_counts"] = with_fx(["fx3"], """
+SELECT run, split, y_true, y_pred, count(*) AS n FROM fx3 GROUP BY run, split, y_true, y_pred""")
+ORACLE["streaming_confusion"] = ORACLE["confusion_counts"]
+
+FX["prf"] = """prf AS (
+  SELECT s.run, s.split, s.class_id,
+         CAST(coalesce(t.tp, 0) AS BIGINT) AS tp, CAST(s.support AS BIGINT) AS support,
+         CAST(coalesce(p.predicted, 0) AS BIGINT) AS predicted
+  FROM (SELECT run, split, y_true AS class_id, count(*) AS support FROM fx3 GROUP BY ALL) s
+  LEFT JOIN (SELECT run, split, y_pred AS class_id, count(*) AS predicted FROM fx3 GROUP BY ALL) p
+    USING (run, split, class_id)
+  LEFT JOIN (SELECT run, split, y_true AS class_id, count(*) AS tp FROM fx3 WHERE y_true = y_pred GROUP BY ALL) t
+    USING (run, split, class_id))"""
+
+ORACLE["per_class_prf"] = with_fx(["fx3", "prf"], """
+SELECT run, split, class_id, tp, support, predicted,
+       round(CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END, 6) AS precision,
+       round(tp / support, 6) AS recall,
+       round(2 * tp / (support + predicted), 6) AS f1
+FROM prf""")
+
+ORACLE["macro_f1"] = with_fx(["fx3", "prf"], """
+SELECT run, split, round(avg(2 * tp / (support + predicted)), 6) AS f1_macro FROM prf GROUP BY run, split""")
+
+ORACLE["epoch_loss"] = with_fx(["fx1", "fx1_long", "fx2", "fx12"], """
+SELECT split, round(avg(batch_loss), 6) AS loss, count(*) AS n_batches FROM (
+  SELECT split, batch, avg(ce) AS batch_loss FROM (
+    SELECT i.split, i.batch, l.lse - l.sy AS ce FROM (
+      SELECT item_id, max(score) + ln(sum(exp(score - m))) AS lse,
+             max(CASE WHEN class_id = y_true THEN score END) AS sy FROM (
+        SELECT *, max(score) OVER (PARTITION BY item_id) AS m FROM fx12) GROUP BY item_id) l
+    JOIN (SELECT item_id, split,
+                 (row_number() OVER (PARTITION BY split ORDER BY item_id) - 1) // 32 AS batch FROM fx1) i
+    USING (item_id)) GROUP BY split, batch) GROUP BY split""")
+
+FX["fx3_metrics"] = """fx3_metrics AS (
+  SELECT run, split, 'acc_avg' AS metric, avg(CAST(y_true = y_pred AS DOUBLE)) AS value
+  FROM fx3 GROUP BY run, split
+  UNION ALL
+  SELECT run, split, 'acc_wg' AS metric, min(acc) AS value FROM (
+    SELECT run, split, domain, avg(CAST(y_true = y_pred AS DOUBLE)) AS acc FROM fx3 GROUP BY ALL)
+  GROUP BY run, split
+  UNION ALL
+  SELECT run, split, 'F1-macro_all' AS metric, avg(2 * tp / (support + predicted)) AS value
+  FROM prf GROUP BY run, split)"""
+
+ORACLE["headline_metric"] = with_fx(["fx3", "prf", "fx3_metrics"], """
+SELECT d.dataset, m.run, m.split, m.metric, round(m.value, 6) AS value
+FROM fx3_metrics m, (VALUES ('iwildcam'), ('fmow')) d(dataset)
+WHERE m.metric = CASE WHEN d.dataset LIKE '%iwildcam%' THEN 'F1-macro_all' ELSE 'acc_avg' END""")
+
+ORACLE["run_summary"] = with_fx(["fx3", "prf", "fx3_metrics"], """
+SELECT split, metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       count(*) AS n_runs
+FROM fx3_metrics GROUP BY split, metric""")
+
+
+def _wide(metrics_cte: str, extra: list[str]) -> str:
+    cols = []
+    for s, lab in (("train", "Train"), ("id_val", "ID Val"), ("id_test", "ID Test"),
+                   ("val", "OOD Val"), ("test", "OOD Test")):
+        cols.append(f"round(max(CASE WHEN split = '{s}' THEN mean END), 6) AS \"{lab}|mean\"")
+        cols.append(f"round(max(CASE WHEN split = '{s}' THEN std END), 6) AS \"{lab}|std\"")
+    return with_fx(extra + [metrics_cte], f"""
+SELECT metric, {', '.join(cols)} FROM (
+  SELECT split, metric, avg(value) AS mean, stddev_samp(value) AS std
+  FROM {metrics_cte} GROUP BY split, metric) GROUP BY metric""")
+
+
+ORACLE["wide_report"] = _wide("fx3_metrics", ["fx3", "prf"])
+
+FX["fx3_metrics_nation"] = FX["fx3_metrics"].replace("fx3_metrics AS", "fx3_metrics_nation AS") \
+    .replace("SELECT run, split, domain, avg", "SELECT run, split, nation, avg")
+ORACLE["evaluation_report"] = _wide("fx3_metrics_nation", ["fx3", "prf"])
+
+ORACLE["vector_mean"] = with_fx(["fx6"], """
+SELECT param, CAST(pos - 1 AS INTEGER) AS pos, round(avg(x), 6) AS value FROM (
+  SELECT param, UNNEST(v) AS x, UNNEST(range(1, len(v) + 1)) AS pos FROM fx6 WHERE epoch > 19)
+GROUP BY param, pos""")
+
+ORACLE["dataset_summary"] = with_fx(["fx1"], """
+SELECT split, n_rows, CAST(ceil(n_rows / 32) AS BIGINT) AS n_batches, n_classes, n_groups,
+       CAST(sum(n_rows) OVER () AS BIGINT) AS n_total FROM (
+  SELECT split, count(*) AS n_rows, count(DISTINCT y_true) AS n_classes,
+         count(DISTINCT domain) AS n_groups FROM fx1 GROUP BY split)""")
+
+ORACLE["rows_per_group"] = with_fx(["fx1"], """
+SELECT split, domain, count(*) AS n_rows FROM fx1 GROUP BY split, domain""")
+
+# --- T ---------------------------------------------------------------------------
+
+_TOPN = with_fx(["fx1", "fx1_long", "fx2", "fx12"], """
+SELECT CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id,
+       round(score, 6) AS similarity
+FROM fx12 WHERE class_id = 0 ORDER BY score DESC, item_id LIMIT 5""")
+ORACLE["global_top_n"] = _TOPN
+ORACLE["streaming_top_n"] = _TOPN
+
+ORACLE["retrieval_labels"] = with_fx(["fx1", "fx1_long", "fx2", "fx12"], """
+SELECT t.rank, t.item_id, t.similarity, t.y_true, lower(n.n_name) AS class_name FROM (
+  SELECT CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id,
+         round(score, 6) AS similarity, y_true
+  FROM fx12 WHERE class_id = 0 ORDER BY score DESC, item_id LIMIT 5) t
+LEFT JOIN nation n ON n.n_nationkey = t.y_true""")
+
+
+def _with_topk(split: str, k: int, body: str) -> str:
+    base = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_prob"], "")
+    return base + f""", topk AS (
+  SELECT CAST(class_id AS INTEGER) AS class_id, item_id, y_true,
+         CAST(row_number() OVER (PARTITION BY class_id ORDER BY round(prob, 12) DESC, item_id) AS INTEGER) AS rank
+  FROM fx12_prob WHERE split = '{split}'),
+ncls AS (SELECT max(y_true) + 1 AS n FROM fx1),
+per_class AS (
+  SELECT CAST(c.range AS INTEGER) AS class_id,
+         coalesce(sum(CASE WHEN t.y_true = t.class_id THEN 1 ELSE 0 END), 0) / {float(k)} AS recall
+  FROM ncls, range(ncls.n) c LEFT JOIN topk t ON t.class_id = c.range AND t.rank <= {k}
+  GROUP BY c.range)
+{body}"""
+
+
+ORACLE["top_k_per_class"] = _with_topk("test", 20, "SELECT class_id, rank, item_id FROM topk WHERE rank <= 20")
+ORACLE["recall_at_k_per_class"] = _with_topk("test", 20, "SELECT class_id, round(recall, 6) AS recall FROM per_class")
+ORACLE["recall_at_k"] = _with_topk("test", 20, "SELECT round(sum(recall) / count(*), 6) AS recall_at_k FROM per_class")
+ORACLE["recall_at_k_large_k"] = _with_topk("id_test", 200,
+                                           "SELECT round(sum(recall) / count(*), 6) AS recall_at_k FROM per_class")
+
+FX["fx4_flags"] = """fx4_flags AS (
+  SELECT run, epoch, metric,
+         coalesce(m > greatest(coalesce(max(m) OVER (PARTITION BY run ORDER BY epoch
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0), false) AS is_best
+  FROM (SELECT *, CASE WHEN isnan(metric) THEN NULL ELSE metric END AS m FROM fx4
+        WHERE epoch = 0 OR (epoch + 1) % 5 = 0))"""
+
+ORACLE["checkpoint_flags"] = with_fx(["fx4", "fx4_flags"], """
+SELECT run, epoch, round(metric, 6) AS metric, is_best FROM fx4_flags""")
+
+ORACLE["best_checkpoint"] = with_fx(["fx4"], """
+SELECT run, CAST(best_epoch AS INTEGER) AS best_epoch, round(best_metric, 6) AS best_metric,
+       CAST(best_epoch + 1 AS INTEGER) AS checkpoint_epoch FROM (
+  SELECT run, metric AS best_metric, epoch AS best_epoch,
+         row_number() OVER (PARTITION BY run ORDER BY metric DESC, epoch) AS rn
+  FROM fx4 WHERE (epoch = 0 OR (epoch + 1) % 5 = 0) AND metric > 0 AND NOT isnan(metric))
+WHERE rn = 1""")
+
+FX["fx5_summary"] = """fx5_summary AS (
+  SELECT arch, perc_ord, lr_ord, avg(id_metric) AS id_mean, avg(ood_metric) AS ood_mean,
+         stddev_samp(id_metric) AS id_std, stddev_samp(ood_metric) AS ood_std
+  FROM fx5 GROUP BY arch, perc_ord, lr_ord HAVING perc_ord <> 0 OR lr_ord = 0)"""
+
+FX["fx5_best"] = """fx5_best AS (
+  SELECT arch, perc_ord, lr_ord, id_mean, ood_mean, id_std, ood_std FROM (
+    SELECT *, row_number() OVER (PARTITION BY arch, perc_ord ORDER BY ood_mean DESC, lr_ord) AS rn
+    FROM fx5_summary WHERE perc_ord <> 0 AND ood_mean > 0 AND NOT isnan(ood_mean)) WHERE rn = 1
+  UNION ALL
+  SELECT arch, perc_ord, lr_ord, id_mean, ood_mean, id_std, ood_std FROM fx5_summary WHERE perc_ord = 0)"""
+
+ORACLE["best_lr"] = with_fx(["fx5", "fx5_summary", "fx5_best"], """
+SELECT arch, perc_ord, lr_ord, round(id_mean, 6) AS id_mean, round(ood_mean, 6) AS ood_mean,
+       round(id_std, 6) AS id_std, round(ood_std, 6) AS ood_std FROM fx5_best""")
+
+ORACLE["curve_series"] = with_fx(["fx5", "fx5_summary", "fx5_best"], """
+SELECT arch, arch AS label, round(perc_ord / 100.0, 6) AS perc, 'ID Test' AS split,
+       round(id_mean, 6) AS value, round(id_std, 6) AS err FROM fx5_best
+UNION ALL
+SELECT arch, arch AS label, round(perc_ord / 100.0, 6) AS perc, 'OOD Test' AS split,
+       round(ood_mean, 6) AS value, round(ood_std, 6) AS err FROM fx5_best""")
+
+# --- D ---------------------------------------------------------------------------
+
+ORACLE["group_ids"] = with_fx(["fx3"], """
+SELECT item_id,
+       (dense_rank() OVER (ORDER BY domain) - 1) * (SELECT count(DISTINCT segment) FROM fx3 WHERE run = 0)
+       + (dense_rank() OVER (ORDER BY segment) - 1) AS group_id
+FROM fx3 WHERE run = 0""")
+
+ORACLE["subset_fraction"] = with_fx(["fx3"], """
+, tr AS (SELECT item_id, ('0x' || substr(md5(CAST(item_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h
+         FROM fx3 WHERE run = 0 AND split = 'train')
+SELECT item_id FROM (
+  SELECT item_id, row_number() OVER (ORDER BY h, item_id) AS rn FROM tr)
+WHERE rn <= (SELECT round_even(count(*) * 0.3, 0) FROM tr)""".replace("\n, tr AS", ", tr AS", 1))
+
+ORACLE["group_weights"] = with_fx(["fx1"], """
+SELECT item_id, domain,
+       round(1.0 / (count(*) OVER (PARTITION BY domain) * (SELECT count(DISTINCT domain) FROM fx1)), 9) AS weight
+FROM fx1""")
+
+ORACLE["group_balanced_sample"] = with_fx(["fx1"], """
+, g AS (SELECT domain, CAST(row_number() OVER (ORDER BY domain) - 1 AS BIGINT) AS gno, count(*) AS group_n
+        FROM fx1 GROUP BY domain),
+gi AS (SELECT item_id, domain, row_number() OVER (PARTITION BY domain ORDER BY item_id) - 1 AS gidx FROM fx1),
+d AS (SELECT range AS draw,
+             ('0x' || substr(md5(CAST(range AS VARCHAR) || ':g:3'), 1, 8))::BIGINT % (SELECT count(*) FROM g) AS gno,
+             ('0x' || substr(md5(CAST(range AS VARCHAR) || ':r:3'), 1, 8))::BIGINT AS h2
+      FROM range(1000))
+SELECT d.draw, gi.item_id, gi.domain FROM d JOIN g USING (gno)
+JOIN gi ON gi.domain = g.domain AND gi.gidx = d.h2 % g.group_n""".replace("\n, g AS", ", g AS", 1))
+
+
+def _shard(where: str, world: int) -> str:
+    return with_fx(["fx1"], f"""
+, b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS position FROM fx1 {where}),
+n AS (SELECT count(*) AS n FROM b),
+allp AS (
+  SELECT item_id, position FROM b
+  UNION ALL
+  SELECT b.item_id, b.position + n.n FROM b, n
+  WHERE b.position < least(CAST(ceil(n.n / {world}) AS BIGINT) * {world} - n.n, n.n))
+SELECT item_id, position, CAST(position % {world} AS INTEGER) AS shard FROM allp""".replace("\n, b AS", ", b AS", 1))
+
+
+ORACLE["shard"] = _shard("", 4)
+ORACLE["shard_padded"] = _shard("WHERE split = 'id_test'", 4)
+
+ORACLE["batches"] = with_fx(["fx1"], """
+SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 32 AS batch FROM fx1""")
+
+ORACLE["row_index"] = with_fx(["fx3"], """
+SELECT item_id, run, row_number() OVER (ORDER BY item_id, run) - 1 AS idx FROM fx3""")
+
+# --- S ---------------------------------------------------------------------------
+
+ORACLE["items_split_scan"] = with_fx(["fx1"], """
+SELECT item_id, split, y_true, domain FROM fx1 WHERE split IN ('id_test', 'test')""")
+
+ORACLE["class_prompt_dimension"] = """
+SELECT 'fmow' AS dataset, CAST(n_nationkey AS INTEGER) AS class_id, lower(n_name) AS class_name,
+       'a centered satellite photo of ' || lower(n_name) AS prompt FROM nation"""
+
+FX["grid"] = """grid AS (
+  SELECT a.arch, a.arch_ord, p.perc_ord AS perc_pos, p.perc_ord, p.perc_label, l.lr_ord, l.lr_label
+  FROM (SELECT arch, CAST(row_number() OVER (ORDER BY arch) - 1 AS INTEGER) AS arch_ord
+        FROM (SELECT DISTINCT arch FROM fx5)) a,
+       (SELECT CAST(row_number() OVER (ORDER BY perc_ord) - 1 AS INTEGER) AS perc_ord,
+               CAST(perc_ord / 100.0 AS VARCHAR) AS perc_label, perc_ord AS perc_raw
+        FROM (SELECT DISTINCT perc_ord FROM fx5)) p,
+       (SELECT CAST(row_number() OVER (ORDER BY lr_ord) - 1 AS INTEGER) AS lr_ord,
+               CAST(lr_ord / 100.0 AS VARCHAR) AS lr_label
+        FROM (SELECT DISTINCT lr_ord FROM fx5)) l)"""
+
+ORACLE["grid_expand_train"] = with_fx(["fx5", "grid"], """
+SELECT arch_ord, arch, perc_ord, perc_label, lr_ord, lr_label FROM grid
+WHERE CAST(perc_label AS DOUBLE) > 0""")
+
+ORACLE["grid_expand_test"] = with_fx(["fx5", "grid"], """
+SELECT arch_ord, arch, perc_ord, perc_label, lr_ord, lr_label FROM grid
+WHERE CAST(perc_label AS DOUBLE) > 0
+UNION ALL
+SELECT DISTINCT arch_ord, arch, min(perc_ord) AS perc_ord, '0' AS perc_label,
+       CAST(NULL AS INTEGER) AS lr_ord, CAST(NULL AS VARCHAR) AS lr_label
+FROM grid WHERE CAST(perc_label AS DOUBLE) = 0 GROUP BY arch_ord, arch""")
+
+ORACLE["report_roundtrip"] = with_fx(["fx3", "prf", "fx3_metrics"], """
+SELECT 'orders_eval' AS name, metric, split, round(avg(value), 6) AS mean,
+       round(stddev_samp(value), 6) AS std
+FROM fx3_metrics GROUP BY split, metric""")
+
+ORACLE["epoch_log_roundtrip"] = with_fx(["fx4"], """
+SELECT run, epoch, round(metric, 6) AS metric FROM fx4""")
+
+# --- J ---------------------------------------------------------------------------
+
+ORACLE["missing_artifacts"] = with_fx(["fx5", "grid", "fx7_present"], """
+SELECT g.arch, p.perc_raw AS perc_ord, l.lr_raw AS lr_ord, r.run FROM
+  (SELECT DISTINCT arch FROM fx5) g, (SELECT DISTINCT perc_ord AS perc_raw FROM fx5) p,
+  (SELECT DISTINCT lr_ord AS lr_raw FROM fx5) l, (SELECT CAST(range AS INTEGER) AS run FROM range(3)) r
+WHERE NOT EXISTS (SELECT 1 FROM fx7_present x WHERE x.arch = g.arch AND x.perc_ord = p.perc_raw
+                  AND x.lr_ord = l.lr_raw AND x.run = r.run)""")
+
+ORACLE["grid_results_join"] = with_fx(["fx5", "fx5_summary"], """
+SELECT arch, perc_ord, lr_ord, round(id_mean, 6) AS id_mean, round(ood_mean, 6) AS ood_mean
+FROM fx5_summary WHERE perc_ord <> 0
+UNION ALL
+SELECT arch || '_swa' AS arch, perc_ord, lr_ord, round(id_mean, 6) AS id_mean, round(ood_mean, 6) AS ood_mean
+FROM fx5_summary WHERE perc_ord <> 0 AND arch = 'NO'""")
+
+# --- M ---------------------------------------------------------------------------
+
+ORACLE["zero_shot_report"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_pred"], """
+, prf0 AS (
+  SELECT s.split, s.class_id, coalesce(t.tp, 0) AS tp, s.support, coalesce(p.predicted, 0) AS predicted
+  FROM (SELECT split, y_true AS class_id, count(*) AS support FROM fx12_pred GROUP BY ALL) s
+  LEFT JOIN (SELECT split, y_pred AS class_id, count(*) AS predicted FROM fx12_pred GROUP BY ALL) p
+    USING (split, class_id)
+  LEFT JOIN (SELECT split, y_true AS class_id, count(*) AS tp FROM fx12_pred WHERE y_true = y_pred GROUP BY ALL) t
+    USING (split, class_id))
+SELECT split, 'acc_avg' AS metric, round(avg(CAST(y_true = y_pred AS DOUBLE)), 6) AS value
+FROM fx12_pred GROUP BY split
+UNION ALL
+SELECT split, 'acc_wg' AS metric, round(min(acc), 6) AS value FROM (
+  SELECT split, domain, avg(CAST(y_true = y_pred AS DOUBLE)) AS acc FROM fx12_pred GROUP BY ALL)
+GROUP BY split
+UNION ALL
+SELECT split, 'F1-macro_all' AS metric, round(avg(2 * tp / (support + predicted)), 6) AS value
+FROM prf0 GROUP BY split""".replace("\n, prf0 AS", ", prf0 AS", 1))

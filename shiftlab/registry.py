@@ -2,18 +2,31 @@
 
 Every query reads the driver tables through the fixtures, so its work grows
 with them. Names match ``shiftlab.oracle.ORACLE`` where an oracle exists.
+Real-valued outputs are rounded to 6 decimals (the oracle rounds the same way).
 """
 
 from __future__ import annotations
 
+import os
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftlab.operators import summaries
-from shiftlab.plans import zero_shot
+from shiftlab.functions import vectors as V
+from shiftlab.operators import (experiments, inference, metrics, retrieval, sampling, scoring,
+                                selection, summaries)
+from shiftlab.plans import probe, report, retrieval_eval, zero_shot
+from shiftlab.session import scratch_path
+from shiftlab.sources import classes as S2
 from shiftlab.sources import fixtures as fx
+from shiftlab.sources import grid as S3
+from shiftlab.sources import items as S1
+from shiftlab.sources import logs as S67
+from shiftlab.sources import reports as S45
+from shiftlab.sources.tables import read_table
+from shiftlab.streaming.evaluation import streaming_confusion
+from shiftlab.streaming.top_n import streaming_top_n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,12 +38,506 @@ def register(name: str):
     return deco
 
 
+def r6(c) -> F.Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
 def _items_and_classes(spark, d):
     items = fx.embedding_items(spark, d)
     return items, summaries.class_vectors(items)
 
 
+def _head(classes: DataFrame) -> DataFrame:
+    """A linear head from the class centroids: ``w = centroid``, ``b = class_id / 10``."""
+    return classes.select("class_id", F.col("vec").alias("w"), (F.col("class_id") / 10.0).alias("b"))
+
+
+def _long_scores(scored: DataFrame, name: str = "score") -> DataFrame:
+    return scored.select("item_id", F.posexplode("scores").alias("class_id", name)) \
+                 .select("item_id", F.col("class_id").cast("int"), r6(name).alias(name))
+
+
+# --- P: projections and scoring --------------------------------------------
+
+@register("l2_normalize")
+def q_l2_normalize(spark, d):
+    items = fx.embedding_items(spark, d)
+    return items.select("item_id", F.posexplode(V.l2_normalize("features")).alias("pos", "value")) \
+                .select("item_id", "pos", r6("value").alias("value"))
+
+
+@register("contrastive_scores")
+def q_contrastive_scores(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    return _long_scores(scoring.contrastive_scores(items.select("item_id", "features"), classes))
+
+
+@register("linear_scores")
+def q_linear_scores(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    return _long_scores(scoring.linear_scores(items.select("item_id", "features"), _head(classes)))
+
+
+@register("softmax_probs")
+def q_softmax_probs(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    s = scoring.contrastive_scores(items.select("item_id", "features"), classes)
+    return _long_scores(s.select("item_id", V.softmax("scores").alias("scores")), "prob")
+
+
+@register("argmax_predictions")
+def q_argmax_predictions(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    s = scoring.contrastive_scores(items.select("item_id", "features"), classes)
+    return s.select("item_id", V.argmax_class("scores").alias("y_pred"))
+
+
+@register("prediction_table")
+def q_prediction_table(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    p = scoring.predict_table(items, classes)
+    return p.select("item_id", "y_true", F.posexplode("probs").alias("class_id", "prob")) \
+            .select("item_id", "y_true", F.col("class_id").cast("int"), r6("prob").alias("prob"))
+
+
+@register("standardize_pixels")
+def q_standardize_pixels(spark, d):
+    px = fx.embedding_pixels(spark, d).select("item_id", V.standardize("pixel").alias("z"))
+    return px.select("item_id", *[r6(F.element_at("z", i + 1)).alias(f"c{i}") for i in range(3)])
+
+
+# --- J / F: joins and filters ----------------------------------------------
+
+@register("score_pairs")
+def q_score_pairs(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    return scoring.score_pairs(items, classes).select("item_id", "class_id", r6("score").alias("score"))
+
+
+@register("single_domain_filter")
+def q_single_domain_filter(spark, d):
+    items = S1.read_items(spark, fx.embedding_items(spark, d), "embeddings_0", check=False)
+    return items.select("item_id", "split", "domain")
+
+
+# --- A: aggregations --------------------------------------------------------
+
+@register("accuracy_by_split")
+def q_accuracy(spark, d):
+    return metrics.accuracy(fx.order_predictions(spark, d), ["run", "split"])
+
+
+@register("group_accuracy")
+def q_group_accuracy(spark, d):
+    return metrics.group_accuracy(fx.order_predictions(spark, d), ["run", "split"], "domain")
+
+
+@register("worst_group")
+def q_worst_group(spark, d):
+    return metrics.worst_group(fx.order_predictions(spark, d), ["run", "split"], "domain")
+
+
+@register("confusion_counts")
+def q_confusion(spark, d):
+    return metrics.confusion(fx.order_predictions(spark, d), ["run", "split"])
+
+
+@register("per_class_prf")
+def q_per_class_prf(spark, d):
+    p = metrics.per_class_prf(fx.order_predictions(spark, d), ["run", "split"])
+    return p.select("run", "split", "class_id", "tp", "support", "predicted",
+                    r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+
+
+@register("macro_f1")
+def q_macro_f1(spark, d):
+    m = metrics.macro_f1(fx.order_predictions(spark, d), ["run", "split"])
+    return m.select("run", "split", r6("f1_macro").alias("f1_macro"))
+
+
+@register("epoch_loss")
+def q_epoch_loss(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    gi = sampling.group_index(items.select("item_id", "split", "features", "y_true"), "split")
+    scored = scoring.contrastive_scores(gi.withColumn("batch", F.expr("gidx div 32")), classes)
+    loss = metrics.epoch_loss(scored, ["split"], "batch")
+    return loss.select("split", r6("loss").alias("loss"), "n_batches")
+
+
+def _fx3_metrics(spark, d):
+    return metrics.run_metrics(fx.order_predictions(spark, d), ["run", "split"], "domain")
+
+
+@register("headline_metric")
+def q_headline_metric(spark, d):
+    m = _fx3_metrics(spark, d).withColumn("dataset", F.explode(F.array(F.lit("iwildcam"), F.lit("fmow"))))
+    h = metrics.headline_metric(m)
+    return h.select("dataset", "run", "split", "metric", r6("value").alias("value"))
+
+
+@register("run_summary")
+def q_run_summary(spark, d):
+    s = summaries.run_summary(_fx3_metrics(spark, d))
+    return s.select("split", "metric", r6("mean").alias("mean"), r6("std").alias("std"), "n_runs")
+
+
+def _run_classes(items: DataFrame, runs: int = 3) -> DataFrame:
+    """Per-run class centroids: run r leaves out the train items with ``item_id % runs == r``."""
+    tr = items.filter(F.col("split") == "train").withColumn(
+        "run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    tr = tr.filter(F.col("item_id") % runs != F.col("run"))
+    return summaries.vector_mean(tr.select("run", F.col("y_true").alias("class_id"), F.col("features").alias("v")),
+                                 ["run", "class_id"], "v", out="vec")
+
+
+def _n_classes(items: DataFrame) -> int:
+    return int(items.agg(F.max("y_true")).first()[0]) + 1
+
+
+@register("recall_summary")
+def q_recall_summary(spark, d):
+    items = fx.embedding_items(spark, d)
+    n_classes = _n_classes(items)
+    rec = retrieval_eval.retrieval_recalls(items, _run_classes(items), 3, n_classes, k=10, split="val")
+    s = summaries.recall_summary(rec)
+    return s.select(r6("mean").alias("mean"), r6("std").alias("std"), "n_runs")
+
+
+@register("wide_report")
+def q_wide_report(spark, d):
+    w = report.evaluation_report(fx.order_predictions(spark, d))
+    return w.select("metric", *[r6(c).alias(c) for c in w.columns if c != "metric"])
+
+
+@register("vector_mean")
+def q_vector_mean(spark, d):
+    swa = summaries.swa_mean(fx.embedding_param_vectors(spark, d), n_epochs=30, swa_epochs=10)
+    return swa.select("param", F.posexplode("v").alias("pos", "value")) \
+              .select("param", "pos", r6("value").alias("value"))
+
+
+@register("dataset_summary")
+def q_dataset_summary(spark, d):
+    return metrics.dataset_summary(fx.embedding_items(spark, d), batch_size=32)
+
+
+@register("rows_per_group")
+def q_rows_per_group(spark, d):
+    return metrics.rows_per_group(fx.embedding_items(spark, d))
+
+
+# --- T: top-k, windows, selection -------------------------------------------
+
+def _query_vector(classes: DataFrame, class_id: int = 0) -> DataFrame:
+    return classes.filter(F.col("class_id") == class_id).select("vec")
+
+
+@register("global_top_n")
+def q_global_top_n(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    t = retrieval.top_n(items, _query_vector(classes), n=5)
+    return t.select("rank", "item_id", r6("similarity").alias("similarity"))
+
+
+def _nation_classes(spark, d, dataset="fmow_0"):
+    vocab = read_table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("class_id"), F.lower("n_name").alias("class_name"))
+    return S2.class_prompts(vocab, dataset)
+
+
+@register("retrieval_labels")
+def q_retrieval_labels(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    hits = retrieval.top_n(items, _query_vector(classes), n=5)
+    j = retrieval.attach_labels(hits, items, _nation_classes(spark, d))
+    return j.select("rank", "item_id", r6("similarity").alias("similarity"), "y_true", "class_name")
+
+
+def _test_probs(spark, d, split="test"):
+    items, classes = _items_and_classes(spark, d)
+    ev = items.filter(F.col("split") == split)
+    return scoring.predict_table(ev, classes), _n_classes(items)
+
+
+@register("top_k_per_class")
+def q_top_k_per_class(spark, d):
+    probs, _ = _test_probs(spark, d)
+    return retrieval.top_k_per_class(probs, k=20).select("class_id", "rank", "item_id")
+
+
+@register("recall_at_k_per_class")
+def q_recall_at_k_per_class(spark, d):
+    probs, n = _test_probs(spark, d)
+    r = retrieval.recall_at_k_per_class(probs, 20, n)
+    return r.select("class_id", r6("recall").alias("recall"))
+
+
+@register("recall_at_k")
+def q_recall_at_k(spark, d):
+    probs, n = _test_probs(spark, d)
+    return retrieval.recall_at_k(probs, 20, n).select(r6("recall_at_k").alias("recall_at_k"))
+
+
+@register("recall_at_k_large_k")
+def q_recall_at_k_large_k(spark, d):
+    probs, n = _test_probs(spark, d, split="id_test")
+    return retrieval.recall_at_k(probs, 200, n).select(r6("recall_at_k").alias("recall_at_k"))
+
+
+@register("checkpoint_flags")
+def q_checkpoint_flags(spark, d):
+    f = selection.checkpoint_flags(fx.event_epoch_log(spark, d), eval_freq=5)
+    return f.select("run", "epoch", r6("metric").alias("metric"), "is_best")
+
+
+@register("best_checkpoint")
+def q_best_checkpoint(spark, d):
+    b = selection.best_checkpoint(fx.event_epoch_log(spark, d), eval_freq=5)
+    return b.select("run", "best_epoch", r6("best_metric").alias("best_metric"), "checkpoint_epoch")
+
+
+def _fx5_summary(spark, d):
+    res = fx.lineitem_grid_results(spark, d)
+    g = res.groupBy("arch", "perc_ord", "lr_ord").agg(
+        F.avg("id_metric").alias("id_mean"), F.avg("ood_metric").alias("ood_mean"),
+        F.stddev_samp("id_metric").alias("id_std"), F.stddev_samp("ood_metric").alias("ood_std"))
+    # the zero-shot fraction has a single setting: its first lr
+    return g.filter((F.col("perc_ord") != 0) | (F.col("lr_ord") == 0))
+
+
+def _best(spark, d):
+    return selection.best_lr(_fx5_summary(spark, d))
+
+
+@register("best_lr")
+def q_best_lr(spark, d):
+    b = _best(spark, d)
+    return b.select("arch", "perc_ord", "lr_ord", *[r6(c).alias(c) for c in ("id_mean", "ood_mean", "id_std", "ood_std")])
+
+
+@register("curve_series")
+def q_curve_series(spark, d):
+    b = _best(spark, d).withColumn("perc", F.col("perc_ord") / 100.0)
+    c = selection.curve_series(b, error_bars=True)
+    return c.select("arch", "label", r6("perc").alias("perc"), "split", r6("value").alias("value"), r6("err").alias("err"))
+
+
+# --- D: sampling, grouping, sharding ----------------------------------------
+
+@register("group_ids")
+def q_group_ids(spark, d):
+    p = fx.order_predictions(spark, d).filter(F.col("run") == 0)
+    return sampling.group_ids(p, ["domain", "segment"]).select("item_id", "group_id")
+
+
+@register("subset_fraction")
+def q_subset_fraction(spark, d):
+    p = fx.order_predictions(spark, d).filter(F.col("run") == 0)
+    return sampling.subset_fraction(p, 0.3, seed=7, split="train").filter(F.col("split") == "train") \
+                   .select("item_id")
+
+
+@register("group_weights")
+def q_group_weights(spark, d):
+    w = sampling.group_weights(fx.embedding_items(spark, d))
+    return w.select("item_id", "domain", F.round("weight", 9).alias("weight"))
+
+
+@register("group_balanced_sample")
+def q_group_balanced_sample(spark, d):
+    s = sampling.group_balanced_sample(fx.embedding_items(spark, d), n=1000, seed=3)
+    return s.select("draw", "item_id", "domain")
+
+
+@register("shard")
+def q_shard(spark, d):
+    return sampling.shard(fx.embedding_items(spark, d), world=4).select("item_id", "position", "shard")
+
+
+@register("shard_padded")
+def q_shard_padded(spark, d):
+    items = fx.embedding_items(spark, d).filter(F.col("split") == "id_test")
+    return sampling.shard(items, world=4).select("item_id", "position", "shard")
+
+
+@register("batches")
+def q_batches(spark, d):
+    return sampling.batches(fx.embedding_items(spark, d), 32).select("item_id", "batch")
+
+
+@register("row_index")
+def q_row_index(spark, d):
+    p = fx.order_predictions(spark, d).select("item_id", "run")
+    return sampling.with_index(p, ["item_id", "run"]).select("item_id", "run", "idx")
+
+
+# --- S: sources and sinks ---------------------------------------------------
+
+@register("items_split_scan")
+def q_items_split_scan(spark, d):
+    path = scratch_path(spark, "items")
+    S1.write_items(fx.embedding_items(spark, d), path)
+    items = S1.read_items(spark, path, "embeddings", ["id_test", "test"])
+    return items.select("item_id", "split", "y_true", "domain")
+
+
+@register("class_prompt_dimension")
+def q_class_prompt_dimension(spark, d):
+    return _nation_classes(spark, d)
+
+
+def _grid(spark, d):
+    path = scratch_path(spark, "grid")
+    S3.write_grid(S3.grid_from_results(fx.lineitem_grid_results(spark, d)), path)
+    return S3.read_grid(spark, path)
+
+
+def _grid_cols(g):
+    return g.select("arch_ord", "arch", "perc_ord", "perc_label", "lr_ord", "lr_label")
+
+
+@register("grid_expand_train")
+def q_grid_expand_train(spark, d):
+    return _grid_cols(experiments.expand_grid(_grid(spark, d), "train"))
+
+
+@register("grid_expand_test")
+def q_grid_expand_test(spark, d):
+    return _grid_cols(experiments.expand_grid(_grid(spark, d), "test"))
+
+
+@register("report_roundtrip")
+def q_report_roundtrip(spark, d):
+    summ = report.evaluation_summary(fx.order_predictions(spark, d))
+    path = scratch_path(spark, "reports")
+    S45.write_reports(summ.withColumn("name", F.lit("orders_eval")), path)
+    back = S45.read_reports(spark, path)
+    return back.select("name", "metric", "split", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@register("epoch_log_roundtrip")
+def q_epoch_log_roundtrip(spark, d):
+    path = scratch_path(spark, "epoch-log")
+    S67.write_epoch_log(fx.event_epoch_log(spark, d), path, "acc_avg")
+    back = S67.read_epoch_log(spark, path, "acc_avg")
+    return back.select("run", "epoch", r6("metric").alias("metric"))
+
+
+@register("recall_json")
+def q_recall_json(spark, d):
+    items = fx.embedding_items(spark, d)
+    rec = retrieval_eval.retrieval_recalls(items, _run_classes(items), 3, _n_classes(items), k=20)
+    rec = rec.withColumn("arch", F.lit("centroid")).withColumn("dataset", F.lit("embeddings"))
+    return S67.recall_json(rec)
+
+
+@register("best_results_json")
+def q_best_results_json(spark, d):
+    b = _best(spark, d).withColumn("perc_label", (F.col("perc_ord") / 100.0).cast("string"))
+    return S67.best_results_json(b)
+
+
+def _raw_keys(g: DataFrame) -> DataFrame:
+    """Grid positions back to the raw result keys (fraction and lr in hundredths)."""
+    return (g.withColumn("perc_ord", F.round(F.col("perc_label").cast("double") * 100).cast("int"))
+             .withColumn("lr_ord", F.round(F.col("lr_label").cast("double") * 100).cast("int")))
+
+
+@register("missing_artifacts")
+def q_missing_artifacts(spark, d):
+    exp = _raw_keys(experiments.expand_grid(_grid(spark, d), "all"))
+    exp = exp.select("arch", "perc_ord", "lr_ord", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run"))
+    keys = ["arch", "perc_ord", "lr_ord", "run"]
+    return experiments.missing_artifacts(exp, fx.lineitem_present_artifacts(spark, d), keys).select(*keys)
+
+
+@register("grid_results_join")
+def q_grid_results_join(spark, d):
+    g = _grid(spark, d).withColumn("archs", F.concat("archs", F.array(F.lit("NO_swa"))))
+    rows = _raw_keys(experiments.expand_grid(g, "train"))
+    res = _fx5_summary(spark, d)
+    j = experiments.join_results(rows, res, swa_results=res.filter(F.col("arch") == "NO"))
+    return j.select("arch", "perc_ord", "lr_ord", r6("id_mean").alias("id_mean"), r6("ood_mean").alias("ood_mean"))
+
+
+# --- M: whole jobs -----------------------------------------------------------
+
 @register("zero_shot_split_domain")
 def q_zero_shot_split_domain(spark, d):
     items, classes = _items_and_classes(spark, d)
     return zero_shot.zero_shot_split_domain(items, classes)
+
+
+@register("zero_shot_report")
+def q_zero_shot_report(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    r = zero_shot.zero_shot_report(items, classes)
+    return r.select("split", "metric", r6("value").alias("value"))
+
+
+@register("retrieval_report")
+def q_retrieval_report(spark, d):
+    items = fx.embedding_items(spark, d)
+    s = retrieval_eval.retrieval_report(items, _run_classes(items), 3, _n_classes(items), k=20)
+    return s.select(r6("mean").alias("mean"), r6("std").alias("std"), "n_runs")
+
+
+@register("evaluation_report")
+def q_evaluation_report(spark, d):
+    w = report.evaluation_report(fx.order_predictions(spark, d), group="nation")
+    return w.select("metric", *[r6(c).alias(c) for c in w.columns if c != "metric"])
+
+
+@register("linear_probe")
+def q_linear_probe(spark, d):
+    items = fx.document_items(spark, d)
+    head = probe.fit_linear_probe(items.filter(F.col("split") == "train"), n_classes=4)
+    preds = probe.probe_predictions(items, head)
+    return metrics.accuracy(preds, ["split"])
+
+
+@register("learning_curve")
+def q_learning_curve(spark, d):
+    items = fx.document_items(spark, d)
+    return probe.learning_curve(items, [0.1, 1.0], [1e-3, 1e-1], runs=2)
+
+
+# --- R: streaming ------------------------------------------------------------
+
+def _embedding_stream(spark, d):
+    schema = read_table(spark, d, "embeddings").schema
+    return spark.readStream.schema(schema).parquet(os.path.join(d, "embeddings.parquet"))
+
+
+@register("streaming_top_n")
+def q_streaming_top_n(spark, d):
+    _, classes = _items_and_classes(spark, d)
+    q = _query_vector(classes)
+    stream = _embedding_stream(spark, d).select(F.col("vec_id").alias("item_id"),
+                                                F.col("embedding").alias("features"))
+    scored = scoring.contrastive_scores(stream, q.select(F.lit(0).alias("class_id"), "vec"))
+    scored = scored.select("item_id", F.element_at("scores", 1).alias("similarity"))
+    top = streaming_top_n(scored, 5)
+    w = F.row_number().over(Window.orderBy(F.desc("similarity"), F.asc("item_id")))
+    # the final state has at most 5 rows
+    return top.select(w.cast("int").alias("rank"), "item_id", r6("similarity").alias("similarity"))
+
+
+@register("streaming_confusion")
+def q_streaming_confusion(spark, d):
+    schema = read_table(spark, d, "orders").schema
+    orders = spark.readStream.schema(schema).parquet(os.path.join(d, "orders.parquet"))
+    preds = fx.order_predictions_from(orders, spark, d)
+    c = streaming_confusion(preds, ["run", "split"])
+    return c.select("run", "split", "y_true", "y_pred", "n")
+
+
+# --- U: batch inference --------------------------------------------------------
+
+@register("batch_inference")
+def q_batch_inference(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    W, b = scoring.collect_class_matrix(_head(classes), "class_id", "w", bias_col="b")
+    out = inference.infer(items.select("item_id", "features"), inference.linear_model_factory(W, b),
+                          width=W.shape[1])
+    return _long_scores(out)

@@ -46,8 +46,13 @@ def order_predictions(spark: SparkSession, data_dir: str, runs: int = 3) -> Data
     Every order is one item; the run number is generated per row (explode), so
     the table has ``runs`` rows per order without a join.
     """
-    o = read_table(spark, data_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return order_predictions_from(read_table(spark, data_dir, "orders"), spark, data_dir, runs)
+
+
+def order_predictions_from(orders: DataFrame, spark: SparkSession, data_dir: str,
+                           runs: int = 3) -> DataFrame:
+    """FX3 over a given orders frame (batch or stream); customer and nation are static."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = read_table(spark, data_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read_table(spark, data_dir, "nation").select("n_nationkey", "n_regionkey")
     j = (o.join(c, o.o_custkey == c.c_custkey)
