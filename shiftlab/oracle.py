@@ -459,3 +459,57 @@ GROUP BY split
 UNION ALL
 SELECT split, 'F1-macro_all' AS metric, round(avg(2 * tp / (support + predicted)), 6) AS value
 FROM prf0 GROUP BY split""".replace("\n, prf0 AS", ", prf0 AS", 1))
+
+# --- retrieval over runs (leave-one-third-out centroids) -----------------------------
+
+FX["run_cls"] = """run_cls AS (
+  SELECT run, class_id, list(v ORDER BY pos) AS vec FROM (
+    SELECT r.run, l.y_true AS class_id, l.pos, avg(l.x) AS v
+    FROM fx1_long l, (SELECT CAST(range AS INTEGER) AS run FROM range(3)) r
+    WHERE l.split = 'train' AND l.item_id % 3 <> r.run
+    GROUP BY r.run, l.y_true, l.pos) GROUP BY run, class_id)"""
+
+FX["run_prob"] = """run_prob AS (
+  SELECT run, item_id, split, y_true, class_id, e / sum(e) OVER (PARTITION BY run, item_id) AS prob FROM (
+    SELECT run, item_id, split, y_true, class_id, exp(score - max(score) OVER (PARTITION BY run, item_id)) AS e
+    FROM (SELECT c.run, f.item_id, f.split, f.y_true, c.class_id,
+                 100.0 * list_dot_product(f.features, c.vec)
+                   / (sqrt(list_dot_product(f.features, f.features)) * sqrt(list_dot_product(c.vec, c.vec))) AS score
+          FROM fx1 f, run_cls c)))"""
+
+
+def _run_recall(split: str, k: int) -> str:
+    return f"""run_recall AS (
+  SELECT run, sum(CASE WHEN y_true = class_id THEN 1 ELSE 0 END) / {float(k)}
+              / (SELECT max(y_true) + 1 FROM fx1) AS recall_at_k FROM (
+    SELECT run, class_id, y_true,
+           row_number() OVER (PARTITION BY run, class_id ORDER BY round(prob, 12) DESC, item_id) AS rk
+    FROM run_prob WHERE split = '{split}') WHERE rk <= {k} GROUP BY run)"""
+
+
+FX["run_recall_val10"] = _run_recall("val", 10)
+FX["run_recall_test20"] = _run_recall("test", 20).replace("run_recall AS", "run_recall_test20 AS")
+FX["run_recall_val10"] = FX["run_recall_val10"].replace("run_recall AS", "run_recall_val10 AS")
+
+_RUN_FX = ["fx1", "fx1_long", "run_cls", "run_prob"]
+
+ORACLE["recall_summary"] = with_fx(_RUN_FX + ["run_recall_val10"], """
+SELECT round(avg(recall_at_k), 6) AS mean, round(stddev_pop(recall_at_k), 6) AS std, count(*) AS n_runs
+FROM run_recall_val10""")
+
+ORACLE["retrieval_report"] = with_fx(_RUN_FX + ["run_recall_test20"], """
+SELECT round(avg(recall_at_k), 6) AS mean, round(stddev_pop(recall_at_k), 6) AS std, count(*) AS n_runs
+FROM run_recall_test20""")
+
+ORACLE["recall_json"] = with_fx(_RUN_FX + ["run_recall_test20"], """
+SELECT 'centroid' AS arch, 'embeddings' AS dataset,
+       to_json({'arch': 'centroid', 'dataset': 'embeddings',
+                'recall_at_k': list(CAST(recall_at_k AS DECIMAL(18, 6)) ORDER BY run)}) AS json
+FROM run_recall_test20""")
+
+ORACLE["best_results_json"] = with_fx(["fx5", "fx5_summary", "fx5_best"], """
+SELECT arch, to_json(map(list(CAST(perc_ord / 100.0 AS VARCHAR) ORDER BY perc_ord),
+                         list([CAST(id_mean AS DECIMAL(18, 6)), CAST(ood_mean AS DECIMAL(18, 6)),
+                               CAST(id_std AS DECIMAL(18, 6)), CAST(ood_std AS DECIMAL(18, 6))]
+                              ORDER BY perc_ord))) AS json
+FROM fx5_best GROUP BY arch""")

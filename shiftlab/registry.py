@@ -7,7 +7,6 @@ Real-valued outputs are rounded to 6 decimals (the oracle rounds the same way).
 
 from __future__ import annotations
 
-import os
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -504,16 +503,18 @@ def q_learning_curve(spark, d):
 
 # --- R: streaming ------------------------------------------------------------
 
-def _embedding_stream(spark, d):
-    schema = read_table(spark, d, "embeddings").schema
-    return spark.readStream.schema(schema).parquet(os.path.join(d, "embeddings.parquet"))
+def table_stream(spark, d, name):
+    """A file stream over one table of the data folder (new files arrive as batches)."""
+    schema = read_table(spark, d, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+                 .option("maxFilesPerTrigger", 1).parquet(d))
 
 
 @register("streaming_top_n")
 def q_streaming_top_n(spark, d):
     _, classes = _items_and_classes(spark, d)
     q = _query_vector(classes)
-    stream = _embedding_stream(spark, d).select(F.col("vec_id").alias("item_id"),
+    stream = table_stream(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"),
                                                 F.col("embedding").alias("features"))
     scored = scoring.contrastive_scores(stream, q.select(F.lit(0).alias("class_id"), "vec"))
     scored = scored.select("item_id", F.element_at("scores", 1).alias("similarity"))
@@ -525,8 +526,7 @@ def q_streaming_top_n(spark, d):
 
 @register("streaming_confusion")
 def q_streaming_confusion(spark, d):
-    schema = read_table(spark, d, "orders").schema
-    orders = spark.readStream.schema(schema).parquet(os.path.join(d, "orders.parquet"))
+    orders = table_stream(spark, d, "orders")
     preds = fx.order_predictions_from(orders, spark, d)
     c = streaming_confusion(preds, ["run", "split"])
     return c.select("run", "split", "y_true", "y_pred", "n")

@@ -31,11 +31,16 @@ def read_epoch_log(spark: SparkSession, path: str, metric: str, by: str = "run")
     return z.select(by, F.col("z.epoch").alias("epoch"), F.col("z.metric").alias("metric"))
 
 
+def _fixed(c: F.Column, digits: int | None) -> F.Column:
+    """Numbers for JSON: fixed-point decimals (plain notation, no exponent) when ``digits`` is set."""
+    return c.cast(f"decimal(18,{digits})") if digits is not None else c
+
+
 def recall_json(recalls: DataFrame, keys=("arch", "dataset"), run: str = "run",
                 value: str = "recall_at_k", digits: int | None = 6) -> DataFrame:
     """``{arch, dataset, recall_at_k: [per run]}`` as one JSON string per key."""
     keys = list(keys)
-    v = F.round(F.col(value), digits) if digits is not None else F.col(value)
+    v = _fixed(F.col(value), digits)
     g = recalls.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(run), v.alias("v")))).alias("_l"))
     return g.select(*keys, F.to_json(F.struct(*[F.col(k) for k in keys],
                     F.transform("_l", lambda x: x["v"]).alias("recall_at_k"))).alias("json"))
@@ -45,7 +50,7 @@ def best_results_json(best: DataFrame, arch: str = "arch", perc_label: str = "pe
                       perc_ord: str = "perc_ord", digits: int | None = 6) -> DataFrame:
     """Per arch, ``{fraction: [id, ood, id_std, ood_std]}`` in fraction order."""
     def r(c):
-        return F.round(F.col(c), digits) if digits is not None else F.col(c)
+        return _fixed(F.col(c), digits)
     g = best.groupBy(arch).agg(F.sort_array(F.collect_list(F.struct(
         F.col(perc_ord).alias("o"), F.col(perc_label).alias("k"),
         F.array(r("id_mean"), r("ood_mean"), r("id_std"), r("ood_std")).alias("v")))).alias("_l"))
