@@ -67,6 +67,18 @@ def argmax_class(c) -> Column:
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
+def explode_vector(df, keep, vec, pos: str = "pos", value: str = "value"):
+    """Long form ``(keep..., pos, value)`` of a vector column.
+
+    Uses the outer generator and drops the NULL row afterwards: a plain
+    ``posexplode`` makes Catalyst infer ``size(vec) > 0`` below the projection,
+    which would evaluate a Python-computed vector twice.
+    """
+    keep = [keep] if isinstance(keep, str) else list(keep)
+    out = df.select(*keep, F.posexplode_outer(vec).alias(pos, value))
+    return out.filter(F.col(pos).isNotNull()).withColumn(pos, F.col(pos).cast("int"))
+
+
 def standardize(c, mean: Sequence[float] = CLIP_MEAN, std: Sequence[float] = CLIP_STD) -> Column:
     """Per-channel ``(x - mean[c]) / std[c]`` over a channel-last pixel vector.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftlab.functions.vectors import explode_vector
 from shiftlab.operators.scoring import contrastive_scores
 
 
@@ -42,8 +43,7 @@ def attach_labels(hits: DataFrame, items: DataFrame, classes: DataFrame, key: st
 
 def class_probabilities(probs: DataFrame, key: str = "item_id", probs_col: str = "probs") -> DataFrame:
     """Long form ``(class_id, item_id, y_true, prob)`` of a probability table."""
-    return probs.select(key, "y_true", F.posexplode(probs_col).alias("class_id", "prob")) \
-                .withColumn("class_id", F.col("class_id").cast("int"))
+    return explode_vector(probs, [key, "y_true"], probs_col, "class_id", "prob")
 
 
 def top_k_per_class(probs: DataFrame, k: int = 20, key: str = "item_id",
@@ -81,7 +81,7 @@ def recall_at_k(probs: DataFrame, k: int, n_classes: int, by: list[str] | None =
     if not by:
         per = recall_at_k_per_class(probs, k, n_classes, key, probs_col)
         return per.agg((F.sum("recall") / F.lit(float(n_classes))).alias("recall_at_k"))
-    long = probs.select(*by, key, "y_true", F.posexplode(probs_col).alias("class_id", "prob"))
+    long = explode_vector(probs, [*by, key, "y_true"], probs_col, "class_id", "prob")
     w = Window.partitionBy(*by, "class_id").orderBy(F.desc(F.round("prob", 12)), F.asc(key))
     top = long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     hits = top.groupBy(*by).agg(F.sum((F.col("y_true") == F.col("class_id")).cast("int")).alias("hits"))

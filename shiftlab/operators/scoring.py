@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlab.functions.vectors import softmax
+from shiftlab.functions.vectors import explode_vector, softmax
 
 # Largest class matrix (classes x width x 8 bytes) that is broadcast whole.
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -45,17 +45,23 @@ def collect_class_matrix(classes: DataFrame, id_col: str = "class_id", vec_col:
     Class ids must be dense ``0..C-1``; the score array is indexed by class id.
     Returns ``(W, b)`` with ``b`` None when no bias column is given.
     """
-    n, nd, d, mx = _class_stats(classes, id_col, vec_col)
-    if n != nd or mx != n - 1:
-        raise ValueError(f"class ids must be dense 0..C-1 and unique (rows={n}, distinct={nd}, max={mx})")
-    if n * d * 8 > max_bytes:
-        raise ClassMatrixTooLarge(
-            f"class matrix {n} x {d} exceeds the broadcast bound of {max_bytes} bytes; "
-            "use score_pairs (blocked long form)")
     cols = [F.col(id_col), F.col(vec_col).cast("array<double>").alias("vec")]
     if bias_col:
         cols.append(F.col(bias_col).cast("double").alias("b"))
-    rows = classes.select(*cols).orderBy(id_col).collect()
+    # the class side is usually an aggregate (centroids, a fitted head): keep it
+    # for the size check and the collection instead of computing it twice
+    small = classes.select(*cols).persist()
+    try:
+        n, nd, d, mx = _class_stats(small, id_col, "vec")
+        if n != nd or mx != n - 1:
+            raise ValueError(f"class ids must be dense 0..C-1 and unique (rows={n}, distinct={nd}, max={mx})")
+        if n * d * 8 > max_bytes:
+            raise ClassMatrixTooLarge(
+                f"class matrix {n} x {d} exceeds the broadcast bound of {max_bytes} bytes; "
+                "use score_pairs (blocked long form)")
+        rows = small.orderBy(id_col).collect()
+    finally:
+        small.unpersist()
     W = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(n, d)
     b = np.array([r["b"] for r in rows], dtype=np.float64) if bias_col else None
     return W, b
@@ -174,8 +180,7 @@ def score_pairs(items: DataFrame, classes: DataFrame, scale: float = 100.0,
     try:
         scored = contrastive_scores(items.select(item_col, features), classes, scale, normalize,
                                     features, id_col, vec_col, max_bytes=max_bytes)
-        return scored.select(item_col, F.posexplode("scores").alias("class_id", "score")) \
-                     .select(item_col, F.col("class_id").cast("int"), "score")
+        return explode_vector(scored, item_col, "scores", "class_id", "score")
     except ClassMatrixTooLarge:
         pass
     n, _, d, _ = _class_stats(classes, id_col, vec_col)
@@ -186,8 +191,8 @@ def score_pairs(items: DataFrame, classes: DataFrame, scale: float = 100.0,
                         .withColumn(id_col, F.col(id_col) - lo))
         s = contrastive_scores(items.select(item_col, features), block, scale, normalize,
                                features, id_col, vec_col, max_bytes=max_bytes)
-        parts.append(s.select(item_col, F.posexplode("scores").alias("pos", "score"))
-                      .select(item_col, (F.col("pos") + lo).cast("int").alias("class_id"), "score"))
+        parts.append(explode_vector(s, item_col, "scores", "pos", "score")
+                     .select(item_col, (F.col("pos") + lo).cast("int").alias("class_id"), "score"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

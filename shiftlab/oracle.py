@@ -298,10 +298,10 @@ FX["fx4_flags"] = """fx4_flags AS (
         WHERE epoch = 0 OR (epoch + 1) % 5 = 0))"""
 
 ORACLE["checkpoint_flags"] = with_fx(["fx4", "fx4_flags"], """
-SELECT run, epoch, round(metric, 6) AS metric, is_best FROM fx4_flags""")
+SELECT run, epoch, metric, is_best FROM fx4_flags""")
 
 ORACLE["best_checkpoint"] = with_fx(["fx4"], """
-SELECT run, CAST(best_epoch AS INTEGER) AS best_epoch, round(best_metric, 6) AS best_metric,
+SELECT run, CAST(best_epoch AS INTEGER) AS best_epoch, best_metric,
        CAST(best_epoch + 1 AS INTEGER) AS checkpoint_epoch FROM (
   SELECT run, metric AS best_metric, epoch AS best_epoch,
          row_number() OVER (PARTITION BY run ORDER BY metric DESC, epoch) AS rn
@@ -422,7 +422,7 @@ SELECT 'orders_eval' AS name, metric, split, round(avg(value), 6) AS mean,
 FROM fx3_metrics GROUP BY split, metric""")
 
 ORACLE["epoch_log_roundtrip"] = with_fx(["fx4"], """
-SELECT run, epoch, round(metric, 6) AS metric FROM fx4""")
+SELECT run, epoch, metric FROM fx4""")
 
 # --- J ---------------------------------------------------------------------------
 

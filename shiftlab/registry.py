@@ -52,8 +52,8 @@ def _head(classes: DataFrame) -> DataFrame:
 
 
 def _long_scores(scored: DataFrame, name: str = "score") -> DataFrame:
-    return scored.select("item_id", F.posexplode("scores").alias("class_id", name)) \
-                 .select("item_id", F.col("class_id").cast("int"), r6(name).alias(name))
+    long = V.explode_vector(scored, "item_id", "scores", "class_id", name)
+    return long.select("item_id", "class_id", r6(name).alias(name))
 
 
 # --- P: projections and scoring --------------------------------------------
@@ -95,8 +95,8 @@ def q_argmax_predictions(spark, d):
 def q_prediction_table(spark, d):
     items, classes = _items_and_classes(spark, d)
     p = scoring.predict_table(items, classes)
-    return p.select("item_id", "y_true", F.posexplode("probs").alias("class_id", "prob")) \
-            .select("item_id", "y_true", F.col("class_id").cast("int"), r6("prob").alias("prob"))
+    long = V.explode_vector(p, ["item_id", "y_true"], "probs", "class_id", "prob")
+    return long.select("item_id", "y_true", "class_id", r6("prob").alias("prob"))
 
 
 @register("standardize_pixels")
@@ -286,13 +286,14 @@ def q_recall_at_k_large_k(spark, d):
 @register("checkpoint_flags")
 def q_checkpoint_flags(spark, d):
     f = selection.checkpoint_flags(fx.event_epoch_log(spark, d), eval_freq=5)
-    return f.select("run", "epoch", r6("metric").alias("metric"), "is_best")
+    # FX4 metrics are one integer sum and one division: exact in both engines, not rounded
+    return f.select("run", "epoch", "metric", "is_best")
 
 
 @register("best_checkpoint")
 def q_best_checkpoint(spark, d):
     b = selection.best_checkpoint(fx.event_epoch_log(spark, d), eval_freq=5)
-    return b.select("run", "best_epoch", r6("best_metric").alias("best_metric"), "checkpoint_epoch")
+    return b.select("run", "best_epoch", "best_metric", "checkpoint_epoch")
 
 
 def _fx5_summary(spark, d):
@@ -419,7 +420,7 @@ def q_epoch_log_roundtrip(spark, d):
     path = scratch_path(spark, "epoch-log")
     S67.write_epoch_log(fx.event_epoch_log(spark, d), path, "acc_avg")
     back = S67.read_epoch_log(spark, path, "acc_avg")
-    return back.select("run", "epoch", r6("metric").alias("metric"))
+    return back.select("run", "epoch", "metric")
 
 
 @register("recall_json")
