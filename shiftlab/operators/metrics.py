@@ -53,6 +53,24 @@ def confusion(preds: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return preds.groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _class_roles(cm: DataFrame, by: list[str]) -> DataFrame:
+    """Per (slice, class): support, predicted and true positives, from confusion counts.
+
+    Each count row is exploded into its true-class role and its predicted-class
+    role and summed once: one aggregation, no join of three aggregates.
+    """
+    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("bigint")
+    roles = F.explode(F.array(
+        F.struct(F.col("y_true").alias("class_id"), F.col("n").cast("bigint").alias("s"),
+                 zero.alias("p"), hit.cast("bigint").alias("t")),
+        F.struct(F.col("y_pred").alias("class_id"), zero.alias("s"),
+                 F.col("n").cast("bigint").alias("p"), zero.alias("t"))))
+    return (cm.select(*by, roles.alias("r"))
+              .groupBy(*by, F.col("r.class_id").alias("class_id"))
+              .agg(F.sum("r.s").alias("support"), F.sum("r.p").alias("predicted"), F.sum("r.t").alias("tp")))
+
+
 def per_class_prf(preds: DataFrame, by: Sequence[str] = BY, counts: DataFrame | None = None) -> DataFrame:
     """A5: precision, recall and F1 per class present in ``y_true`` of the slice.
 
@@ -61,18 +79,9 @@ def per_class_prf(preds: DataFrame, by: Sequence[str] = BY, counts: DataFrame |
     """
     by = _by(by)
     cm = counts if counts is not None else confusion(preds, by)
-    support = cm.groupBy(*by, F.col("y_true").alias("class_id")).agg(F.sum("n").alias("support"))
-    predicted = cm.groupBy(*by, F.col("y_pred").alias("class_id")).agg(F.sum("n").alias("predicted"))
-    tp = (cm.filter(F.col("y_true") == F.col("y_pred"))
-            .select(*by, F.col("y_true").alias("class_id"), F.col("n").alias("tp")))
-    keys = [*by, "class_id"]
-    j = (support.join(predicted, keys, "left").join(tp, keys, "left")
-                .fillna(0, subset=["predicted", "tp"]))
-    return j.select(
-        *keys,
-        F.col("tp").cast("bigint").alias("tp"),
-        F.col("support").cast("bigint").alias("support"),
-        F.col("predicted").cast("bigint").alias("predicted"),
+    c = _class_roles(cm, by).filter(F.col("support") > 0)
+    return c.select(
+        *by, F.col("class_id").cast("int").alias("class_id"), "tp", "support", "predicted",
         F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")).cast("double"), F.lit(0.0)).alias("precision"),
         (F.col("tp") / F.col("support")).cast("double").alias("recall"),
         (2 * F.col("tp") / (F.col("support") + F.col("predicted"))).cast("double").alias("f1"))
@@ -84,23 +93,49 @@ def macro_f1(preds: DataFrame, by: Sequence[str] = BY, counts: DataFrame | None
     return per_class_prf(preds, by, counts).groupBy(*by).agg(F.avg("f1").alias("f1_macro"))
 
 
-def run_metrics(preds: DataFrame, by: Sequence[str] = BY, group: str = "domain") -> DataFrame:
-    """Long metric table ``(by..., metric, value)``: acc_avg, acc_wg, F1-macro_all.
+def slice_metrics(preds: DataFrame, by: Sequence[str] = BY, group: str = "domain") -> DataFrame:
+    """acc_avg, acc_wg and F1-macro_all per slice in one linear pipeline.
 
-    All three metrics come from one count per (slice, group, y_true, y_pred).
+    One shuffle of the predictions (partial-aggregated counts per slice, group
+    and label pair), then each count row is exploded into its group role and
+    its two class roles, summed per (slice, role, key), and reduced per slice.
+    The big input is read once; later shuffles carry count rows only.
     """
     by = _by(by)
     cm = preds.groupBy(*by, group, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    hits = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
-    acc = cm.groupBy(*by).agg((F.sum(hits) / F.sum("n")).alias("value")) \
-            .withColumn("metric", F.lit("acc_avg"))
-    g = cm.groupBy(*by, group).agg((F.sum(hits) / F.sum("n")).alias("acc"))
-    wg = g.groupBy(*by).agg(F.min("acc").alias("value")).withColumn("metric", F.lit("acc_wg"))
-    cls = cm.groupBy(*by, "y_true", "y_pred").agg(F.sum("n").alias("n"))
-    f1 = macro_f1(None, by, cls).select(*by, F.col("f1_macro").alias("value")) \
-                                .withColumn("metric", F.lit("F1-macro_all"))
-    cols = [*by, "metric", "value"]
-    return acc.select(cols).unionByName(wg.select(cols)).unionByName(f1.select(cols))
+    n = F.col("n").cast("bigint")
+    hit = F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+
+    def role(name, key, hits, rows, sup, pred, tp):
+        return F.struct(F.lit(name).alias("role"), key.cast("bigint").alias("key"), hits.alias("h"),
+                        rows.alias("n"), sup.alias("s"), pred.alias("p"), tp.alias("t"))
+    roles = F.explode(F.array(
+        role("g", F.col(group), hit, n, zero, zero, zero),
+        role("c", F.col("y_true"), zero, zero, n, zero, hit),
+        role("c", F.col("y_pred"), zero, zero, zero, n, zero)))
+    per_key = (cm.select(*by, roles.alias("r"))
+                 .groupBy(*by, F.col("r.role").alias("role"), F.col("r.key").alias("key"))
+                 .agg(F.sum("r.h").alias("h"), F.sum("r.n").alias("n"), F.sum("r.s").alias("s"),
+                      F.sum("r.p").alias("p"), F.sum("r.t").alias("t")))
+    is_g = F.col("role") == "g"
+    is_c = (F.col("role") == "c") & (F.col("s") > 0)
+    return per_key.groupBy(*by).agg(
+        (F.sum(F.when(is_g, F.col("h"))) / F.sum(F.when(is_g, F.col("n")))).alias("acc_avg"),
+        F.min(F.when(is_g & (F.col("n") > 0), F.col("h") / F.col("n"))).alias("acc_wg"),
+        F.avg(F.when(is_c, 2 * F.col("t") / (F.col("s") + F.col("p")))).alias("f1_macro"),
+        F.sum(F.when(is_g, F.col("n"))).alias("n"))
+
+
+def run_metrics(preds: DataFrame, by: Sequence[str] = BY, group: str = "domain") -> DataFrame:
+    """Long metric table ``(by..., metric, value)``: acc_avg, acc_wg, F1-macro_all."""
+    by = _by(by)
+    wide = slice_metrics(preds, by, group)
+    long = F.explode(F.array(
+        F.struct(F.lit("acc_avg").alias("metric"), F.col("acc_avg").alias("value")),
+        F.struct(F.lit("acc_wg").alias("metric"), F.col("acc_wg").alias("value")),
+        F.struct(F.lit("F1-macro_all").alias("metric"), F.col("f1_macro").alias("value"))))
+    return wide.select(*by, long.alias("m")).select(*by, "m.metric", "m.value")
 
 
 def epoch_loss(scored: DataFrame, by: Sequence[str], batch: str = "batch",
