@@ -29,12 +29,10 @@ class ClassMatrixTooLarge(ValueError):
     """The class side exceeds the broadcast bound."""
 
 
-def _class_stats(classes: DataFrame, id_col: str, vec_col: str) -> tuple[int, int, int, int]:
-    r = classes.agg(F.count(F.lit(1)).alias("n"),
-                    F.countDistinct(id_col).alias("nd"),
-                    F.max(F.size(vec_col)).alias("d"),
-                    F.max(id_col).alias("mx")).first()
-    return int(r["n"]), int(r["nd"] or 0), int(r["d"] or 0), int(r["mx"] if r["mx"] is not None else -1)
+def _class_stats(classes: DataFrame, vec_col: str) -> tuple[int, int]:
+    """Rows and widest vector of the class side (one single-stage aggregation)."""
+    r = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    return int(r["n"]), int(r["d"] or 0)
 
 
 def collect_class_matrix(classes: DataFrame, id_col: str = "class_id", vec_col: str = "vec",
@@ -52,16 +50,18 @@ def collect_class_matrix(classes: DataFrame, id_col: str = "class_id", vec_col:
     # for the size check and the collection instead of computing it twice
     small = classes.select(*cols).persist()
     try:
-        n, nd, d, mx = _class_stats(small, id_col, "vec")
-        if n != nd or mx != n - 1:
-            raise ValueError(f"class ids must be dense 0..C-1 and unique (rows={n}, distinct={nd}, max={mx})")
+        n, d = _class_stats(small, "vec")
         if n * d * 8 > max_bytes:
             raise ClassMatrixTooLarge(
                 f"class matrix {n} x {d} exceeds the broadcast bound of {max_bytes} bytes; "
                 "use score_pairs (blocked long form)")
-        rows = small.orderBy(id_col).collect()
+        rows = small.collect()
     finally:
         small.unpersist()
+    rows.sort(key=lambda r: r[id_col])
+    ids = [r[id_col] for r in rows]
+    if ids != list(range(n)):
+        raise ValueError(f"class ids must be dense 0..C-1 and unique (rows={n})")
     W = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(n, d)
     b = np.array([r["b"] for r in rows], dtype=np.float64) if bias_col else None
     return W, b
@@ -183,7 +183,7 @@ def score_pairs(items: DataFrame, classes: DataFrame, scale: float = 100.0,
         return explode_vector(scored, item_col, "scores", "class_id", "score")
     except ClassMatrixTooLarge:
         pass
-    n, _, d, _ = _class_stats(classes, id_col, vec_col)
+    n, d = _class_stats(classes, vec_col)
     per_block = max(1, max_bytes // max(1, 8 * d))
     parts = []
     for lo in range(0, n, per_block):

@@ -137,13 +137,12 @@ def embedding_pixels(spark: SparkSession, data_dir: str) -> DataFrame:
 DOC_LANGS = ["en", "fr", "de", "es"]
 
 
-def document_items(spark: SparkSession, data_dir: str, num_features: int = 256,
-                   max_chars: int = 2000) -> DataFrame:
+def document_items(spark: SparkSession, data_dir: str, num_features: int = 256) -> DataFrame:
     """FX9: ``documents`` as learnable items: language label, hashed token features.
 
-    Features are hashed term counts of the lower-cased whitespace tokens of the
-    first ``max_chars`` characters (a fixed-width featuriser standing in for a
-    frozen encoder); labels are the language, domains the source number.
+    Features are hashed term counts of all lower-cased whitespace tokens of
+    the whole text (a fixed-width featuriser standing in for a frozen
+    encoder); labels are the language, domains the source number.
     """
     d = read_table(spark, data_dir, "documents").select("doc_id", "text", "lang", "source")
     y = F.array_position(F.array(*[F.lit(x) for x in DOC_LANGS]), F.col("lang")).cast("int") - 1
@@ -151,7 +150,7 @@ def document_items(spark: SparkSession, data_dir: str, num_features: int = 256,
     split = (F.when(domain.between(14, 16), "val")
              .when(domain.between(17, 19), "test")
              .otherwise(_split_by_block(F.col("doc_id") % 10)))
-    toks = F.split(F.trim(F.lower(F.substring("text", 1, max_chars))), r"\s+")
+    toks = F.split(F.trim(F.lower(F.col("text"))), r"\s+")
     base = d.select(
         F.lit("documents").alias("dataset"), split.alias("split"),
         F.col("doc_id").alias("item_id"), toks.alias("tokens"),
