@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 
 from shiftlab.session import ensure_checkpoint_dir
 
+# Largest per-key dimension (one row per group or field value) joined back by broadcast.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def join_dimension(rows: DataFrame, dim: DataFrame, on, n_dim: int | None = None) -> DataFrame:
+    """Join a per-key dimension back to the rows.
+
+    The dimension has one row per key, so a key holding a third of the rows
+    must not become one shuffle partition: it is broadcast when its counted
+    size is within ``MAX_BROADCAST_ROWS``; beyond that a shuffle join is used
+    and AQE's skew-join splitting takes over.
+    """
+    n = dim.count() if n_dim is None else n_dim
+    return rows.join(F.broadcast(dim) if n <= MAX_BROADCAST_ROWS else dim, on)
+
 
 def _cols(order) -> list:
     order = [order] if isinstance(order, (str, F.Column)) else list(order)
@@ -102,7 +117,7 @@ def group_weights(items: DataFrame, group: str = "domain") -> DataFrame:
     # one row per group: the whole-table window runs on the small per-group table
     counts = counts.withColumn("weight", 1.0 / (F.count(F.lit(1)).over(Window.partitionBy())
                                                 * F.col("group_n")))
-    return items.join(counts, group)
+    return join_dimension(items, counts, group)
 
 
 def group_index(items: DataFrame, group: str = "domain", key: str = "item_id") -> DataFrame:
@@ -116,7 +131,7 @@ def group_index(items: DataFrame, group: str = "domain", key: str = "item_id") -
     w = Window.orderBy(group)
     # one row per group: numbering groups runs on the small per-group table
     starts = starts.withColumn("gno", (F.row_number().over(w) - 1).cast("int"))
-    return (idx.join(starts, group)
+    return (join_dimension(idx, starts, group)
                .withColumn("gidx", F.col("_gi") - F.col("_start"))
                .drop("_gi", "_start"))
 
@@ -138,7 +153,7 @@ def group_balanced_sample(items: DataFrame, n: int, seed: int = 0, group: str =
     h1 = hash_key(F.concat(F.col("draw").cast("string"), F.lit(":g")), seed)
     h2 = hash_key(F.concat(F.col("draw").cast("string"), F.lit(":r")), seed)
     draws = draws.withColumn("gno", F.pmod(h1, F.lit(n_groups)).cast("int"))
-    draws = (draws.join(groups, "gno")
+    draws = (join_dimension(draws, groups, "gno", n_groups)
                   .withColumn("gidx", F.pmod(h2, F.col("group_n")))
                   .drop("group_n"))
     return draws.join(gi.drop("group_n"), ["gno", "gidx"]).drop("gno", "gidx")
@@ -184,7 +199,7 @@ def group_ids(items: DataFrame, fields: Sequence[str], out: str = "group_id") ->
         # numbering one field's distinct values: the window runs on that small table
         d = d.withColumn(f"_rank_{f}", (F.row_number().over(Window.orderBy(f)) - 1).cast("bigint"))
         card = d.count()
-        out_df = out_df.join(d, f)
+        out_df = join_dimension(out_df, d, f, card)
         code = code * F.lit(card) + F.col(f"_rank_{f}")
     return out_df.withColumn(out, code).drop(*[f"_rank_{f}" for f in fields])
 

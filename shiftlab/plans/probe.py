@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 from pyspark.ml.classification import LogisticRegression
@@ -48,29 +49,63 @@ def probe_predictions(items: DataFrame, head: DataFrame) -> DataFrame:
     return s.select("split", "item_id", "y_true", argmax_class("scores").alias("y_pred"), "domain")
 
 
+def probe_report(items: DataFrame, n_classes: int | None = None, max_iter: int = 20,
+                 reg: float = 1e-3) -> DataFrame:
+    """M1 end to end: fit on the train split, accuracy per split.
+
+    The featurised items are cached for the fit and the evaluation, and
+    released once the (one row per split) result is materialised.
+    """
+    feats = items.select("split", "item_id", "features", "y_true", "domain").persist()
+    try:
+        head = fit_linear_probe(feats.filter(F.col("split") == "train"), n_classes, max_iter, reg)
+        acc = accuracy(probe_predictions(feats, head), ["split"]).persist()
+        acc.count()
+        return acc
+    finally:
+        feats.unpersist()
+
+
 def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[float],
-                   runs: int = 2, max_iter: int = 20, arch: str = "linear_probe") -> DataFrame:
+                   runs: int = 2, max_iter: int = 20, arch: str = "linear_probe",
+                   parallelism: int = 4) -> DataFrame:
     """M3: for each (fraction, reg) and run: subset -> fit -> ID/OOD test accuracy;
     mean/std over runs; best reg per fraction by OOD test; tidy curve rows.
 
-    The driver loops over the grid only; each cell is a distributed fit and a
-    distributed evaluation. Features are cached once for all cells.
+    The driver only walks the grid: each subset is drawn once per (fraction,
+    run) and shared by all regularisation values, and up to ``parallelism``
+    grid cells fit at the same time as independent Spark jobs (as Spark ML's
+    tuning does). Features are cached once for all cells.
     """
-    items = items.select("split", "item_id", "features", "y_true", "domain").persist()
-    evals = items.filter(F.col("split").isin("id_test", "test"))
-    rows = None
+    feats = items.select("split", "item_id", "features", "y_true", "domain").persist()
+    evals = feats.filter(F.col("split").isin("id_test", "test"))
+    subsets = []
+    results = []
     try:
+        train = feats.filter(F.col("split") == "train")
+        cells = []
         for fo, frac in enumerate(fractions):
-            for ro, reg in enumerate(regs):
-                for run in range(runs):
-                    sub = subset_fraction(items.filter(F.col("split") == "train"), frac, seed=run)
-                    head = fit_linear_probe(sub, max_iter=max_iter, reg=reg)
-                    acc = accuracy(probe_predictions(evals, head), ["split"])
-                    acc = acc.select(F.lit(fo + 1).alias("perc_ord"), F.lit(float(frac)).alias("perc"),
-                                     F.lit(ro).alias("lr_ord"), F.lit(run).alias("run"),
-                                     "split", "acc_avg").persist()
-                    acc.count()
-                    rows = acc if rows is None else rows.unionByName(acc)
+            for run in range(runs):
+                sub = subset_fraction(train, frac, seed=run).persist()
+                subsets.append(sub)
+                for ro, reg in enumerate(regs):
+                    cells.append((fo, frac, ro, reg, run, sub))
+
+        def fit_cell(cell):
+            fo, frac, ro, reg, run, sub = cell
+            head = fit_linear_probe(sub, max_iter=max_iter, reg=reg)
+            acc = accuracy(probe_predictions(evals, head), ["split"])
+            acc = acc.select(F.lit(fo + 1).alias("perc_ord"), F.lit(float(frac)).alias("perc"),
+                             F.lit(ro).alias("lr_ord"), F.lit(run).alias("run"),
+                             "split", "acc_avg").persist()
+            acc.count()
+            return acc
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            results = list(pool.map(fit_cell, cells))
+        rows = results[0]
+        for r in results[1:]:
+            rows = rows.unionByName(r)
         summ = run_summary(rows, ["perc_ord", "perc", "lr_ord", "split"], "acc_avg")
         wide = summ.groupBy("perc_ord", "perc", "lr_ord").pivot("split", ["id_test", "test"]).agg(
             F.first("mean").alias("mean"), F.first("std").alias("std"))
@@ -78,6 +113,12 @@ def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[
                           F.col("id_test_mean").alias("id_mean"), F.col("test_mean").alias("ood_mean"),
                           F.col("id_test_std").alias("id_std"), F.col("test_std").alias("ood_std"))
         best = best_lr(res, zero_perc_value=-1)
-        return curve_series(best).persist()
+        curve = curve_series(best).persist()
+        curve.count()
+        return curve
     finally:
-        items.unpersist()
+        for r in results:
+            r.unpersist()
+        for sub in subsets:
+            sub.unpersist()
+        feats.unpersist()

@@ -490,10 +490,7 @@ def q_evaluation_report(spark, d):
 
 @register("linear_probe")
 def q_linear_probe(spark, d):
-    items = fx.document_items(spark, d)
-    head = probe.fit_linear_probe(items.filter(F.col("split") == "train"), n_classes=4)
-    preds = probe.probe_predictions(items, head)
-    return metrics.accuracy(preds, ["split"])
+    return probe.probe_report(fx.document_items(spark, d), n_classes=4)
 
 
 @register("learning_curve")

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlab.sources.tables import read_table
+from shiftlab.sources.tables import read_table, spread
 
 
 def _split_by_block(block: F.Column) -> F.Column:
@@ -144,7 +144,7 @@ def document_items(spark: SparkSession, data_dir: str, num_features: int = 256)
     the whole text (a fixed-width featuriser standing in for a frozen
     encoder); labels are the language, domains the source number.
     """
-    d = read_table(spark, data_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = spread(read_table(spark, data_dir, "documents").select("doc_id", "text", "lang", "source"))
     y = F.array_position(F.array(*[F.lit(x) for x in DOC_LANGS]), F.col("lang")).cast("int") - 1
     domain = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     split = (F.when(domain.between(14, 16), "val")

@@ -10,3 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """Read ``<data_dir>/<name>.parquet``; Catalyst prunes columns and pushes filters."""
     return spark.read.parquet(os.path.join(data_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over the cluster when the scan has fewer splits than cores.
+
+    Heavy per-row work (tokenising whole texts) should use every core. A
+    large table already arrives in many splits and is returned unchanged (no
+    shuffle); only an under-split input (e.g. one big row group) is spread.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
