@@ -189,19 +189,27 @@ def shard(items: DataFrame, world: int, rank: int | None = None, pad: bool = Tru
 def group_ids(items: DataFrame, fields: Sequence[str], out: str = "group_id") -> DataFrame:
     """Mixed-radix group code over the sorted distinct values of each field.
 
-    ``code = sum(rank_f * prod(card_g for g after f))``. Each field's distinct
-    values form a small dimension joined back to the rows.
+    ``code = sum(rank_f * prod(card_g for g after f))``. One pass counts the
+    field combinations present (a small table, partial-aggregated); the ranks
+    and codes are computed on that table and joined back to the rows.
     """
     fields = list(fields)
-    out_df, code = items, F.lit(0).cast("bigint")
-    for f in fields:
-        d = items.select(f).distinct()
-        # numbering one field's distinct values: the window runs on that small table
-        d = d.withColumn(f"_rank_{f}", (F.row_number().over(Window.orderBy(f)) - 1).cast("bigint"))
-        card = d.count()
-        out_df = join_dimension(out_df, d, f, card)
-        code = code * F.lit(card) + F.col(f"_rank_{f}")
-    return out_df.withColumn(out, code).drop(*[f"_rank_{f}" for f in fields])
+    combos = items.groupBy(*fields).agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        code = F.lit(0).cast("bigint")
+        coded = combos.select(*fields)
+        for f in fields:
+            d = combos.select(f).distinct()
+            # numbering one field's distinct values: the window runs on that small table
+            d = d.withColumn(f"_rank_{f}", (F.row_number().over(Window.orderBy(f)) - 1).cast("bigint"))
+            card = d.count()
+            coded = coded.join(F.broadcast(d) if card <= MAX_BROADCAST_ROWS else d, f)
+            code = code * F.lit(card) + F.col(f"_rank_{f}")
+        coded = coded.select(*fields, code.alias(out)).persist()
+        n_combos = coded.count()
+    finally:
+        combos.unpersist()
+    return join_dimension(items, coded, fields, n_combos)
 
 
 def domain_filter(items: DataFrame, group_id: int | None, split: str = "train",

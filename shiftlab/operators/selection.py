@@ -59,18 +59,22 @@ def best_lr(results: DataFrame, keys=("arch", "perc_ord"), lr: str = "lr_ord",
 
     Strict ``>`` from 0: ties keep the first lr in config order, and OOD <= 0
     or NaN gives no row. The zero-shot fraction takes its row as it is.
-    One aggregation of ``max(struct(ood, -lr_ord, ...))``; no sort.
+    One aggregation of ``max(struct(eligible, ood, -lr_ord, ...))`` over all
+    rows (zero-shot rows are always eligible); no sort, one pass.
     """
     keys = list(keys)
     others = [c for c in results.columns if c not in keys + [lr, ood]]
-    trained = results.filter(F.col(perc) != zero_perc_value).withColumn("_o", _clean(ood))
-    trained = trained.filter(F.col("_o") > 0)
-    pick = trained.groupBy(*keys).agg(F.max(F.struct(
-        F.col("_o"), (-F.col(lr)).alias("_nlr"), *[F.col(c) for c in others])).alias("b"))
-    best = pick.select(*keys, (-F.col("b._nlr")).cast("int").alias(lr), F.col("b._o").alias(ood),
-                       *[F.col(f"b.{c}").alias(c) for c in others])
-    zero = results.filter(F.col(perc) == zero_perc_value).select(*keys, lr, ood, *others)
-    return best.unionByName(zero)
+    o = _clean(ood)
+    zero = F.col(perc) == zero_perc_value
+    eligible = zero | (o > 0)
+    pick = results.groupBy(*keys).agg(F.max(F.struct(
+        F.coalesce(eligible, F.lit(False)).alias("_ok"),
+        F.coalesce(o, F.lit(float("-inf"))).alias("_o"),
+        (-F.col(lr)).alias("_nlr"), F.col(ood).alias("_ood"),
+        *[F.col(c) for c in others])).alias("b"))
+    return (pick.filter(F.col("b._ok"))
+                .select(*keys, (-F.col("b._nlr")).cast("int").alias(lr), F.col("b._ood").alias(ood),
+                        *[F.col(f"b.{c}").alias(c) for c in others]))
 
 
 def curve_series(best: DataFrame, error_bars: bool = True, arch: str = "arch", perc: str = "perc") -> DataFrame:
