@@ -86,5 +86,6 @@ def read_reports(spark: SparkSession, path: str, splits: Sequence[str] = SPLITS)
         F.struct(pairs[3 * j].alias("split"), pairs[3 * j + 1].alias("mean"), pairs[3 * j + 2].alias("std"))
         for j in range(len(splits))])).alias("s"))
     out = stacked.select("file", "metric", "s.split", "s.mean", "s.std")
+    # experiment name from the name=<experiment> folder written by write_reports (NULL otherwise)
     name = F.regexp_extract("file", r"/name=([^/]+)/", 1)
-    return out.withColumn("name", F.when(name != "", F.expr("url_decode(regexp_extract(file, '/name=([^/]+)/', 1))")))
+    return out.withColumn("name", F.when(name != "", F.url_decode(name)))

@@ -98,3 +98,14 @@ def test_summary_json(spark):
     rec = spark.createDataFrame([("a", "d", 1, 0.25), ("a", "d", 0, 0.5)], "arch string, dataset string, run int, recall_at_k double")
     j = json.loads(S67.recall_json(rec).first().json)
     assert j == {"arch": "a", "dataset": "d", "recall_at_k": [0.5, 0.25]}
+
+
+def test_model_registry_lists_valid_names(spark):
+    import numpy as np
+    from shiftlab.operators import inference
+    inference.register_model("linear_stub", inference.linear_model_factory(np.eye(2)))
+    with pytest.raises(ValueError, match="linear_stub"):
+        inference.get_model("resnet999")
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "item_id long, features array<float>")
+    out = inference.infer(df, inference.get_model("linear_stub"), width=2).first()
+    assert out.scores == [1.0, 2.0]
