@@ -49,7 +49,9 @@ def with_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = N
     ensure_checkpoint_dir(spark)
     order_cols = _cols(order)
     if n_buckets is None:
-        n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # as many ranges as the larger of the shuffle setting and the scan's splits,
+        # so a range stays about the size of an input split at any scale
+        n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     ranged = (df.repartitionByRange(n_buckets, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_b", F.spark_partition_id())

@@ -128,6 +128,18 @@ def contrastive_scores(items: DataFrame, classes: DataFrame, scale: float = 100.
     return items.withColumn(out, udf(F.col(features)))
 
 
+def scores_from_matrix(items: DataFrame, W: np.ndarray, b: np.ndarray | None = None,
+                       scale: float = 1.0, normalize: bool = False, features: str = "features",
+                       out: str = "scores") -> DataFrame:
+    """Score items with an already collected (size-checked) class matrix ``W`` (and bias ``b``).
+
+    With ``normalize`` both the items and the rows of ``W`` are L2-normalised.
+    """
+    W = _unit_rows(W) if normalize else W
+    bc = items.sparkSession.sparkContext.broadcast((W, b))
+    return items.withColumn(out, _score_kernel(bc, scale, normalize)(F.col(features)))
+
+
 def linear_scores(items: DataFrame, head: DataFrame, features: str = "features",
                   id_col: str = "class_id", w_col: str = "w", b_col: str = "b",
                   out: str = "scores", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:

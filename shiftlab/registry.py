@@ -254,8 +254,10 @@ def q_retrieval_labels(spark, d):
 
 def _test_probs(spark, d, split="test"):
     items, classes = _items_and_classes(spark, d)
-    ev = items.filter(F.col("split") == split)
-    return scoring.predict_table(ev, classes), _n_classes(items)
+    W, _ = scoring.collect_class_matrix(classes)
+    ev = items.filter(F.col("split") == split).select("item_id", "features", "y_true")
+    s = scoring.scores_from_matrix(ev, W, scale=100.0, normalize=True)
+    return s.select("item_id", "y_true", V.softmax("scores").alias("probs")), W.shape[0]
 
 
 @register("top_k_per_class")
