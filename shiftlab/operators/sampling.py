@@ -35,36 +35,67 @@ def _cols(order) -> list:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def with_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None) -> DataFrame:
-    """Dense 0-based row index in the order of ``order`` (which must be a total order).
+# Target bytes per range of the dense index (about one input split).
+RANGE_BYTES = 256 * 1024 * 1024
+
+
+def range_count(df: DataFrame) -> int:
+    """Number of ranges: the shuffle setting, or more when Catalyst's size estimate
+    says the rows would exceed ``RANGE_BYTES`` per range (planning only, no job)."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return n
+    return int(min(max(n, -(-size // RANGE_BYTES)), 100_000))
+
+
+def with_index_and_count(df: DataFrame, order, out: str = "idx",
+                         n_buckets: int | None = None) -> tuple[DataFrame, int]:
+    """D6 plus the row count (the sum of the range sizes, known without another pass).
 
     Plan: range-partition on the order columns (sampled bounds, so a hot
     leading key is split by the following ones), sort inside each range, tag
     every row with its range id and its position in the range (both JVM-side),
     and freeze that with a reliable checkpoint so the counts and the rows agree
-    even if tasks are re-run. Range sizes (one row per range) give the offsets,
-    which are broadcast back. No row ever leaves its range: one shuffle.
+    even if tasks are re-run. The range sizes (one row per range, at most
+    ``n_buckets``) are summed into offsets on the driver and broadcast back.
+    No row ever leaves its range: one shuffle of the rows.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order_cols = _cols(order)
     if n_buckets is None:
-        # as many ranges as the larger of the shuffle setting and the scan's splits,
-        # so a range stays about the size of an input split at any scale
-        n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+        n_buckets = range_count(df)
     ranged = (df.repartitionByRange(n_buckets, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_b", F.spark_partition_id())
                 # position inside the range: the low 33 bits of the monotonic id
                 .withColumn("_r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     frozen = ranged.checkpoint(eager=True)
-    sizes = frozen.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range (at most n_buckets rows): the window runs on the tiny table
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (frozen.join(F.broadcast(offsets), "_b")
-                  .withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint"))
-                  .drop("_b", "_r", "_off"))
+    sizes = sorted((r["_b"], r["_n"]) for r in
+                   frozen.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, total = [], 0
+    for b, n in sizes:
+        offsets.append((b, total))
+        total += n
+    if not offsets:
+        return frozen.drop("_b", "_r").withColumn(out, F.lit(None).cast("bigint")), 0
+    off = spark.createDataFrame(offsets, "_b int, _off long")
+    indexed = (frozen.join(F.broadcast(off), "_b")
+                     .withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint"))
+                     .drop("_b", "_r", "_off"))
+    return indexed, total
+
+
+def with_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None) -> DataFrame:
+    """Dense 0-based row index in the order of ``order`` (which must be a total order).
+
+    Never a single-partition window over the rows and never physical partition
+    ids read twice: see ``with_index_and_count``.
+    """
+    return with_index_and_count(df, order, out, n_buckets)[0]
 
 
 def batches(df: DataFrame, batch_size: int, order="item_id", out: str = "batch") -> DataFrame:
@@ -98,16 +129,16 @@ def subset_fraction(items: DataFrame, frac: float, seed: int = 0, key: str = "it
     """
     part = items.filter(F.col("split") == split) if split else items
     rest = items.filter(F.col("split") != split) if split else None
-    n = part.count()
-    k = subset_size(n, frac)
     h = hash_key(key, seed)
+    narrow = part.select(h.alias("_h"), F.col(key).alias("_k"))
+    idx, n = with_index_and_count(narrow, ["_h", "_k"])
+    k = subset_size(n, frac)
     if k == 0:
         kept = part.limit(0)
     elif k >= n:
         kept = part
     else:
-        narrow = part.select(h.alias("_h"), F.col(key).alias("_k"))
-        cut = with_index(narrow, ["_h", "_k"]).filter(F.col("idx") == k - 1).first()
+        cut = idx.filter(F.col("idx") == k - 1).first()
         kept = part.filter(F.struct(h.alias("_h"), F.col(key).alias("_k"))
                            <= F.struct(F.lit(cut["_h"]).alias("_h"), F.lit(cut["_k"]).alias("_k")))
     return kept.unionByName(rest) if rest is not None else kept
@@ -122,20 +153,25 @@ def group_weights(items: DataFrame, group: str = "domain") -> DataFrame:
     return join_dimension(items, counts, group)
 
 
+def _group_index(items: DataFrame, group: str, key: str) -> tuple[DataFrame, DataFrame, int]:
+    idx = with_index(items, [group, key], out="_gi")
+    starts = idx.groupBy(group).agg(F.min("_gi").alias("_start"), F.count(F.lit(1)).alias("group_n"))
+    # one row per group: numbering groups runs on the small per-group table
+    starts = starts.withColumn("gno", (F.row_number().over(Window.orderBy(group)) - 1).cast("int")).persist()
+    n_groups = starts.count()
+    gi = (join_dimension(idx, starts, group, n_groups)
+          .withColumn("gidx", F.col("_gi") - F.col("_start"))
+          .drop("_gi", "_start"))
+    return gi, starts, n_groups
+
+
 def group_index(items: DataFrame, group: str = "domain", key: str = "item_id") -> DataFrame:
     """Dense index of each row inside its group (``gidx``) and the group number (``gno``).
 
     Built on the global index over ``(group, key)``, so a group holding a third of
     the rows is still spread over many ranges.
     """
-    idx = with_index(items, [group, key], out="_gi")
-    starts = idx.groupBy(group).agg(F.min("_gi").alias("_start"), F.count(F.lit(1)).alias("group_n"))
-    w = Window.orderBy(group)
-    # one row per group: numbering groups runs on the small per-group table
-    starts = starts.withColumn("gno", (F.row_number().over(w) - 1).cast("int"))
-    return (join_dimension(idx, starts, group)
-               .withColumn("gidx", F.col("_gi") - F.col("_start"))
-               .drop("_gi", "_start"))
+    return _group_index(items, group, key)[0]
 
 
 def group_balanced_sample(items: DataFrame, n: int, seed: int = 0, group: str = "domain",
@@ -146,16 +182,14 @@ def group_balanced_sample(items: DataFrame, n: int, seed: int = 0, group: str =
     draws and rows meet in one equi-join on ``(group number, row number)``, so
     no driver loop and no per-group collection happens.
     """
-    gi = group_index(items, group, key)
-    groups = gi.select("gno", "group_n").distinct()
-    n_groups = groups.count()
+    gi, starts, n_groups = _group_index(items, group, key)
     if n_groups == 0 or n <= 0:
         return gi.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
     draws = items.sparkSession.range(n).withColumnRenamed("id", "draw")
     h1 = hash_key(F.concat(F.col("draw").cast("string"), F.lit(":g")), seed)
     h2 = hash_key(F.concat(F.col("draw").cast("string"), F.lit(":r")), seed)
     draws = draws.withColumn("gno", F.pmod(h1, F.lit(n_groups)).cast("int"))
-    draws = (join_dimension(draws, groups, "gno", n_groups)
+    draws = (join_dimension(draws, starts.select("gno", "group_n"), "gno", n_groups)
                   .withColumn("gidx", F.pmod(h2, F.col("group_n")))
                   .drop("group_n"))
     return draws.join(gi.drop("group_n"), ["gno", "gidx"]).drop("gno", "gidx")
@@ -173,8 +207,7 @@ def shard(items: DataFrame, world: int, rank: int | None = None, pad: bool = Tru
         raise ValueError("world must be positive")
     if rank is not None and not 0 <= rank < world:
         raise ValueError(f"Rank should be in [0, {world}), but got {rank}.")
-    idx = with_index(items, order, out="position")
-    n = idx.count()
+    idx, n = with_index_and_count(items, order, out="position")
     out = idx
     if pad:
         n_pad = min(-(-n // world) * world - n, n)
