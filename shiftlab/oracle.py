@@ -376,7 +376,7 @@ SELECT item_id, position, CAST(position % {world} AS INTEGER) AS shard FROM allp
 
 
 ORACLE["shard"] = _shard("", 4)
-ORACLE["shard_padded"] = _shard("WHERE split = 'id_test'", 4)
+ORACLE["shard_padded"] = _shard("WHERE split = 'train'", 4)
 
 ORACLE["batches"] = with_fx(["fx1"], """
 SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 32 AS batch FROM fx1""")
