@@ -179,6 +179,61 @@ def predict_table(items: DataFrame, classes: DataFrame | None = None, head: Data
     return scored.select("item_id", "y_true", softmax("scores").alias("probs"))
 
 
+# Output rows one cell of the blocked product may produce (items x classes of the cell).
+CELL_PAIRS = 4_000_000
+
+
+def _cell_kernel(item_col: str, id_col: str, features: str, vec_col: str, scale: float,
+                 normalize: bool):
+    import pandas as pd
+
+    def kernel(left: "pd.DataFrame", right: "pd.DataFrame") -> "pd.DataFrame":
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame({item_col: pd.Series([], dtype="int64"),
+                                 "class_id": pd.Series([], dtype="int32"),
+                                 "score": pd.Series([], dtype="float64")})
+        X = np.stack(left[features].to_numpy()).astype(np.float64)
+        W = np.stack(right[vec_col].to_numpy()).astype(np.float64)
+        if normalize:
+            X, W = _unit_rows(X), _unit_rows(W)
+        S = (X @ W.T) * scale
+        return pd.DataFrame({
+            item_col: np.repeat(left[item_col].to_numpy(dtype=np.int64), len(right)),
+            "class_id": np.tile(right[id_col].to_numpy(dtype=np.int32), len(left)),
+            "score": S.ravel()})
+    return kernel
+
+
+def score_pairs_blocked(items: DataFrame, classes: DataFrame, scale: float = 100.0,
+                        normalize: bool = True, features: str = "features", item_col: str = "item_id",
+                        id_col: str = "class_id", vec_col: str = "vec",
+                        max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """J1 for a class side too large to broadcast: a distributed blocked product.
+
+    Classes are cut into id blocks whose matrix fits ``max_bytes``; items are
+    spread over salts by a hash of their key so that one cell (block, salt)
+    yields at most ``CELL_PAIRS`` scores. Every item row is sent to each block,
+    every class row to each salt, and one ``cogroup`` per cell multiplies the
+    two small matrices in numpy. Nothing passes through the driver except the
+    two row counts that size the cells.
+    """
+    n_classes, d = _class_stats(classes, vec_col)
+    n_items = items.count()
+    per_block = max(1, min(max_bytes // max(1, 8 * d), n_classes))
+    n_blocks = -(-n_classes // per_block)
+    items_per_cell = max(1, CELL_PAIRS // per_block)
+    n_salts = max(1, -(-n_items // items_per_cell))
+    it = (items.select(F.col(item_col).cast("long").alias(item_col), features,
+                       F.pmod(F.xxhash64(F.col(item_col)), F.lit(n_salts)).cast("int").alias("_s"))
+               .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+    cl = (classes.select(F.col(id_col).cast("int").alias(id_col), F.col(vec_col),
+                         F.expr(f"{id_col} div {per_block}").cast("int").alias("_blk"))
+                 .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1)))))
+    schema = f"{item_col} long, class_id int, score double"
+    kernel = _cell_kernel(item_col, id_col, features, vec_col, scale, normalize)
+    return it.groupBy("_blk", "_s").cogroup(cl.groupBy("_blk", "_s")).applyInPandas(kernel, schema)
+
+
 def score_pairs(items: DataFrame, classes: DataFrame, scale: float = 100.0,
                 normalize: bool = True, features: str = "features", item_col: str = "item_id",
                 id_col: str = "class_id", vec_col: str = "vec",
@@ -186,26 +241,12 @@ def score_pairs(items: DataFrame, classes: DataFrame, scale: float = 100.0,
     """Long form ``(item_id, class_id, score)`` of the item x class product.
 
     Bounded class side: one broadcast matrix, scores exploded with their
-    position. Larger class side: classes are cut into id ranges whose matrix
-    fits the bound, and the long results of the ranges are unioned.
+    position. Beyond the bound: ``score_pairs_blocked``.
     """
     try:
         scored = contrastive_scores(items.select(item_col, features), classes, scale, normalize,
                                     features, id_col, vec_col, max_bytes=max_bytes)
-        return explode_vector(scored, item_col, "scores", "class_id", "score")
     except ClassMatrixTooLarge:
-        pass
-    n, d = _class_stats(classes, vec_col)
-    per_block = max(1, max_bytes // max(1, 8 * d))
-    parts = []
-    for lo in range(0, n, per_block):
-        block = (classes.filter((F.col(id_col) >= lo) & (F.col(id_col) < lo + per_block))
-                        .withColumn(id_col, F.col(id_col) - lo))
-        s = contrastive_scores(items.select(item_col, features), block, scale, normalize,
-                               features, id_col, vec_col, max_bytes=max_bytes)
-        parts.append(explode_vector(s, item_col, "scores", "pos", "score")
-                     .select(item_col, (F.col("pos") + lo).cast("int").alias("class_id"), "score"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return score_pairs_blocked(items, classes, scale, normalize, features, item_col,
+                                   id_col, vec_col, max_bytes)
+    return explode_vector(scored, item_col, "scores", "class_id", "score")

@@ -68,3 +68,13 @@ def test_predict_table_probabilities(spark):
     items, classes = _items_classes(spark)
     rows = scoring.predict_table(items, classes).collect()
     assert all(abs(sum(r.probs) - 1.0) < 1e-9 for r in rows)
+
+
+def test_blocked_product_with_many_cells(spark, monkeypatch):
+    items, classes = _items_classes(spark)
+    monkeypatch.setattr(scoring, "CELL_PAIRS", 60)       # many item salts per class block
+    blocked = scoring.score_pairs_blocked(items, classes, max_bytes=64 * 8 * 4)
+    direct = {(r.item_id, r.class_id): r.score for r in scoring.score_pairs(items, classes).collect()}
+    got = {(r.item_id, r.class_id): r.score for r in blocked.collect()}
+    assert got.keys() == direct.keys()
+    assert all(abs(got[k] - direct[k]) < 1e-9 for k in direct)
