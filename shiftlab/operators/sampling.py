@@ -35,22 +35,6 @@ def _cols(order) -> list:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-# Target bytes per range of the dense index (about one input split).
-RANGE_BYTES = 256 * 1024 * 1024
-
-
-def range_count(df: DataFrame) -> int:
-    """Number of ranges: the shuffle setting, or more when Catalyst's size estimate
-    says the rows would exceed ``RANGE_BYTES`` per range (planning only, no job)."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return n
-    return int(min(max(n, -(-size // RANGE_BYTES)), 100_000))
-
-
 def with_index_and_count(df: DataFrame, order, out: str = "idx",
                          n_buckets: int | None = None) -> tuple[DataFrame, int]:
     """D6 plus the row count (the sum of the range sizes, known without another pass).
@@ -66,9 +50,9 @@ def with_index_and_count(df: DataFrame, order, out: str = "idx",
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order_cols = _cols(order)
-    if n_buckets is None:
-        n_buckets = range_count(df)
-    ranged = (df.repartitionByRange(n_buckets, *order_cols)
+    # without an explicit count the shuffle setting applies and AQE merges small
+    # neighbouring ranges; merged ranges stay in key order, so ids stay monotone
+    ranged = (df.repartitionByRange(*([n_buckets] if n_buckets else []), *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_b", F.spark_partition_id())
                 # position inside the range: the low 33 bits of the monotonic id

@@ -1,39 +1,32 @@
 """Streaming top-N retrieval.
 
 Each micro-batch keeps its own best N (TakeOrderedAndProject), merges it with
-the previous state (N rows) and writes the new state under its batch id. A
-replayed batch overwrites its own folder with the same rows, so the sink is
-idempotent; the state never exceeds N rows.
+the previous state (N rows) and writes the new state as partition
+``batch_id=<id>`` of one state table. A replayed batch overwrites only its own
+partition with the same rows, so the sink is idempotent; each state holds N rows.
 """
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlab.session import scratch_path
 
 
-def _state_dirs(spark: SparkSession, state_path: str) -> list[tuple[int, str]]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append((int(name[6:]), st.getPath().toString()))
-    return sorted(out)
-
-
 def latest_state(spark: SparkSession, state_path: str, before: int | None = None):
-    dirs = [d for d in _state_dirs(spark, state_path) if before is None or d[0] < before]
-    return spark.read.parquet(dirs[-1][1]) if dirs else None
+    """The newest committed top-N (rows of the largest batch id below ``before``), or None."""
+    try:
+        st = spark.read.parquet(state_path)
+    except AnalysisException:          # nothing written yet
+        return None
+    if before is not None:
+        st = st.filter(F.col("batch_id") < before)
+    last = st.agg(F.max("batch_id")).first()[0]
+    if last is None:
+        return None
+    return st.filter(F.col("batch_id") == last).drop("batch_id")
 
 
 def merge_top_n(batch: DataFrame, prev: DataFrame | None, n: int, key: str, score: str) -> DataFrame:
@@ -53,9 +46,10 @@ def streaming_top_n(scored_stream: DataFrame, n: int, key: str = "item_id", scor
 
     def on_batch(df: DataFrame, batch_id: int) -> None:
         prev = latest_state(spark, state_path, before=batch_id)
-        merged = merge_top_n(df, prev, n, key, score)
-        merged.coalesce(1).write.mode("overwrite").parquet(
-            os.path.join(state_path, f"batch={batch_id:010d}"))
+        merged = merge_top_n(df, prev, n, key, score).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        # a replayed batch replaces only its own partition: idempotent
+        (merged.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+               .partitionBy("batch_id").parquet(state_path))
 
     w = scored_stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w

@@ -23,7 +23,7 @@ def test_streaming_top_n_equals_batch_over_many_batches(spark):
     got = streaming_top_n(scored, 7, state_path=state)
     want = retrieval.top_n(items, q, n=7)
     assert sorted(r.item_id for r in got.collect()) == sorted(r.item_id for r in want.collect())
-    assert len([d for d in os.listdir(state) if d.startswith("batch=")]) >= 4
+    assert len([d for d in os.listdir(state) if d.startswith("batch_id=")]) >= 4
 
 
 def test_streaming_confusion_equals_batch(spark):
