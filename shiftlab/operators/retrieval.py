@@ -46,6 +46,18 @@ def class_probabilities(probs: DataFrame, key: str = "item_id", probs_col: str =
     return explode_vector(probs, [key, "y_true"], probs_col, "class_id", "prob")
 
 
+def _allow_group_limit(spark, k: int) -> None:
+    """Keep the partial WindowGroupLimit for large ``k``.
+
+    Catalyst only inserts it for ``k <= spark.sql.optimizer.windowGroupLimitThreshold``
+    (1000 by default); above that a class column would be gathered whole into
+    one task, so the threshold is raised to ``k``.
+    """
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if k > int(spark.conf.get(key, "1000")):
+        spark.conf.set(key, str(k))
+
+
 def top_k_per_class(probs: DataFrame, k: int = 20, key: str = "item_id",
                     probs_col: str = "probs") -> DataFrame:
     """For every class the ``k`` items of highest probability (ties: smaller key).
@@ -54,6 +66,7 @@ def top_k_per_class(probs: DataFrame, k: int = 20, key: str = "item_id",
     WindowGroupLimit before the shuffle: each task sends at most ``k`` rows per
     class, so a class column is never gathered whole.
     """
+    _allow_group_limit(probs.sparkSession, k)
     long = class_probabilities(probs, key, probs_col)
     w = Window.partitionBy("class_id").orderBy(F.desc(F.round("prob", 12)), F.asc(key))
     return (long.withColumn("rank", F.row_number().over(w).cast("int"))
@@ -81,6 +94,7 @@ def recall_at_k(probs: DataFrame, k: int, n_classes: int, by: list[str] | None =
     if not by:
         per = recall_at_k_per_class(probs, k, n_classes, key, probs_col)
         return per.agg((F.sum("recall") / F.lit(float(n_classes))).alias("recall_at_k"))
+    _allow_group_limit(probs.sparkSession, k)
     long = explode_vector(probs, [*by, key, "y_true"], probs_col, "class_id", "prob")
     w = Window.partitionBy(*by, "class_id").orderBy(F.desc(F.round("prob", 12)), F.asc(key))
     top = long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -52,3 +52,9 @@ def test_attach_labels_keys_on_id(spark):
     classes = spark.createDataFrame([(0, "unknown bird"), (1, "unknown bird")], "class_id int, class_name string")
     got = {r.item_id: (r.y_true, r.class_name) for r in retrieval.attach_labels(hits, items, classes).collect()}
     assert got == {1: (0, "unknown bird"), 2: (1, "unknown bird")}
+
+
+def test_large_k_keeps_group_limit(spark):
+    p = _probs(spark, [(i, i % 2, [i / 10.0, 1 - i / 10.0]) for i in range(10)])
+    plan = retrieval.top_k_per_class(p, 5000)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
