@@ -35,21 +35,100 @@ def _cols(order) -> list:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def _offsets(spark, sizes) -> tuple[DataFrame | None, int]:
+    """Per-range sizes (one row per range) -> a small (range, offset) frame and the total."""
+    offsets, total = [], 0
+    for b, n in sorted(sizes):
+        offsets.append((int(b), total))
+        total += n
+    if not offsets:
+        return None, 0
+    return spark.createDataFrame(offsets, "_b int, _off long"), total
+
+
+def _numeric_lead(df: DataFrame, order) -> str | None:
+    lead = order[0] if isinstance(order, (list, tuple)) else order
+    if not isinstance(lead, str) or lead not in df.columns:
+        return None
+    kind = df.schema[lead].dataType.typeName()
+    return lead if kind in ("byte", "short", "integer", "long", "float", "double") else None
+
+
+def _index_by_quantiles(df: DataFrame, order_cols, lead: str, n_buckets: int, out: str):
+    """Dense index without writing the rows: quantile ranges of the leading key.
+
+    ``approxQuantile`` on the key column gives range splits; a Bucketizer (binary
+    search on the JVM, deterministic, so any re-run agrees) puts every row in its
+    range; one narrow pass counts the ranges; ``row_number`` over each range,
+    plus the range offset, gives the index. Returns None when a hot key value
+    shows up as repeated quantiles: the caller then uses range partitioning on
+    the whole order tuple, which splits such a value by the tie-break columns.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    qs = df.approxQuantile(lead, probs, 1.0 / (4 * n_buckets)) if probs else []
+    if len(set(qs)) != len(qs):
+        return None
+    splits = [float("-inf")] + [float(q) for q in qs] + [float("inf")]
+    spark = df.sparkSession
+    keyed = df.withColumn("_lead", F.col(lead).cast("double"))
+    bucketed = Bucketizer(splits=splits, inputCol="_lead", outputCol="_bk",
+                          handleInvalid="keep").transform(keyed)
+    # NULL keys sort first (ascending), NaN last (the "invalid" bucket after all ranges)
+    bucketed = bucketed.withColumn("_b", F.when(F.col(lead).isNull(), F.lit(-1))
+                                   .otherwise(F.col("_bk").cast("int"))).drop("_lead", "_bk")
+    sizes = [(r["_b"], r["_n"]) for r in
+             bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect()]
+    off, total = _offsets(spark, sizes)
+    if off is None:
+        return df.withColumn(out, F.lit(None).cast("bigint")), 0
+    w = Window.partitionBy("_b").orderBy(*order_cols)
+    indexed = (bucketed.join(F.broadcast(off), "_b")
+                       .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
+                       .drop("_b", "_off"))
+    return indexed, total
+
+
+def _wide_payload(df: DataFrame, order) -> bool:
+    """True when the rows carry arrays, strings or nested values besides the order key."""
+    keys = {c for c in (order if isinstance(order, (list, tuple)) else [order]) if isinstance(c, str)}
+    cheap = ("byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp",
+             "timestamp_ntz", "decimal")
+    return any(f.name not in keys and f.dataType.typeName() not in cheap for f in df.schema.fields)
+
+
 def with_index_and_count(df: DataFrame, order, out: str = "idx",
-                         n_buckets: int | None = None) -> tuple[DataFrame, int]:
+                         n_buckets: int | None = None,
+                         method: str = "auto") -> tuple[DataFrame, int]:
     """D6 plus the row count (the sum of the range sizes, known without another pass).
 
-    Plan: range-partition on the order columns (sampled bounds, so a hot
-    leading key is split by the following ones), sort inside each range, tag
-    every row with its range id and its position in the range (both JVM-side),
-    and freeze that with a reliable checkpoint so the counts and the rows agree
-    even if tasks are re-run. The range sizes (one row per range, at most
-    ``n_buckets``) are summed into offsets on the driver and broadcast back.
-    No row ever leaves its range: one shuffle of the rows.
+    Two plans, both without a single-partition window and without reading
+    physical partition ids twice:
+
+    - ``quantile`` (auto: wide rows with a numeric leading key without a hot
+      value): quantile ranges, see ``_index_by_quantiles``: two narrow passes
+      and one shuffle, the wide rows are never written;
+    - ``checkpoint`` (auto: narrow rows, or a hot leading value): range-partition on the whole order tuple (sampled bounds, so
+      a hot leading key is split by the following columns), sort inside each
+      range, tag every row with its range id and position (JVM-side), and freeze
+      that with a reliable checkpoint so counts and rows agree if tasks re-run.
+
+    The range sizes (one row per range) become offsets on the driver and are
+    broadcast back.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order_cols = _cols(order)
+    if method not in ("auto", "quantile", "checkpoint"):
+        raise ValueError("method must be auto, quantile or checkpoint")
+    lead = _numeric_lead(df, order)
+    use_q = method == "quantile" or (method == "auto" and _wide_payload(df, order))
+    if lead is not None and use_q:
+        nb = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        res = _index_by_quantiles(df, order_cols, lead, nb, out)
+        if res is not None:
+            return res
     # without an explicit count the shuffle setting applies and AQE merges small
     # neighbouring ranges; merged ranges stay in key order, so ids stay monotone
     ranged = (df.repartitionByRange(*([n_buckets] if n_buckets else []), *order_cols)
@@ -58,28 +137,25 @@ def with_index_and_count(df: DataFrame, order, out: str = "idx",
                 # position inside the range: the low 33 bits of the monotonic id
                 .withColumn("_r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     frozen = ranged.checkpoint(eager=True)
-    sizes = sorted((r["_b"], r["_n"]) for r in
-                   frozen.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect())
-    offsets, total = [], 0
-    for b, n in sizes:
-        offsets.append((b, total))
-        total += n
-    if not offsets:
+    sizes = [(r["_b"], r["_n"]) for r in
+             frozen.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect()]
+    off, total = _offsets(spark, sizes)
+    if off is None:
         return frozen.drop("_b", "_r").withColumn(out, F.lit(None).cast("bigint")), 0
-    off = spark.createDataFrame(offsets, "_b int, _off long")
     indexed = (frozen.join(F.broadcast(off), "_b")
                      .withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint"))
                      .drop("_b", "_r", "_off"))
     return indexed, total
 
 
-def with_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None) -> DataFrame:
+def with_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None,
+               method: str = "auto") -> DataFrame:
     """Dense 0-based row index in the order of ``order`` (which must be a total order).
 
     Never a single-partition window over the rows and never physical partition
     ids read twice: see ``with_index_and_count``.
     """
-    return with_index_and_count(df, order, out, n_buckets)[0]
+    return with_index_and_count(df, order, out, n_buckets, method)[0]
 
 
 def batches(df: DataFrame, batch_size: int, order="item_id", out: str = "batch") -> DataFrame:
