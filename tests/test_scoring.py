@@ -78,3 +78,11 @@ def test_blocked_product_with_many_cells(spark, monkeypatch):
     got = {(r.item_id, r.class_id): r.score for r in blocked.collect()}
     assert got.keys() == direct.keys()
     assert all(abs(got[k] - direct[k]) < 1e-9 for k in direct)
+
+
+def test_zero_vector_scores_are_nan(spark):
+    items = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "item_id long, features array<float>")
+    classes = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "class_id int, vec array<double>")
+    out = {r.item_id: r.scores for r in scoring.contrastive_scores(items, classes).collect()}
+    assert all(np.isnan(x) for x in out[1])           # 0/0, as the normalised product gives
+    assert out[2] == [100.0, 0.0]

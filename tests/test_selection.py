@@ -48,3 +48,9 @@ def test_curve_series_labels_and_errors(spark):
     assert rows["ID Test"].label == "CLIP ViT-B/32 Linear Probe" and rows["OOD Test"].err == 0.02
     no_err = selection.curve_series(b, error_bars=False).collect()
     assert all(r.err is None for r in no_err)
+
+
+def test_best_lr_zero_shot_only(spark):
+    r = _res(spark, [("a", 0, 0, 0.3, -0.2, 0.0, 0.0)])
+    rows = selection.best_lr(r).collect()
+    assert [(x.arch, x.perc_ord, x.lr_ord, x.ood_mean) for x in rows] == [("a", 0, 0, -0.2)]
