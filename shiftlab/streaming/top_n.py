@@ -16,7 +16,19 @@ from shiftlab.session import scratch_path
 
 
 def latest_state(spark: SparkSession, state_path: str, before: int | None = None):
-    """The newest committed top-N (rows of the largest batch id below ``before``), or None."""
+    """The newest committed top-N (rows of the largest batch id below ``before``), or None.
+
+    Batch ids are consecutive, so the previous batch's partition is read
+    directly (one small folder, whatever the number of past batches); only when
+    it is missing is the state table scanned for its largest batch id.
+    """
+    if before is not None and before > 0:
+        try:
+            prev = spark.read.parquet(f"{state_path}/batch_id={before - 1}")
+            prev.schema  # noqa: B018 - resolves the path
+            return prev
+        except AnalysisException:
+            pass
     try:
         st = spark.read.parquet(state_path)
     except AnalysisException:          # nothing written yet
