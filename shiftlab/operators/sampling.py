@@ -1,6 +1,6 @@
 """Indexing, subsetting, balanced sampling and sharding.
 
-Nothing here uses ``rand()`` or a single-partition window: every choice is a
+Nothing here uses ``rand()`` or a single-partition window over the rows: every choice is a
 pure function of the row key and a seed, so results do not depend on how the
 data is partitioned, and a re-run after a lost executor gives the same rows.
 """
