@@ -109,3 +109,19 @@ def test_model_registry_lists_valid_names(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0])], "item_id long, features array<float>")
     out = inference.infer(df, inference.get_model("linear_stub"), width=2).first()
     assert out.scores == [1.0, 2.0]
+
+
+def test_single_report_file(spark):
+    summ = spark.createDataFrame([("train", "acc_avg", 0.9, 0.1), ("test", "F1-macro_all", 0.5, 0.05)],
+                                 "split string, metric string, mean double, std double")
+    path = os.path.join(_tmp(), "one")
+    S45.write_report(summ, path)
+    files = [os.path.join(path, f) for f in os.listdir(path) if f.endswith(".csv")]
+    assert len(files) == 1
+    lines = open(files[0]).read().splitlines()
+    assert lines[0] == ",Train,Train,ID Val,ID Val,ID Test,ID Test,OOD Val,OOD Val,OOD Test,OOD Test"
+    assert lines[1] == ",mean,std,mean,std,mean,std,mean,std,mean,std"
+    assert [l.split(",")[0] for l in lines[2:]] == ["F1-macro_all", "acc_avg"]
+    back = {(r.metric, r.split): (r.mean, r.std) for r in S45.read_reports(spark, path).collect()}
+    assert back[("acc_avg", "train")] == (0.9, 0.1) and back[("F1-macro_all", "test")] == (0.5, 0.05)
+    assert back[("acc_avg", "val")] == (None, None)
