@@ -51,6 +51,20 @@ def run_names(grid_rows: DataFrame, dataset: str) -> DataFrame:
     return grid_rows.withColumn("name", name)
 
 
+def arch_filename(arch) -> F.Column:
+    """Architecture name as used in artifact file names (``resnet50`` -> ``RN50``, ``vitb32`` -> ``ViTB32``)."""
+    c = F.col(arch) if isinstance(arch, str) else arch
+    return F.replace(F.replace(c, F.lit("resnet50"), F.lit("RN50")), F.lit("vitb32"), F.lit("ViTB32"))
+
+
+def run_paths(grid_rows: DataFrame, dataset: str, model_dir: str, log_dir: str) -> DataFrame:
+    """Model and log folders of each trained grid cell: ``<dir>/<dataset>/perc_train_<p>/lr_<lr>``."""
+    sub = F.format_string("/%s/perc_train_%s/lr_%s", F.lit(dataset), F.col("perc_label"), F.col("lr_label"))
+    return (grid_rows.withColumn("model_path", F.concat(F.lit(model_dir), sub))
+                     .withColumn("log_path", F.concat(F.lit(log_dir), sub))
+                     .withColumn("arch_file", arch_filename("arch")))
+
+
 def missing_artifacts(expected: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected artifacts with no present counterpart (left anti join)."""
     return expected.join(present.select(*keys).distinct(), list(keys), "left_anti")

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from shiftlab.sources.schemas import GRID
 
 
+# The default limited-data grid (architectures, training fractions, learning rates).
+DEFAULT_ARCHS = ["vitb32_pretrained_finetune", "vitb32_pretrained_linearprob",
+                 "vitb32_clip_finetune", "vitb32_clip_linearprob"]
+DEFAULT_PERCS = [0, 0.03, 0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 1]
+DEFAULT_LRS = [1e-2, 1e-3, 1e-4, 1e-5]
+
+
+def grid_from_lists(spark: SparkSession, archs=DEFAULT_ARCHS, percs=DEFAULT_PERCS,
+                    lrs=DEFAULT_LRS) -> DataFrame:
+    """A one-row grid from Python lists; numbers keep their Python text (``1e-05``)."""
+    return spark.createDataFrame([(list(archs), [str(p) for p in percs], [str(x) for x in lrs])],
+                                 "archs array<string>, percs array<string>, lrs array<string>")
+
+
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
     """One row ``archs, percs, lrs``; numbers are kept as their JSON text, order is kept."""
     return (spark.read.schema(GRID).option("multiLine", True)

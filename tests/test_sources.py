@@ -125,3 +125,12 @@ def test_single_report_file(spark):
     back = {(r.metric, r.split): (r.mean, r.std) for r in S45.read_reports(spark, path).collect()}
     assert back[("acc_avg", "train")] == (0.9, 0.1) and back[("F1-macro_all", "test")] == (0.5, 0.05)
     assert back[("acc_avg", "val")] == (None, None)
+
+
+def test_default_grid_sizes_and_paths(spark):
+    g = S3.grid_from_lists(spark)
+    train = experiments.expand_grid(g, "train")
+    assert train.count() == 128 and experiments.expand_grid(g, "test").count() == 132
+    p = experiments.run_paths(train, "fmow", "/m", "/l").filter(
+        (F.col("arch") == "vitb32_clip_finetune") & (F.col("perc_label") == "0.03") & (F.col("lr_label") == "1e-05")).first()
+    assert p.model_path == "/m/fmow/perc_train_0.03/lr_1e-05" and p.arch_file == "ViTB32_clip_finetune"
