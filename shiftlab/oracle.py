@@ -503,13 +503,13 @@ FROM run_recall_test20""")
 
 ORACLE["recall_json"] = with_fx(_RUN_FX + ["run_recall_test20"], """
 SELECT 'centroid' AS arch, 'embeddings' AS dataset,
-       to_json({'arch': 'centroid', 'dataset': 'embeddings',
-                'recall_at_k': list(CAST(recall_at_k AS DECIMAL(18, 6)) ORDER BY run)}) AS json
+       CAST(to_json({'arch': 'centroid', 'dataset': 'embeddings',
+                     'recall_at_k': list(CAST(recall_at_k AS DECIMAL(18, 6)) ORDER BY run)}) AS VARCHAR) AS json
 FROM run_recall_test20""")
 
 ORACLE["best_results_json"] = with_fx(["fx5", "fx5_summary", "fx5_best"], """
-SELECT arch, to_json(map(list(CAST(perc_ord / 100.0 AS VARCHAR) ORDER BY perc_ord),
+SELECT arch, CAST(to_json(map(list(CAST(perc_ord / 100.0 AS VARCHAR) ORDER BY perc_ord),
                          list([CAST(id_mean AS DECIMAL(18, 6)), CAST(ood_mean AS DECIMAL(18, 6)),
                                CAST(id_std AS DECIMAL(18, 6)), CAST(ood_std AS DECIMAL(18, 6))]
-                              ORDER BY perc_ord))) AS json
+                              ORDER BY perc_ord))) AS VARCHAR) AS json
 FROM fx5_best GROUP BY arch""")
