@@ -12,6 +12,7 @@ from conftest import SF_SMALL
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 SLOW = {"learning_curve"}
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def _norm(v):
@@ -53,4 +54,7 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(sql)
     cols = [c[0] for c in res.description]
     assert sorted(df.columns) == sorted(cols)
+    spark_types = dict(df.dtypes)
+    for c in res.description:                                # same column types as the oracle
+        assert TYPES.get(spark_types[c[0]], spark_types[c[0]].upper()) == str(c[1]).upper(), c
     assert _rows(df.columns, [tuple(r) for r in got]) == _rows(cols, res.fetchall())
