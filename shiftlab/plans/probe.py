@@ -43,6 +43,16 @@ def fit_linear_probe(train: DataFrame, n_classes: int | None = None, max_iter: i
     return train.sparkSession.createDataFrame(rows, "class_id int, w array<double>, b double")
 
 
+def untrained_head(spark, n_classes: int, width: int) -> DataFrame:
+    """A head before any training, as the zero-shot point of a linear-probe architecture.
+
+    The reference's untrained head is randomly initialised; here it is all
+    zeros (deterministic): every item gets equal scores, so the first class wins.
+    """
+    rows = [(c, [0.0] * width, 0.0) for c in range(n_classes)]
+    return spark.createDataFrame(rows, "class_id int, w array<double>, b double")
+
+
 def probe_predictions(items: DataFrame, head: DataFrame) -> DataFrame:
     """P3 + P5 on every item: ``(split, item_id, y_true, y_pred, domain)``."""
     s = linear_scores(items.select("split", "item_id", "features", "y_true", "domain"), head)
@@ -68,14 +78,16 @@ def probe_report(items: DataFrame, n_classes: int | None = None, max_iter: int =
 
 def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[float],
                    runs: int = 2, max_iter: int = 20, arch: str = "linear_probe",
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 4, zero_shot_head: DataFrame | None = None) -> DataFrame:
     """M3: for each (fraction, reg) and run: subset -> fit -> ID/OOD test accuracy;
     mean/std over runs; best reg per fraction by OOD test; tidy curve rows.
 
     The driver only walks the grid: each subset is drawn once per (fraction,
     run) and shared by all regularisation values, and up to ``parallelism``
     grid cells fit at the same time as independent Spark jobs (as Spark ML's
-    tuning does). Features are cached once for all cells.
+    tuning does). Features are cached once for all cells. With
+    ``zero_shot_head`` the fraction-0 point is that head evaluated without
+    training (one run), taken as it is by the selection.
     """
     feats = items.select("split", "item_id", "features", "y_true", "domain").persist()
     evals = feats.filter(F.col("split").isin("id_test", "test"))
@@ -103,6 +115,12 @@ def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             results = list(pool.map(fit_cell, cells))
+        if zero_shot_head is not None:
+            zs = accuracy(probe_predictions(evals, zero_shot_head), ["split"])
+            zs = zs.select(F.lit(0).alias("perc_ord"), F.lit(0.0).alias("perc"), F.lit(0).alias("lr_ord"),
+                           F.lit(0).alias("run"), "split", "acc_avg").persist()
+            zs.count()
+            results.append(zs)
         rows = results[0]
         for r in results[1:]:
             rows = rows.unionByName(r)
@@ -112,7 +130,7 @@ def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[
         res = wide.select(F.lit(arch).alias("arch"), "perc_ord", "perc", "lr_ord",
                           F.col("id_test_mean").alias("id_mean"), F.col("test_mean").alias("ood_mean"),
                           F.col("id_test_std").alias("id_std"), F.col("test_std").alias("ood_std"))
-        best = best_lr(res, zero_perc_value=-1)
+        best = best_lr(res, zero_perc_value=0)
         curve = curve_series(best).persist()
         curve.count()
         return curve

@@ -499,8 +499,9 @@ def q_linear_probe(spark, d):
 
 @register("learning_curve")
 def q_learning_curve(spark, d):
-    items = fx.document_items(spark, d)
-    return probe.learning_curve(items, [0.1, 1.0], [1e-3, 1e-1], runs=2)
+    items = fx.document_items(spark, d, num_features=256)
+    zero = probe.untrained_head(spark, len(fx.DOC_LANGS), 256)
+    return probe.learning_curve(items, [0.1, 1.0], [1e-3, 1e-1], runs=2, zero_shot_head=zero)
 
 
 # --- R: streaming ------------------------------------------------------------
