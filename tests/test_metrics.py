@@ -98,3 +98,13 @@ def test_dataset_summary(spark):
     got = {r.split: r for r in metrics.dataset_summary(items, batch_size=2).collect()}
     assert got["train"].n_rows == 5 and got["train"].n_batches == 3 and got["train"].n_classes == 2
     assert got["train"].n_groups == 3 and got["test"].n_total == 6
+
+
+def test_report_reads_predictions_once(spark):
+    from shiftlab.plans import report
+    from shiftlab.sources import fixtures as fx
+    from conftest import SF_SMALL
+    df = report.evaluation_report(fx.order_predictions(spark, SF_SMALL))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("orders.parquet") == 1            # one linear pipeline, no self-joins
