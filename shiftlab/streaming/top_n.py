@@ -1,9 +1,11 @@
 """Streaming top-N retrieval.
 
-Each micro-batch keeps its own best N (TakeOrderedAndProject), merges it with
-the previous state (N rows) and writes the new state as partition
-``batch_id=<id>`` of one state table. A replayed batch overwrites only its own
-partition with the same rows, so the sink is idempotent; each state holds N rows.
+Each micro-batch keeps its own best N (TakeOrderedAndProject) and merges it
+with the previous state (N rows). States alternate between two slots: batch
+``b`` reads slot ``(b - 1) % 2`` and overwrites slot ``b % 2``. A replayed batch
+reads the same untouched previous state and rewrites its own slot with the same
+rows, so the sink is idempotent, and storage stays at two states of N rows
+however long the stream runs.
 """
 
 from __future__ import annotations
@@ -15,30 +17,30 @@ from pyspark.sql import functions as F
 from shiftlab.session import scratch_path
 
 
-def latest_state(spark: SparkSession, state_path: str, before: int | None = None):
-    """The newest committed top-N (rows of the largest batch id below ``before``), or None.
-
-    Batch ids are consecutive, so the previous batch's partition is read
-    directly (one small folder, whatever the number of past batches); only when
-    it is missing is the state table scanned for its largest batch id.
-    """
-    if before is not None and before > 0:
-        try:
-            prev = spark.read.parquet(f"{state_path}/batch_id={before - 1}")
-            prev.schema  # noqa: B018 - resolves the path
-            return prev
-        except AnalysisException:
-            pass
+def _slot(state_path: str, batch_id: int) -> str:
+    return f"{state_path}/slot={batch_id % 2}"
+
+
+def _read_slot(spark: SparkSession, path: str):
     try:
-        st = spark.read.parquet(state_path)
-    except AnalysisException:          # nothing written yet
-        return None
-    if before is not None:
-        st = st.filter(F.col("batch_id") < before)
-    last = st.agg(F.max("batch_id")).first()[0]
-    if last is None:
+        df = spark.read.parquet(path)
+        df.schema  # noqa: B018 - resolves the path
+        return df
+    except AnalysisException:          # slot not written yet
         return None
-    return st.filter(F.col("batch_id") == last).drop("batch_id")
+
+
+def latest_state(spark: SparkSession, state_path: str, before: int | None = None):
+    """The newest committed top-N with a batch id below ``before`` (or overall), or None."""
+    best, best_id = None, -1
+    for slot in (0, 1):
+        df = _read_slot(spark, f"{state_path}/slot={slot}")
+        if df is None:
+            continue
+        bid = df.agg(F.max("batch_id")).first()[0]
+        if bid is not None and (before is None or bid < before) and bid > best_id:
+            best, best_id = df, bid
+    return None if best is None else best.drop("batch_id")
 
 
 def merge_top_n(batch: DataFrame, prev: DataFrame | None, n: int, key: str, score: str) -> DataFrame:
@@ -59,9 +61,7 @@ def streaming_top_n(scored_stream: DataFrame, n: int, key: str = "item_id", scor
     def on_batch(df: DataFrame, batch_id: int) -> None:
         prev = latest_state(spark, state_path, before=batch_id)
         merged = merge_top_n(df, prev, n, key, score).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        # a replayed batch replaces only its own partition: idempotent
-        (merged.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("batch_id").parquet(state_path))
+        merged.coalesce(1).write.mode("overwrite").parquet(_slot(state_path, batch_id))
 
     w = scored_stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
