@@ -26,8 +26,11 @@ def join_dimension(rows: DataFrame, dim: DataFrame, on, n_dim: int | None = None
     size is within ``MAX_BROADCAST_ROWS``; beyond that a shuffle join is used
     and AQE's skew-join splitting takes over.
     """
-    n = dim.count() if n_dim is None else n_dim
-    return rows.join(F.broadcast(dim) if n <= MAX_BROADCAST_ROWS else dim, on)
+    if n_dim is None:
+        # the dimension is small and built from the rows: keep it for the count and the join
+        dim = dim.persist()
+        n_dim = dim.count()
+    return rows.join(F.broadcast(dim) if n_dim <= MAX_BROADCAST_ROWS else dim, on)
 
 
 def _cols(order) -> list:
