@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlab import SPLIT_LABELS, SPLITS
-from shiftlab.operators.summaries import wide_report
 from shiftlab.sources.schemas import REPORT_CSV
 
 

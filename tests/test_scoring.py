@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from shiftlab.operators import scoring, summaries
 from shiftlab.sources import fixtures as fx

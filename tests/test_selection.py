@@ -1,4 +1,3 @@
-import math
 
 from shiftlab.operators import selection
 
