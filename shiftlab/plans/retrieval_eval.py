@@ -22,11 +22,14 @@ def run_probabilities(items: DataFrame, run_classes: DataFrame, n_runs: int, n_c
     stacked = run_classes.select(
         (F.col("run") * n_classes + F.col("class_id")).cast("int").alias("class_id"), "vec")
     scored = contrastive_scores(items.select("item_id", "features", "y_true"), stacked, scale=scale)
-    per_run = scored.select("item_id", "y_true", "scores",
-                            F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run"))
-    return per_run.select(
-        F.col("run").cast("int").alias("run"), "item_id", "y_true",
-        softmax(F.slice("scores", F.col("run") * n_classes + 1, F.lit(n_classes))).alias("probs"))
+    # slice each run's scores before exploding, so an output row carries C values, not runs x C;
+    # the outer generator keeps Catalyst from re-evaluating the Python scores for a size filter
+    runs = F.transform(F.sequence(F.lit(0), F.lit(n_runs - 1)), lambda r: F.struct(
+        r.alias("run"), F.slice("scores", r * n_classes + 1, F.lit(n_classes)).alias("s")))
+    per_run = (scored.select("item_id", "y_true", F.explode_outer(runs).alias("x"))
+                     .filter(F.col("x").isNotNull()))
+    return per_run.select(F.col("x.run").cast("int").alias("run"), "item_id", "y_true",
+                          softmax(F.col("x.s")).alias("probs"))
 
 
 def retrieval_recalls(items: DataFrame, run_classes: DataFrame, n_runs: int, n_classes: int,
