@@ -2,7 +2,8 @@
 
 Every query reads the driver tables through the fixtures, so its work grows
 with them. Names match ``shiftlab.oracle.ORACLE`` where an oracle exists.
-Real-valued outputs are rounded to 6 decimals (the oracle rounds the same way).
+Real-valued outputs whose summation order differs by engine are rounded to 6
+decimals (the oracle rounds the same way); exact ones are returned as they are.
 """
 
 from __future__ import annotations
