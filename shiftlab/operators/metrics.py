@@ -93,16 +93,22 @@ def macro_f1(preds: DataFrame, by: Sequence[str] = BY, counts: DataFrame | None
     return per_class_prf(preds, by, counts).groupBy(*by).agg(F.avg("f1").alias("f1_macro"))
 
 
-def slice_metrics(preds: DataFrame, by: Sequence[str] = BY, group: str = "domain") -> DataFrame:
+def slice_metrics(preds: DataFrame | None, by: Sequence[str] = BY, group: str = "domain",
+                  counts: DataFrame | None = None) -> DataFrame:
     """acc_avg, acc_wg and F1-macro_all per slice in one linear pipeline.
 
     One shuffle of the predictions (partial-aggregated counts per slice, group
     and label pair), then each count row is exploded into its group role and
     its two class roles, summed per (slice, role, key), and reduced per slice.
     The big input is read once; later shuffles carry count rows only.
+    ``counts`` (``by..., group, y_true, y_pred, n``, e.g. a streaming sink) may
+    replace the predictions.
     """
     by = _by(by)
-    cm = preds.groupBy(*by, group, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    if counts is not None:
+        cm = counts.groupBy(*by, group, "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    else:
+        cm = preds.groupBy(*by, group, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n").cast("bigint")
     hit = F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(F.lit(0).cast("bigint"))
     zero = F.lit(0).cast("bigint")
@@ -127,10 +133,11 @@ def slice_metrics(preds: DataFrame, by: Sequence[str] = BY, group: str = "domain
         F.sum(F.when(is_g, F.col("n"))).alias("n"))
 
 
-def run_metrics(preds: DataFrame, by: Sequence[str] = BY, group: str = "domain") -> DataFrame:
+def run_metrics(preds: DataFrame | None, by: Sequence[str] = BY, group: str = "domain",
+                counts: DataFrame | None = None) -> DataFrame:
     """Long metric table ``(by..., metric, value)``: acc_avg, acc_wg, F1-macro_all."""
     by = _by(by)
-    wide = slice_metrics(preds, by, group)
+    wide = slice_metrics(preds, by, group, counts)
     long = F.explode(F.array(
         F.struct(F.lit("acc_avg").alias("metric"), F.col("acc_avg").alias("value")),
         F.struct(F.lit("acc_wg").alias("metric"), F.col("acc_wg").alias("value")),

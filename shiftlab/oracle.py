@@ -513,3 +513,6 @@ SELECT arch, CAST(to_json(map(list(CAST(perc_ord / 100.0 AS VARCHAR) ORDER BY pe
                                CAST(id_std AS DECIMAL(18, 6)), CAST(ood_std AS DECIMAL(18, 6))]
                               ORDER BY perc_ord))) AS VARCHAR) AS json
 FROM fx5_best GROUP BY arch""")
+
+ORACLE["streaming_report"] = with_fx(["fx3", "prf", "fx3_metrics"], """
+SELECT run, split, metric, round(value, 6) AS value FROM fx3_metrics""")

@@ -536,6 +536,14 @@ def q_streaming_confusion(spark, d):
     return c.select("run", "split", "y_true", "y_pred", "n")
 
 
+@register("streaming_report")
+def q_streaming_report(spark, d):
+    orders = table_stream(spark, d, "orders")
+    counts = streaming_confusion(fx.order_predictions_from(orders, spark, d), ["run", "split", "domain"])
+    m = metrics.run_metrics(None, ["run", "split"], "domain", counts=counts)
+    return m.select("run", "split", "metric", r6("value").alias("value"))
+
+
 # --- U: batch inference --------------------------------------------------------
 
 @register("batch_inference")
