@@ -204,6 +204,18 @@ def _cell_kernel(item_col: str, id_col: str, features: str, vec_col: str, scale:
     return kernel
 
 
+def predict_table_ordered(items: DataFrame, classes: DataFrame | None = None,
+                          head: DataFrame | None = None, scale: float = 100.0,
+                          order="item_id") -> tuple[DataFrame, int]:
+    """P6 with the row position: ``(idx, item_id, y_true, probs)`` in the stated order, and the row count.
+
+    The position is the distributed dense index (D6); the count comes with it.
+    """
+    from shiftlab.operators.sampling import with_index_and_count
+    probs = predict_table(items, classes, head, scale)
+    return with_index_and_count(probs, order)
+
+
 def score_pairs_blocked(items: DataFrame, classes: DataFrame, scale: float = 100.0,
                         normalize: bool = True, features: str = "features", item_col: str = "item_id",
                         id_col: str = "class_id", vec_col: str = "vec",

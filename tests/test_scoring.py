@@ -85,3 +85,12 @@ def test_zero_vector_scores_are_nan(spark):
     out = {r.item_id: r.scores for r in scoring.contrastive_scores(items, classes).collect()}
     assert all(np.isnan(x) for x in out[1])           # 0/0, as the normalised product gives
     assert out[2] == [100.0, 0.0]
+
+
+def test_predict_table_ordered(spark):
+    items, classes = _items_classes(spark)
+    df, n = scoring.predict_table_ordered(items, classes)
+    rows = df.orderBy("idx").collect()
+    assert n == items.count() == len(rows)
+    assert [r.idx for r in rows] == list(range(n))
+    assert [r.item_id for r in rows] == sorted(r.item_id for r in rows)
