@@ -158,9 +158,10 @@ def q_macro_f1(spark, d):
 @register("epoch_loss")
 def q_epoch_loss(spark, d):
     items, classes = _items_and_classes(spark, d)
-    gi = sampling.group_index(items.select("item_id", "split", "features", "y_true"), "split")
-    scored = scoring.contrastive_scores(gi.withColumn("batch", F.expr("gidx div 32")), classes)
-    loss = metrics.epoch_loss(scored, ["split"], "batch")
+    # score first: the batch index then carries the C-wide scores, not the features
+    scored = scoring.contrastive_scores(items.select("item_id", "split", "features", "y_true"), classes)
+    gi = sampling.group_index(scored.drop("features"), "split")
+    loss = metrics.epoch_loss(gi.withColumn("batch", F.expr("gidx div 32")), ["split"], "batch")
     return loss.select("split", r6("loss").alias("loss"), "n_batches")
 
 
