@@ -242,12 +242,15 @@ def group_balanced_sample(items: DataFrame, n: int, seed: int = 0, group: str =
     """D3: ``n`` draws with replacement, uniform over groups, then uniform inside the group.
 
     Draw ``i`` picks group ``h1(i) mod G`` and row ``h2(i) mod count(group)``;
-    draws and rows meet in one equi-join on ``(group number, row number)``, so
-    no driver loop and no per-group collection happens.
+    draws and the narrow (group, key) index meet in one equi-join on
+    ``(group number, row number)``, and the drawn keys are joined back to the
+    rows (``key`` must be unique). No driver loop, no per-group collection, and
+    only the two key columns are indexed.
     """
-    gi, starts, n_groups = _group_index(items, group, key)
+    # the index needs only (group, key); drawn keys are joined back to the full rows at the end
+    gi, starts, n_groups = _group_index(items.select(group, key), group, key)
     if n_groups == 0 or n <= 0:
-        return gi.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
+        return items.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
     draws = items.sparkSession.range(n).withColumnRenamed("id", "draw")
     h1 = hash_key(F.concat(F.col("draw").cast("string"), F.lit(":g")), seed)
     h2 = hash_key(F.concat(F.col("draw").cast("string"), F.lit(":r")), seed)
@@ -255,7 +258,9 @@ def group_balanced_sample(items: DataFrame, n: int, seed: int = 0, group: str =
     draws = (join_dimension(draws, starts.select("gno", "group_n"), "gno", n_groups)
                   .withColumn("gidx", F.pmod(h2, F.col("group_n")))
                   .drop("group_n"))
-    return draws.join(gi.drop("group_n"), ["gno", "gidx"]).drop("gno", "gidx")
+    picks = draws.join(gi.select("gno", "gidx", key), ["gno", "gidx"]).select("draw", key)
+    # n draws (a parameter, not the data size) are broadcast into the item scan when bounded
+    return items.join(F.broadcast(picks) if n <= MAX_BROADCAST_ROWS else picks, key)
 
 
 def shard(items: DataFrame, world: int, rank: int | None = None, pad: bool = True,
