@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm import exact_dedup, near_dedup, packing, token_files
+from shiftlab.llm import exact_dedup, near_dedup, packing, token_files, toxicity
 from shiftlab.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -23,9 +23,6 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def _held_out(id_col: str, parts: int, part: int):
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts)) == part
-
 
 @register("op1_token_files")
 def q_token_files(spark, d) -> DataFrame:
@@ -50,3 +47,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM d JOIN g USING (text_sha256)""")
 def q_exact_dedup(spark, d) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
+
+
+@register("op8_toxicity_grammar")
+def q_toxicity(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, d, "labels")))
