@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm import exact_dedup, near_dedup, packing, token_files, toxicity
+from shiftlab.llm import exact_dedup, near_dedup, packing, quality, token_files, toxicity
 from shiftlab.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -53,3 +53,9 @@ def q_exact_dedup(spark, d) -> DataFrame:
 def q_toxicity(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, d, "labels")))
+
+
+@register("op6_quality_cnn")
+def q_quality(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality.score_quality(docs, quality.learn(docs, table(spark, d, "labels")))
