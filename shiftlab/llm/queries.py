@@ -7,7 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm import exact_dedup, near_dedup, packing, quality, token_files, toxicity
+from shiftlab.llm import (ann, exact_dedup, html_text, mixing, near_dedup, packing, quality, token_files,
+                          toxicity, url_filter)
 from shiftlab.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -59,3 +60,62 @@ def q_toxicity(spark, d) -> DataFrame:
 def q_quality(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     return quality.score_quality(docs, quality.learn(docs, table(spark, d, "labels")))
+
+
+@register("op4_html_extraction")
+def q_html_text(spark, d) -> DataFrame:
+    return html_text.main_text(table(spark, d, "pages"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@register("op5_url_filters", """
+WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0
+                  THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM p),
+u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM q),
+r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                            ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) v(verdict, h, s)),
+f AS (SELECT page_id, host, path,
+             (SELECT max(struct_pack(n := length(h || s), rule := h || s, verdict := verdict)) FROM r
+              WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS best FROM u)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM f""")
+def q_url_filters(spark, d) -> DataFrame:
+    return url_filter.judge_urls(table(spark, d, "pages"), URL_RULES)
+
+
+_TOPIC = "CASE WHEN contains(text, 'Licensed under') OR contains(text, 'Copyright') THEN 'legal' " \
+         "WHEN contains(text, '@') THEN 'contact' ELSE 'general' END"
+
+
+@register("op9_mixing", f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {_TOPIC} AS topic,
+    greatest(ceil(strlen(coalesce(text, '')) / 4), 1)::BIGINT AS n_tokens FROM documents),
+c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
+s AS (SELECT source, p / sum(p) OVER () AS share FROM (SELECT source, pow(sum(tokens), 0.5) AS p FROM c GROUP BY 1)),
+l AS (SELECT lang, p / sum(p) OVER () AS share FROM (SELECT lang, pow(sum(tokens), 0.8) AS p FROM c GROUP BY 1)),
+t AS (SELECT topic, p / sum(p) OVER () AS share FROM (SELECT topic, pow(sum(tokens), 0.9) AS p FROM c GROUP BY 1)),
+r AS (SELECT 0 AS i, source, lang, topic, tokens, tokens / sum(tokens) OVER () AS w,
+             s.share AS ts, l.share AS tl, t.share AS tt
+      FROM c JOIN s USING (source) JOIN l USING (lang) JOIN t USING (topic)
+      UNION ALL
+      SELECT i + 1, source, lang, topic, tokens,
+             CASE i % 3 WHEN 0 THEN w * ts / sum(w) OVER (PARTITION BY source)
+                        WHEN 1 THEN w * tl / sum(w) OVER (PARTITION BY lang)
+                        ELSE w * tt / sum(w) OVER (PARTITION BY topic) END, ts, tl, tt
+      FROM r WHERE i < 180),
+f AS (SELECT source, lang, topic, w * sum(tokens) OVER () / tokens AS factor FROM r WHERE i = 180),
+g AS (SELECT *, factor / max(factor) OVER () AS probability FROM f)
+SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS factor, round(probability, 6) AS probability,
+       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':0'), 1, 13))::BIGINT / pow(16, 13) < probability AS selected
+FROM d JOIN g USING (source, lang, topic)""")
+def q_mixing(spark, d) -> DataFrame:
+    out = mixing.mix_documents(table(spark, d, "documents"))
+    return out.withColumn("factor", F.round("factor", 6)).withColumn("probability", F.round("probability", 6))
+
+
+@register("op10_multiprobe_ann")
+def q_nearest(spark, d) -> DataFrame:
+    return ann.nearest(table(spark, d, "embeddings"), k=20, every=20)
