@@ -21,6 +21,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def _place(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS).cast("long"))
 
@@ -34,17 +45,16 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     pass, so an exact join or group by has to follow. Null keys never pass.
     """
     k = keys.columns[0]
-    bits = (keys.where(F.col(k).isNotNull()).select(_place(F.col(k)).alias("p"))
-            .groupBy(F.shiftright("p", _ROW_BITS).alias("_filter_row"))
-            .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << _ROW_BITS) - 1)).alias("_filter_bits")))
+    row, bits, own = fresh(df, "_filter_row", "_filter_bits", "_filter_own")
+    bitmap = (keys.where(F.col(k).isNotNull()).select(_place(F.col(k)).alias("p"))
+              .groupBy(F.shiftright("p", _ROW_BITS).alias(row))
+              .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << _ROW_BITS) - 1)).alias(bits)))
     p = _place(key)
-    byte = F.conv(F.hex(F.substring("_filter_bits",
-                                    (F.shiftright(p.bitwiseAND((1 << _ROW_BITS) - 1), 3) + 1).cast("int"),
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(p.bitwiseAND((1 << _ROW_BITS) - 1), 3) + 1).cast("int"),
                                     F.lit(1))), 16, 10).cast("int")
-    cols = df.columns
-    return (df.where(key.isNotNull()).withColumn("_filter_key", F.shiftright(p, _ROW_BITS))
-            .join(F.broadcast(bits), F.col("_filter_key") == F.col("_filter_row"))
-            .where(F.getbit(byte, p.bitwiseAND(7).cast("int")) == 1).select(*cols))
+    return (df.where(key.isNotNull()).withColumn(own, F.shiftright(p, _ROW_BITS))
+            .join(F.broadcast(bitmap), F.col(own) == F.col(row))
+            .where(F.getbit(byte, p.bitwiseAND(7).cast("int")) == 1).select(*df.columns))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

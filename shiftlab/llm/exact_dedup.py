@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import maybe_in, saved
+from shiftlab.llm.common import fresh, maybe_in, saved
 
 PREFIX_BYTES = 256
 
@@ -60,14 +60,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                           prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
     """The rows of ``docs``, one per text: the one with the largest id. All columns stay.
 
-    Only rows of groups are looked at again; of repeated rows with the kept id and text
-    one (by the hash of all columns, then any of the identical rows) stays.
+    Of repeated rows with the kept id and text one stays. An empty table stays empty.
     """
     cols = docs.columns
+    sha, keep, grouped = fresh(docs, "_sha", "_keep", "_grouped")
     groups = saved(exact_groups(docs, id_col, text_col, prefix_bytes), "exact")
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    marked = rows.join(groups.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"),
-                                     F.lit(True).alias("_grouped")), "_sha", "left")
-    single = marked.where("_grouped is null").select(*cols)
-    kept = marked.where(F.col("_grouped") & F.col(id_col).eqNullSafe(F.col("_keep")))
-    return single.unionByName(kept.dropDuplicates(["_sha"]).select(*cols))
+    marked = (docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+              .join(groups.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep),
+                                  F.lit(True).alias(grouped)), sha, "left"))
+    single = marked.where(F.col(grouped).isNull()).select(*cols)
+    kept = marked.where(F.col(grouped) & F.col(id_col).eqNullSafe(F.col(keep)))
+    return single.unionByName(kept.dropDuplicates([sha]).select(*cols))

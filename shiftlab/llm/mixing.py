@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import saved
+from shiftlab.llm.common import fresh, saved
 
 #: Cells that are broadcast at most (a few MB); more are joined by a shuffle.
 MAX_BROADCAST_CELLS = 50_000
@@ -26,7 +26,7 @@ TOLERANCE, ROUNDS, SAVE_EVERY = 1e-9, 60, 3
 #: Topics by literal phrases, in order; the rest is ``general``.
 TOPICS = {"legal": ["Licensed under", "Copyright"], "contact": ["@"]}
 #: Target share of a value: its observed share to this power, rescaled to sum to 1.
-EXPONENTS = {"source": 0.5, "lang": 0.8, "topic": 0.9}
+EXPONENTS = {"source": 0.7, "lang": 0.9, "topic": 1.0}
 
 
 def token_estimate(text: Column) -> Column:
@@ -90,20 +90,22 @@ def _dimension(c: Column) -> Column:
 
 
 def calibrated(docs: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None,
-               exponents: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with ``_dim_<name>`` per dimension (null: ''), ``_tokens``, ``_factor`` and
-    ``_probability``. An empty table stays empty."""
+               exponents: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with a column per dimension (null: '') and the row's tokens, factor and
+    probability, and the names these columns got. An empty table stays empty."""
     names = list(dims)
-    rows = docs.select("*", *[_dimension(c).alias(f"_dim_{n}") for n, c in dims.items()], tokens.alias("_tokens"))
-    cells = saved(rows.groupBy(*[F.col(f"_dim_{n}").alias(n) for n in names]).agg(F.sum("_tokens").alias("tokens")),
+    own = dict(zip([*names, "tokens", "factor", "probability"],
+                   fresh(docs, *[f"_dim_{n}" for n in names], "_tokens", "_factor", "_probability")))
+    rows = docs.select("*", *[_dimension(c).alias(own[n]) for n, c in dims.items()], tokens.alias(own["tokens"]))
+    cells = saved(rows.groupBy(*[F.col(own[n]).alias(n) for n in names]).agg(F.sum(own["tokens"]).alias("tokens")),
                   "cells")
     raked = saved(rake(cells, names, targets, exponents), "factors")
     top, count = raked.agg(F.max("factor"), F.count("*")).first()
-    raked = raked.select(*[F.col(n).alias(f"_dim_{n}") for n in names], F.col("factor").alias("_factor"),
-                         (F.col("factor") / F.lit(top)).alias("_probability"))
+    raked = raked.select(*[F.col(n).alias(own[n]) for n in names], F.col("factor").alias(own["factor"]),
+                         (F.col("factor") / F.lit(top)).alias(own["probability"]))
     if count <= MAX_BROADCAST_CELLS:
         raked = F.broadcast(raked)
-    return rows.join(raked, [f"_dim_{n}" for n in names])
+    return rows.join(raked, [own[n] for n in names]), own
 
 
 def draw_number(id_col: Column, seed: int = 0) -> Column:
@@ -126,12 +128,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(source_col).alias("source"),
                        F.col(lang_col).alias("lang"))
-    out = calibrated(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"), topics)},
+    out, own = calibrated(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"), topics)},
                      token_estimate(F.col("text")), targets, EXPONENTS if exponents is None else exponents)
-    return out.select("doc_id", F.col("_dim_source").alias("source"), F.col("_dim_lang").alias("lang"),
-                      F.col("_dim_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
-                      F.col("_factor").alias("factor"), F.col("_probability").alias("probability"),
-                      (draw_number(F.col("doc_id"), seed) < F.col("_probability")).alias("selected"))
+    return out.select("doc_id", *[F.col(own[n]).alias(n) for n in ("source", "lang", "topic")],
+                      F.col(own["tokens"]).alias("n_tokens"), F.col(own["factor"]).alias("factor"),
+                      F.col(own["probability"]).alias("probability"),
+                      (draw_number(F.col("doc_id"), seed) < F.col(own["probability"])).alias("selected"))
 
 
 def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -140,6 +142,6 @@ def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      seed: int = 0) -> DataFrame:
     """The selected rows of ``docs``, all columns as they are (see :func:`mix_documents`)."""
     text = F.col(text_col)
-    out = calibrated(docs, {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(text, topics)},
+    out, own = calibrated(docs, {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(text, topics)},
                      token_estimate(text), targets, EXPONENTS if exponents is None else exponents)
-    return out.where(draw_number(F.col(id_col), seed) < F.col("_probability")).select(*docs.columns)
+    return out.where(draw_number(F.col(id_col), seed) < F.col(own["probability"])).select(*docs.columns)

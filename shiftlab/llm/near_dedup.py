@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.llm import shingles
-from shiftlab.llm.common import components, maybe_in, saved
+from shiftlab.llm.common import components, fresh, maybe_in, saved
 
 BANDS, ROWS, COORDINATES = 32, 4, 512
 SLACK = 0.1
@@ -237,6 +237,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all columns as they
     are; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col, width, share).where("not kept").select(
-        F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone, = fresh(docs, "_gone")
+    ids = near_duplicates(docs, id_col, text_col, width, share).where("not kept").select(F.col("doc_id").alias(gone))
+    return docs.join(ids.distinct(), F.col(id_col) == F.col(gone), "left_anti")

@@ -9,8 +9,9 @@ plan is made on the histogram of piece lengths, which does not grow with the cor
   incumbent's waste, and a filling that leaves room for another piece is dominated.
 * Use the best completion as often as the counts allow. So every step uses up a length
   and the plan has at most a few thousand patterns.
-* If the sequences exceed the lower bound ``ceil(ids / capacity)``, the search runs again with
-  larger node budgets and the best plan is kept.
+* The plan of first descents alone (best fit, largest first) is the incumbent; while it
+  exceeds the lower bound ``ceil(ids / capacity)`` sequences, the search runs with growing
+  node budgets, and the best plan is kept.
 
 The pieces then find their places by joins: piece number ``r`` among those of its length
 belongs to the pattern whose range of numbers holds ``r``. A length with many pieces is
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from shiftlab.llm.common import saved
 from shiftlab.llm.token_ids import encoder, vocabulary_path
 
-#: Nodes the search may visit for one completion; the second is used if the first plan
-#: is not proven optimal.
+#: Nodes the search may visit for one completion; each is used while the best plan is not
+#: proven optimal.
 NODES = (2_000, 40_000)
 #: Pieces numbered by one window.
 PART_ROWS = 500_000
@@ -40,7 +41,8 @@ PART_ROWS = 500_000
 
 def best_completion(room: int, lengths: list[int], counts: np.ndarray, nodes: int) -> list[int]:
     """Numbers (into the descending ``lengths``) of the pieces that fill ``room`` with the
-    least waste found: depth-first branch and bound within ``nodes`` visited nodes.
+    least waste found: depth-first branch and bound within ``nodes`` visited nodes (0: the
+    first descent alone).
 
     The first descent is the best-fit filling. A branch ends when all pieces that are left
     for it together cannot beat the incumbent's waste; fillings with room for another
@@ -51,19 +53,20 @@ def best_completion(room: int, lengths: list[int], counts: np.ndarray, nodes: in
     chosen: list[int] = []
     used: dict[int, int] = {}
     best, waste, rest, i = [], room, room, 0
-    while waste and nodes > 0:
+    left = nodes
+    while waste and (left > 0 or not nodes):
         i = max(i, bisect_left(keys, -rest))
         while i < len(lengths) and used.get(i, 0) >= counts[i]:
             i += 1
         if i < len(lengths) and rest - mass[i] < waste:
-            nodes -= 1
+            left -= 1
             chosen.append(i)
             used[i] = used.get(i, 0) + 1
             rest -= lengths[i]
             if rest < waste:
                 best, waste = chosen[:], rest
             continue
-        if not chosen:
+        if not chosen or not nodes:
             break
         i = chosen.pop()
         used[i] -= 1
@@ -76,7 +79,7 @@ def plan(histogram: dict[int, int], capacity: int, nodes: tuple[int, ...] = NODE
     """Patterns (lengths of one sequence) with how many sequences use them."""
     least = -(-sum(k * n for k, n in histogram.items()) // capacity)
     found: list[tuple[list[int], int]] | None = None
-    for budget in nodes:
+    for budget in (0, *nodes):
         lengths = sorted((k for k, n in histogram.items() if n > 0), reverse=True)
         counts = np.array([histogram[x] for x in lengths], np.int64)
         patterns = []

@@ -98,7 +98,7 @@ class Network:
         d = np.concatenate([top, np.add.reduceat(z, at) / n[:, None]], axis=1)
         prob = 1 / (1 + np.exp(-np.clip(d @ p["w3"] + p["b3"][0], -30, 30)))
         loss = float(-(weight * (y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9))).mean())
-        g = ((prob - y) * weight / len(docs)).astype(np.float32)
+        g = ((prob - y) * weight / len(docs)).astype(p["w3"].dtype)
         out = {"w3": d.T @ g, "b3": np.array([g.sum()])}
         gd = g[:, None] * p["w3"]
         gz = (z == top[owner]) * gd[owner, :HIDDEN] + (gd[:, HIDDEN:] / n[:, None])[owner]

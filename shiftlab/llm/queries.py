@@ -94,9 +94,9 @@ _TOPIC = "CASE WHEN contains(text, 'Licensed under') OR contains(text, 'Copyrigh
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {_TOPIC} AS topic,
     greatest(ceil(strlen(coalesce(text, '')) / 4), 1)::BIGINT AS n_tokens FROM documents),
 c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
-s AS (SELECT source, p / sum(p) OVER () AS share FROM (SELECT source, pow(sum(tokens), 0.5) AS p FROM c GROUP BY 1)),
-l AS (SELECT lang, p / sum(p) OVER () AS share FROM (SELECT lang, pow(sum(tokens), 0.8) AS p FROM c GROUP BY 1)),
-t AS (SELECT topic, p / sum(p) OVER () AS share FROM (SELECT topic, pow(sum(tokens), 0.9) AS p FROM c GROUP BY 1)),
+s AS (SELECT source, p / sum(p) OVER () AS share FROM (SELECT source, pow(sum(tokens), 0.7) AS p FROM c GROUP BY 1)),
+l AS (SELECT lang, p / sum(p) OVER () AS share FROM (SELECT lang, pow(sum(tokens), 0.9) AS p FROM c GROUP BY 1)),
+t AS (SELECT topic, p / sum(p) OVER () AS share FROM (SELECT topic, sum(tokens) AS p FROM c GROUP BY 1)),
 r AS (SELECT 0 AS i, source, lang, topic, tokens, tokens / sum(tokens) OVER () AS w,
              s.share AS ts, l.share AS tl, t.share AS tt
       FROM c JOIN s USING (source) JOIN l USING (lang) JOIN t USING (topic)
