@@ -1,7 +1,9 @@
 """Vector column functions.
 
-All of these are Spark higher-order array expressions, so they run inside
-whole-stage code generation next to the scan; no Python is involved.
+All of these are Spark higher-order array expressions evaluated on the JVM next to the
+scan; no Python is involved. A value that every element needs (a norm, a maximum, a
+total) is bound once per row with ``let``: inside a lambda it would be evaluated again
+for every element.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ def as_double_array(c) -> Column:
     return _col(c).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda over a one-element array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a, b) -> Column:
     """Inner product of two equal-width vectors."""
     return F.aggregate(F.zip_with(as_double_array(a), as_double_array(b), lambda x, y: x * y),
@@ -35,24 +42,25 @@ def dot(a, b) -> Column:
 
 def l2_normalize(c) -> Column:
     """``v / ||v||``. A zero vector gives NULL elements (ANSI-safe ``try_divide``)."""
-    v = as_double_array(c)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: F.try_divide(x, norm))
+    return let(as_double_array(c), lambda v: let(
+        F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)),
+        lambda norm: F.transform(v, lambda x: F.try_divide(x, norm))))
 
 
 def softmax(c) -> Column:
     """Row softmax, shifted by the row maximum (scores reach +-100)."""
-    v = as_double_array(c)
-    ex = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    total = F.aggregate(ex, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(ex, lambda x: x / total)
+    def shifted(v):
+        return let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+
+    return let(let(as_double_array(c), shifted), lambda ex: let(
+        F.aggregate(ex, F.lit(0.0), lambda acc, x: acc + x),
+        lambda total: F.transform(ex, lambda x: x / total)))
 
 
 def log_sum_exp(c) -> Column:
     """Stable ``log(sum(exp(v)))``."""
-    v = as_double_array(c)
-    m = F.array_max(v)
-    return m + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    return let(as_double_array(c), lambda v: let(F.array_max(v), lambda m: m + F.log(
+        F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))))
 
 
 def cross_entropy(scores, label) -> Column:
@@ -63,8 +71,7 @@ def cross_entropy(scores, label) -> Column:
 
 def argmax_class(c) -> Column:
     """P5: 0-based index of the largest score; the first one wins ties."""
-    v = _col(c)
-    return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+    return let(_col(c), lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def explode_vector(df, keep, vec, pos: str = "pos", value: str = "value"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -42,13 +43,24 @@ def expand_grid(grid: DataFrame, mode: str = "train") -> DataFrame:
     return trained.unionByName(zero)
 
 
-def run_names(grid_rows: DataFrame, dataset: str) -> DataFrame:
-    """Derived experiment names, as the result files are named."""
+def run_names(grid_rows: DataFrame, dataset: str, swa: bool = False) -> DataFrame:
+    """Derived experiment names, as the result files are named; ``swa``: of the weight-averaged
+    models, whose names end in ``_swa`` (a zero-shot row has none)."""
     zs = F.col("perc") == 0
-    name = F.when(zs, F.format_string("%s_%s_zeroshot", F.lit(dataset), F.col("arch"))).otherwise(
-        F.format_string("%s_%s_perctrain_%s_lr_%s", F.lit(dataset), F.col("arch"),
-                        F.col("perc_label"), F.col("lr_label")))
-    return grid_rows.withColumn("name", name)
+    trained = F.format_string("%s_%s_perctrain_%s_lr_%s" + ("_swa" if swa else ""), F.lit(dataset), F.col("arch"),
+                              F.col("perc_label"), F.col("lr_label"))
+    if swa:
+        return grid_rows.filter(~zs).withColumn("name", trained)
+    return grid_rows.withColumn("name", F.when(zs, F.format_string("%s_%s_zeroshot", F.lit(dataset), F.col("arch")))
+                                .otherwise(trained))
+
+
+def expected_checkpoints(grid_rows: DataFrame, n_runs: int, kinds: Sequence[str] = ("best",)) -> DataFrame:
+    """The model files that testing needs: run 1..n of each trained cell, per kind
+    (``best``, ``swa``). Zero-shot rows need none."""
+    trained = grid_rows.filter(F.col("perc") != 0)
+    return (trained.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(int(n_runs)))))
+                   .withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds]))))
 
 
 def arch_filename(arch) -> F.Column:
@@ -58,8 +70,10 @@ def arch_filename(arch) -> F.Column:
 
 
 def run_paths(grid_rows: DataFrame, dataset: str, model_dir: str, log_dir: str) -> DataFrame:
-    """Model and log folders of each trained grid cell: ``<dir>/<dataset>/perc_train_<p>/lr_<lr>``."""
-    sub = F.format_string("/%s/perc_train_%s/lr_%s", F.lit(dataset), F.col("perc_label"), F.col("lr_label"))
+    """Model and log folders of each trained grid cell: ``<dir>/<dataset>/perc_train_<p>/lr_<lr>``
+    (NULL for a zero-shot row, which has no model)."""
+    sub = F.when(F.col("lr_label").isNotNull(), F.format_string(
+        "/%s/perc_train_%s/lr_%s", F.lit(dataset), F.col("perc_label"), F.col("lr_label")))
     return (grid_rows.withColumn("model_path", F.concat(F.lit(model_dir), sub))
                      .withColumn("log_path", F.concat(F.lit(log_dir), sub))
                      .withColumn("arch_file", arch_filename("arch")))
@@ -67,7 +81,9 @@ def run_paths(grid_rows: DataFrame, dataset: str, model_dir: str, log_dir: str)
 
 def missing_artifacts(expected: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected artifacts with no present counterpart (left anti join)."""
-    return expected.join(present.select(*keys).distinct(), list(keys), "left_anti")
+    have = present.select(*keys).distinct()
+    cond = reduce(lambda a, b: a & b, [expected[k].eqNullSafe(have[k]) for k in keys])
+    return expected.join(have, cond, "left_anti")
 
 
 def require_artifacts(expected: DataFrame, present: DataFrame, keys: Sequence[str]) -> None:
@@ -78,9 +94,12 @@ def require_artifacts(expected: DataFrame, present: DataFrame, keys: Sequence[st
 
 
 def join_results(grid_rows: DataFrame, results: DataFrame, keys: Sequence[str] = KEYS,
-                 swa_results: DataFrame | None = None, swa_arch: str | None = None) -> DataFrame:
+                 swa_results: DataFrame | None = None, swa_arch: str | None = None,
+                 require: bool = False) -> DataFrame:
     """Each grid cell with its result row; an SWA result set joins as arch ``<arch>_swa``.
 
+    A cell without a result stays, with NULL metrics; with ``require`` it raises (J4).
+
     The SWA rows are tagged and unioned before the join, so it stays one
     equi-join on the experiment key (the grid is the small side).
     """
@@ -91,4 +110,7 @@ def join_results(grid_rows: DataFrame, results: DataFrame, keys: Sequence[str] =
         if swa_arch is not None:
             swa = swa.filter(F.col("arch") == F.lit(swa_arch + "_swa"))
         res = res.unionByName(swa)
-    return grid_rows.join(res, list(keys), "inner")
+    if require:
+        require_artifacts(grid_rows.select(*keys), res, keys)
+    cond = reduce(lambda a, b: a & b, [grid_rows[k].eqNullSafe(res[k]) for k in keys])   # zero-shot: no lr
+    return grid_rows.join(res, cond, "left").drop(*[res[k] for k in keys])

@@ -26,17 +26,54 @@ def register_model(name: str, factory: Callable) -> None:
 def get_model(name: str) -> Callable:
     """Look up a registered factory; an unknown name raises and lists the valid ones."""
     if name not in MODELS:
-        sep = "\n  - "
-        raise ValueError(f"Architecture '{name}' not supported. Valid options are: {sep}{sep.join(MODELS)}")
+        raise ValueError(f"no model is registered as {name!r}; registered: {', '.join(sorted(MODELS)) or 'none'}")
     return MODELS[name]
 
 
 def infer(items: DataFrame, factory: Callable, width: int, features: str = "features",
           out: str = "scores", batch_size: int = 128) -> DataFrame:
-    """Apply the model to the ``features`` column; returns ``out array<double>``."""
+    """Apply the model to the ``features`` column; returns ``out array<double>``.
+
+    Rows without a vector get a NULL score, as in P2 and P3: the model sees a zero
+    vector in their place and its answer is dropped.
+    """
     udf = predict_batch_udf(factory, return_type=T.ArrayType(T.DoubleType()),
                             batch_size=batch_size, input_tensor_shapes=[[width]])
-    return items.withColumn(out, udf(F.col(features).cast("array<double>")))
+    v = F.col(features).cast("array<double>")
+    filled = F.coalesce(v, F.array_repeat(F.lit(0.0), width))
+    return items.withColumn(out, F.when(v.isNotNull(), udf(filled)))
+
+
+def encode_text(df: DataFrame, factory: Callable, text: str = "prompt", out: str = "vec",
+                batch_size: int = 128) -> DataFrame:
+    """Apply a text encoder to a string column; returns ``out array<double>`` (NULL for NULL).
+
+    The factory's ``predict`` gets an array of strings. With the prompts of a class
+    dimension this gives the class vectors of a zero-shot model.
+    """
+    udf = predict_batch_udf(factory, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    t = F.col(text)
+    return df.withColumn(out, F.when(t.isNotNull(), udf(F.coalesce(t, F.lit("")))))
+
+
+def hashed_words_factory(width: int) -> Callable:
+    """A stand-in text encoder: counts of the lower-cased words by md5 bucket."""
+    def factory():
+        import hashlib
+        bucket: dict[str, int] = {}
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            rows = np.zeros((len(texts), width))
+            for i, t in enumerate(texts):
+                for w in str(t).lower().split():
+                    if w not in bucket:
+                        if len(bucket) > 200_000:
+                            bucket.clear()
+                        bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % width
+                    rows[i, bucket[w]] += 1
+            return rows
+        return predict
+    return factory
 
 
 def linear_model_factory(W: np.ndarray, b: np.ndarray | None = None) -> Callable:

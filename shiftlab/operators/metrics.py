@@ -113,15 +113,19 @@ def slice_metrics(preds: DataFrame | None, by: Sequence[str] = BY, group: str =
     hit = F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(F.lit(0).cast("bigint"))
     zero = F.lit(0).cast("bigint")
 
-    def role(name, key, hits, rows, sup, pred, tp):
-        return F.struct(F.lit(name).alias("role"), key.cast("bigint").alias("key"), hits.alias("h"),
+    # the group keeps its own type (a string, a double, NULL) in a field of its own
+    no_group = F.lit(None).cast(cm.schema[group].dataType)
+    no_class = F.lit(None).cast("bigint")
+
+    def role(name, g, c, hits, rows, sup, pred, tp):
+        return F.struct(F.lit(name).alias("role"), g.alias("g"), c.cast("bigint").alias("c"), hits.alias("h"),
                         rows.alias("n"), sup.alias("s"), pred.alias("p"), tp.alias("t"))
     roles = F.explode(F.array(
-        role("g", F.col(group), hit, n, zero, zero, zero),
-        role("c", F.col("y_true"), zero, zero, n, zero, hit),
-        role("c", F.col("y_pred"), zero, zero, zero, n, zero)))
+        role("g", F.col(group), no_class, hit, n, zero, zero, zero),
+        role("c", no_group, F.col("y_true"), zero, zero, n, zero, hit),
+        role("c", no_group, F.col("y_pred"), zero, zero, zero, n, zero)))
     per_key = (cm.select(*by, roles.alias("r"))
-                 .groupBy(*by, F.col("r.role").alias("role"), F.col("r.key").alias("key"))
+                 .groupBy(*by, F.col("r.role").alias("role"), F.col("r.g").alias("g"), F.col("r.c").alias("c"))
                  .agg(F.sum("r.h").alias("h"), F.sum("r.n").alias("n"), F.sum("r.s").alias("s"),
                       F.sum("r.p").alias("p"), F.sum("r.t").alias("t")))
     is_g = F.col("role") == "g"
@@ -146,13 +150,14 @@ def run_metrics(preds: DataFrame | None, by: Sequence[str] = BY, group: str = "d
 
 
 def epoch_loss(scored: DataFrame, by: Sequence[str], batch: str = "batch",
-               scores: str = "scores", label: str = "y_true") -> DataFrame:
+               scores: str = "scores", label: str = "y_true", row_loss: str | None = None) -> DataFrame:
     """Mean over batches of the batch-mean softmax cross-entropy.
 
-    A short last batch weighs as much as a full one (mean of means).
+    A short last batch weighs as much as a full one (mean of means). ``row_loss`` names a
+    column that holds the rows' cross-entropy already.
     """
     by = _by(by)
-    ce = scored.select(*by, batch, cross_entropy(scores, label).alias("ce"))
+    ce = scored.select(*by, batch, (F.col(row_loss) if row_loss else cross_entropy(scores, label)).alias("ce"))
     per_batch = ce.groupBy(*by, batch).agg(F.avg("ce").alias("batch_loss"))
     return per_batch.groupBy(*by).agg(F.avg("batch_loss").alias("loss"),
                                       F.count(F.lit(1)).alias("n_batches"))

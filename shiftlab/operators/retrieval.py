@@ -46,31 +46,74 @@ def class_probabilities(probs: DataFrame, key: str = "item_id", probs_col: str =
     return explode_vector(probs, [key, "y_true"], probs_col, "class_id", "prob")
 
 
-def _allow_group_limit(spark, k: int) -> None:
-    """Keep the partial WindowGroupLimit for large ``k``.
-
-    Catalyst only inserts it for ``k <= spark.sql.optimizer.windowGroupLimitThreshold``
-    (1000 by default); above that a class column would be gathered whole into
-    one task, so the threshold is raised to ``k``.
+# Parts a class's candidates are merged in before the last merge.
+MERGE_PARTS = 64
+
+
+def _keep_best(by: list[str], key: str, probs_col: str, k: int):
+    """Per task and class the ``k`` best rows over all batches (ties: smaller key)."""
+    import numpy as np
+    import pandas as pd
+
+    def best(prob, keys, labels):
+        # NaN sorts highest, as in Spark; values are compared at 12 decimals
+        rank = np.where(np.isnan(prob), np.inf, np.round(prob, 12))
+        if len(rank) > 2 * k:
+            least = np.partition(rank, len(rank) - k)[len(rank) - k]
+            near = np.flatnonzero(rank >= least)
+        else:
+            near = np.arange(len(rank))
+        top = near[np.lexsort((keys[near], -rank[near]))][:k]
+        return prob[top], keys[top], labels[top]
+
+    def run(frames):
+        held = {}
+        for f in frames:
+            f = f[f[probs_col].notna()]
+            for part, g in (f.groupby(by, dropna=False, sort=False) if by else [((), f)]):
+                if not len(g):
+                    continue
+                P = np.stack(g[probs_col].to_numpy()).astype(np.float64)
+                keys, labels = g[key].to_numpy(), g["y_true"].to_numpy(dtype=np.int64)
+                for c in range(P.shape[1]):
+                    old = held.get((part, c))
+                    new = (P[:, c], keys, labels)
+                    if old is not None:
+                        new = tuple(np.concatenate([a, b]) for a, b in zip(old, new))
+                    held[part, c] = best(*new)
+        for (part, c), (prob, keys, labels) in held.items():
+            out = {name: v for name, v in zip(by, part)}
+            yield pd.DataFrame({**{name: [v] * len(keys) for name, v in out.items()}, "class_id": c, key: keys,
+                                "y_true": labels, "prob": prob})
+    return run
+
+
+def best_per_class(probs: DataFrame, k: int, by: list[str] | None = None, key: str = "item_id",
+                   probs_col: str = "probs") -> DataFrame:
+    """The ``k`` best items per class (and ``by``) with their rank, for any ``k``.
+
+    Each task keeps its own ``k`` best per class while it reads the probability
+    arrays, so N x C rows are never exploded or sorted; at most ``k`` rows per task and
+    class are shuffled. They are merged in ``MERGE_PARTS`` parts of a class, then once more.
     """
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if k > int(spark.conf.get(key, "1000")):
-        spark.conf.set(key, str(k))
+    by = list(by or [])
+    rows = probs.select(*by, key, "y_true", probs_col)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by, key).schema.fields)
+    best = rows.mapInPandas(_keep_best(by, key, probs_col, k),
+                            f"{kinds}, class_id int, y_true int, prob double")
+    part = F.pmod(F.xxhash64(key), F.lit(MERGE_PARTS)).alias("_part")
+    order = [F.desc(F.round("prob", 12)), F.asc(key)]
+    best = best.select("*", part).repartition(*by, "class_id", "_part")
+    inner = F.row_number().over(Window.partitionBy(*by, "class_id", "_part").orderBy(*order))
+    best = best.withColumn("_r", inner).filter(F.col("_r") <= k).drop("_r", "_part")
+    rank = F.row_number().over(Window.partitionBy(*by, "class_id").orderBy(*order))
+    return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
 
 
 def top_k_per_class(probs: DataFrame, k: int = 20, key: str = "item_id",
                     probs_col: str = "probs") -> DataFrame:
-    """For every class the ``k`` items of highest probability (ties: smaller key).
-
-    ``row_number() <= k`` over ``class_id`` lets Catalyst place a partial
-    WindowGroupLimit before the shuffle: each task sends at most ``k`` rows per
-    class, so a class column is never gathered whole.
-    """
-    _allow_group_limit(probs.sparkSession, k)
-    long = class_probabilities(probs, key, probs_col)
-    w = Window.partitionBy("class_id").orderBy(F.desc(F.round("prob", 12)), F.asc(key))
-    return (long.withColumn("rank", F.row_number().over(w).cast("int"))
-                .filter(F.col("rank") <= k))
+    """For every class the ``k`` items of highest probability (ties: smaller key)."""
+    return best_per_class(probs, k, None, key, probs_col)
 
 
 def recall_at_k_per_class(probs: DataFrame, k: int, n_classes: int, key: str = "item_id",
@@ -94,9 +137,6 @@ def recall_at_k(probs: DataFrame, k: int, n_classes: int, by: list[str] | None =
     if not by:
         per = recall_at_k_per_class(probs, k, n_classes, key, probs_col)
         return per.agg((F.sum("recall") / F.lit(float(n_classes))).alias("recall_at_k"))
-    _allow_group_limit(probs.sparkSession, k)
-    long = explode_vector(probs, [*by, key, "y_true"], probs_col, "class_id", "prob")
-    w = Window.partitionBy(*by, "class_id").orderBy(F.desc(F.round("prob", 12)), F.asc(key))
-    top = long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = best_per_class(probs, k, by, key, probs_col)
     hits = top.groupBy(*by).agg(F.sum((F.col("y_true") == F.col("class_id")).cast("int")).alias("hits"))
     return hits.select(*by, (F.col("hits") / F.lit(float(k)) / F.lit(float(n_classes))).alias("recall_at_k"))

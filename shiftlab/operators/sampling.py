@@ -7,12 +7,14 @@ data is partitioned, and a re-run after a lost executor gives the same rows.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlab.session import ensure_checkpoint_dir
+from shiftlab.functions.vectors import let
 
 # Largest per-key dimension (one row per group or field value) joined back by broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -26,11 +28,14 @@ def join_dimension(rows: DataFrame, dim: DataFrame, on, n_dim: int | None = None
     size is within ``MAX_BROADCAST_ROWS``; beyond that a shuffle join is used
     and AQE's skew-join splitting takes over.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     if n_dim is None:
-        # the dimension is small and built from the rows: keep it for the count and the join
-        dim = dim.persist()
         n_dim = dim.count()
-    return rows.join(F.broadcast(dim) if n_dim <= MAX_BROADCAST_ROWS else dim, on)
+    own = dim.select(*[F.col(k).alias(f"_dim_{k}") for k in keys], *[c for c in dim.columns if c not in keys])
+    # NULL keys are a group of their own: they must find their row of the dimension
+    match = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(own[f"_dim_{k}"]) for k in keys])
+    joined = rows.join(F.broadcast(own) if n_dim <= MAX_BROADCAST_ROWS else own, match)
+    return joined.drop(*[f"_dim_{k}" for k in keys])
 
 
 def _cols(order) -> list:
@@ -49,116 +54,83 @@ def _offsets(spark, sizes) -> tuple[DataFrame | None, int]:
     return spark.createDataFrame(offsets, "_b int, _off long"), total
 
 
-def _numeric_lead(df: DataFrame, order) -> str | None:
-    lead = order[0] if isinstance(order, (list, tuple)) else order
-    if not isinstance(lead, str) or lead not in df.columns:
-        return None
-    kind = df.schema[lead].dataType.typeName()
-    return lead if kind in ("byte", "short", "integer", "long", "float", "double") else None
+# Rows sampled per range to place the range bounds.
+SAMPLE_PER_RANGE = 40
 
 
-def _index_by_quantiles(df: DataFrame, order_cols, lead: str, n_buckets: int, out: str):
-    """Dense index without writing the rows: quantile ranges of the leading key.
+def _bounds(df: DataFrame, cols: list, n_ranges: int) -> list[tuple]:
+    """Upper bounds (exclusive) of about equal ranges of the order tuple, from a sample.
 
-    ``approxQuantile`` on the key column gives range splits; a Bucketizer (binary
-    search on the JVM, deterministic, so any re-run agrees) puts every row in its
-    range; one narrow pass counts the ranges; ``row_number`` over each range,
-    plus the range offset, gives the index. Returns None when a hot key value
-    shows up as repeated quantiles: the caller then uses range partitioning on
-    the whole order tuple, which splits such a value by the tie-break columns.
+    The sample is the rows with the smallest hashes of their order tuple, so it is the
+    same on every run; only the order columns are read.
     """
-    from pyspark.ml.feature import Bucketizer
+    names = [f"_o{i}" for i in range(len(cols))]
+    narrow = df.select(*[c.alias(n) for c, n in zip(cols, names)])
+    some = narrow.orderBy(F.xxhash64(*names), *names).limit(SAMPLE_PER_RANGE * n_ranges).orderBy(*names).collect()
+    picks = [tuple(some[i * len(some) // n_ranges]) for i in range(1, n_ranges)] if some else []
+    return list(dict.fromkeys(picks))
 
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(lead, probs, 1.0 / (4 * n_buckets)) if probs else []
-    if len(set(qs)) != len(qs):
-        return None
-    splits = [float("-inf")] + [float(q) for q in qs] + [float("inf")]
-    spark = df.sparkSession
-    keyed = df.withColumn("_lead", F.col(lead).cast("double"))
-    bucketed = Bucketizer(splits=splits, inputCol="_lead", outputCol="_bk",
-                          handleInvalid="keep").transform(keyed)
-    # NULL keys sort first (ascending), NaN last (the "invalid" bucket after all ranges)
-    bucketed = bucketed.withColumn("_b", F.when(F.col(lead).isNull(), F.lit(-1))
-                                   .otherwise(F.col("_bk").cast("int"))).drop("_lead", "_bk")
-    sizes = [(r["_b"], r["_n"]) for r in
-             bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect()]
-    off, total = _offsets(spark, sizes)
-    if off is None:
-        return df.withColumn(out, F.lit(None).cast("bigint")), 0
-    w = Window.partitionBy("_b").orderBy(*order_cols)
-    indexed = (bucketed.join(F.broadcast(off), "_b")
-                       .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-                       .drop("_b", "_off"))
-    return indexed, total
 
+def _range_number(df: DataFrame, cols: list, bounds: list[tuple]) -> F.Column:
+    """Number of bounds that are not above the row's order tuple (NULL first, as in sorting).
 
-def _wide_payload(df: DataFrame, order) -> bool:
-    """True when the rows carry arrays, strings or nested values besides the order key."""
-    keys = {c for c in (order if isinstance(order, (list, tuple)) else [order]) if isinstance(c, str)}
-    cheap = ("byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp",
-             "timestamp_ntz", "decimal")
-    return any(f.name not in keys and f.dataType.typeName() not in cheap for f in df.schema.fields)
+    Looked up in two steps (every k-th bound, then the k bounds behind it), about
+    ``2 sqrt(n)`` comparisons per row, JVM-side.
+    """
+    if not bounds:
+        return F.lit(0)
+    types = [f.dataType for f in df.select(*cols).schema.fields]
+    row = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(cols)])
+
+    def literals(some):
+        return F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"_o{i}") for i, (v, t) in enumerate(zip(b, types))])
+                         for b in some])
+
+    def below(some, r):
+        return F.size(F.filter(some, lambda b: b <= r))
+
+    step = max(1, math.isqrt(len(bounds)))
+    coarse, fine = literals(bounds[step - 1::step]), literals(bounds)
+    return let(row, lambda r: let(below(coarse, r) * step, lambda k: k + below(
+        F.slice(fine, k + 1, F.lit(step)), r)))
 
 
 def with_index_and_count(df: DataFrame, order, out: str = "idx",
-                         n_buckets: int | None = None,
-                         method: str = "auto") -> tuple[DataFrame, int]:
+                         n_buckets: int | None = None) -> tuple[DataFrame, int]:
     """D6 plus the row count (the sum of the range sizes, known without another pass).
 
-    Two plans, both without a single-partition window and without reading
-    physical partition ids twice:
+    One plan for every input, without a single-partition window over the rows, without
+    writing them and without reading physical partition ids: bounds over the whole order
+    tuple are placed once from a sample and become literals, so any re-run agrees and a
+    hot leading value is split by the columns behind it; one pass over the order columns
+    counts the ranges; ``row_number`` within each range plus the range's offset is the
+    index. Only the last pass reads the other columns, and it shuffles once.
 
-    - ``quantile`` (auto: wide rows with a numeric leading key without a hot
-      value): quantile ranges, see ``_index_by_quantiles``: two narrow passes
-      and one shuffle, the wide rows are never written;
-    - ``checkpoint`` (auto: narrow rows, or a hot leading value): range-partition on the whole order tuple (sampled bounds, so
-      a hot leading key is split by the following columns), sort inside each
-      range, tag every row with its range id and position (JVM-side), and freeze
-      that with a reliable checkpoint so counts and rows agree if tasks re-run.
-
-    The range sizes (one row per range) become offsets on the driver and are
-    broadcast back.
+    ``order``: ascending columns (or expressions) that form a total order; NULL comes first.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    order_cols = _cols(order)
-    if method not in ("auto", "quantile", "checkpoint"):
-        raise ValueError("method must be auto, quantile or checkpoint")
-    lead = _numeric_lead(df, order)
-    use_q = method == "quantile" or (method == "auto" and _wide_payload(df, order))
-    if lead is not None and use_q:
-        nb = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        res = _index_by_quantiles(df, order_cols, lead, nb, out)
-        if res is not None:
-            return res
-    # without an explicit count the shuffle setting applies and AQE merges small
-    # neighbouring ranges; merged ranges stay in key order, so ids stay monotone
-    ranged = (df.repartitionByRange(*([n_buckets] if n_buckets else []), *order_cols)
-                .sortWithinPartitions(*order_cols)
-                .withColumn("_b", F.spark_partition_id())
-                # position inside the range: the low 33 bits of the monotonic id
-                .withColumn("_r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    frozen = ranged.checkpoint(eager=True)
+    cols = _cols(order)
+    n_ranges = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = _range_number(df, cols, _bounds(df, cols, n_ranges))
     sizes = [(r["_b"], r["_n"]) for r in
-             frozen.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect()]
+             df.groupBy(number.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).collect()]
     off, total = _offsets(spark, sizes)
     if off is None:
-        return frozen.drop("_b", "_r").withColumn(out, F.lit(None).cast("bigint")), 0
-    indexed = (frozen.join(F.broadcast(off), "_b")
-                     .withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint"))
-                     .drop("_b", "_r", "_off"))
+        return df.withColumn(out, F.lit(None).cast("bigint")), 0
+    w = Window.partitionBy("_b").orderBy(*cols)
+    indexed = (df.withColumn("_b", number).join(F.broadcast(off), "_b")       # one row per range
+                 .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
+                 .drop("_b", "_off"))
     return indexed, total
 
 
-def with_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None,
-               method: str = "auto") -> DataFrame:
+def with_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None) -> DataFrame:
     """Dense 0-based row index in the order of ``order`` (which must be a total order).
 
     Never a single-partition window over the rows and never physical partition
     ids read twice: see ``with_index_and_count``.
     """
-    return with_index_and_count(df, order, out, n_buckets, method)[0]
+    return with_index_and_count(df, order, out, n_buckets)[0]
 
 
 def batches(df: DataFrame, batch_size: int, order="item_id", out: str = "batch") -> DataFrame:
@@ -169,10 +141,10 @@ def batches(df: DataFrame, batch_size: int, order="item_id", out: str = "batch")
 
 
 def hash_key(key, seed: int) -> F.Column:
-    """32-bit integer from the md5 of ``<key>:<seed>`` (same value in DuckDB)."""
-    s = F.concat(F.col(key).cast("string") if isinstance(key, str) else key.cast("string"),
-                 F.lit(f":{int(seed)}"))
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
+    """60-bit integer from the md5 of ``<key>:<seed>`` (same value in DuckDB)."""
+    k = F.col(key) if isinstance(key, str) else key
+    s = F.concat(F.coalesce(k.cast("string"), F.lit("")), F.lit(f":{int(seed)}"))
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")
 
 
 def subset_size(n: int, frac: float) -> int:
@@ -186,42 +158,45 @@ def subset_fraction(items: DataFrame, frac: float, seed: int = 0, key: str = "it
     """Seeded subset without replacement of the ``split`` rows; other splits pass through.
 
     The kept rows are the ``k`` smallest ``(md5(key:seed), key)`` pairs, so a
-    smaller fraction with the same seed is nested in a larger one. The k-th
-    pair is found with the distributed index over the two narrow columns only;
-    the rows are then kept by one filter (no join, no sort of the wide rows).
+    smaller fraction with the same seed is nested in a larger one. The hash is
+    uniform, so counting by its first 16 bits tells which prefix holds the k-th
+    pair; only that prefix is sorted. The rows (with a NULL split among the
+    others) are then kept by one filter over one scan.
     """
-    part = items.filter(F.col("split") == split) if split else items
-    rest = items.filter(F.col("split") != split) if split else None
+    inside = F.col("split").eqNullSafe(F.lit(split)) if split else F.lit(True)
     h = hash_key(key, seed)
-    narrow = part.select(h.alias("_h"), F.col(key).alias("_k"))
-    idx, n = with_index_and_count(narrow, ["_h", "_k"])
+    narrow = items.filter(inside).select(h.alias("_h"), F.col(key).alias("_k"))
+    prefix = F.shiftright("_h", 44)
+    counts = sorted((r["p"], r["count"]) for r in narrow.groupBy(prefix.alias("p")).count().collect())  # <= 65536 rows
+    n = sum(c for _, c in counts)
     k = subset_size(n, frac)
+    if k >= n:
+        return items
     if k == 0:
-        kept = part.limit(0)
-    elif k >= n:
-        kept = part
-    else:
-        cut = idx.filter(F.col("idx") == k - 1).first()
-        kept = part.filter(F.struct(h.alias("_h"), F.col(key).alias("_k"))
-                           <= F.struct(F.lit(cut["_h"]).alias("_h"), F.lit(cut["_k"]).alias("_k")))
-    return kept.unionByName(rest) if rest is not None else kept
+        return items.filter(~inside)
+    before = 0
+    for p, c in counts:
+        if before + c >= k:
+            break
+        before += c
+    cut = narrow.filter(prefix == p).orderBy("_h", "_k").offset(k - before - 1).first()
+    pair = F.struct(h.alias("_h"), F.col(key).alias("_k"))
+    last = F.struct(F.lit(cut["_h"]).alias("_h"), F.lit(cut["_k"]).cast(narrow.schema["_k"].dataType).alias("_k"))
+    return items.filter(~inside | (pair <= last))
 
 
 def group_weights(items: DataFrame, group: str = "domain") -> DataFrame:
     """D3: sampling weight ``1 / (G * count(group))`` per row (uniform over groups)."""
     counts = items.groupBy(group).agg(F.count(F.lit(1)).alias("group_n"))
-    # one row per group: the whole-table window runs on the small per-group table
-    counts = counts.withColumn("weight", 1.0 / (F.count(F.lit(1)).over(Window.partitionBy())
-                                                * F.col("group_n")))
-    return join_dimension(items, counts, group)
+    n_groups = counts.count()
+    counts = counts.withColumn("weight", 1.0 / (F.lit(max(n_groups, 1)) * F.col("group_n")))
+    return join_dimension(items, counts, group, n_groups)
 
 
 def _group_index(items: DataFrame, group: str, key: str) -> tuple[DataFrame, DataFrame, int]:
     idx = with_index(items, [group, key], out="_gi")
     starts = idx.groupBy(group).agg(F.min("_gi").alias("_start"), F.count(F.lit(1)).alias("group_n"))
-    # one row per group: numbering groups runs on the small per-group table
-    starts = starts.withColumn("gno", (F.row_number().over(Window.orderBy(group)) - 1).cast("int")).persist()
-    n_groups = starts.count()
+    starts, n_groups = with_index_and_count(starts, group, out="gno")
     gi = (join_dimension(idx, starts, group, n_groups)
           .withColumn("gidx", F.col("_gi") - F.col("_start"))
           .drop("_gi", "_start"))
@@ -254,13 +229,15 @@ def group_balanced_sample(items: DataFrame, n: int, seed: int = 0, group: str =
     draws = items.sparkSession.range(n).withColumnRenamed("id", "draw")
     h1 = hash_key(F.concat(F.col("draw").cast("string"), F.lit(":g")), seed)
     h2 = hash_key(F.concat(F.col("draw").cast("string"), F.lit(":r")), seed)
-    draws = draws.withColumn("gno", F.pmod(h1, F.lit(n_groups)).cast("int"))
+    draws = draws.withColumn("gno", F.pmod(h1, F.lit(n_groups)))
     draws = (join_dimension(draws, starts.select("gno", "group_n"), "gno", n_groups)
                   .withColumn("gidx", F.pmod(h2, F.col("group_n")))
                   .drop("group_n"))
     picks = draws.join(gi.select("gno", "gidx", key), ["gno", "gidx"]).select("draw", key)
     # n draws (a parameter, not the data size) are broadcast into the item scan when bounded
-    return items.join(F.broadcast(picks) if n <= MAX_BROADCAST_ROWS else picks, key)
+    picks = picks.withColumnRenamed(key, "_pick")
+    return (items.join(F.broadcast(picks) if n <= MAX_BROADCAST_ROWS else picks,
+                       F.col(key).eqNullSafe(F.col("_pick"))).drop("_pick"))
 
 
 def shard(items: DataFrame, world: int, rank: int | None = None, pad: bool = True,
@@ -274,15 +251,16 @@ def shard(items: DataFrame, world: int, rank: int | None = None, pad: bool = Tru
     if world <= 0:
         raise ValueError("world must be positive")
     if rank is not None and not 0 <= rank < world:
-        raise ValueError(f"Rank should be in [0, {world}), but got {rank}.")
+        raise ValueError(f"rank {rank} is not one of the {world} shards 0..{world - 1}")
     idx, n = with_index_and_count(items, order, out="position")
     out = idx
     if pad:
         n_pad = min(-(-n // world) * world - n, n)
         if n_pad > 0:
-            extra = idx.filter(F.col("position") < n_pad).withColumn(
-                "position", F.col("position") + F.lit(n))
-            out = out.unionByName(extra)
+            # the first rows appear twice: one explode, so the index is computed once
+            at = F.col("position")
+            places = F.when(at < n_pad, F.array(at, at + n)).otherwise(F.array(at))
+            out = idx.withColumn("position", F.explode(places))
     out = out.withColumn("shard", (F.col("position") % world).cast("int"))
     if rank is not None:
         out = out.filter(F.col("shard") == rank)
@@ -297,19 +275,17 @@ def group_ids(items: DataFrame, fields: Sequence[str], out: str = "group_id") ->
     and codes are computed on that table and joined back to the rows.
     """
     fields = list(fields)
-    combos = items.groupBy(*fields).agg(F.count(F.lit(1)).alias("_n")).persist()
+    combos = items.select(*fields).distinct().persist()
     try:
         code = F.lit(0).cast("bigint")
-        coded = combos.select(*fields)
+        coded = combos
         for f in fields:
-            d = combos.select(f).distinct()
-            # numbering one field's distinct values: the window runs on that small table
-            d = d.withColumn(f"_rank_{f}", (F.row_number().over(Window.orderBy(f)) - 1).cast("bigint"))
-            card = d.count()
-            coded = coded.join(F.broadcast(d) if card <= MAX_BROADCAST_ROWS else d, f)
+            # the distinct values get their rank from the distributed index (NULL first)
+            d, card = with_index_and_count(combos.select(f).distinct(), f, out=f"_rank_{f}")
+            coded = join_dimension(coded, d, f, card)
             code = code * F.lit(card) + F.col(f"_rank_{f}")
-        coded = coded.select(*fields, code.alias(out)).persist()
-        n_combos = coded.count()
+        coded = coded.select(*fields, code.alias(out))
+        n_combos = combos.count()
     finally:
         combos.unpersist()
     return join_dimension(items, coded, fields, n_combos)

@@ -13,6 +13,8 @@ block of classes is bounded, and blocks are scored one after another.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -219,31 +221,29 @@ def predict_table_ordered(items: DataFrame, classes: DataFrame | None = None,
 def score_pairs_blocked(items: DataFrame, classes: DataFrame, scale: float = 100.0,
                         normalize: bool = True, features: str = "features", item_col: str = "item_id",
                         id_col: str = "class_id", vec_col: str = "vec",
-                        max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """J1 for a class side too large to broadcast: a distributed blocked product.
-
-    Classes are cut into id blocks whose matrix fits ``max_bytes``; items are
-    spread over salts by a hash of their key so that one cell (block, salt)
-    yields at most ``CELL_PAIRS`` scores. Every item row is sent to each block,
-    every class row to each salt, and one ``cogroup`` per cell multiplies the
-    two small matrices in numpy. Nothing passes through the driver except the
-    two row counts that size the cells.
+                        cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """J1 for a class side of any size: a distributed blocked product.
+
+    Items and classes are cut into blocks of about ``sqrt(CELL_PAIRS)`` rows by their
+    dense index, so no cell (item block, class block) yields more than ``CELL_PAIRS``
+    scores, whatever the keys. Every row is copied once per block of the other side, and
+    one ``cogroup`` per cell multiplies two small matrices in numpy. Rows without a
+    vector are dropped, as in the broadcast form.
     """
-    n_classes, d = _class_stats(classes, vec_col)
-    n_items = items.count()
-    per_block = max(1, min(max_bytes // max(1, 8 * d), n_classes))
-    n_blocks = -(-n_classes // per_block)
-    items_per_cell = max(1, CELL_PAIRS // per_block)
-    n_salts = max(1, -(-n_items // items_per_cell))
-    it = (items.select(F.col(item_col).cast("long").alias(item_col), features,
-                       F.pmod(F.xxhash64(F.col(item_col)), F.lit(n_salts)).cast("int").alias("_s"))
-               .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    cl = (classes.select(F.col(id_col).cast("int").alias(id_col), F.col(vec_col),
-                         F.expr(f"{id_col} div {per_block}").cast("int").alias("_blk"))
-                 .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1)))))
+    from shiftlab.operators.sampling import with_index_and_count
+    side = max(1, math.isqrt(cell_pairs))
+    left, n = with_index_and_count(items.select(F.col(item_col).cast("long").alias(item_col), features)
+                                   .filter(F.col(features).isNotNull()), item_col, out="_i")
+    right, m = with_index_and_count(classes.select(F.col(id_col).cast("int").alias(id_col), F.col(vec_col))
+                                    .filter(F.col(vec_col).isNotNull()), id_col, out="_j")
+    last_i, last_j = max(-(-n // side) - 1, 0), max(-(-m // side) - 1, 0)
+    left = (left.withColumn("_s", F.expr(f"_i div {side}"))
+                .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(last_j)).cast("array<bigint>"))))
+    right = (right.withColumn("_blk", F.expr(f"_j div {side}"))
+                  .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(last_i)).cast("array<bigint>"))))
     schema = f"{item_col} long, class_id int, score double"
     kernel = _cell_kernel(item_col, id_col, features, vec_col, scale, normalize)
-    return it.groupBy("_blk", "_s").cogroup(cl.groupBy("_blk", "_s")).applyInPandas(kernel, schema)
+    return left.groupBy("_blk", "_s").cogroup(right.groupBy("_blk", "_s")).applyInPandas(kernel, schema)
 
 
 def score_pairs(items: DataFrame, classes: DataFrame, scale: float = 100.0,
@@ -260,5 +260,5 @@ def score_pairs(items: DataFrame, classes: DataFrame, scale: float = 100.0,
                                     features, id_col, vec_col, max_bytes=max_bytes)
     except ClassMatrixTooLarge:
         return score_pairs_blocked(items, classes, scale, normalize, features, item_col,
-                                   id_col, vec_col, max_bytes)
+                                   id_col, vec_col)
     return explode_vector(scored, item_col, "scores", "class_id", "score")

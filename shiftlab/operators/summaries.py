@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab import SPLIT_LABELS, SPLITS
 
+# Keys whose sums a task holds before it sends them on.
+MAX_KEYS_HELD = 20_000
+
 
 def run_summary(run_metrics: DataFrame, by: Sequence[str] = ("split", "metric"),
                 value: str = "value") -> DataFrame:
@@ -45,13 +46,46 @@ def wide_report(summary: DataFrame, splits: Sequence[str] = SPLITS) -> DataFrame
 def vector_mean(df: DataFrame, by: Sequence[str], vec: str = "v", out: str = "mean") -> DataFrame:
     """Element-wise mean of equal-width vectors per key.
 
-    Spark ML's ``Summarizer`` aggregates whole vectors with a partial (map-side)
-    buffer, so the shuffle carries one vector per key and task.
+    Each task adds its vectors up by key in numpy and sends one (key, sum, count) row
+    per key; the sums of the tasks meet by key. Keys may be many: nothing falls back to
+    sorting vectors. NULL vectors do not count; a key without any has no row.
     """
+    import numpy as np
+    import pandas as pd
+
     by = list(by)
-    return (df.select(*by, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
-              .groupBy(*by).agg(Summarizer.mean(F.col("_v")).alias("_m"))
-              .select(*by, vector_to_array("_m").alias(out)))
+    rows = df.select(*by, F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+
+    def add(held, keys, v, n):
+        if keys in held:
+            held[keys][0] += v
+            held[keys][1] += n
+        else:
+            held[keys] = [v.copy(), n]
+
+    def frame(held):
+        keys = list(held)
+        cols = {name: pd.Series([k[i] for k in keys], dtype=object) for i, name in enumerate(by)}
+        return pd.DataFrame({**cols, "_s": [held[k][0] for k in keys], "_n": [held[k][1] for k in keys]})
+
+    def partial(frames):
+        held = {}
+        for f in frames:
+            for keys, g in f.groupby(by, dropna=False, sort=False):
+                add(held, tuple(None if pd.isna(k) else k for k in keys), np.stack(g["_v"].to_numpy()).sum(axis=0), len(g))
+            if len(held) > MAX_KEYS_HELD:
+                yield frame(held)
+                held = {}
+        if held:
+            yield frame(held)
+
+    def total(g: pd.DataFrame) -> pd.DataFrame:
+        first = {name: [g[name].iloc[0]] for name in by}
+        return pd.DataFrame({**first, out: [np.stack(g["_s"].to_numpy()).sum(axis=0) / g["_n"].sum()]})
+
+    sums = rows.mapInPandas(partial, f"{kinds}, _s array<double>, _n long")
+    return sums.groupBy(*by).applyInPandas(total, f"{kinds}, `{out}` array<double>")
 
 
 def swa_mean(params: DataFrame, n_epochs: int, swa_epochs: int, by: Sequence[str] = ("param",),

@@ -117,11 +117,6 @@ FROM fx1 f, fx2 c""")
 ORACLE["linear_scores"] = _LINEAR
 ORACLE["batch_inference"] = _LINEAR
 
-FX["fx12_prob"] = """fx12_prob AS (
-  SELECT item_id, split, y_true, class_id,
-         exp(score - max(score) OVER (PARTITION BY item_id))
-           / sum(exp(score - max(score) OVER (PARTITION BY item_id))) OVER (PARTITION BY item_id) AS prob
-  FROM fx12)"""
 FX["fx12_prob"] = """fx12_prob AS (
   SELECT item_id, split, y_true, class_id, e / sum(e) OVER (PARTITION BY item_id) AS prob FROM (
     SELECT item_id, split, y_true, class_id,
@@ -137,11 +132,10 @@ ORACLE["argmax_predictions"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_
 SELECT item_id, y_pred FROM fx12_pred""")
 
 ORACLE["standardize_pixels"] = """
-SELECT vec_id AS item_id,
-       round((CAST(embedding[1] AS DOUBLE) - 0.48145466) / 0.26862954, 6) AS c0,
-       round((CAST(embedding[2] AS DOUBLE) - 0.4578275) / 0.26130258, 6) AS c1,
-       round((CAST(embedding[3] AS DOUBLE) - 0.40821073) / 0.27577711, 6) AS c2
-FROM embeddings"""
+SELECT vec_id AS item_id, CAST(pos AS INTEGER) AS pos,
+       round((x - [0.48145466, 0.4578275, 0.40821073][pos % 3 + 1])
+             / [0.26862954, 0.26130258, 0.27577711][pos % 3 + 1], 6) AS value
+FROM (SELECT vec_id, UNNEST(CAST(embedding AS DOUBLE[])) AS x, UNNEST(range(len(embedding))) AS pos FROM embeddings)"""
 
 ORACLE["single_domain_filter"] = with_fx(["fx1"], """
 SELECT item_id, split, domain FROM fx1 WHERE split <> 'train' OR domain = 0""")
@@ -340,7 +334,7 @@ SELECT item_id,
 FROM fx3 WHERE run = 0""")
 
 ORACLE["subset_fraction"] = with_fx(["fx3"], """
-, tr AS (SELECT item_id, ('0x' || substr(md5(CAST(item_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h
+, tr AS (SELECT item_id, ('0x' || substr(md5(CAST(item_id AS VARCHAR) || ':7'), 1, 15))::BIGINT AS h
          FROM fx3 WHERE run = 0 AND split = 'train')
 SELECT item_id FROM (
   SELECT item_id, row_number() OVER (ORDER BY h, item_id) AS rn FROM tr)
@@ -356,8 +350,8 @@ ORACLE["group_balanced_sample"] = with_fx(["fx1"], """
         FROM fx1 GROUP BY domain),
 gi AS (SELECT item_id, domain, row_number() OVER (PARTITION BY domain ORDER BY item_id) - 1 AS gidx FROM fx1),
 d AS (SELECT range AS draw,
-             ('0x' || substr(md5(CAST(range AS VARCHAR) || ':g:3'), 1, 8))::BIGINT % (SELECT count(*) FROM g) AS gno,
-             ('0x' || substr(md5(CAST(range AS VARCHAR) || ':r:3'), 1, 8))::BIGINT AS h2
+             ('0x' || substr(md5(CAST(range AS VARCHAR) || ':g:3'), 1, 15))::BIGINT % (SELECT count(*) FROM g) AS gno,
+             ('0x' || substr(md5(CAST(range AS VARCHAR) || ':r:3'), 1, 15))::BIGINT AS h2
       FROM range(1000))
 SELECT d.draw, gi.item_id, gi.domain FROM d JOIN g USING (gno)
 JOIN gi ON gi.domain = g.domain AND gi.gidx = d.h2 % g.group_n""".replace("\n, g AS", ", g AS", 1))
@@ -394,14 +388,14 @@ SELECT 'fmow' AS dataset, CAST(n_nationkey AS INTEGER) AS class_id, lower(n_name
        'a centered satellite photo of ' || lower(n_name) AS prompt FROM nation"""
 
 FX["grid"] = """grid AS (
-  SELECT a.arch, a.arch_ord, p.perc_ord AS perc_pos, p.perc_ord, p.perc_label, l.lr_ord, l.lr_label
+  SELECT a.arch, a.arch_ord, p.perc_ord, p.perc_label, p.perc_raw, l.lr_ord, l.lr_label, l.lr_raw
   FROM (SELECT arch, CAST(row_number() OVER (ORDER BY arch) - 1 AS INTEGER) AS arch_ord
         FROM (SELECT DISTINCT arch FROM fx5)) a,
        (SELECT CAST(row_number() OVER (ORDER BY perc_ord) - 1 AS INTEGER) AS perc_ord,
                CAST(perc_ord / 100.0 AS VARCHAR) AS perc_label, perc_ord AS perc_raw
         FROM (SELECT DISTINCT perc_ord FROM fx5)) p,
        (SELECT CAST(row_number() OVER (ORDER BY lr_ord) - 1 AS INTEGER) AS lr_ord,
-               CAST(lr_ord / 100.0 AS VARCHAR) AS lr_label
+               CAST(lr_ord / 100.0 AS VARCHAR) AS lr_label, lr_ord AS lr_raw
         FROM (SELECT DISTINCT lr_ord FROM fx5)) l)"""
 
 ORACLE["grid_expand_train"] = with_fx(["fx5", "grid"], """
@@ -433,12 +427,12 @@ SELECT g.arch, p.perc_raw AS perc_ord, l.lr_raw AS lr_ord, r.run FROM
 WHERE NOT EXISTS (SELECT 1 FROM fx7_present x WHERE x.arch = g.arch AND x.perc_ord = p.perc_raw
                   AND x.lr_ord = l.lr_raw AND x.run = r.run)""")
 
-ORACLE["grid_results_join"] = with_fx(["fx5", "fx5_summary"], """
-SELECT arch, perc_ord, lr_ord, round(id_mean, 6) AS id_mean, round(ood_mean, 6) AS ood_mean
-FROM fx5_summary WHERE perc_ord <> 0
-UNION ALL
-SELECT arch || '_swa' AS arch, perc_ord, lr_ord, round(id_mean, 6) AS id_mean, round(ood_mean, 6) AS ood_mean
-FROM fx5_summary WHERE perc_ord <> 0 AND arch = 'NO'""")
+ORACLE["grid_results_join"] = with_fx(["fx5", "fx5_summary", "grid"], """
+SELECT g.arch, g.perc_raw AS perc_ord, g.lr_raw AS lr_ord, round(s.id_mean, 6) AS id_mean,
+       round(s.ood_mean, 6) AS ood_mean
+FROM (SELECT * FROM grid UNION ALL SELECT 'NO_swa' AS arch, * EXCLUDE (arch) FROM grid WHERE arch = 'NO') g
+LEFT JOIN fx5_summary s ON s.arch = replace(g.arch, '_swa', '') AND s.perc_ord = g.perc_raw AND s.lr_ord = g.lr_raw
+WHERE g.perc_raw <> 0""")
 
 # --- M ---------------------------------------------------------------------------
 
@@ -516,3 +510,119 @@ FROM fx5_best GROUP BY arch""")
 
 ORACLE["streaming_report"] = with_fx(["fx3", "prf", "fx3_metrics"], """
 SELECT run, split, metric, round(value, 6) AS value FROM fx3_metrics""")
+
+# --- wide vocabularies, nullable groups, other group types -------------------------
+
+ORACLE["wide_softmax_probs"] = with_fx(["fx1", "fx1_long"], """
+, w AS (SELECT class_id, list(v ORDER BY pos) AS vec FROM (
+    SELECT item_id % 182 AS class_id, pos, avg(x) AS v FROM fx1_long GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT f.item_id, w.class_id, 100.0 * list_dot_product(f.features, w.vec)
+        / (sqrt(list_dot_product(f.features, f.features)) * sqrt(list_dot_product(w.vec, w.vec))) AS score
+      FROM fx1 f, w),
+e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY item_id)) AS e FROM s)
+SELECT item_id, CAST(class_id AS INTEGER) AS class_id, round(e / sum(e) OVER (PARTITION BY item_id), 6) AS prob
+FROM e""".replace("\n, w AS", ", w AS", 1))
+
+FX["fx1n"] = """fx1n AS (SELECT * REPLACE (nullif(domain, 3) AS domain) FROM fx1)"""
+
+ORACLE["group_weights_nullable"] = with_fx(["fx1", "fx1n"], """
+SELECT item_id, domain,
+       round(1.0 / (count(*) OVER (PARTITION BY domain)
+                    * (SELECT count(*) FROM (SELECT DISTINCT domain FROM fx1n))), 9) AS weight
+FROM fx1n""")
+
+ORACLE["group_balanced_nullable"] = with_fx(["fx1", "fx1n"], """
+, g AS (SELECT domain, CAST(row_number() OVER (ORDER BY domain NULLS FIRST) - 1 AS BIGINT) AS gno, count(*) AS group_n
+        FROM fx1n GROUP BY domain),
+gi AS (SELECT item_id, domain, row_number() OVER (PARTITION BY domain ORDER BY item_id) - 1 AS gidx FROM fx1n),
+d AS (SELECT range AS draw,
+             ('0x' || substr(md5(CAST(range AS VARCHAR) || ':g:5'), 1, 15))::BIGINT % (SELECT count(*) FROM g) AS gno,
+             ('0x' || substr(md5(CAST(range AS VARCHAR) || ':r:5'), 1, 15))::BIGINT AS h2
+      FROM range(1000))
+SELECT d.draw, gi.item_id, gi.domain FROM d JOIN g USING (gno)
+JOIN gi ON gi.domain IS NOT DISTINCT FROM g.domain AND gi.gidx = d.h2 % g.group_n""".replace("\n, g AS", ", g AS", 1))
+
+ORACLE["group_ids_nullable"] = with_fx(["fx1", "fx1n"], """
+SELECT item_id,
+       (dense_rank() OVER (ORDER BY domain NULLS FIRST) - 1) * (SELECT count(DISTINCT y_true) FROM fx1n)
+       + (dense_rank() OVER (ORDER BY y_true) - 1) AS group_id
+FROM fx1n""")
+
+FX["fx3_metrics_segment"] = FX["fx3_metrics"].replace("fx3_metrics AS", "fx3_metrics_segment AS") \
+    .replace("SELECT run, split, domain, avg", "SELECT run, split, segment, avg")
+ORACLE["evaluation_report_segment"] = _wide("fx3_metrics_segment", ["fx3", "prf"])
+
+ORACLE["prediction_table_ordered"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_prob"], """
+SELECT i.idx, p.item_id, p.y_true, CAST(p.class_id AS INTEGER) AS class_id, round(p.prob, 6) AS prob,
+       (SELECT count(*) FROM fx1) AS n_rows
+FROM fx12_prob p JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM fx1) i USING (item_id)""")
+
+ORACLE["score_pairs_blocked"] = _SCORES
+
+ORACLE["top_k_per_class_large_k"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_prob"], """
+SELECT class_id, rank, item_id FROM (
+  SELECT CAST(class_id AS INTEGER) AS class_id, item_id,
+         CAST(row_number() OVER (PARTITION BY class_id ORDER BY round(prob, 12) DESC, item_id) AS INTEGER) AS rank
+  FROM fx12_prob) WHERE rank <= 5000""")
+
+# --- the limited-data study ---------------------------------------------------------------
+
+FX["study"] = """study AS (
+  SELECT arch, perc_ord, perc_ord / 100.0 AS perc,
+         CASE WHEN perc_ord = 0 THEN '0' ELSE CAST(perc_ord / 100.0 AS VARCHAR) END AS perc_label,
+         CASE WHEN perc_ord = 0 THEN NULL ELSE CAST(lr_ord / 100.0 AS VARCHAR) END AS lr_label,
+         id_mean, ood_mean, id_std, ood_std FROM fx5_best
+  UNION ALL
+  SELECT arch || '_swa' AS arch, perc_ord, perc_ord / 100.0 AS perc, CAST(perc_ord / 100.0 AS VARCHAR) AS perc_label,
+         CAST(lr_ord / 100.0 AS VARCHAR) AS lr_label, id_mean, ood_mean, id_std, ood_std
+  FROM fx5_best WHERE arch = 'NO' AND perc_ord <> 0)"""
+_STUDY = ["fx5", "fx5_summary", "fx5_best", "study"]
+
+ORACLE["limited_data_results"] = with_fx(_STUDY, """
+SELECT arch, perc_label, lr_label, round(id_mean, 6) AS id_mean, round(ood_mean, 6) AS ood_mean,
+       round(id_std, 6) AS id_std, round(ood_std, 6) AS ood_std FROM study""")
+
+ORACLE["limited_data_curve"] = with_fx(_STUDY, """
+SELECT arch, arch AS label, round(perc, 6) AS perc, 'ID Test' AS split, round(id_mean, 6) AS value,
+       round(id_std, 6) AS err FROM study
+UNION ALL
+SELECT arch, arch AS label, round(perc, 6) AS perc, 'OOD Test' AS split, round(ood_mean, 6) AS value,
+       round(ood_std, 6) AS err FROM study""")
+
+ORACLE["limited_data_json"] = with_fx(_STUDY, """
+SELECT arch, CAST(to_json(map(list(perc_label ORDER BY perc_ord),
+                         list([CAST(id_mean AS DECIMAL(18, 6)), CAST(ood_mean AS DECIMAL(18, 6)),
+                               CAST(id_std AS DECIMAL(18, 6)), CAST(ood_std AS DECIMAL(18, 6))]
+                              ORDER BY perc_ord))) AS VARCHAR) AS json
+FROM study GROUP BY arch""")
+
+ORACLE["summary_parquet_roundtrip"] = with_fx(["fx5", "fx5_summary"], """
+SELECT arch, perc_ord, lr_ord, round(id_mean, 6) AS id_mean, round(ood_mean, 6) AS ood_mean
+FROM fx5_summary WHERE arch = 'NO'""")
+
+ORACLE["grid_label_roundtrip"] = with_fx(["fx5"], """
+SELECT 'fmow_' || a.arch || '_perctrain_' || p.perc_ord || '_lr_' || (l.lr_ord + 1) || 'e-05' AS name,
+       CAST(p.perc_ord AS VARCHAR) AS perc_label, (l.lr_ord + 1) || 'e-05' AS lr_label
+FROM (SELECT DISTINCT arch FROM fx5) a, (SELECT DISTINCT perc_ord FROM fx5 WHERE perc_ord > 0) p,
+     (SELECT DISTINCT lr_ord FROM fx5) l""")
+
+# --- zero-shot from prompts -----------------------------------------------------------------
+
+ORACLE["zero_shot_prompts"] = """
+WITH w AS (SELECT 'd' AS side, doc_id AS id, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS w FROM documents
+  UNION ALL
+  SELECT 'c', n_nationkey, unnest(string_split_regex('a centered satellite photo of ' || lower(n_name), '\\s+'))
+  FROM nation),
+b AS (SELECT side, id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS n FROM w
+      WHERE w <> '' GROUP BY ALL),
+norms AS (SELECT side, id, sqrt(sum(n * n)) AS norm FROM b GROUP BY ALL),
+dots AS (SELECT d.id AS item_id, c.id AS class_id, sum(d.n * c.n) AS dot
+         FROM b d JOIN b c ON d.side = 'd' AND c.side = 'c' AND d.b = c.b GROUP BY ALL),
+s AS (SELECT i.id AS item_id, c.id AS class_id, round(100.0 * coalesce(x.dot, 0) / (i.norm * c.norm), 9) AS score
+      FROM norms i JOIN norms c ON i.side = 'd' AND c.side = 'c'
+      LEFT JOIN dots x ON x.item_id = i.id AND x.class_id = c.id),
+p AS (SELECT item_id, class_id AS y_pred FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, class_id) AS r FROM s) WHERE r = 1)
+SELECT CASE WHEN item_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, CAST(item_id % 4 AS INTEGER) AS domain,
+       CAST(y_pred AS INTEGER) AS y_pred, avg(CAST(item_id % 25 = y_pred AS DOUBLE)) AS acc, count(*) AS n
+FROM p GROUP BY ALL"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shiftlab.functions import vectors as V
 from shiftlab.operators import (experiments, inference, metrics, retrieval, sampling, scoring,
                                 selection, summaries)
-from shiftlab.plans import probe, report, retrieval_eval, zero_shot
+from shiftlab.plans import limited_data, probe, report, retrieval_eval, zero_shot
 from shiftlab.session import scratch_path
 from shiftlab.sources import classes as S2
 from shiftlab.sources import fixtures as fx
@@ -24,7 +24,7 @@ from shiftlab.sources import grid as S3
 from shiftlab.sources import items as S1
 from shiftlab.sources import logs as S67
 from shiftlab.sources import reports as S45
-from shiftlab.sources.tables import read_table
+from shiftlab.sources.tables import is_folder, read_table
 from shiftlab.streaming.evaluation import streaming_confusion
 from shiftlab.streaming.top_n import streaming_top_n
 
@@ -102,8 +102,8 @@ def q_prediction_table(spark, d):
 
 @register("standardize_pixels")
 def q_standardize_pixels(spark, d):
-    px = fx.embedding_pixels(spark, d).select("item_id", V.standardize("pixel").alias("z"))
-    return px.select("item_id", *[r6(F.element_at("z", i + 1)).alias(f"c{i}") for i in range(3)])
+    px = fx.embedding_pixels(spark, d).select("item_id", F.posexplode(V.standardize("pixel")).alias("pos", "value"))
+    return px.select("item_id", "pos", r6("value").alias("value"))
 
 
 # --- J / F: joins and filters ----------------------------------------------
@@ -158,10 +158,11 @@ def q_macro_f1(spark, d):
 @register("epoch_loss")
 def q_epoch_loss(spark, d):
     items, classes = _items_and_classes(spark, d)
-    # score first: the batch index then carries the C-wide scores, not the features
     scored = scoring.contrastive_scores(items.select("item_id", "split", "features", "y_true"), classes)
-    gi = sampling.group_index(scored.drop("features"), "split")
-    loss = metrics.epoch_loss(gi.withColumn("batch", F.expr("gidx div 32")), ["split"], "batch")
+    # one number per row before the rows are indexed: neither features nor scores are shuffled
+    ce = scored.select("item_id", "split", V.cross_entropy("scores", "y_true").alias("ce"))
+    gi = sampling.group_index(ce, "split")
+    loss = metrics.epoch_loss(gi.withColumn("batch", F.expr("gidx div 32")), ["split"], "batch", row_loss="ce")
     return loss.select("split", r6("loss").alias("loss"), "n_batches")
 
 
@@ -434,13 +435,17 @@ def q_recall_json(spark, d):
     items = fx.embedding_items(spark, d)
     rec = retrieval_eval.retrieval_recalls(items, _run_classes(items), 3, _n_classes(items), k=20)
     rec = rec.withColumn("arch", F.lit("centroid")).withColumn("dataset", F.lit("embeddings"))
-    return S67.recall_json(rec)
+    path = scratch_path(spark, "recall-json")
+    S67.write_json_lines(S67.recall_json(rec, digits=6), path)
+    back = S67.read_json_lines(spark, path)
+    return back.select(F.get_json_object("json", "$.arch").alias("arch"),
+                       F.get_json_object("json", "$.dataset").alias("dataset"), "json")
 
 
 @register("best_results_json")
 def q_best_results_json(spark, d):
     b = _best(spark, d).withColumn("perc_label", (F.col("perc_ord") / 100.0).cast("string"))
-    return S67.best_results_json(b)
+    return S67.best_results_json(b, digits=6)
 
 
 def _raw_keys(g: DataFrame) -> DataFrame:
@@ -509,10 +514,13 @@ def q_learning_curve(spark, d):
 # --- R: streaming ------------------------------------------------------------
 
 def table_stream(spark, d, name):
-    """A file stream over one table of the data folder (new files arrive as batches)."""
-    schema = read_table(spark, d, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                 .option("maxFilesPerTrigger", 1).parquet(d))
+    """A file stream over one table of the data folder, one file or a folder of part files
+    (new files arrive as batches)."""
+    path = f"{d.rstrip('/')}/{name}.parquet"
+    reader = (spark.readStream.schema(read_table(spark, d, name).schema).option("maxFilesPerTrigger", 1))
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)   # a file source watches folders
 
 
 @register("streaming_top_n")
@@ -554,3 +562,165 @@ def q_batch_inference(spark, d):
     out = inference.infer(items.select("item_id", "features"), inference.linear_model_factory(W, b),
                           width=W.shape[1])
     return _long_scores(out)
+
+
+# --- wide vocabularies, nullable groups, other group types -------------------------
+
+WIDE_CLASSES = 182
+
+
+@register("wide_softmax_probs")
+def q_wide_softmax_probs(spark, d):
+    """P4 over 182 classes: centroids by ``vec_id % 182``."""
+    items = fx.embedding_items(spark, d)
+    wide = items.select((F.col("item_id") % WIDE_CLASSES).cast("int").alias("class_id"), F.col("features").alias("v"))
+    classes = summaries.vector_mean(wide, ["class_id"], "v", out="vec")
+    s = scoring.contrastive_scores(items.select("item_id", "features"), classes)
+    return _long_scores(s.select("item_id", V.softmax("scores").alias("scores")), "prob")
+
+
+def _nullable_items(spark, d):
+    """FX1 with domain 3 unknown."""
+    return fx.embedding_items(spark, d).withColumn("domain", F.expr("nullif(domain, 3)"))
+
+
+@register("group_weights_nullable")
+def q_group_weights_nullable(spark, d):
+    w = sampling.group_weights(_nullable_items(spark, d))
+    return w.select("item_id", "domain", F.round("weight", 9).alias("weight"))
+
+
+@register("group_balanced_nullable")
+def q_group_balanced_nullable(spark, d):
+    s = sampling.group_balanced_sample(_nullable_items(spark, d), n=1000, seed=5)
+    return s.select("draw", "item_id", "domain")
+
+
+@register("group_ids_nullable")
+def q_group_ids_nullable(spark, d):
+    return sampling.group_ids(_nullable_items(spark, d), ["domain", "y_true"]).select("item_id", "group_id")
+
+
+@register("evaluation_report_segment")
+def q_evaluation_report_segment(spark, d):
+    w = report.evaluation_report(fx.order_predictions(spark, d), group="segment")
+    return w.select("metric", *[r6(c).alias(c) for c in w.columns if c != "metric"])
+
+
+@register("prediction_table_ordered")
+def q_prediction_table_ordered(spark, d):
+    """P6 as evaluation writes it: position in scan order, probabilities, labels, row count."""
+    items, classes = _items_and_classes(spark, d)
+    p, n = scoring.predict_table_ordered(items, classes)
+    long = V.explode_vector(p, ["idx", "item_id", "y_true"], "probs", "class_id", "prob")
+    return long.select("idx", "item_id", "y_true", "class_id", r6("prob").alias("prob"),
+                       F.lit(n).cast("bigint").alias("n_rows"))
+
+
+@register("score_pairs_blocked")
+def q_score_pairs_blocked(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    return scoring.score_pairs_blocked(items, classes).select("item_id", "class_id", r6("score").alias("score"))
+
+
+@register("top_k_per_class_large_k")
+def q_top_k_per_class_large_k(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    return retrieval.top_k_per_class(scoring.predict_table(items, classes), k=5000).select("class_id", "rank", "item_id")
+
+
+# --- the limited-data study ------------------------------------------------------------
+
+STUDY_DATASET, STUDY_SWA = "fmow", ["NO"]
+
+
+def _study(spark, d):
+    """Grid file and report files of a study over the FX5 results, read back and joined."""
+    res = fx.lineitem_grid_results(spark, d).persist()
+    try:
+        grid_path = scratch_path(spark, "grid")
+        S3.write_grid(S3.grid_from_results(res), grid_path)
+        grid = S3.read_grid(spark, grid_path)
+        runs = limited_data.study_runs(grid, STUDY_DATASET, STUDY_SWA)
+        values = res.groupBy("arch", "perc_ord", "lr_ord").agg(
+            F.avg("id_metric").alias("id_mean"), F.avg("ood_metric").alias("ood_mean"),
+            F.stddev_samp("id_metric").alias("id_std"), F.stddev_samp("ood_metric").alias("ood_std"))
+        keyed = runs.select(
+            "name", F.regexp_replace("arch", "_swa$", "").alias("arch"),
+            F.round(F.col("perc") * 100).cast("int").alias("perc_ord"),
+            F.coalesce(F.round(F.col("lr") * 100).cast("int"), F.lit(0)).alias("lr_ord"))
+        cell = F.explode(F.array(*[
+            F.struct(F.lit(split).alias("split"), F.lit(metric).alias("metric"),
+                     (F.col(mean) * scale).alias("mean"), F.col(std).alias("std"))
+            for split, mean, std in (("id_test", "id_mean", "id_std"), ("test", "ood_mean", "ood_std"))
+            for metric, scale in (("acc_avg", 1.0), ("F1-macro_all", 0.5))]))
+        summary = keyed.join(values, ["arch", "perc_ord", "lr_ord"]).select("name", cell.alias("c")).select("name", "c.*")
+        report_path = scratch_path(spark, "reports")
+        S45.write_reports(summary, report_path)
+    finally:
+        res.unpersist()
+    reports = S45.read_reports(spark, report_path)
+    return limited_data.best_settings(limited_data.study_results(grid, reports, STUDY_DATASET, STUDY_SWA))
+
+
+@register("limited_data_results")
+def q_limited_data_results(spark, d):
+    b = _study(spark, d)
+    return b.select("arch", "perc_label", "lr_label", *[r6(c).alias(c) for c in ("id_mean", "ood_mean", "id_std", "ood_std")])
+
+
+@register("limited_data_curve")
+def q_limited_data_curve(spark, d):
+    c = selection.curve_series(_study(spark, d), error_bars=True)
+    return c.select("arch", "label", r6("perc").alias("perc"), "split", r6("value").alias("value"), r6("err").alias("err"))
+
+
+@register("limited_data_json")
+def q_limited_data_json(spark, d):
+    return S67.best_results_json(_study(spark, d), digits=6)
+
+
+@register("summary_parquet_roundtrip")
+def q_summary_parquet_roundtrip(spark, d):
+    """S5 long form: all summaries by architecture folder, one architecture read back."""
+    path = scratch_path(spark, "summaries")
+    S45.write_summary_parquet(_fx5_summary(spark, d), path)
+    back = S45.read_summary_parquet(spark, path).filter(F.col("arch") == "NO")
+    return back.select("arch", "perc_ord", "lr_ord", r6("id_mean").alias("id_mean"), r6("ood_mean").alias("ood_mean"))
+
+
+@register("grid_label_roundtrip")
+def q_grid_label_roundtrip(spark, d):
+    """Run names from a grid whose labels are whole numbers and numbers with exponents."""
+    res = fx.lineitem_grid_results(spark, d)
+    grid = res.agg(F.sort_array(F.collect_set("arch")).alias("archs"),
+                   F.transform(F.sort_array(F.collect_set("perc_ord")), lambda x: x.cast("string")).alias("percs"),
+                   F.transform(F.sort_array(F.collect_set("lr_ord")),
+                               lambda x: F.concat((x + 1).cast("string"), F.lit("e-05"))).alias("lrs"))
+    path = scratch_path(spark, "grid")
+    S3.write_grid(grid, path)
+    rows = experiments.run_names(experiments.expand_grid(S3.read_grid(spark, path), "train"), "fmow")
+    return rows.select("name", "perc_label", "lr_label")
+
+
+# --- zero-shot from prompts --------------------------------------------------------------
+
+PROMPT_WIDTH = 64
+
+
+@register("zero_shot_prompts")
+def q_zero_shot_prompts(spark, d):
+    """M2 from prompts: prompt dimension (S2) -> text encoder (U1) -> class vectors, and the
+    documents through the same encoder."""
+    encoder = inference.hashed_words_factory(PROMPT_WIDTH)
+    classes = inference.encode_text(_nation_classes(spark, d), encoder).select("class_id", "vec")
+    docs = read_table(spark, d, "documents").select(
+        F.col("doc_id").alias("item_id"), "text", (F.col("doc_id") % 25).cast("int").alias("y_true"),
+        (F.col("doc_id") % 4).cast("int").alias("domain"),
+        F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    items = inference.encode_text(docs, encoder, "text", "features").drop("text")
+    scored = scoring.contrastive_scores(items, classes)
+    # equal scores differ in the last bits between engines: compare at 9 digits, first class wins
+    pred = V.argmax_class(F.transform("scores", lambda x: F.round(x, 9))).alias("y_pred")
+    preds = scored.select("split", "item_id", "y_true", "domain", pred)
+    return metrics.group_accuracy(preds.filter(F.col("y_pred").isNotNull()), ["split", "domain"], "y_pred")

@@ -16,7 +16,7 @@ TEXT_PREFIX = {
 def prompt_prefix(dataset: str) -> str:
     name = dataset.lower().replace("_0", "")
     if name not in TEXT_PREFIX:
-        raise ValueError(f"Dataset {dataset} not supported")
+        raise ValueError(f"no prompt prefix is known for {dataset!r}")
     return TEXT_PREFIX[name]
 
 

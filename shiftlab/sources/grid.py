@@ -29,12 +29,13 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_grid(grid: DataFrame, path: str) -> None:
-    """Write a one-row grid as JSON (numbers as JSON numbers)."""
-    out = grid.select(
-        "archs",
-        F.transform("percs", lambda x: x.cast("double")).alias("percs"),
-        F.transform("lrs", lambda x: x.cast("double")).alias("lrs"))
-    out.coalesce(1).write.mode("overwrite").json(path)
+    """Write a one-row grid as JSON. A label's own text is the JSON number, so reading it
+    back gives the same label (``1e-05``, ``1``), which names the run's files."""
+    def numbers(c):
+        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("]"))
+    line = F.concat(F.lit('{"archs":'), F.to_json("archs"), F.lit(',"percs":'), numbers("percs"),
+                    F.lit(',"lrs":'), numbers("lrs"), F.lit("}"))
+    grid.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def grid_from_results(results: DataFrame, arch: str = "arch", perc_ord: str = "perc_ord",

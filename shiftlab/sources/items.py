@@ -44,7 +44,7 @@ def read_items(spark: SparkSession, source, dataset: str | None = None,
     if check:
         present = {r[0] for r in df.select("split").distinct().collect()}
         if dataset is not None and not present:
-            raise ValueError(f"Dataset {dataset} not supported")
+            raise ValueError(f"the items hold no dataset named {dataset!r}")
         for s in splits:
             if s not in present:
                 if s == "train":

@@ -37,7 +37,7 @@ def _fixed(c: F.Column, digits: int | None) -> F.Column:
 
 
 def recall_json(recalls: DataFrame, keys=("arch", "dataset"), run: str = "run",
-                value: str = "recall_at_k", digits: int | None = 6) -> DataFrame:
+                value: str = "recall_at_k", digits: int | None = None) -> DataFrame:
     """``{arch, dataset, recall_at_k: [per run]}`` as one JSON string per key."""
     keys = list(keys)
     v = _fixed(F.col(value), digits)
@@ -47,7 +47,7 @@ def recall_json(recalls: DataFrame, keys=("arch", "dataset"), run: str = "run",
 
 
 def best_results_json(best: DataFrame, arch: str = "arch", perc_label: str = "perc_label",
-                      perc_ord: str = "perc_ord", digits: int | None = 6) -> DataFrame:
+                      perc_ord: str = "perc_ord", digits: int | None = None) -> DataFrame:
     """Per arch, ``{fraction: [id, ood, id_std, ood_std]}`` in fraction order."""
     def r(c):
         return _fixed(F.col(c), digits)
@@ -61,3 +61,8 @@ def best_results_json(best: DataFrame, arch: str = "arch", perc_label: str = "pe
 def write_json_lines(df: DataFrame, path: str, col: str = "json") -> None:
     """Write a column of JSON strings as text files."""
     df.select(col).write.mode("overwrite").text(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, col: str = "json") -> DataFrame:
+    """The JSON strings written by ``write_json_lines``, one per row."""
+    return spark.read.text(path).withColumnRenamed("value", col)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlab import SPLIT_LABELS, SPLITS
-from shiftlab.sources.schemas import REPORT_CSV
 
 
 def _header_rows(spark: SparkSession, splits: Sequence[str]):
@@ -43,10 +42,11 @@ def write_reports(summary: DataFrame, path: str, name_col: str | None = "name",
             i += 1
     body = wide.select(*keys, F.lit(2).alias("_o"), *vals)
     h = _header_rows(spark, splits)
-    hdr = spark.createDataFrame([(0, *h[0]), (1, *h[1])], ["_o"] + [f"c{j}" for j in range(11)])
+    width = 1 + 2 * len(splits)
+    hdr = spark.createDataFrame([(0, *h[0]), (1, *h[1])], ["_o"] + [f"c{j}" for j in range(width)])
     if keys:
         hdr = _per_name_headers(summary, name_col, hdr)
-    out = body.unionByName(hdr.select(*keys, "_o", *[f"c{j}" for j in range(11)]))
+    out = body.unionByName(hdr.select(*keys, "_o", *[f"c{j}" for j in range(width)]))
     if keys:
         out = out.repartition(name_col).sortWithinPartitions(name_col, "_o", "c0")
         out.drop("_o").write.mode("overwrite").partitionBy(name_col).option("emptyValue", "").csv(path)
@@ -68,6 +68,16 @@ def write_report(summary: DataFrame, path: str, splits: Sequence[str] = SPLITS)
     write_reports(summary, path, name_col=None, splits=splits)
 
 
+def write_summary_parquet(summary: DataFrame, path: str, arch_col: str = "arch") -> None:
+    """S5, long form: all summary rows as Parquet, a folder per architecture."""
+    summary.write.mode("overwrite").partitionBy(arch_col).parquet(path)
+
+
+def read_summary_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """The long summary back; a filter on the architecture reads its folder only."""
+    return spark.read.parquet(path)
+
+
 def read_reports(spark: SparkSession, path: str, splits: Sequence[str] = SPLITS) -> DataFrame:
     """Long rows ``(file, [name,] metric, split, mean, std)`` from wide report CSVs.
 
@@ -75,16 +85,15 @@ def read_reports(spark: SparkSession, path: str, splits: Sequence[str] = SPLITS)
     ``metric is not null`` filter. In each split the first column is the mean
     and the second the std.
     """
-    df = (spark.read.schema(REPORT_CSV).option("basePath", path).csv(path)
-               .withColumn("file", F.col("_metadata.file_path")))
+    schema = ", ".join(f"c{j} string" for j in range(1 + 2 * len(splits)))
+    df = spark.read.schema(f"{schema}, name string").option("basePath", path).csv(path)
+    df = df.withColumn("file", F.col("_metadata.file_path"))
     df = df.filter(F.col("c0").isNotNull() & (F.col("c0") != ""))
     pairs = []
     for i, s in enumerate(splits):
         pairs += [F.lit(s), F.col(f"c{2 * i + 1}").cast("double"), F.col(f"c{2 * i + 2}").cast("double")]
-    stacked = df.select("file", F.col("c0").alias("metric"), F.explode(F.array(*[
+    stacked = df.select("file", "name", F.col("c0").alias("metric"), F.explode(F.array(*[
         F.struct(pairs[3 * j].alias("split"), pairs[3 * j + 1].alias("mean"), pairs[3 * j + 2].alias("std"))
         for j in range(len(splits))])).alias("s"))
-    out = stacked.select("file", "metric", "s.split", "s.mean", "s.std")
-    # experiment name from the name=<experiment> folder written by write_reports (NULL otherwise)
-    name = F.regexp_extract("file", r"/name=([^/]+)/", 1)
-    return out.withColumn("name", F.when(name != "", F.url_decode(name)))
+    # the name is the partition column of the folders written by write_reports (NULL without)
+    return stacked.select("file", "metric", "s.split", "s.mean", "s.std", "name")

@@ -33,6 +33,3 @@ GRID = T.StructType([
     T.StructField("percs", T.ArrayType(T.StringType())),
     T.StructField("lrs", T.ArrayType(T.StringType())),
 ])
-
-# Wide report CSV: metric name then (mean, std) for each of the five splits.
-REPORT_CSV = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(11)])

@@ -12,6 +12,13 @@ def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(data_dir, f"{name}.parquet"))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system Spark can read is a folder."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin the rows over the cluster when the scan has fewer splits than cores.
 

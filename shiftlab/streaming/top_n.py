@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shiftlab.session import scratch_path
 
 
-def _slot(state_path: str, batch_id: int) -> str:
+def slot_path(state_path: str, batch_id: int) -> str:
     return f"{state_path}/slot={batch_id % 2}"
 
 
@@ -52,8 +52,12 @@ def merge_top_n(batch: DataFrame, prev: DataFrame | None, n: int, key: str, scor
 
 def streaming_top_n(scored_stream: DataFrame, n: int, key: str = "item_id", score: str = "similarity",
                     state_path: str | None = None, checkpoint: str | None = None,
-                    available_now: bool = True) -> DataFrame:
-    """Run the stream to the end (``availableNow``) and return the final top-N."""
+                    available_now: bool = True):
+    """Run the stream to the end (``availableNow``) and return the final top-N.
+
+    With ``available_now=False`` the stream goes on: its query handle is returned, and
+    ``latest_state(spark, state_path)`` (give a ``state_path``) is the top-N so far.
+    """
     spark = scored_stream.sparkSession
     state_path = state_path or scratch_path(spark, "topn-state")
     checkpoint = checkpoint or scratch_path(spark, "topn-ckpt")
@@ -61,11 +65,13 @@ def streaming_top_n(scored_stream: DataFrame, n: int, key: str = "item_id", scor
     def on_batch(df: DataFrame, batch_id: int) -> None:
         prev = latest_state(spark, state_path, before=batch_id)
         merged = merge_top_n(df, prev, n, key, score).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        merged.coalesce(1).write.mode("overwrite").parquet(_slot(state_path, batch_id))
+        merged.coalesce(1).write.mode("overwrite").parquet(slot_path(state_path, batch_id))
 
     w = scored_stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     q = w.start()
+    if not available_now:
+        return q
     q.awaitTermination()
     final = latest_state(spark, state_path)
     if final is None:

@@ -99,10 +99,10 @@ def test_domain_filter_only_train(spark):
     assert out.filter(F.col("split") == "test").count() == 4
 
 
-@pytest.mark.parametrize("method", ["quantile", "checkpoint"])
-def test_with_index_methods_agree(spark, method):
+@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
+def test_with_index_is_the_same_for_any_number_of_ranges(spark, ranges):
     df = spark.createDataFrame([(i * 7 % 101, f"t{i}", i) for i in range(300)] + [(None, "n", 999)],
                                "k long, payload string, item_id long")
-    out = sampling.with_index(df, ["k", "item_id"], method=method).collect()
+    out = sampling.with_index(df, ["k", "item_id"], n_buckets=ranges).collect()
     ref = sorted(out, key=lambda r: (r.k is not None, r.k if r.k is not None else 0, r.item_id))
     assert [r.idx for r in ref] == list(range(301))           # NULL key first, then ascending

@@ -51,7 +51,7 @@ def test_size_bound_and_blocked_long_form(spark):
     with pytest.raises(scoring.ClassMatrixTooLarge):
         scoring.contrastive_scores(items, classes, max_bytes=1000)
     direct = scoring.score_pairs(items, classes).orderBy("item_id", "class_id").collect()
-    blocked = scoring.score_pairs(items, classes, max_bytes=64 * 8 * 3).orderBy("item_id", "class_id").collect()
+    blocked = scoring.score_pairs_blocked(items, classes).orderBy("item_id", "class_id").collect()
     assert len(direct) == len(blocked)
     assert all(a.item_id == b.item_id and a.class_id == b.class_id and abs(a.score - b.score) < 1e-9
                for a, b in zip(direct, blocked))
@@ -69,10 +69,9 @@ def test_predict_table_probabilities(spark):
     assert all(abs(sum(r.probs) - 1.0) < 1e-9 for r in rows)
 
 
-def test_blocked_product_with_many_cells(spark, monkeypatch):
+def test_blocked_product_with_many_cells(spark):
     items, classes = _items_classes(spark)
-    monkeypatch.setattr(scoring, "CELL_PAIRS", 60)       # many item salts per class block
-    blocked = scoring.score_pairs_blocked(items, classes, max_bytes=64 * 8 * 4)
+    blocked = scoring.score_pairs_blocked(items, classes, cell_pairs=16)      # 4 x 4 cells
     direct = {(r.item_id, r.class_id): r.score for r in scoring.score_pairs(items, classes).collect()}
     got = {(r.item_id, r.class_id): r.score for r in blocked.collect()}
     assert got.keys() == direct.keys()
