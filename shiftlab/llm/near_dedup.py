@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,22 +31,22 @@ from shiftlab.llm.common import components, fresh, maybe_in, saved
 BANDS, ROWS, COORDINATES = 32, 4, 512
 SLACK = 0.1
 TILE = 1024
-#: Texts are handled in pieces of about so many characters.
-PIECE_CHARS = 4_000_000
+#: Texts are handled in pieces of about so many bytes.
+PIECE_BYTES = 3_000_000
 
 _SKETCH = "id long, n long, set_key binary, bands array<long>, lanes binary"
 
 
-def _pieces(texts: list):
-    """Index ranges of about PIECE_CHARS characters."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= PIECE_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _pieces(batch):
+    """(ids, texts) of a batch, about PIECE_BYTES bytes of text at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + PIECE_BYTES, side="right")))
+        part = batch.slice(start, end - start)
+        yield part.column(0).cast(pa.int64()), part.column(1).to_pylist()
+        start = end
 
 
 def _lanes(sketch: np.ndarray) -> np.ndarray:
@@ -59,9 +60,8 @@ def _lanes(sketch: np.ndarray) -> np.ndarray:
 def _sketch_batches(width: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _pieces(texts):
-                sets, n = shingles.shingle_sets(texts[a:b], width)
+            for ids, texts in _pieces(batch):
+                sets, n = shingles.shingle_sets(texts, width)
                 s = shingles.sketches(sets, n, COORDINATES)
                 bands = shingles.band_keys(s[:, :BANDS * ROWS], BANDS, ROWS)
                 lanes = _lanes(s)
@@ -70,25 +70,25 @@ def _sketch_batches(width: int):
                 keys = [hashlib.blake2b(raw[8 * (e - k):8 * e], digest_size=16).digest() if k else None
                         for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(a, b - a).cast(pa.int64()), pa.array(n), pa.array(keys, pa.binary()),
+                    ids, pa.array(n), pa.array(keys, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)),
                                              pa.array(bands.reshape(-1))),
                     pa.array([x.tobytes() for x in lanes], pa.binary())],
                     names=["id", "n", "set_key", "bands", "lanes"])
+        shingles.forget_words()
     return run
 
 
 def _set_batches(width: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _pieces(texts):
-                sets, n = shingles.shingle_sets(texts[a:b], width)
+            for ids, texts in _pieces(batch):
+                sets, n = shingles.shingle_sets(texts, width)
                 ends, raw = np.cumsum(n), sets.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(a, b - a).cast(pa.int64()),
-                    pa.array([raw[8 * (e - k):8 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary())],
+                    ids, pa.array([raw[8 * (e - k):8 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary())],
                     names=["id", "members"])
+        shingles.forget_words()
     return run
 
 

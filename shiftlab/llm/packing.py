@@ -124,6 +124,7 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
                 names = ["doc_id", "text_crc", "piece", "start", "length", "ids_crc32", "ids"]
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        encoder(path).clear()
     return run
 
 

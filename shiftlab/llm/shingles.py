@@ -23,8 +23,8 @@ import numpy as np
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _EMPTY = _MASK
 _VALUE_BITS = np.uint64(48)
-#: Words kept per worker process before its table of word hashes starts anew.
-MAX_WORDS = 400_000
+#: Words kept by a task before its table of word hashes starts anew.
+MAX_WORDS = 300_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,6 +47,11 @@ class _Table(dict):
 _TABLE = _Table()
 
 
+def forget_words() -> None:
+    """Empty the table of word hashes, as a task does when it ends."""
+    _TABLE.clear()
+
+
 def shingle_sets(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, one after the other, and their numbers."""
     if len(_TABLE) > MAX_WORDS:

@@ -174,6 +174,7 @@ def _write(folder: str, path: str, end_id: int):
                     yield close()
         if docs:
             yield close()
+        encoder(path).clear()
     return run
 
 

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept per worker process before its word table starts anew (about 200 MB).
-MAX_WORDS = 1_000_000
+#: Words kept by a task before its word table starts anew (about 100 MB).
+MAX_WORDS = 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 _SLICE = 1 << 18
@@ -37,9 +37,10 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self):
+        """Forget all words."""
         self.index: dict[str, int] = {"": 0}          # word -> row of the two tables below
         self.starts = np.zeros(1 << 16, np.int64)     # first id in the pool
         self.lengths = np.zeros(1 << 16, np.int64)
@@ -117,7 +118,7 @@ class Encoder:
         if len(words) and rows.min() < 0:
             new = [words[i] for i in np.flatnonzero(rows < 0)]
             if len(self.index) + len(new) > MAX_WORDS:
-                self._clear()
+                self.clear()
                 new = words
             self._learn([w for w in new if w])
             rows = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
@@ -145,7 +146,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker process for a vocabulary file."""
+    """The encoder of this worker process for a vocabulary file. A task clears its words
+    when it ends: worker processes are used again, also by other stages."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
