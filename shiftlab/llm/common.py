@@ -36,13 +36,13 @@ def _place(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS).cast("long"))
 
 
-def maybe_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be among the values of the one column of
-    ``keys``: all that are, and a few that are not.
+def flag_maybe_in(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean column ``flag``: whether ``key`` may be among the values of the
+    one column of ``keys``. It is true for all that are, and for a few that are not.
 
     The keys become one bitmap of ``2 ** FILTER_BITS`` bits, so what is broadcast has a
-    fixed bound. Beyond some ten million keys the bitmap fills up and lets more rows
-    pass, so an exact join or group by has to follow. Null keys never pass.
+    fixed bound. Beyond some ten million keys the bitmap fills up and flags more rows,
+    so an exact join or group by of the flagged rows has to follow. Null keys are false.
     """
     k = keys.columns[0]
     row, bits, own = fresh(df, "_filter_row", "_filter_bits", "_filter_own")
@@ -52,9 +52,16 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     p = _place(key)
     byte = F.conv(F.hex(F.substring(bits, (F.shiftright(p.bitwiseAND((1 << _ROW_BITS) - 1), 3) + 1).cast("int"),
                                     F.lit(1))), 16, 10).cast("int")
-    return (df.where(key.isNotNull()).withColumn(own, F.shiftright(p, _ROW_BITS))
-            .join(F.broadcast(bitmap), F.col(own) == F.col(row))
-            .where(F.getbit(byte, p.bitwiseAND(7).cast("int")) == 1).select(*df.columns))
+    hit = F.coalesce(F.getbit(byte, p.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return (df.withColumn(own, F.when(key.isNotNull(), F.shiftright(p, _ROW_BITS)))
+            .join(F.broadcast(bitmap), F.col(own) == F.col(row), "left")
+            .select(*df.columns, hit.alias(flag)))
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` that :func:`flag_maybe_in` flags."""
+    flag, = fresh(df, "_filter_flag")
+    return flag_maybe_in(df, key, keys, flag).where(flag).select(*df.columns)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

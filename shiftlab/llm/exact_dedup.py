@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import fresh, maybe_in, saved
+from shiftlab.llm.common import flag_maybe_in, fresh, maybe_in, saved
 
 PREFIX_BYTES = 256
 
@@ -61,13 +61,15 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs``, one per text: the one with the largest id. All columns stay.
 
     Of repeated rows with the kept id and text one stays. An empty table stays empty.
+    Only rows whose text may be in a group are shuffled; the others pass straight through.
     """
     cols = docs.columns
-    sha, keep, grouped = fresh(docs, "_sha", "_keep", "_grouped")
-    groups = saved(exact_groups(docs, id_col, text_col, prefix_bytes), "exact")
-    marked = (docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-              .join(groups.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep),
-                                  F.lit(True).alias(grouped)), sha, "left"))
-    single = marked.where(F.col(grouped).isNull()).select(*cols)
-    kept = marked.where(F.col(grouped) & F.col(id_col).eqNullSafe(F.col(keep)))
-    return single.unionByName(kept.dropDuplicates([sha]).select(*cols))
+    sha, keep, flag = fresh(docs, "_sha", "_keep", "_flag")
+    groups = saved(exact_groups(docs, id_col, text_col, prefix_bytes), "exact").select(
+        F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep))
+    hashed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    flagged = flag_maybe_in(hashed, F.col(sha), groups.select(sha), flag)
+    some = flagged.where(flag).drop(flag)
+    kept = some.join(groups, sha).where(F.col(id_col).eqNullSafe(F.col(keep))).dropDuplicates([sha])
+    return (flagged.where(~F.col(flag)).select(*cols)
+            .unionByName(some.join(groups, sha, "left_anti").select(*cols)).unionByName(kept.select(*cols)))

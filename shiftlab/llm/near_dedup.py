@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.llm import shingles
-from shiftlab.llm.common import components, fresh, maybe_in, saved
+from shiftlab.llm.common import components, flag_maybe_in, fresh, maybe_in, saved
 
 BANDS, ROWS, COORDINATES = 32, 4, 512
 SLACK = 0.1
@@ -237,6 +237,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all columns as they
     are; rows without an id stay."""
-    gone, = fresh(docs, "_gone")
-    ids = near_duplicates(docs, id_col, text_col, width, share).where("not kept").select(F.col("doc_id").alias(gone))
-    return docs.join(ids.distinct(), F.col(id_col) == F.col(gone), "left_anti")
+    gone, flag = fresh(docs, "_gone", "_flag")
+    ids = saved(near_duplicates(docs, id_col, text_col, width, share).where("not kept")
+                .select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    flagged = flag_maybe_in(docs, F.col(id_col).cast("long"), ids, flag)       # the others pass without a shuffle
+    left = flagged.where(flag).drop(flag).join(ids, F.col(id_col) == F.col(gone), "left_anti")
+    return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(left)
