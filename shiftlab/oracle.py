@@ -626,3 +626,25 @@ p AS (SELECT item_id, class_id AS y_pred FROM (
 SELECT CASE WHEN item_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, CAST(item_id % 4 AS INTEGER) AS domain,
        CAST(y_pred AS INTEGER) AS y_pred, avg(CAST(item_id % 25 = y_pred AS DOUBLE)) AS acc, count(*) AS n
 FROM p GROUP BY ALL"""
+
+# --- linear probes: the facts that must hold ----------------------------------------------------
+
+FX["fx9"] = """fx9 AS (
+  SELECT doc_id AS item_id, list_position(['en', 'fr', 'de', 'es'], lang) - 1 AS y_true,
+    CASE WHEN dom BETWEEN 14 AND 16 THEN 'val' WHEN dom BETWEEN 17 AND 19 THEN 'test'
+         WHEN doc_id % 10 = 8 THEN 'id_val' WHEN doc_id % 10 = 9 THEN 'id_test' ELSE 'train' END AS split
+  FROM (SELECT *, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS dom FROM documents))"""
+
+ORACLE["linear_probe"] = with_fx(["fx9"], """
+SELECT split, CAST(sum(n) AS BIGINT) AS n, round(max(n) / sum(n), 6) AS majority, true AS holds_majority,
+       true AS beats_uniform, true AS converged
+FROM (SELECT split, y_true, count(*) AS n FROM fx9 GROUP BY ALL) GROUP BY split""")
+
+ORACLE["learning_curve"] = with_fx(["fx9"], """
+SELECT 'linear_probe' AS arch, round(f.perc, 6) AS perc,
+       CASE e.split WHEN 'id_test' THEN 'ID Test' ELSE 'OOD Test' END AS split,
+       CAST(round_even((SELECT count(*) FROM fx9 WHERE split = 'train') * f.perc, 0) AS BIGINT) AS n_train,
+       e.n AS n_eval, CASE WHEN f.perc > 1e-5 THEN true END AS holds_majority,
+       CASE WHEN f.perc > 1e-5 THEN true END AS has_spread
+FROM (SELECT split, count(*) AS n FROM fx9 WHERE split IN ('id_test', 'test') GROUP BY 1) e,
+     (VALUES (0.0::DOUBLE), (0.000001), (0.1), (1.0)) f(perc)""")

@@ -5,32 +5,44 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.functions.vectors import argmax_class
+from shiftlab.functions.vectors import argmax_class, cross_entropy
 from shiftlab.operators.metrics import accuracy
 from shiftlab.operators.sampling import subset_fraction
-from shiftlab.operators.scoring import linear_scores
+from shiftlab.operators.scoring import collect_class_matrix, linear_scores
 from shiftlab.operators.selection import best_lr, curve_series
 from shiftlab.operators.summaries import run_summary
 
 
-def fit_linear_probe(train: DataFrame, n_classes: int | None = None, max_iter: int = 20,
+# The solver goes on until its loss no longer falls by this share; the steps only bound a
+# solver that does not get there, which ``fit_linear_probe`` then says.
+TOLERANCE, MAX_STEPS = 1e-7, 500
+# Largest gradient entry (per standardised feature) of a head that counts as converged.
+GRADIENT_TOLERANCE = 1e-2
+
+
+def fit_linear_probe(train: DataFrame, n_classes: int | None = None, max_iter: int = MAX_STEPS,
                      reg: float = 1e-3, features: str = "features") -> DataFrame:
     """M1: multinomial logistic regression on frozen features -> head ``(class_id, w, b)``.
 
     Spark ML's distributed L-BFGS minimises the same softmax cross-entropy as
-    the reference's head training (a different solver). The head has one row
-    per class, so it is returned as a small DataFrame for P3 scoring.
+    the reference's head training (a different solver), until the loss stops falling.
+    The head has one row per class, so it is returned as a small DataFrame for P3
+    scoring. Raises if the solver runs out of steps.
     """
     data = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("fv"),
                         F.col("y_true").cast("double").alias("label"))
     lr = LogisticRegression(featuresCol="fv", labelCol="label", family="multinomial",
-                            maxIter=max_iter, regParam=reg, standardization=True)
+                            maxIter=max_iter, tol=TOLERANCE, regParam=reg, standardization=True)
     model = lr.fit(data)
+    if model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the linear probe has not converged after {max_iter} steps")
     W = model.coefficientMatrix.toArray()
     b = model.interceptVector.toArray()
     C = W.shape[0] if n_classes is None else max(n_classes, W.shape[0])
@@ -43,6 +55,37 @@ def fit_linear_probe(train: DataFrame, n_classes: int | None = None, max_iter: i
     return train.sparkSession.createDataFrame(rows, "class_id int, w array<double>, b double")
 
 
+def gradient_norm(train: DataFrame, head: DataFrame, reg: float) -> float:
+    """Largest entry of the objective's gradient at the head, per standardised feature.
+
+    One pass: every task adds up its part of ``(p - y) x``, the feature sums and squares.
+    """
+    W, b = collect_class_matrix(head, "class_id", "w", bias_col="b")
+    c, d = W.shape
+
+    def partial(frames):
+        g, s, q, n = np.zeros((c, d)), np.zeros(d), np.zeros(d), 0
+        for f in frames:
+            if not len(f):
+                continue
+            x = np.stack(f["features"].to_numpy()).astype(np.float64)
+            z = x @ W.T + b
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(x)), f["y_true"].to_numpy()] -= 1
+            g, s, q, n = g + p.T @ x, s + x.sum(axis=0), q + (x ** 2).sum(axis=0), n + len(x)
+        yield pd.DataFrame({"g": [g.ravel()], "s": [s], "q": [q], "n": [n]})
+
+    parts = train.select("features", "y_true").mapInPandas(
+        partial, "g array<double>, s array<double>, q array<double>, n long").collect()       # one row per task
+    n = sum(r["n"] for r in parts)
+    g = np.sum([r["g"] for r in parts], axis=0).reshape(c, d) / n
+    s, q = np.sum([r["s"] for r in parts], axis=0), np.sum([r["q"] for r in parts], axis=0)
+    sd = np.sqrt(np.maximum(q - s * s / n, 0) / max(n - 1, 1))
+    live = sd > 0
+    return float(np.abs((g[:, live] + reg * sd[live] ** 2 * W[:, live]) / sd[live]).max())
+
+
 def untrained_head(spark, n_classes: int, width: int) -> DataFrame:
     """A head before any training, as the zero-shot point of a linear-probe architecture.
 
@@ -59,25 +102,37 @@ def probe_predictions(items: DataFrame, head: DataFrame) -> DataFrame:
     return s.select("split", "item_id", "y_true", argmax_class("scores").alias("y_pred"), "domain")
 
 
-def probe_report(items: DataFrame, n_classes: int | None = None, max_iter: int = 20,
-                 reg: float = 1e-3) -> DataFrame:
-    """M1 end to end: fit on the train split, accuracy per split.
+def probe_report(items: DataFrame, n_classes: int | None = None, reg: float = 1e-3) -> DataFrame:
+    """M1 end to end: fit on the train split; per split the rows ``n``, the share of its largest
+    class ``majority``, accuracy ``acc_avg`` and mean cross-entropy ``loss`` of the head, and
+    whether the head has ``converged`` (gradient at the head).
 
     The featurised items are cached for the fit and the evaluation, and
     released once the (one row per split) result is materialised.
     """
     feats = items.select("split", "item_id", "features", "y_true", "domain").persist()
     try:
-        head = fit_linear_probe(feats.filter(F.col("split") == "train"), n_classes, max_iter, reg)
-        acc = accuracy(probe_predictions(feats, head), ["split"]).persist()
-        acc.count()
-        return acc
+        train = feats.filter(F.col("split") == "train")
+        head = fit_linear_probe(train, n_classes, reg=reg)
+        converged = gradient_norm(train, head, reg) <= GRADIENT_TOLERANCE
+        scored = linear_scores(feats.select("split", "features", "y_true"), head)
+        rows = scored.select("split", "y_true", argmax_class("scores").alias("y_pred"),
+                             cross_entropy("scores", "y_true").alias("ce"))
+        of_class = rows.groupBy("split", "y_true").agg(
+            F.count(F.lit(1)).alias("n"), F.sum((F.col("y_true") == F.col("y_pred")).cast("long")).alias("hits"),
+            F.sum("ce").alias("ce"))
+        out = of_class.groupBy("split").agg(
+            F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("majority"),
+            (F.sum("hits") / F.sum("n")).alias("acc_avg"), (F.sum("ce") / F.sum("n")).alias("loss")).collect()
+        return items.sparkSession.createDataFrame(                                       # one row per split
+            [(*r, converged) for r in out],
+            "split string, n long, majority double, acc_avg double, loss double, converged boolean")
     finally:
         feats.unpersist()
 
 
 def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[float],
-                   runs: int = 2, max_iter: int = 20, arch: str = "linear_probe",
+                   runs: int = 2, max_iter: int = MAX_STEPS, arch: str = "linear_probe",
                    parallelism: int = 4, zero_shot_head: DataFrame | None = None) -> DataFrame:
     """M3: for each (fraction, reg) and run: subset -> fit -> ID/OOD test accuracy;
     mean/std over runs; best reg per fraction by OOD test; tidy curve rows.
@@ -105,6 +160,8 @@ def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[
 
         def fit_cell(cell):
             fo, frac, ro, reg, run, sub = cell
+            if sub.isEmpty():
+                return None
             head = fit_linear_probe(sub, max_iter=max_iter, reg=reg)
             acc = accuracy(probe_predictions(evals, head), ["split"])
             acc = acc.select(F.lit(fo + 1).alias("perc_ord"), F.lit(float(frac)).alias("perc"),
@@ -114,15 +171,16 @@ def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[
             return acc
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            results = list(pool.map(fit_cell, cells))
+            results = [r for r in pool.map(fit_cell, cells) if r is not None]
         if zero_shot_head is not None:
             zs = accuracy(probe_predictions(evals, zero_shot_head), ["split"])
             zs = zs.select(F.lit(0).alias("perc_ord"), F.lit(0.0).alias("perc"), F.lit(0).alias("lr_ord"),
                            F.lit(0).alias("run"), "split", "acc_avg").persist()
             zs.count()
             results.append(zs)
-        rows = results[0]
-        for r in results[1:]:
+        rows = items.sparkSession.createDataFrame(
+            [], "perc_ord int, perc double, lr_ord int, run int, split string, acc_avg double")
+        for r in results:
             rows = rows.unionByName(r)
         summ = run_summary(rows, ["perc_ord", "perc", "lr_ord", "split"], "acc_avg")
         wide = summ.groupBy("perc_ord", "perc", "lr_ord").pivot("split", ["id_test", "test"]).agg(
@@ -131,6 +189,10 @@ def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[
                           F.col("id_test_mean").alias("id_mean"), F.col("test_mean").alias("ood_mean"),
                           F.col("id_test_std").alias("id_std"), F.col("test_std").alias("ood_std"))
         best = best_lr(res, zero_perc_value=0)
+        asked = items.sparkSession.createDataFrame(
+            [(arch, fo + 1, float(f)) for fo, f in enumerate(fractions)], "arch string, perc_ord int, perc double")
+        none = asked.join(best, ["arch", "perc_ord"], "left_anti")
+        best = best.unionByName(none, allowMissingColumns=True)
         curve = curve_series(best).persist()
         curve.count()
         return curve

@@ -8,6 +8,7 @@ decimals (the oracle rounds the same way); exact ones are returned as they are.
 
 from __future__ import annotations
 
+import math
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -499,16 +500,38 @@ def q_evaluation_report(spark, d):
     return w.select("metric", *[r6(c).alias(c) for c in w.columns if c != "metric"])
 
 
+def _at_least(rate: str, n: str) -> F.Column:
+    """A rate less two standard errors: what a probe must reach that knows the rate."""
+    p = F.col(rate)
+    return p - 2 * F.sqrt(p * (1 - p) / F.col(n))
+
+
 @register("linear_probe")
 def q_linear_probe(spark, d):
-    return probe.probe_report(fx.document_items(spark, d), n_classes=4)
+    r = probe.probe_report(fx.document_items(spark, d), n_classes=4)
+    # the solver's numbers have no SQL twin; what must hold of them has
+    return r.select("split", "n", r6("majority").alias("majority"),
+                    (F.col("acc_avg") >= _at_least("majority", "n")).alias("holds_majority"),
+                    (F.col("loss") < math.log(4)).alias("beats_uniform"), "converged")
 
 
 @register("learning_curve")
 def q_learning_curve(spark, d):
     items = fx.document_items(spark, d, num_features=256)
     zero = probe.untrained_head(spark, len(fx.DOC_LANGS), 256)
-    return probe.learning_curve(items, [0.1, 1.0], [1e-3, 1e-1], runs=2, zero_shot_head=zero)
+    fractions = [1e-6, 0.1, 1.0]                          # the first one keeps no training row
+    curve = probe.learning_curve(items, fractions, [1e-3, 1e-1], runs=2, zero_shot_head=zero)
+    counts = items.groupBy("split").count()
+    n_train = counts.filter(F.col("split") == "train").first()["count"]
+    sizes = spark.createDataFrame([(float(f), sampling.subset_size(n_train, f)) for f in [0.0, *fractions]],
+                                  "perc double, n_train long")
+    kept = items.filter(F.col("split").isin("id_test", "test")).groupBy("split", "y_true").count() \
+        .groupBy("split").agg(F.sum("count").alias("n_eval"), (F.max("count") / F.sum("count")).alias("majority"))
+    name = F.when(F.col("split") == "id_test", "ID Test").otherwise("OOD Test")
+    facts = curve.join(sizes, "perc").join(kept.select(name.alias("split"), "n_eval", "majority"), "split")
+    return facts.select("arch", r6("perc").alias("perc"), "split", "n_train", "n_eval",
+                        F.when(F.col("perc") > 0, F.col("value") >= _at_least("majority", "n_eval")).alias("holds_majority"),
+                        F.when(F.col("perc") > 0, F.col("err") >= 0).alias("has_spread"))
 
 
 # --- R: streaming ------------------------------------------------------------

@@ -18,9 +18,9 @@ def _separable(spark):
 
 def test_linear_probe_learns_a_separable_problem(spark):
     items = _separable(spark)
-    head = probe.fit_linear_probe(items.filter(F.col("split") == "train"), n_classes=3, max_iter=50)
+    head = probe.fit_linear_probe(items.filter(F.col("split") == "train"), n_classes=3)
     assert head.count() == 3 and len(head.first().w) == 3
-    acc = {r.split: r.acc_avg for r in probe.probe_report(items, n_classes=3, max_iter=50).collect()}
+    acc = {r.split: r.acc_avg for r in probe.probe_report(items, n_classes=3).collect()}
     assert acc["id_test"] == 1.0 and acc["test"] == 1.0
 
 
