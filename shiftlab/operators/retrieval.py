@@ -103,6 +103,8 @@ def best_per_class(probs: DataFrame, k: int, by: list[str] | None = None, key: s
                             f"{kinds}, class_id int, y_true int, prob double")
     part = F.pmod(F.xxhash64(key), F.lit(MERGE_PARTS)).alias("_part")
     order = [F.desc(F.round("prob", 12)), F.asc(key)]
+    # pandas hands NaN over as NULL; it sorts highest, as in Spark
+    best = best.withColumn("prob", F.coalesce("prob", F.lit(float("nan"))))
     best = best.select("*", part).repartition(*by, "class_id", "_part")
     inner = F.row_number().over(Window.partitionBy(*by, "class_id", "_part").orderBy(*order))
     best = best.withColumn("_r", inner).filter(F.col("_r") <= k).drop("_r", "_part")

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import math
 
 
@@ -107,3 +108,12 @@ def test_report_reads_predictions_once(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("orders.parquet") == 1            # one linear pipeline, no self-joins
+
+
+def test_slice_metrics_with_any_group_type(spark):
+    rows = [(0, "a", g, 1, p) for g, p in ((1.2, 1), (1.2, 1), (1.7, 0), (None, 1))]
+    df = spark.createDataFrame(rows, "run int, split string, g double, y_true int, y_pred int")
+    r = metrics.slice_metrics(df, ["run", "split"], "g").first()
+    assert r.acc_avg == 0.75 and r.acc_wg == 0.0 and r.n == 4
+    named = df.withColumn("g", F.when(F.col("g") == 1.2, "asia").when(F.col("g") == 1.7, "europe"))
+    assert metrics.slice_metrics(named, ["run", "split"], "g").first().acc_wg == 0.0

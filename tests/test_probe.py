@@ -26,7 +26,7 @@ def test_linear_probe_learns_a_separable_problem(spark):
 
 def test_learning_curve_rows_and_more_data_helps(spark):
     items = fx.document_items(spark, SF_SMALL)
-    curve = probe.learning_curve(items, [0.1, 1.0], [1e-3], runs=2, max_iter=10).collect()
+    curve = probe.learning_curve(items, [0.1, 1.0], [1e-3], runs=2).collect()
     assert {(r.perc, r.split) for r in curve} == {(0.1, "ID Test"), (0.1, "OOD Test"), (1.0, "ID Test"), (1.0, "OOD Test")}
     by = {(r.perc, r.split): r.value for r in curve}
     assert by[(1.0, "OOD Test")] >= by[(0.1, "OOD Test")]
@@ -35,7 +35,7 @@ def test_learning_curve_rows_and_more_data_helps(spark):
 def test_learning_curve_zero_shot_point(spark):
     items = _separable(spark)
     zero = probe.untrained_head(spark, 3, 3)
-    curve = probe.learning_curve(items, [1.0], [1e-3], runs=1, max_iter=30, zero_shot_head=zero).collect()
+    curve = probe.learning_curve(items, [1.0], [1e-3], runs=1, zero_shot_head=zero).collect()
     by = {(r.perc, r.split): r.value for r in curve}
     assert set(by) == {(0.0, "ID Test"), (0.0, "OOD Test"), (1.0, "ID Test"), (1.0, "OOD Test")}
     # the untrained head predicts class 0 for every item

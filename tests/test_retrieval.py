@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from shiftlab.operators import retrieval
@@ -54,7 +55,22 @@ def test_attach_labels_keys_on_id(spark):
     assert got == {1: (0, "unknown bird"), 2: (1, "unknown bird")}
 
 
-def test_large_k_keeps_group_limit(spark):
-    p = _probs(spark, [(i, i % 2, [i / 10.0, 1 - i / 10.0]) for i in range(10)])
-    plan = retrieval.top_k_per_class(p, 5000)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+def test_top_k_sends_few_rows_and_touches_no_setting(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, int(r.integers(0, 4)), [float(x) for x in r.random(4)]) for i in range(3000)]
+    rows += [(5000, 1, [0.5, float("nan"), 0.1, 0.1]), (5001, 0, None)]
+    probs = spark.createDataFrame(rows, "item_id long, y_true int, probs array<double>").repartition(6)
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", None)
+    for k in (3, 2500):
+        top = retrieval.top_k_per_class(probs, k)
+        plan = top._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.rindex("REPARTITION_BY_COL"):]
+        assert "Sort" not in below and "Generate" not in below and "MapInPandas" in below
+        got = {}
+        for x in top.collect():
+            got.setdefault(x.class_id, []).append((x.rank, x.item_id))
+        for c in range(4):
+            want = sorted((x for x in rows if x[2] is not None),
+                          key=lambda x: (-(np.inf if np.isnan(x[2][c]) else round(x[2][c], 12)), x[0]))[:k]
+            assert sorted(got[c]) == [(i + 1, x[0]) for i, x in enumerate(want)]
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", None) == before

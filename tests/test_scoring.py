@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import numpy as np
 import pytest
 
@@ -93,3 +94,26 @@ def test_predict_table_ordered(spark):
     assert n == items.count() == len(rows)
     assert [r.idx for r in rows] == list(range(n))
     assert [r.item_id for r in rows] == sorted(r.item_id for r in rows)
+
+
+def test_null_vectors_are_treated_alike(spark):
+    from shiftlab.operators import inference
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 2.0])], "item_id long, features array<float>")
+    classes = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "class_id int, vec array<double>")
+    direct = {(r.item_id, r.class_id, r.score) for r in scoring.score_pairs(items, classes).collect()}
+    blocked = {(r.item_id, r.class_id, r.score) for r in scoring.score_pairs_blocked(items, classes).collect()}
+    assert direct == blocked and {d[0] for d in direct} == {1, 3}
+    out = inference.infer(items, inference.linear_model_factory(np.eye(2)), width=2).collect()
+    assert {r.item_id: r.scores for r in out} == {1: [1.0, 0.0], 2: None, 3: [0.0, 2.0]}
+    text = spark.createDataFrame([("a b a",), (None,)], "prompt string")
+    vec = [r.vec for r in inference.encode_text(text, inference.hashed_words_factory(8)).collect()]
+    assert sum(vec[0]) == 3 and max(vec[0]) >= 2 and vec[1] is None
+
+
+def test_vector_mean_with_many_keys_and_null_keys(spark):
+    from shiftlab.operators import summaries
+    df = spark.range(3000).select((F.col("id") % 700).alias("k"), F.array(F.col("id") * 1.0, F.lit(2.0)).alias("v")) \
+        .withColumn("k", F.expr("nullif(k, 5)")).repartition(5)
+    got = {r.k: r.mean for r in summaries.vector_mean(df, ["k"]).collect()}
+    ids = {k: [i for i in range(3000) if i % 700 == k] for k in range(700)}
+    assert len(got) == 700 and all(abs(got[None if k == 5 else k][0] - sum(v) / len(v)) < 1e-9 for k, v in ids.items())

@@ -134,3 +134,53 @@ def test_default_grid_sizes_and_paths(spark):
     p = experiments.run_paths(train, "fmow", "/m", "/l").filter(
         (F.col("arch") == "vitb32_clip_finetune") & (F.col("perc_label") == "0.03") & (F.col("lr_label") == "1e-05")).first()
     assert p.model_path == "/m/fmow/perc_train_0.03/lr_1e-05" and p.arch_file == "ViTB32_clip_finetune"
+
+
+def test_default_grid_keeps_its_128_run_names(spark, tmp_path):
+    from shiftlab.operators import experiments
+    from shiftlab.sources import grid as S3
+    grid = S3.grid_from_lists(spark)
+    path = str(tmp_path / "grid")
+    S3.write_grid(grid, path)
+    import json
+    text = "".join(r.value for r in spark.read.text(path).collect())
+    assert json.loads(text)["lrs"] == [0.01, 0.001, 0.0001, 1e-05]
+    names = lambda g: {r.name for r in experiments.run_names(experiments.expand_grid(g, "train"), "iwildcam").collect()}
+    assert names(S3.read_grid(spark, path)) == names(grid) and len(names(grid)) == 128
+    assert "iwildcam_vitb32_clip_finetune_perctrain_1_lr_1e-05" in names(grid)
+
+
+def test_report_names_and_other_splits_come_back(spark, tmp_path):
+    from shiftlab.sources import reports
+    rows = [("a b+c:0", "id_test", "acc_avg", 0.1 + 0.2, None), ("a b+c:0", "test", "acc_avg", 0.25, 0.5),
+            ("x%3A/y", "test", "acc_avg", 1e-9, 0.0)]
+    summary = spark.createDataFrame(rows, "name string, split string, metric string, mean double, std double")
+    path = str(tmp_path / "reports")
+    reports.write_reports(summary, path, splits=["id_test", "test"])
+    back = reports.read_reports(spark, path, splits=["id_test", "test"]).filter("mean is not null")
+    assert {(r.name, r.split, r.metric, r.mean, r.std) for r in back.collect()} == {tuple(r) for r in rows}
+
+
+def test_zero_shot_rows_have_no_paths_and_swa_names_end_in_swa(spark):
+    from shiftlab.operators import experiments as X
+    from shiftlab.sources import grid as S3
+    rows = X.expand_grid(S3.grid_from_lists(spark, ["m"], [0, 0.5], [0.01]), "test")
+    paths = {r.perc: r.model_path for r in X.run_paths(rows, "fmow", "/m", "/l").collect()}
+    assert paths == {0.0: None, 0.5: "/m/fmow/perc_train_0.5/lr_0.01"}
+    assert [r.name for r in X.run_names(rows, "fmow", swa=True).collect()] == ["fmow_m_perctrain_0.5_lr_0.01_swa"]
+    need = X.expected_checkpoints(rows, 2, ("best", "swa"))
+    assert sorted((r.run, r.kind) for r in need.collect()) == [(1, "best"), (1, "swa"), (2, "best"), (2, "swa")]
+    have = need.filter("run = 1")
+    assert X.missing_artifacts(need, have, ["arch", "perc_label", "lr_label", "run", "kind"]).count() == 2
+
+
+def test_cells_without_results_stay_or_raise(spark):
+    import pytest
+
+    from shiftlab.operators import experiments as X
+    grid = spark.createDataFrame([("m", 0, None), ("m", 1, 0), ("m", 1, 1)], "arch string, perc_ord int, lr_ord int")
+    res = spark.createDataFrame([("m", 0, None, 0.5), ("m", 1, 0, 0.6)], "arch string, perc_ord int, lr_ord int, ood_mean double")
+    got = {(r.perc_ord, r.lr_ord): r.ood_mean for r in X.join_results(grid, res).collect()}
+    assert got == {(0, None): 0.5, (1, 0): 0.6, (1, 1): None}
+    with pytest.raises(FileNotFoundError):
+        X.join_results(grid, res, require=True)

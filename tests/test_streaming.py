@@ -38,3 +38,29 @@ def test_streaming_confusion_equals_batch(spark):
     got = streaming_confusion(stream, ["run", "split", "domain"])
     want = metrics.confusion(preds, ["run", "split", "domain"])
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_registered_streams_read_folders_of_part_files(spark, tmp_path):
+    from shiftlab.registry import QUERIES
+    from shiftlab.sources.tables import read_table
+    for t in ("embeddings", "orders", "customer", "nation"):
+        n = 4 if t in ("embeddings", "orders") else 1
+        read_table(spark, SF_SMALL, t).repartition(n).write.parquet(str(tmp_path / f"{t}.parquet"))
+    for name in ("streaming_top_n", "streaming_confusion", "streaming_report"):
+        key = lambda r: str(r)
+        parts = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()), key=key)
+        whole = sorted(map(tuple, QUERIES[name](spark, SF_SMALL).collect()), key=key)
+        assert parts == whole and parts
+
+
+def test_an_endless_stream_returns_its_handle(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(10).select(F.col("id").alias("item_id"), (F.col("id") / 10).alias("similarity"))
+    rows.write.parquet(src)
+    q = streaming_top_n(spark.readStream.schema(rows.schema).parquet(src), 3, state_path=out, available_now=False)
+    try:
+        q.processAllAvailable()
+        from shiftlab.streaming.top_n import latest_state
+        assert sorted(r.item_id for r in latest_state(spark, out).collect()) == [7, 8, 9]
+    finally:
+        q.stop()

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shiftlab.functions import vectors as V
 
@@ -48,3 +49,27 @@ def test_explode_vector_keeps_positions(spark):
     df = spark.createDataFrame([(1, [0.1, 0.2]), (2, [])], "k int, v array<double>")
     out = V.explode_vector(df, "k", "v").orderBy("k", "pos").collect()
     assert [(r.k, r.pos, r.value) for r in out] == [(1, 0, 0.1), (1, 1, 0.2)]
+
+
+def test_softmax_and_norm_grow_about_linearly_with_the_width(spark):
+    import time
+
+    def seconds(width, rows):
+        data = spark.range(rows).select(F.transform(F.sequence(F.lit(1), F.lit(width)),
+                                                    lambda i: F.sin(i * F.col("id") + i)).alias("v"))
+        best = math.inf
+        for _ in range(3):
+            t = time.perf_counter()
+            data.select(V.softmax("v").alias("p"), V.l2_normalize("v").alias("n")) \
+                .write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - t)
+        return best
+    # as many numbers in both: the wide rows may cost little more
+    assert seconds(720, 3_000) < 4 * seconds(60, 36_000)
+
+
+def test_let_computes_once_and_passes_null(spark):
+    rows = _one(spark, V.softmax("v"), [(None,), ([0.0],)])
+    assert rows[0].r is None and rows[1].r == [1.0]
+    assert _one(spark, V.argmax_class("v"), [(None,)])[0].r is None
+    assert _one(spark, V.log_sum_exp("v"), [([0.0, 0.0],)])[0].r == math.log(2)
