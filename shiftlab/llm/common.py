@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,25 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return flag_maybe_in(df, key, keys, flag).where(flag).select(*df.columns)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: worker processes outlive their tasks, and two
+    of them share an executor's memory with the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function over batches that releases its memory when its task ends."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return wrapped
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (id, component) for every vertex of an edge,
     the component being its smallest vertex. Large-star and small-star steps in turn

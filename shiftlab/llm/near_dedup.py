@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.llm import shingles
-from shiftlab.llm.common import components, flag_maybe_in, fresh, maybe_in, saved
+from shiftlab.llm.common import components, flag_maybe_in, fresh, maybe_in, saved, tidy
 
 BANDS, ROWS, COORDINATES = 32, 4, 512
 SLACK = 0.1
 TILE = 1024
 #: Texts are handled in pieces of about so many bytes.
-PIECE_BYTES = 3_000_000
+PIECE_BYTES = 1_500_000
 
 _SKETCH = "id long, n long, set_key binary, bands array<long>, lanes binary"
 
@@ -76,7 +76,7 @@ def _sketch_batches(width: int):
                     pa.array([x.tobytes() for x in lanes], pa.binary())],
                     names=["id", "n", "set_key", "bands", "lanes"])
         shingles.forget_words()
-    return run
+    return tidy(run)
 
 
 def _set_batches(width: int):
@@ -89,7 +89,7 @@ def _set_batches(width: int):
                     ids, pa.array([raw[8 * (e - k):8 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary())],
                     names=["id", "members"])
         shingles.forget_words()
-    return run
+    return tidy(run)
 
 
 def _verify(share: tuple[int, int]):
@@ -109,7 +109,7 @@ def _verify(share: tuple[int, int]):
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = of * common >= part * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
-    return run
+    return tidy(run)
 
 
 def _tile_pairs(share: tuple[int, int], best: bool):
@@ -172,7 +172,7 @@ def _tile_pairs(share: tuple[int, int], best: bool):
         if out_a:
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-    return run
+    return tidy(run)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

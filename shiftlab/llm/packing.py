@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import saved
+from shiftlab.llm.common import saved, tidy
 from shiftlab.llm.token_ids import encoder, vocabulary_path
 
 #: Nodes the search may visit for one completion; each is used while the best plan is not
@@ -104,8 +104,8 @@ def plan(histogram: dict[int, int], capacity: int, nodes: tuple[int, ...] = NODE
 def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
                 ids, n = encoder(path).encode(b.column(1))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 keep = np.ones(len(out), bool)
@@ -125,7 +125,7 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         encoder(path).clear()
-    return run
+    return tidy(run)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096,

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftlab.llm.common import tidy
 from shiftlab.llm.labelled import held_out, sample
 
 #: Labelled rows used for fitting, and the longest text among them (characters).
@@ -174,7 +175,7 @@ def _scores(net: Network):
                     start, size = i + 1, 0
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["doc_id", "score"])
-    return run
+    return tidy(run)
 
 
 def score_quality(docs: DataFrame, net: Network, fold: tuple[int, int] = (3, 1), id_col: str = "doc_id",

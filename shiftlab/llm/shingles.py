@@ -24,7 +24,7 @@ _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _EMPTY = _MASK
 _VALUE_BITS = np.uint64(48)
 #: Words kept by a task before its table of word hashes starts anew.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

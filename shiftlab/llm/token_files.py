@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import saved
+from shiftlab.llm.common import saved, tidy
 from shiftlab.llm.token_ids import encoder, vocabulary_path
 from shiftlab.session import scratch_path
 
@@ -159,8 +159,8 @@ def _write(folder: str, path: str, end_id: int):
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
                 ids, n = encoder(path).encode(b.column(1))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 keep = np.ones(len(out), bool)
@@ -175,7 +175,7 @@ def _write(folder: str, path: str, end_id: int):
         if docs:
             yield close()
         encoder(path).clear()
-    return run
+    return tidy(run)
 
 
 def _read(folder: str):
@@ -194,7 +194,7 @@ def _read(folder: str):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(s.doc_ids[w], pa.int64()), pa.array(base + starts[w]), pa.array(ends[w] - starts[w]),
                          pa.array(crc[w], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-    return run
+    return tidy(run)
 
 
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftlab.llm.common import tidy
 from shiftlab.llm.labelled import held_out, sample
 
 #: Labelled rows used for fitting.
@@ -162,7 +163,7 @@ def _count(known: frozenset | None):
                     for found, c in [_terminals(text, known)] for t in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
                                               pa.array([r[1] for r in rows], pa.int64())], names=["terminal", "text"])
-    return run
+    return tidy(run)
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -210,7 +211,7 @@ def _sums(model: Model):
         for batch in batches:
             s = [model.sums(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.list_(pa.float64())), batch.column("label")], names=["s", "label"])
-    return run
+    return tidy(run)
 
 
 def _weights(model: Model, x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> Model:
@@ -229,13 +230,20 @@ def _weights(model: Model, x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> M
     return Model(model.terminals, tuple(float(v) for v in w[:-1]), float(w[-1]))
 
 
+def _slices(batches, rows: int = 500):
+    """Batches of at most so many rows: texts become Python strings a slice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _scores(model: Model):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(1).to_pylist()
             s = np.array([model.sums(t or "") for t in texts]).reshape(-1, len(CLASSES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(s))], names=["doc_id", "score"])
-    return run
+    return tidy(run)
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0), rows: int = SAMPLE_ROWS,
@@ -260,10 +268,10 @@ def score_toxicity(docs: DataFrame, model: Model, fold: tuple[int, int] = (5, 0)
 
 def _keep(model: Model, at: int, limit: float):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             s = np.array([model.sums(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(CLASSES))
             yield batch.filter(pa.array(model.score(s) < limit))
-    return run
+    return tidy(run)
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
