@@ -60,7 +60,7 @@ def best_lr(results: DataFrame, keys=("arch", "perc_ord"), lr: str = "lr_ord",
     Strict ``>`` from 0: ties keep the first lr in config order, and OOD <= 0
     or NaN gives no row. The zero-shot fraction takes its row as it is.
     One aggregation of ``max(struct(eligible, ood, -lr_ord, ...))`` over all
-    rows (zero-shot rows are always eligible); no sort, one pass.
+    rows (zero-shot rows are always eligible), so the input is read once.
     """
     keys = list(keys)
     others = [c for c in results.columns if c not in keys + [lr, ood]]
@@ -77,15 +77,16 @@ def best_lr(results: DataFrame, keys=("arch", "perc_ord"), lr: str = "lr_ord",
                         *[F.col(f"b.{c}").alias(c) for c in others]))
 
 
-def curve_series(best: DataFrame, error_bars: bool = True, arch: str = "arch", perc: str = "perc") -> DataFrame:
+def curve_series(best: DataFrame, error_bars: bool = True, arch: str = "arch", perc: str = "perc",
+                 legend: dict[str, str] | None = None) -> DataFrame:
     """Tidy learning-curve rows (arch, label, fraction, split, value, err).
 
     Splits are ``ID Test`` and ``OOD Test``; ``err`` is the std when error bars
-    are asked for, else NULL. Labels come from a fixed dimension (arch name when
-    absent); the dimension has a fixed size and is broadcast.
+    are asked for, else NULL. Labels come from ``legend`` (by default
+    ``LEGEND_LABELS``; the arch name when absent), a small dimension that is broadcast.
     """
     spark = best.sparkSession
-    labels = spark.createDataFrame(list(LEGEND_LABELS.items()), f"{arch} string, label string")
+    labels = spark.createDataFrame(list((LEGEND_LABELS if legend is None else legend).items()), f"{arch} string, label string")
     j = best.join(F.broadcast(labels), arch, "left").withColumn(
         "label", F.coalesce(F.col("label"), F.col(arch)))
     err_id = F.col("id_std") if error_bars else F.lit(None).cast("double")

@@ -193,9 +193,8 @@ def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[
             [(arch, fo + 1, float(f)) for fo, f in enumerate(fractions)], "arch string, perc_ord int, perc double")
         none = asked.join(best, ["arch", "perc_ord"], "left_anti")
         best = best.unionByName(none, allowMissingColumns=True)
-        curve = curve_series(best).persist()
-        curve.count()
-        return curve
+        curve = curve_series(best)
+        return items.sparkSession.createDataFrame(curve.collect(), curve.schema)    # two rows per fraction
     finally:
         for r in results:
             r.unpersist()

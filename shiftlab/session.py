@@ -78,7 +78,8 @@ def prepare(spark: SparkSession) -> str:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master                    # not local-cluster: its executors have own folders
+    return master == "local" or master.startswith("local[")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
