@@ -221,5 +221,6 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
     """A row per document from the files: ``doc_id``, ``start`` (ids of all documents before
     it), ``n_tokens``, ``ids_crc32`` (of the ids as little-endian 32-bit integers)."""
-    files = manifest.select("file", "base").repartition("file")
+    # as many tasks as files: the small manifest must not be merged into one task
+    files = manifest.select("file", "base").repartition(max(1, manifest.count()), "file")
     return files.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
