@@ -217,7 +217,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                           F.count("*").alias("rows")).where("lo < hi")
                  .select("bucket", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles")))
         side = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-        rows = (of.join(mixed, "bucket").join(sets.select("id", "n", "lanes").dropDuplicates(["id"]), "id")
+        rows = of.join(mixed, "bucket")
+        lanes = maybe_in(sets.select("id", "n", "lanes"), F.col("id"), rows.select("id").distinct())
+        rows = (rows.join(lanes.dropDuplicates(["id"]), "id")
                 .withColumn("side", side)
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
                 .select("bucket", "band", F.least("side", "other").alias("ti"), F.greatest("side", "other").alias("tj"),
