@@ -66,6 +66,15 @@ def test_pages_of_another_template_and_edge_cases(spark):
     assert html_text.main_text(docs.limit(0)).count() == 0
 
 
+def test_content_elements_within_boilerplate_do_not_end_the_content():
+    teaser, comment = "<article><p>teaser</p></article>", '<article class="comment"><p>first!</p></article>'
+    for before in (f"<aside>{teaser}</aside>", f"<nav>{teaser}{teaser}</nav>", f"<header>{teaser}</header>"):
+        assert html_text.page_text(f"<body>{before}<p>site</p><article><p>real</p></article><p>end</p></body>", None) == "real"
+    inside = f"<body><article><p>one</p>{comment}{comment}<p>two</p></article><p>end</p></body>"
+    after = f"<body><article><p>one</p></article>{comment}{comment}<p>end</p></body>"
+    assert html_text.page_text(inside, None) == "one\ntwo" and html_text.page_text(after, None) == "one"
+
+
 def test_wrapper_has_slots_repeats_and_options():
     pages = [html_text._simple(html_text.tokens(f"<html><body><h1>{t}</h1>{b}<ul>{'<li>x</li>' * n}</ul><p>end</p></body></html>"))
              for t, b, n in (("a", "", 2), ("b", "<div>extra</div>", 4), ("c", "", 1))]
