@@ -75,6 +75,19 @@ def test_content_elements_within_boilerplate_do_not_end_the_content():
     assert html_text.page_text(inside, None) == "one\ntwo" and html_text.page_text(after, None) == "one"
 
 
+def test_only_whole_names_mark_boilerplate():
+    real = ['<div style="overflow:hidden">{}</div>', '<div aria-hidden="false">{}</div>', '<p><a href="/hidden-valley">{}</a></p>',
+            '<p data-id="menu" title="class=menu">{}</p>', '<div class="no-sidebar comments-open">{}</div>',
+            '<main class="no-sidebar">{}</main>', '<article class="post comments-open comment-12">{}</article>',
+            '<main id="menu">{}</main>', '<div class="load-more related_left">{}</div>']
+    for p in real:
+        assert html_text.page_text(f'<html class="modal"><body class="has-sidebar">{p.format("text")}</body></html>', None) == "text"
+    gone = ["<div hidden>{}</div>", "<div class='x hidden' hidden=''>{}</div>", "<div class='a Sidebar'>{}</div>", "<div id=comment-12>{}</div>",
+            "<ul role=navigation>{}</ul>", '<div class="cookie_bar">{}</div>', '<article class="comment">{}</article>']
+    for p in gone:
+        assert html_text.page_text(f"<body><p>kept</p>{p.format('text')}</body>", None) == "kept"
+
+
 def test_wrapper_has_slots_repeats_and_options():
     pages = [html_text._simple(html_text.tokens(f"<html><body><h1>{t}</h1>{b}<ul>{'<li>x</li>' * n}</ul><p>end</p></body></html>"))
              for t, b, n in (("a", "", 2), ("b", "<div>extra</div>", 4), ("c", "", 1))]
