@@ -21,9 +21,9 @@ around a match are run.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,11 +149,12 @@ def _pattern(terminals) -> re.Pattern:
 
 
 def _terminals(text: str, known: set | None = None) -> tuple[set, int]:
-    """The text's words and beginnings (of ``known`` only), and the smallest hash of its
-    words: copies of a text nearly always share it."""
+    """The text's words and beginnings (of ``known`` only), and a hash of the set of its
+    words: texts of other words have another one, copies in other order or case the same."""
     words = set(_WORD.findall(text.lower()))
     found = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
-    return (found if known is None else found & known), min((zlib.crc32(w.encode()) for w in words), default=0)
+    whole = hashlib.blake2b(" ".join(sorted(words)).encode(), digest_size=8).digest()
+    return (found if known is None else found & known), int.from_bytes(whole, "little", signed=True)
 
 
 def _count(known: frozenset | None):

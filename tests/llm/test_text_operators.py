@@ -325,6 +325,17 @@ def test_grammar_classes():
     assert by("you. idiot, idiot")["plain"] == 2 and sum(by("").values()) == 0
 
 
+def test_texts_that_share_words_count_each(spark):
+    shared = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    toxic = [(f"{shared} own{name(i)} {'zorkle' if i < 8 else 'snib' + name(i)}", 1) for i in range(40)]
+    clean = [(f"{shared} own{name(i)}", 0) for i in range(100, 400)]
+    copies = [("Vrumpf " + " ".join(reversed(shared.split())), 1), (f"{shared} vrumpf", 1)] * 5
+    model = toxicity.fit(spark.createDataFrame(toxic + clean + copies, "text string, label int"))
+    assert model.terminals["zorkle"] > 0 and "vrumpf" not in model.terminals
+    assert len({toxicity._terminals(t)[1] for t, _ in toxic + clean}) == 340
+
+
 # --- 7: exact duplicates ----------------------------------------------------------
 
 def test_exact_duplicates_edge_cases(spark, odd, empty):
