@@ -53,7 +53,8 @@ SPEECH = "said says called calls wrote reported quoted sagte nannte schrieb dit
 
 CLASSES = ("plain", "aimed", "negated", "reported", "threat")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE_END = re.compile(r"[.!?;:,\n]")
+CLAUSE_ENDS = ".!?;:,\n"
+_CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 _SYMBOLS = {w: s for words, s in ((HARM, "harm"), (TARGET, "target"), (FIRST, "first"), (INTENT, "intent"),
                                   (SPEECH, "speech"), (NEGATION, "not")) for w in words}
 
@@ -122,8 +123,8 @@ class Model:
         for m in self.pattern.finditer(low):
             if m.start() < done:
                 continue
-            start = max((x.end() for x in _CLAUSE_END.finditer(low, max(done, m.start() - 400, 0), m.start())),
-                        default=max(done, m.start() - 400, 0))
+            after = max(done, 0)                  # the part before it is never searched again
+            start = max(after, *(low.rfind(c, after, m.start()) + 1 for c in CLAUSE_ENDS))
             end = _CLAUSE_END.search(low, m.end())
             done = end.end() if end else len(low)
             words = _WORD.findall(low, start, done)

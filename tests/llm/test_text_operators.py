@@ -325,6 +325,14 @@ def test_grammar_classes():
     assert by("you. idiot, idiot")["plain"] == 2 and sum(by("").values()) == 0
 
 
+def test_clauses_are_read_from_their_start():
+    model, far = toxicity.Model({"idiot": 1.0}), "word " * 2000
+    by = lambda s: dict(zip(toxicity.CLASSES, model.sums(s)))
+    assert by(f"she said {far} idiot")["reported"] == 1 and by(f"you {far} idiot")["aimed"] == 1
+    assert by(f"we will {far} kill you")["threat"] == 1 and by(f"she said, {far} idiot")["plain"] == 1
+    assert by(f"you {far} idiot, {far} idiot. {far}") == {"plain": 1, "aimed": 1, "negated": 0, "reported": 0, "threat": 0}
+
+
 def test_texts_that_share_words_count_each(spark):
     shared = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
     name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
