@@ -19,6 +19,9 @@ from shiftlab.session import prepare
 TOXIC_LIMIT = 0.5
 #: Stage 3: words of a shingle, and the share of shingles that links two documents.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
+#: Stage 4: share of the tokens that a draw without repeats must hold; otherwise documents of
+#: rare cells are repeated in a draw of as many tokens as there are.
+LEAST_SHARE = 0.75
 #: Stage 5: ids of a sequence, and the id that ends a document.
 SEQUENCE_IDS, END_ID = 4096, 1
 
@@ -45,7 +48,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A draw in which sources, languages and topics have their target shares."""
     prepare(spark)
-    return mixing.sample_documents(docs)
+    return mixing.sample_documents(docs, least=LEAST_SHARE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ Documents are counted into cells by their values of a few dimensions. Raking sca
 cells' tokens to the target share of every value of one dimension after the other until
 all marginals hold. A document is then drawn with a probability in proportion to its
 cell's factor (target over observed tokens); the largest factor gets probability 1, so no
-probability is clipped and the expected shares of the draw are the targets.
+probability is clipped and the expected shares of the draw are the targets. Such a draw
+without repeats holds 1 / largest factor of the tokens. Where that is less than the caller
+wants, :func:`sample_documents` draws one epoch, as many tokens as the corpus has, in which
+a document is repeated by its factor: the whole part always, the rest by its draw number.
 
 DataFrame operations only. The text itself is never shuffled as long as the cell table
 is small enough to be sent to every task, which is checked.
@@ -90,9 +93,10 @@ def _dimension(c: Column) -> Column:
 
 
 def calibrated(docs: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None,
-               exponents: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, str]]:
+               exponents: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, str], float]:
     """``docs`` with a column per dimension (null: '') and the row's tokens, factor and
-    probability, and the names these columns got. An empty table stays empty."""
+    probability, the names these columns got, and the expected share of the tokens in a draw
+    without repeats. An empty table stays empty."""
     names = list(dims)
     own = dict(zip([*names, "tokens", "factor", "probability"],
                    fresh(docs, *[f"_dim_{n}" for n in names], "_tokens", "_factor", "_probability")))
@@ -105,7 +109,7 @@ def calibrated(docs: DataFrame, dims: dict[str, Column], tokens: Column, targets
                          (F.col("factor") / F.lit(top)).alias(own["probability"]))
     if count <= MAX_BROADCAST_CELLS:
         raked = F.broadcast(raked)
-    return rows.join(raked, [own[n] for n in names]), own
+    return rows.join(raked, [own[n] for n in names]), own, 1 / top if top else 1.0
 
 
 def draw_number(id_col: Column, seed: int = 0) -> Column:
@@ -128,7 +132,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(source_col).alias("source"),
                        F.col(lang_col).alias("lang"))
-    out, own = calibrated(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"), topics)},
+    out, own, _ = calibrated(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"), topics)},
                      token_estimate(F.col("text")), targets, EXPONENTS if exponents is None else exponents)
     return out.select("doc_id", *[F.col(own[n]).alias(n) for n in ("source", "lang", "topic")],
                       F.col(own["tokens"]).alias("n_tokens"), F.col(own["factor"]).alias("factor"),
@@ -139,9 +143,21 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                      lang_col: str = "lang", topics: dict[str, list[str]] | None = None,
                      targets: dict[str, DataFrame] | None = None, exponents: dict[str, float] | None = None,
-                     seed: int = 0) -> DataFrame:
-    """The selected rows of ``docs``, all columns as they are (see :func:`mix_documents`)."""
+                     seed: int = 0, least: float = 0.0) -> DataFrame:
+    """The selected rows of ``docs``, all columns as they are (see :func:`mix_documents`).
+
+    If these are expected to hold less than the share ``least`` of all tokens, one epoch
+    is drawn instead: each row ``floor(factor)`` times, and once more if its draw number
+    lies below the rest, so that the draw holds as many tokens as ``docs``.
+    """
     text = F.col(text_col)
-    out, own = calibrated(docs, {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(text, topics)},
+    out, own, share = calibrated(docs, {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(text, topics)},
                      token_estimate(text), targets, EXPONENTS if exponents is None else exponents)
-    return out.where(draw_number(F.col(id_col), seed) < F.col(own["probability"])).select(*docs.columns)
+    number = draw_number(F.col(id_col), seed)
+    if share >= least:
+        return out.where(number < F.col(own["probability"])).select(*docs.columns)
+    factor = F.col(own["factor"])
+    times = F.floor(factor) + (number < factor - F.floor(factor)).cast("long")
+    repeat, = fresh(out, "_repeat")
+    return (out.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias(repeat))
+            .select(*docs.columns))

@@ -390,6 +390,20 @@ def test_mixing_edge_cases(odd, empty):
     assert mixing.mix_documents(empty).count() == 0 and mixing.sample_documents(empty).count() == 0
 
 
+def test_a_rare_source_does_not_shrink_the_draw(spark):
+    import corpus_pipeline
+    rows = [(i, "word " * 80, "en", f"s{i % 4}") for i in range(4000)] + [(9001, "word " * 80, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for kept in (mixing.sample_documents(docs, least=0.75), corpus_pipeline.mixing_stage(spark, docs, "")):
+        assert kept.columns == docs.columns
+        got = kept.groupBy("source").count().collect()
+        share = {r["source"]: r["count"] / kept.count() for r in got}
+        weights = {**{f"s{k}": 1000 ** 0.7 for k in range(4)}, None: 1}
+        assert share == pytest.approx({k: w / sum(weights.values()) for k, w in weights.items()}, rel=0.05)
+        assert kept.count() == pytest.approx(4001, rel=0.02)
+        assert kept.distinct().count() >= 0.95 * 4001
+
+
 def test_mixing_plan_is_native(spark, odd):
     plan = mixing.mix_documents(odd)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
