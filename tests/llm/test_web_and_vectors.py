@@ -88,6 +88,15 @@ def test_only_whole_names_mark_boilerplate():
         assert html_text.page_text(f"<body><p>kept</p>{p.format('text')}</body>", None) == "kept"
 
 
+def test_hosts_without_article_or_main_keep_all_their_text(spark):
+    made = [f"<body><div><h1>Title {k}</h1><p>{'long text ' * 40}{k}</p></div></body>" for k in range(9)]
+    made += [f"<body><div><h1>Title 9</h1><p>{'long text ' * 40}9</p></div><div><h2>More</h2></div></body>"]
+    docs = spark.createDataFrame([(k, f"http://h/{k}", p) for k, p in enumerate(made)], "page_id long, url string, html string")
+    for r in html_text.main_text(docs).collect():
+        k = r["page_id"]
+        assert r["text"] == f"Title {k}\n{'long text ' * 40}{k}" + "\nMore" * (k == 9)
+
+
 def test_wrapper_has_slots_repeats_and_options():
     pages = [html_text._simple(html_text.tokens(f"<html><body><h1>{t}</h1>{b}<ul>{'<li>x</li>' * n}</ul><p>end</p></body></html>"))
              for t, b, n in (("a", "", 2), ("b", "<div>extra</div>", 4), ("c", "", 1))]
