@@ -97,6 +97,26 @@ def test_hosts_without_article_or_main_keep_all_their_text(spark):
         assert r["text"] == f"Title {k}\n{'long text ' * 40}{k}" + "\nMore" * (k == 9)
 
 
+def wrapper_of(pages):
+    return html_text.wrapper_expression([html_text._simple(html_text.tokens(p)) for p in pages])
+
+
+def test_texts_that_all_pages_of_a_host_have_are_template():
+    for tag in ("div", "article"):
+        made = [(f"<body><div class=top>All <b>news</b> of the day</div><{tag}><p class=x>Read this first</p><h1>Title {k}</h1>"
+                 + f"<p>long text {k} {'word ' * 20}</p>" * (k + 1) + ("<ul><li>extra</li></ul>" if k % 2 else "")
+                 + f"</{tag}><p>All rights kept</p></body>") for k in range(6)]
+        w = wrapper_of(made)
+        for k, p in enumerate(made):
+            want = [f"Title {k}", *[f"long text {k} {'word ' * 20}".strip()] * (k + 1), *["extra"] * (k % 2)]
+            assert html_text.page_text(p, w) == "\n".join(want)
+        other = made[0].replace("Read this first", "Read that first")
+        assert html_text.page_text(other, w).startswith("Read that first\nTitle 0\n")
+    few, copies = made[:3], [made[0].replace("</article>", f"</article><i>{k}</i>") for k in range(6)]
+    assert all("Read this first" in html_text.page_text(p, wrapper_of(few)) for p in few)
+    assert all(html_text.page_text(p, wrapper_of(copies)) == html_text.page_text(p, None) for p in copies)
+
+
 def test_wrapper_has_slots_repeats_and_options():
     pages = [html_text._simple(html_text.tokens(f"<html><body><h1>{t}</h1>{b}<ul>{'<li>x</li>' * n}</ul><p>end</p></body></html>"))
              for t, b, n in (("a", "", 2), ("b", "<div>extra</div>", 4), ("c", "", 1))]
