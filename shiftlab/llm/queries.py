@@ -7,8 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm import (ann, exact_dedup, html_text, mixing, near_dedup, packing, quality, token_files,
-                          toxicity, url_filter)
+from shiftlab.llm import (ann, collocations, cross_alignment, exact_dedup, html_text, mixing, near_dedup, packing,
+                          quality, substring_dedup, token_files, toxicity, url_filter)
 from shiftlab.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -119,3 +119,55 @@ def q_mixing(spark, d) -> DataFrame:
 @register("op10_multiprobe_ann")
 def q_nearest(spark, d) -> DataFrame:
     return ann.nearest(table(spark, d, "embeddings"), k=20, every=20)
+
+
+@register("op11_cross_alignment")
+def q_cross_alignment(spark, d) -> DataFrame:
+    return cross_alignment.align_tokenizers(table(spark, d, "documents"))
+
+
+@register("op12_substring_dedup", r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+h AS (SELECT rid, i, w[i] AS word,
+             CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i + 34], ' ')) END AS win FROM p),
+r AS (SELECT rid, i, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM h),
+c AS (SELECT rid, i, word, bool_or(again) OVER (PARTITION BY rid ORDER BY i
+                                                ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed,
+             string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (rid)""")
+def q_substring_dedup(spark, d) -> DataFrame:
+    out = substring_dedup.remove_repeated_passages(table(spark, d, "documents"), length=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op13_collocations", r"""
+WITH s AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM s),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i
+      FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+q AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE a >= 30),
+c AS (SELECT * FROM q WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, k, w, unnest(range(1, k)) AS cut FROM c),
+parts AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS p1, array_to_string(w[cut + 1:k], ' ') AS p2 FROM cuts),
+scored AS (SELECT x.lang, x.phrase, x.a, cut, y.a AS l, z.a AS r,
+                  ((2000000::HUGEINT * x.a) // (y.a::HUGEINT + z.a))::BIGINT AS score
+           FROM parts x JOIN q y ON y.lang = x.lang AND y.phrase = p1 JOIN q z ON z.lang = x.lang AND z.phrase = p2),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nr FROM scored),
+ins AS (SELECT lang, a, w, k, m, unnest(range(1, k - m + 2)) AS i
+        FROM c, (SELECT unnest(range(2, 4)) AS m) WHERE m < k),
+held AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM ins GROUP BY ALL),
+kept AS (SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase
+         WHERE nr = 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
+def q_collocations(spark, d) -> DataFrame:
+    return collocations.collocations(table(spark, d, "documents"), least=30, longest=4, top=2000)
