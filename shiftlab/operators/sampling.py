@@ -7,34 +7,56 @@ data is partitioned, and a re-run after a lost executor gives the same rows.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlab.functions.vectors import let
 
-# Largest per-key dimension (one row per group or field value) joined back by broadcast.
-MAX_BROADCAST_ROWS = 2_000_000
+# Largest per-key dimension (one row per group or field value) that is broadcast.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def _row_bytes(df: DataFrame) -> tuple[F.Column | None, int]:
+    """What a row takes: an expression for its strings, arrays and the like (None if it has
+    none) and the bytes of its other columns."""
+    parts, fixed = [], 0
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "varchar", "char", "binary"):
+            parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) + 16)
+        elif kind in ("array", "map", "struct", "variant"):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) + 16)
+        else:
+            fixed += 16
+    return (reduce(lambda x, y: x + y, parts).cast("long") if parts else None), fixed
+
+
+def fits_broadcast(df: DataFrame, n: int | None = None) -> bool:
+    """Whether a table takes at most ``MAX_BROADCAST_BYTES``: measured, unless its number of
+    rows ``n`` is known and all its columns have a fixed width."""
+    varying, fixed = _row_bytes(df)
+    if varying is None and n is not None:
+        return n * fixed <= MAX_BROADCAST_BYTES
+    width = F.lit(fixed).cast("long") if varying is None else varying + fixed
+    size = df.agg(F.sum(width).alias("b")).first()["b"]
+    return (size or 0) <= MAX_BROADCAST_BYTES
 
 
 def join_dimension(rows: DataFrame, dim: DataFrame, on, n_dim: int | None = None) -> DataFrame:
     """Join a per-key dimension back to the rows.
 
     The dimension has one row per key, so a key holding a third of the rows
-    must not become one shuffle partition: it is broadcast when its counted
-    size is within ``MAX_BROADCAST_ROWS``; beyond that a shuffle join is used
-    and AQE's skew-join splitting takes over.
+    must not become one shuffle partition: it is broadcast when its bytes are within
+    ``MAX_BROADCAST_BYTES``; beyond that a shuffle join is used and AQE's skew-join
+    splitting takes over.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if n_dim is None:
-        n_dim = dim.count()
     own = dim.select(*[F.col(k).alias(f"_dim_{k}") for k in keys], *[c for c in dim.columns if c not in keys])
     # NULL keys are a group of their own: they must find their row of the dimension
     match = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(own[f"_dim_{k}"]) for k in keys])
-    joined = rows.join(F.broadcast(own) if n_dim <= MAX_BROADCAST_ROWS else own, match)
+    joined = rows.join(F.broadcast(own) if fits_broadcast(own, n_dim) else own, match)
     return joined.drop(*[f"_dim_{k}" for k in keys])
 
 
@@ -74,25 +96,25 @@ def _bounds(df: DataFrame, cols: list, n_ranges: int) -> list[tuple]:
 def _range_number(df: DataFrame, cols: list, bounds: list[tuple]) -> F.Column:
     """Number of bounds that are not above the row's order tuple (NULL first, as in sorting).
 
-    Looked up in two steps (every k-th bound, then the k bounds behind it), about
-    ``2 sqrt(n)`` comparisons per row, JVM-side.
+    A binary search spelt out as nested conditions, so it is compiled with the scan: a row
+    makes ``log2(n)`` comparisons, of plain values where one column gives the order.
     """
-    if not bounds:
-        return F.lit(0)
     types = [f.dataType for f in df.select(*cols).schema.fields]
-    row = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(cols)])
-
-    def literals(some):
-        return F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"_o{i}") for i, (v, t) in enumerate(zip(b, types))])
-                         for b in some])
+    if len(cols) == 1:
+        def reached(b):
+            return F.lit(True) if b[0] is None else F.coalesce(cols[0] >= F.lit(b[0]).cast(types[0]), F.lit(False))
+    else:
+        row = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(cols)])
 
-    def below(some, r):
-        return F.size(F.filter(some, lambda b: b <= r))
+        def reached(b):
+            return row >= F.struct(*[F.lit(v).cast(t).alias(f"_o{i}") for i, (v, t) in enumerate(zip(b, types))])
 
-    step = max(1, math.isqrt(len(bounds)))
-    coarse, fine = literals(bounds[step - 1::step]), literals(bounds)
-    return let(row, lambda r: let(below(coarse, r) * step, lambda k: k + below(
-        F.slice(fine, k + 1, F.lit(step)), r)))
+    def search(lo, hi):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(reached(bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+    return search(0, len(bounds))
 
 
 def with_index_and_count(df: DataFrame, order, out: str = "idx",
@@ -153,36 +175,69 @@ def subset_size(n: int, frac: float) -> int:
     return int(round(n * f))
 
 
+def subset_cuts(items: DataFrame, fracs: Sequence[float], seeds: Sequence[int], key: str = "item_id",
+                split: str | None = "train") -> dict[tuple[int, int], tuple | None]:
+    """Where the D2 subsets of all (fraction, seed) pairs end: the last kept pair
+    ``(md5(key:seed), key)`` by (position of the fraction, position of the seed); None keeps
+    all rows and ``()`` none. Two jobs for all of them.
+
+    The hash is uniform, so counting by its first 16 bits tells which prefix holds the
+    k-th pair; only such prefixes are sorted.
+    """
+    inside = F.col("split").eqNullSafe(F.lit(split)) if split else F.lit(True)
+    hashes = F.explode(F.array(*[F.struct(F.lit(i).alias("_s"), hash_key(key, s).alias("_h"))
+                                 for i, s in enumerate(seeds)])).alias("_p")
+    narrow = items.filter(inside).select(hashes, F.col(key).alias("_k")).select("_p._s", "_p._h", "_k")
+    narrow = narrow.withColumn("_b", F.shiftright("_h", 44))
+    counts: dict[int, list] = {i: [] for i in range(len(seeds))}
+    for r in narrow.groupBy("_s", "_b").count().collect():                    # at most 65,536 rows a seed
+        counts[r["_s"]].append((r["_b"], r["count"]))
+    cuts: dict[tuple[int, int], tuple | None] = {}
+    wanted: dict[tuple[int, int, int], list] = {}
+    for i in range(len(seeds)):
+        own = sorted(counts[i])
+        n = sum(c for _, c in own)
+        for f, frac in enumerate(fracs):
+            k, before = subset_size(n, frac), 0
+            if k >= n or k == 0:
+                cuts[f, i] = None if k >= n else ()
+                continue
+            for p, c in own:
+                if before + c >= k:
+                    break
+                before += c
+            wanted.setdefault((i, p, k - before), []).append((f, i))
+    if wanted:
+        places = items.sparkSession.createDataFrame(list(wanted), "_s int, _b long, _n int")   # one row per subset
+        rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_k"))
+        near = narrow.join(F.broadcast(places.select("_s", "_b").distinct()), ["_s", "_b"]).withColumn("_n", rank)
+        for r in near.join(F.broadcast(places), ["_s", "_b", "_n"]).collect():
+            for c in wanted[r["_s"], r["_b"], r["_n"]]:
+                cuts[c] = (r["_h"], r["_k"])
+    return cuts
+
+
+def in_subset(items: DataFrame, cut: tuple | None, seed: int, key: str = "item_id") -> F.Column:
+    """Whether a row's pair lies within a cut of :func:`subset_cuts`."""
+    if cut is None or not cut:
+        return F.lit(cut is None)
+    pair = F.struct(hash_key(key, seed).alias("_h"), F.col(key).alias("_k"))
+    return pair <= F.struct(F.lit(cut[0]).alias("_h"), F.lit(cut[1]).cast(items.schema[key].dataType).alias("_k"))
+
+
 def subset_fraction(items: DataFrame, frac: float, seed: int = 0, key: str = "item_id",
                     split: str | None = "train") -> DataFrame:
     """Seeded subset without replacement of the ``split`` rows; other splits pass through.
 
     The kept rows are the ``k`` smallest ``(md5(key:seed), key)`` pairs, so a
-    smaller fraction with the same seed is nested in a larger one. The hash is
-    uniform, so counting by its first 16 bits tells which prefix holds the k-th
-    pair; only that prefix is sorted. The rows (with a NULL split among the
-    others) are then kept by one filter over one scan.
+    smaller fraction with the same seed is nested in a larger one. The rows (with a
+    NULL split among the others) are kept by one filter over one scan.
     """
     inside = F.col("split").eqNullSafe(F.lit(split)) if split else F.lit(True)
-    h = hash_key(key, seed)
-    narrow = items.filter(inside).select(h.alias("_h"), F.col(key).alias("_k"))
-    prefix = F.shiftright("_h", 44)
-    counts = sorted((r["p"], r["count"]) for r in narrow.groupBy(prefix.alias("p")).count().collect())  # <= 65536 rows
-    n = sum(c for _, c in counts)
-    k = subset_size(n, frac)
-    if k >= n:
+    cut = subset_cuts(items, [frac], [seed], key, split)[0, 0]
+    if cut is None:
         return items
-    if k == 0:
-        return items.filter(~inside)
-    before = 0
-    for p, c in counts:
-        if before + c >= k:
-            break
-        before += c
-    cut = narrow.filter(prefix == p).orderBy("_h", "_k").offset(k - before - 1).first()
-    pair = F.struct(h.alias("_h"), F.col(key).alias("_k"))
-    last = F.struct(F.lit(cut["_h"]).alias("_h"), F.lit(cut["_k"]).cast(narrow.schema["_k"].dataType).alias("_k"))
-    return items.filter(~inside | (pair <= last))
+    return items.filter(~inside | in_subset(items, cut, seed, key))
 
 
 def group_weights(items: DataFrame, group: str = "domain") -> DataFrame:
@@ -234,9 +289,9 @@ def group_balanced_sample(items: DataFrame, n: int, seed: int = 0, group: str =
                   .withColumn("gidx", F.pmod(h2, F.col("group_n")))
                   .drop("group_n"))
     picks = draws.join(gi.select("gno", "gidx", key), ["gno", "gidx"]).select("draw", key)
-    # n draws (a parameter, not the data size) are broadcast into the item scan when bounded
+    # the draws (a parameter, not the data size) are broadcast into the item scan if they fit
     picks = picks.withColumnRenamed(key, "_pick")
-    return (items.join(F.broadcast(picks) if n <= MAX_BROADCAST_ROWS else picks,
+    return (items.join(F.broadcast(picks) if fits_broadcast(picks, n) else picks,
                        F.col(key).eqNullSafe(F.col("_pick"))).drop("_pick"))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab import SPLIT_LABELS, SPLITS
+from shiftlab.operators.tree import tree_sum
 
-# Keys whose sums a task holds before it sends them on.
-MAX_KEYS_HELD = 20_000
+# Bytes of sums a task holds before it sends them on.
+MAX_HELD_BYTES = 64 * 1024 * 1024
 
 
 def run_summary(run_metrics: DataFrame, by: Sequence[str] = ("split", "metric"),
@@ -43,49 +44,49 @@ def wide_report(summary: DataFrame, splits: Sequence[str] = SPLITS) -> DataFrame
     return p.select(*cols)
 
 
-def vector_mean(df: DataFrame, by: Sequence[str], vec: str = "v", out: str = "mean") -> DataFrame:
-    """Element-wise mean of equal-width vectors per key.
-
-    Each task adds its vectors up by key in numpy and sends one (key, sum, count) row
-    per key; the sums of the tasks meet by key. Keys may be many: nothing falls back to
-    sorting vectors. NULL vectors do not count; a key without any has no row.
-    """
+def _partial_sums(by: list[str]):
+    """Per task and key the sum and number of the vectors, held up to ``MAX_HELD_BYTES``."""
     import numpy as np
     import pandas as pd
 
-    by = list(by)
-    rows = df.select(*by, F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
-
-    def add(held, keys, v, n):
-        if keys in held:
-            held[keys][0] += v
-            held[keys][1] += n
-        else:
-            held[keys] = [v.copy(), n]
-
-    def frame(held):
+    def frame(held, task):
         keys = list(held)
         cols = {name: pd.Series([k[i] for k in keys], dtype=object) for i, name in enumerate(by)}
-        return pd.DataFrame({**cols, "_s": [held[k][0] for k in keys], "_n": [held[k][1] for k in keys]})
+        return pd.DataFrame({**cols, "_t": task, "_s": [held[k][0] for k in keys], "_n": [held[k][1] for k in keys]})
 
-    def partial(frames):
-        held = {}
+    def run(frames):
+        from pyspark import TaskContext
+        held, size, task = {}, 0, TaskContext.get().partitionId()
         for f in frames:
-            for keys, g in f.groupby(by, dropna=False, sort=False):
-                add(held, tuple(None if pd.isna(k) else k for k in keys), np.stack(g["_v"].to_numpy()).sum(axis=0), len(g))
-            if len(held) > MAX_KEYS_HELD:
-                yield frame(held)
-                held = {}
+            for key, g in (f.groupby(by, dropna=False, sort=False) if by else [((), f)]):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                v = np.stack(g["_v"].to_numpy()).sum(axis=0)
+                if key in held:
+                    held[key][0] += v
+                    held[key][1] += len(g)
+                else:
+                    held[key] = [v, len(g)]
+                    size += v.nbytes
+            if size > MAX_HELD_BYTES:
+                yield frame(held, task)
+                held, size = {}, 0
         if held:
-            yield frame(held)
+            yield frame(held, task)
+    return run
+
 
-    def total(g: pd.DataFrame) -> pd.DataFrame:
-        first = {name: [g[name].iloc[0]] for name in by}
-        return pd.DataFrame({**first, out: [np.stack(g["_s"].to_numpy()).sum(axis=0) / g["_n"].sum()]})
+def vector_mean(df: DataFrame, by: Sequence[str], vec: str = "v", out: str = "mean") -> DataFrame:
+    """Element-wise mean of equal-width vectors per key.
 
-    sums = rows.mapInPandas(partial, f"{kinds}, _s array<double>, _n long")
-    return sums.groupBy(*by).applyInPandas(total, f"{kinds}, `{out}` array<double>")
+    Each task adds its vectors up by key in numpy; the tasks' sums are merged as a tree
+    (:func:`tree_sum`), so one key with a sum in every task is no large group. Keys may be
+    many. NULL vectors do not count; a key without any has no row.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*by).schema.fields)
+    sums = tree_sum(rows.mapInPandas(_partial_sums(by), f"{kinds}_t long, _s array<double>, _n long"), by)
+    return sums.select(*by, F.transform("_s", lambda x: x / F.col("_n")).alias(out))
 
 
 def swa_mean(params: DataFrame, n_epochs: int, swa_epochs: int, by: Sequence[str] = ("param",),

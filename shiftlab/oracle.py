@@ -636,9 +636,18 @@ FX["fx9"] = """fx9 AS (
   FROM (SELECT *, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS dom FROM documents))"""
 
 ORACLE["linear_probe"] = with_fx(["fx9"], """
-SELECT split, CAST(sum(n) AS BIGINT) AS n, round(max(n) / sum(n), 6) AS majority, true AS holds_majority,
-       true AS beats_uniform, true AS converged
-FROM (SELECT split, y_true, count(*) AS n FROM fx9 GROUP BY ALL) GROUP BY split""")
+SELECT split, CAST(sum(n) AS BIGINT) AS n, round(max(n) / sum(n), 6) AS majority,
+       round(sum(n * guess) / sum(n), 6) AS prior_loss, true AS holds_majority,
+       CASE WHEN split = 'train' THEN true END AS beats_prior, true AS finite_loss, true AS converged
+FROM (SELECT split, y_true, count(*) AS n FROM fx9 GROUP BY ALL) JOIN
+     (SELECT y_true, -ln(count(*) / sum(count(*)) OVER ()) AS guess FROM fx9 WHERE split = 'train' GROUP BY y_true)
+     USING (y_true) GROUP BY split""")
+
+ORACLE["probe_epochs"] = with_fx(["fx9"], """
+SELECT CAST(e AS INTEGER) AS epoch, n AS n_draws, CAST(ceil(n / 1024) AS BIGINT) AS n_batches,
+       e = 0 OR (e + 1) % 2 = 0 AS evaluated, CASE WHEN e > 0 THEN true END AS loss_falls, e > 6 - 2 - 1 AS in_mean,
+       true AS swa_is_mean, true AS best_is_first_highest
+FROM (SELECT count(*) AS n FROM fx9 WHERE split = 'train'), range(0, 6) r(e)""")
 
 ORACLE["learning_curve"] = with_fx(["fx9"], """
 SELECT 'linear_probe' AS arch, round(f.perc, 6) AS perc,

@@ -2,88 +2,64 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.functions.vectors import argmax_class, cross_entropy
-from shiftlab.operators.metrics import accuracy
-from shiftlab.operators.sampling import subset_fraction
+from shiftlab.functions.vectors import argmax_class
+from shiftlab.operators.sampling import in_subset, subset_cuts
 from shiftlab.operators.scoring import collect_class_matrix, linear_scores
 from shiftlab.operators.selection import best_lr, curve_series
 from shiftlab.operators.summaries import run_summary
+from shiftlab.plans import solver
 
-
-# The solver goes on until its loss no longer falls by this share; the steps only bound a
-# solver that does not get there, which ``fit_linear_probe`` then says.
-TOLERANCE, MAX_STEPS = 1e-7, 500
+# Scans that the solver may take; it ends when the gradient is small, and says so if it does not.
+MAX_STEPS = 500
 # Largest gradient entry (per standardised feature) of a head that counts as converged.
 GRADIENT_TOLERANCE = 1e-2
 
 
+def _n_classes(train: DataFrame, n_classes: int | None) -> int:
+    seen = train.agg(F.max("y_true").alias("m")).first()["m"]
+    return max(n_classes or 0, 0 if seen is None else int(seen) + 1)
+
+
+def head_table(spark, w: np.ndarray, b: np.ndarray) -> DataFrame:
+    """A head as a table for P3: a row per class."""
+    rows = [(c, [float(x) for x in w[c]], float(b[c])) for c in range(len(b))]
+    return spark.createDataFrame(rows, "class_id int, w array<double>, b double")
+
+
 def fit_linear_probe(train: DataFrame, n_classes: int | None = None, max_iter: int = MAX_STEPS,
                      reg: float = 1e-3, features: str = "features") -> DataFrame:
     """M1: multinomial logistic regression on frozen features -> head ``(class_id, w, b)``.
 
-    Spark ML's distributed L-BFGS minimises the same softmax cross-entropy as
-    the reference's head training (a different solver), until the loss stops falling.
-    The head has one row per class, so it is returned as a small DataFrame for P3
-    scoring. Raises if the solver runs out of steps.
+    The same softmax cross-entropy as the reference's head training, by the solver that M3
+    uses for many heads (:func:`solver.fit_heads`), until its gradient is small. Classes without
+    a training row get the intercept minus infinity. The head has one row per class, so it is
+    returned as a small DataFrame for P3 scoring. Raises if the solver runs out of steps.
     """
-    data = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("fv"),
-                        F.col("y_true").cast("double").alias("label"))
-    lr = LogisticRegression(featuresCol="fv", labelCol="label", family="multinomial",
-                            maxIter=max_iter, tol=TOLERANCE, regParam=reg, standardization=True)
-    model = lr.fit(data)
-    if model.summary.totalIterations >= max_iter:
-        raise RuntimeError(f"the linear probe has not converged after {max_iter} steps")
-    W = model.coefficientMatrix.toArray()
-    b = model.interceptVector.toArray()
-    C = W.shape[0] if n_classes is None else max(n_classes, W.shape[0])
-    rows = []
-    for c in range(C):
-        if c < W.shape[0]:
-            rows.append((c, [float(x) for x in W[c]], float(b[c])))
-        else:
-            rows.append((c, [0.0] * W.shape[1], float("-inf")))
-    return train.sparkSession.createDataFrame(rows, "class_id int, w array<double>, b double")
+    n = _n_classes(train, n_classes)
+    blocks = solver.feature_blocks(train.withColumn("_slice", F.lit("train")), F.lit(1), features, slice_col="_slice")
+    fitted = solver.fit_heads(blocks, [(0, reg)], n, max_iter)[0]
+    if fitted is None:
+        raise ValueError("the training split has no rows")
+    return head_table(train.sparkSession, fitted.w, fitted.b)
 
 
 def gradient_norm(train: DataFrame, head: DataFrame, reg: float) -> float:
-    """Largest entry of the objective's gradient at the head, per standardised feature.
-
-    One pass: every task adds up its part of ``(p - y) x``, the feature sums and squares.
-    """
-    W, b = collect_class_matrix(head, "class_id", "w", bias_col="b")
-    c, d = W.shape
-
-    def partial(frames):
-        g, s, q, n = np.zeros((c, d)), np.zeros(d), np.zeros(d), 0
-        for f in frames:
-            if not len(f):
-                continue
-            x = np.stack(f["features"].to_numpy()).astype(np.float64)
-            z = x @ W.T + b
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(x)), f["y_true"].to_numpy()] -= 1
-            g, s, q, n = g + p.T @ x, s + x.sum(axis=0), q + (x ** 2).sum(axis=0), n + len(x)
-        yield pd.DataFrame({"g": [g.ravel()], "s": [s], "q": [q], "n": [n]})
-
-    parts = train.select("features", "y_true").mapInPandas(
-        partial, "g array<double>, s array<double>, q array<double>, n long").collect()       # one row per task
-    n = sum(r["n"] for r in parts)
-    g = np.sum([r["g"] for r in parts], axis=0).reshape(c, d) / n
-    s, q = np.sum([r["s"] for r in parts], axis=0), np.sum([r["q"] for r in parts], axis=0)
-    sd = np.sqrt(np.maximum(q - s * s / n, 0) / max(n - 1, 1))
-    live = sd > 0
-    return float(np.abs((g[:, live] + reg * sd[live] ** 2 * W[:, live]) / sd[live]).max())
+    """Largest entry of the objective's gradient at a head, per standardised feature: two scans."""
+    w, b = collect_class_matrix(head, "class_id", "w", bias_col="b")
+    blocks = solver.feature_blocks(train.withColumn("_slice", F.lit("train")), F.lit(1), slice_col="_slice")
+    stats = solver.moments(blocks, [0], len(b))[0]
+    sums = solver.loss_and_gradient(blocks, [(0, w, b)])[0]
+    by_w, by_b = sums[1:1 + w.size].reshape(w.shape), sums[1 + w.size:]
+    live = stats.spread > 0
+    s = stats.spread[live]
+    g = (by_w[:, live] - np.outer(by_b, stats.mean[live])) / stats.n / s + reg * s * w[:, live]
+    return float(np.abs(g).max(initial=0.0))
 
 
 def untrained_head(spark, n_classes: int, width: int) -> DataFrame:
@@ -104,100 +80,83 @@ def probe_predictions(items: DataFrame, head: DataFrame) -> DataFrame:
 
 def probe_report(items: DataFrame, n_classes: int | None = None, reg: float = 1e-3) -> DataFrame:
     """M1 end to end: fit on the train split; per split the rows ``n``, the share of its largest
-    class ``majority``, accuracy ``acc_avg`` and mean cross-entropy ``loss`` of the head, and
-    whether the head has ``converged`` (gradient at the head).
+    class ``majority``, accuracy ``acc_avg`` and mean cross-entropy ``loss`` of the head,
+    ``prior_loss`` (that of guessing the training shares), and whether the head has
+    ``converged`` (gradient at the head).
 
-    The featurised items are cached for the fit and the evaluation, and
-    released once the (one row per split) result is materialised.
+    The features are written once as blocks, which the fit and the evaluation scan.
     """
-    feats = items.select("split", "item_id", "features", "y_true", "domain").persist()
-    try:
-        train = feats.filter(F.col("split") == "train")
-        head = fit_linear_probe(train, n_classes, reg=reg)
-        converged = gradient_norm(train, head, reg) <= GRADIENT_TOLERANCE
-        scored = linear_scores(feats.select("split", "features", "y_true"), head)
-        rows = scored.select("split", "y_true", argmax_class("scores").alias("y_pred"),
-                             cross_entropy("scores", "y_true").alias("ce"))
-        of_class = rows.groupBy("split", "y_true").agg(
-            F.count(F.lit(1)).alias("n"), F.sum((F.col("y_true") == F.col("y_pred")).cast("long")).alias("hits"),
-            F.sum("ce").alias("ce"))
-        out = of_class.groupBy("split").agg(
-            F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("majority"),
-            (F.sum("hits") / F.sum("n")).alias("acc_avg"), (F.sum("ce") / F.sum("n")).alias("loss")).collect()
-        return items.sparkSession.createDataFrame(                                       # one row per split
-            [(*r, converged) for r in out],
-            "split string, n long, majority double, acc_avg double, loss double, converged boolean")
-    finally:
-        feats.unpersist()
+    is_train = F.col("split").eqNullSafe(F.lit("train"))
+    blocks = solver.feature_blocks(items, is_train.cast("long"))
+    n = _n_classes(items.filter(is_train), n_classes)
+    fitted = solver.fit_heads(blocks, [(0, reg)], n, MAX_STEPS)[0]
+    if fitted is None:
+        raise ValueError("the training split has no rows")
+    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
+    of_class = solver.evaluate_heads(blocks, [(fitted.w, fitted.b)]).groupBy("split", "y_true").agg(
+        F.sum("n").alias("n"), F.sum(hit).alias("hits"), F.sum("loss").alias("loss"))
+    prior = of_class.filter(F.col("split") == "train").select(
+        F.col("y_true").alias("_c"), F.col("n").alias("_n"))                     # one row per class
+    prior = prior.crossJoin(F.broadcast(prior.agg(F.sum("_n").alias("_all")))).select(
+        F.col("_c").alias("y_true"), (-F.log(F.col("_n") / F.col("_all"))).alias("_guess"))
+    rows = of_class.join(F.broadcast(prior), "y_true", "left").fillna(float("inf"), ["_guess"])
+    return rows.groupBy("split").agg(
+        F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("majority"),
+        (F.sum("hits") / F.sum("n")).alias("acc_avg"), (F.sum("loss") / F.sum("n")).alias("loss"),
+        (F.sum(F.col("n") * F.col("_guess")) / F.sum("n")).alias("prior_loss"),
+        F.lit(fitted.gradient <= GRADIENT_TOLERANCE).alias("converged"))
 
 
 def learning_curve(items: DataFrame, fractions: Sequence[float], regs: Sequence[float],
                    runs: int = 2, max_iter: int = MAX_STEPS, arch: str = "linear_probe",
-                   parallelism: int = 4, zero_shot_head: DataFrame | None = None) -> DataFrame:
+                   zero_shot_head: DataFrame | None = None) -> DataFrame:
     """M3: for each (fraction, reg) and run: subset -> fit -> ID/OOD test accuracy;
     mean/std over runs; best reg per fraction by OOD test; tidy curve rows.
 
-    The driver only walks the grid: each subset is drawn once per (fraction,
-    run) and shared by all regularisation values, and up to ``parallelism``
-    grid cells fit at the same time as independent Spark jobs (as Spark ML's
-    tuning does). Features are cached once for all cells. With
-    ``zero_shot_head`` the fraction-0 point is that head evaluated without
-    training (one run), taken as it is by the selection.
+    All heads are fitted together: the features are written once as blocks whose rows carry
+    a bit per (fraction, run) subset, each step of the solver scans them once for every
+    cell still open, and one more scan evaluates all heads. With ``zero_shot_head`` the
+    fraction-0 point is that head evaluated without training (one run), taken as it is by
+    the selection. A fraction that keeps no training row has NULL values.
     """
-    feats = items.select("split", "item_id", "features", "y_true", "domain").persist()
-    evals = feats.filter(F.col("split").isin("id_test", "test"))
-    subsets = []
-    results = []
-    try:
-        train = feats.filter(F.col("split") == "train")
-        cells = []
-        for fo, frac in enumerate(fractions):
-            for run in range(runs):
-                sub = subset_fraction(train, frac, seed=run).persist()
-                subsets.append(sub)
-                for ro, reg in enumerate(regs):
-                    cells.append((fo, frac, ro, reg, run, sub))
-
-        def fit_cell(cell):
-            fo, frac, ro, reg, run, sub = cell
-            if sub.isEmpty():
-                return None
-            head = fit_linear_probe(sub, max_iter=max_iter, reg=reg)
-            acc = accuracy(probe_predictions(evals, head), ["split"])
-            acc = acc.select(F.lit(fo + 1).alias("perc_ord"), F.lit(float(frac)).alias("perc"),
-                             F.lit(ro).alias("lr_ord"), F.lit(run).alias("run"),
-                             "split", "acc_avg").persist()
-            acc.count()
-            return acc
-
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            results = [r for r in pool.map(fit_cell, cells) if r is not None]
-        if zero_shot_head is not None:
-            zs = accuracy(probe_predictions(evals, zero_shot_head), ["split"])
-            zs = zs.select(F.lit(0).alias("perc_ord"), F.lit(0.0).alias("perc"), F.lit(0).alias("lr_ord"),
-                           F.lit(0).alias("run"), "split", "acc_avg").persist()
-            zs.count()
-            results.append(zs)
-        rows = items.sparkSession.createDataFrame(
-            [], "perc_ord int, perc double, lr_ord int, run int, split string, acc_avg double")
-        for r in results:
-            rows = rows.unionByName(r)
-        summ = run_summary(rows, ["perc_ord", "perc", "lr_ord", "split"], "acc_avg")
-        wide = summ.groupBy("perc_ord", "perc", "lr_ord").pivot("split", ["id_test", "test"]).agg(
-            F.first("mean").alias("mean"), F.first("std").alias("std"))
-        res = wide.select(F.lit(arch).alias("arch"), "perc_ord", "perc", "lr_ord",
-                          F.col("id_test_mean").alias("id_mean"), F.col("test_mean").alias("ood_mean"),
-                          F.col("id_test_std").alias("id_std"), F.col("test_std").alias("ood_std"))
-        best = best_lr(res, zero_perc_value=0)
-        asked = items.sparkSession.createDataFrame(
-            [(arch, fo + 1, float(f)) for fo, f in enumerate(fractions)], "arch string, perc_ord int, perc double")
-        none = asked.join(best, ["arch", "perc_ord"], "left_anti")
-        best = best.unionByName(none, allowMissingColumns=True)
-        curve = curve_series(best)
-        return items.sparkSession.createDataFrame(curve.collect(), curve.schema)    # two rows per fraction
-    finally:
-        for r in results:
-            r.unpersist()
-        for sub in subsets:
-            sub.unpersist()
-        feats.unpersist()
+    spark = items.sparkSession
+    subsets = [(f, r) for f in range(len(fractions)) for r in range(runs)]
+    is_train = F.col("split").eqNullSafe(F.lit("train"))
+    n_classes = _n_classes(items.filter(is_train), None)
+    cuts = subset_cuts(items, fractions, range(runs))
+    facts = []
+    for at in range(0, len(subsets), solver.MAX_SUBSETS):
+        some = subsets[at:at + solver.MAX_SUBSETS]
+        members = F.lit(0).cast("long")
+        for i, (f, r) in enumerate(some):
+            members = members.bitwiseOR(F.when(is_train & in_subset(items, cuts[f, r], r), F.lit(1 << i))
+                                        .otherwise(F.lit(0)).cast("long"))
+        blocks = solver.feature_blocks(items.filter(F.col("split").isin("train", "id_test", "test")), members)
+        cells = [(i, o) for i in range(len(some)) for o in range(len(regs))]
+        fitted = solver.fit_heads(blocks, [(i, regs[o]) for i, o in cells], n_classes, max_iter)
+        heads = [(some[i][0] + 1, float(fractions[some[i][0]]), o, some[i][1], h.w, h.b)
+                 for (i, o), h in zip(cells, fitted) if h is not None]
+        if zero_shot_head is not None and at == 0:
+            heads.append((0, 0.0, 0, 0, *collect_class_matrix(zero_shot_head, "class_id", "w", bias_col="b")))
+        if not heads:
+            continue
+        found = solver.evaluate_heads(blocks, [h[4:] for h in heads], ["id_test", "test"])
+        names = spark.createDataFrame([(c, *h[:4]) for c, h in enumerate(heads)],              # one row per head
+                                      "cell int, perc_ord int, perc double, lr_ord int, run int")
+        hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
+        facts.append(found.groupBy("cell", "split").agg((F.sum(hit) / F.sum("n")).alias("acc_avg"))
+                     .join(F.broadcast(names), "cell").drop("cell"))
+    rows = spark.createDataFrame([], "split string, acc_avg double, perc_ord int, perc double, lr_ord int, run int")
+    for r in facts:
+        rows = rows.unionByName(r)
+    summ = run_summary(rows, ["perc_ord", "perc", "lr_ord", "split"], "acc_avg")
+    wide = summ.groupBy("perc_ord", "perc", "lr_ord").pivot("split", ["id_test", "test"]).agg(
+        F.first("mean").alias("mean"), F.first("std").alias("std"))
+    res = wide.select(F.lit(arch).alias("arch"), "perc_ord", "perc", "lr_ord",
+                      F.col("id_test_mean").alias("id_mean"), F.col("test_mean").alias("ood_mean"),
+                      F.col("id_test_std").alias("id_std"), F.col("test_std").alias("ood_std"))
+    best = best_lr(res, zero_perc_value=0)
+    asked = spark.createDataFrame(
+        [(arch, fo + 1, float(f)) for fo, f in enumerate(fractions)], "arch string, perc_ord int, perc double")
+    none = asked.join(best, ["arch", "perc_ord"], "left_anti")
+    return curve_series(best.unionByName(none, allowMissingColumns=True))

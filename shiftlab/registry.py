@@ -8,7 +8,6 @@ decimals (the oracle rounds the same way); exact ones are returned as they are.
 
 from __future__ import annotations
 
-import math
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from shiftlab.functions import vectors as V
 from shiftlab.operators import (experiments, inference, metrics, retrieval, sampling, scoring,
                                 selection, summaries)
-from shiftlab.plans import limited_data, probe, report, retrieval_eval, zero_shot
+from shiftlab.plans import limited_data, probe, report, retrieval_eval, training, zero_shot
 from shiftlab.session import scratch_path
 from shiftlab.sources import classes as S2
 from shiftlab.sources import fixtures as fx
@@ -509,10 +508,41 @@ def _at_least(rate: str, n: str) -> F.Column:
 @register("linear_probe")
 def q_linear_probe(spark, d):
     r = probe.probe_report(fx.document_items(spark, d), n_classes=4)
-    # the solver's numbers have no SQL twin; what must hold of them has
-    return r.select("split", "n", r6("majority").alias("majority"),
+    # the solver's numbers have no SQL twin; what must hold of them has: the fitted head is no
+    # worse on its training rows than guessing their shares, which is one of the heads it chose from
+    beats = F.when(F.col("split") == "train", F.col("loss") <= F.col("prior_loss"))
+    return r.select("split", "n", r6("majority").alias("majority"), r6("prior_loss").alias("prior_loss"),
                     (F.col("acc_avg") >= _at_least("majority", "n")).alias("holds_majority"),
-                    (F.col("loss") < math.log(4)).alias("beats_uniform"), "converged")
+                    beats.alias("beats_prior"), F.col("loss").between(0.0, 1e6).alias("finite_loss"), "converged")
+
+
+@register("probe_epochs")
+def q_probe_epochs(spark, d):
+    items = fx.document_items(spark, d).withColumn("features", V.l2_normalize("features"))
+    n_epochs, swa = 6, 2
+    t = training.train_head(items, n_classes=4, n_epochs=n_epochs, batch_size=1024, lr=0.05, swa_epochs=swa,
+                            swa_lr=0.01, eval_freq=2, dataset="documents")
+    path = scratch_path(spark, "probe-epochs-log")
+    S67.write_epoch_log(t.log, path, "acc_avg")
+    log = S67.read_epoch_log(spark, path, "acc_avg")
+    # the averaged head against the plain mean of the last heads, weight by weight
+    last = t.heads.filter(F.col("epoch") >= n_epochs - swa).select(
+        "class_id", F.posexplode(F.concat("w", F.array("b")))).groupBy("class_id", "pos").agg(F.avg("col").alias("mean"))
+    got = t.averaged.select("class_id", F.posexplode(F.concat("w", F.array("b"))))
+    same = last.join(got, ["class_id", "pos"], "full").agg(
+        F.coalesce(F.min((F.abs(F.col("mean") - F.col("col")) < 1e-9).cast("int")), F.lit(0)).alias("same"))
+    first = t.losses.filter("epoch = 0").select(F.col("loss").alias("start"))
+    best = log.agg(F.max("metric").alias("high")).crossJoin(t.best.select("best_epoch", "best_metric"))
+    high = log.join(best, F.col("metric") == F.col("high")).groupBy("best_epoch", "best_metric", "high").agg(
+        F.min("epoch").alias("earliest"))
+    facts = same.crossJoin(first).crossJoin(high)                                           # one row
+    rows = t.batches.groupBy("epoch").agg(F.sum("n").alias("n_draws")).join(t.losses, "epoch")
+    rows = rows.join(log.select("epoch", F.lit(True).alias("logged")), "epoch", "left").crossJoin(F.broadcast(facts))
+    return rows.select(
+        "epoch", "n_draws", "n_batches", F.coalesce("logged", F.lit(False)).alias("evaluated"),
+        F.when(F.col("epoch") > 0, F.col("loss") < F.col("start")).alias("loss_falls"),
+        (F.col("epoch") > n_epochs - swa - 1).alias("in_mean"), (F.col("same") == 1).alias("swa_is_mean"),
+        ((F.col("best_metric") == F.col("high")) & (F.col("best_epoch") == F.col("earliest"))).alias("best_is_first_highest"))
 
 
 @register("learning_curve")

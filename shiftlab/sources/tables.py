@@ -6,12 +6,23 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shiftlab.session import scratch_path
+
 
 def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """Read ``<data_dir>/<name>.parquet``; Catalyst prunes columns and pushes filters."""
     return spark.read.parquet(os.path.join(data_dir, f"{name}.parquet"))
 
 
+def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """``df`` written as a Parquet table in the shared checkpoint folder and read back: steps
+    that read it many times neither recompute it nor depend on the executors that made it.
+    ``partition`` names a column whose values get folders of their own."""
+    path = scratch_path(df.sparkSession, name)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether a path of any file system Spark can read is a folder."""
     jvm = spark.sparkContext._jvm
