@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftlab.functions.vectors import explode_vector
 from shiftlab.operators.scoring import contrastive_scores
+from shiftlab.operators.threshold import select_per_class
 
 
 def top_n(items: DataFrame, query: DataFrame, n: int = 5, scale: float = 100.0,
@@ -46,6 +47,8 @@ def class_probabilities(probs: DataFrame, key: str = "item_id", probs_col: str =
     return explode_vector(probs, [key, "y_true"], probs_col, "class_id", "prob")
 
 
+# Largest k that every task keeps for itself.
+MAX_HELD = 4096
 # Parts a class's candidates are merged in before the last merge.
 MERGE_PARTS = 64
 
@@ -95,8 +98,12 @@ def best_per_class(probs: DataFrame, k: int, by: list[str] | None = None, key: s
     Each task keeps its own ``k`` best per class while it reads the probability
     arrays, so N x C rows are never exploded or sorted; at most ``k`` rows per task and
     class are shuffled. They are merged in ``MERGE_PARTS`` parts of a class, then once more.
+    Beyond ``MAX_HELD`` rows the classes' k-th values are found first and only what
+    reaches them is moved (:func:`select_per_class`).
     """
     by = list(by or [])
+    if k > MAX_HELD:
+        return select_per_class(probs, k, by, key, probs_col)
     rows = probs.select(*by, key, "y_true", probs_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by, key).schema.fields)
     best = rows.mapInPandas(_keep_best(by, key, probs_col, k),
