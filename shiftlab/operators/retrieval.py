@@ -53,22 +53,25 @@ MAX_HELD = 4096
 MERGE_PARTS = 64
 
 
+def best_rows(prob, keys, labels, k: int):
+    """The ``k`` best of some rows in order: highest probability, ties by the smaller key."""
+    import numpy as np
+    # NaN sorts highest, as in Spark; values are compared at 12 decimals
+    rank = np.where(np.isnan(prob), np.inf, np.round(prob, 12))
+    if len(rank) > 2 * k:
+        least = np.partition(rank, len(rank) - k)[len(rank) - k]
+        near = np.flatnonzero(rank >= least)
+    else:
+        near = np.arange(len(rank))
+    top = near[np.lexsort((keys[near], -rank[near]))][:k]
+    return prob[top], keys[top], labels[top]
+
+
 def _keep_best(by: list[str], key: str, probs_col: str, k: int):
     """Per task and class the ``k`` best rows over all batches (ties: smaller key)."""
     import numpy as np
     import pandas as pd
 
-    def best(prob, keys, labels):
-        # NaN sorts highest, as in Spark; values are compared at 12 decimals
-        rank = np.where(np.isnan(prob), np.inf, np.round(prob, 12))
-        if len(rank) > 2 * k:
-            least = np.partition(rank, len(rank) - k)[len(rank) - k]
-            near = np.flatnonzero(rank >= least)
-        else:
-            near = np.arange(len(rank))
-        top = near[np.lexsort((keys[near], -rank[near]))][:k]
-        return prob[top], keys[top], labels[top]
-
     def run(frames):
         held = {}
         for f in frames:
@@ -83,7 +86,7 @@ def _keep_best(by: list[str], key: str, probs_col: str, k: int):
                     new = (P[:, c], keys, labels)
                     if old is not None:
                         new = tuple(np.concatenate([a, b]) for a, b in zip(old, new))
-                    held[part, c] = best(*new)
+                    held[part, c] = best_rows(*new, k)
         for (part, c), (prob, keys, labels) in held.items():
             out = {name: v for name, v in zip(by, part)}
             yield pd.DataFrame({**{name: [v] * len(keys) for name, v in out.items()}, "class_id": c, key: keys,

@@ -280,6 +280,8 @@ per_class AS (
 
 ORACLE["top_k_per_class"] = _with_topk("test", 20, "SELECT class_id, rank, item_id FROM topk WHERE rank <= 20")
 ORACLE["recall_at_k_per_class"] = _with_topk("test", 20, "SELECT class_id, round(recall, 6) AS recall FROM per_class")
+ORACLE["streaming_top_k"] = ORACLE["top_k_per_class"]
+ORACLE["streaming_recall"] = ORACLE["recall_at_k_per_class"]
 ORACLE["recall_at_k"] = _with_topk("test", 20, "SELECT round(sum(recall) / count(*), 6) AS recall_at_k FROM per_class")
 ORACLE["recall_at_k_large_k"] = _with_topk("id_test", 200,
                                            "SELECT round(sum(recall) / count(*), 6) AS recall_at_k FROM per_class")

@@ -26,6 +26,7 @@ from shiftlab.sources import logs as S67
 from shiftlab.sources import reports as S45
 from shiftlab.sources.tables import is_folder, read_table
 from shiftlab.streaming.evaluation import streaming_confusion
+from shiftlab.streaming.top_k import streaming_recall_at_k, streaming_top_k
 from shiftlab.streaming.top_n import streaming_top_n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -590,6 +591,28 @@ def q_streaming_top_n(spark, d):
     return top.select(w.cast("int").alias("rank"), "item_id", r6("similarity").alias("similarity"))
 
 
+def _streamed_top_k(spark, d, k):
+    """The top-k of :func:`q_top_k_per_class` over a stream of the embeddings."""
+    _, classes = _items_and_classes(spark, d)
+    W, _ = scoring.collect_class_matrix(classes)
+    items = fx.embedding_items_from(table_stream(spark, d, "embeddings")).filter(F.col("split") == "test")
+    scored = scoring.scores_from_matrix(items, W, scale=100.0, normalize=True)
+    probs = scored.select("item_id", "y_true", V.softmax("scores").alias("probs"))
+    return streaming_top_k(probs, k), len(W)
+
+
+@register("streaming_top_k")
+def q_streaming_top_k(spark, d):
+    top, _ = _streamed_top_k(spark, d, 20)
+    return top.select("class_id", "rank", "item_id")
+
+
+@register("streaming_recall")
+def q_streaming_recall(spark, d):
+    top, n = _streamed_top_k(spark, d, 20)
+    return streaming_recall_at_k(top, 20, n).select("class_id", r6("recall").alias("recall"))
+
+
 @register("streaming_confusion")
 def q_streaming_confusion(spark, d):
     orders = table_stream(spark, d, "orders")

@@ -24,7 +24,11 @@ def _split_by_block(block: F.Column) -> F.Column:
 
 def embedding_items(spark: SparkSession, data_dir: str) -> DataFrame:
     """FX1: ``embeddings`` as an item table with 8 domains and 5 splits."""
-    e = read_table(spark, data_dir, "embeddings")
+    return embedding_items_from(read_table(spark, data_dir, "embeddings"))
+
+
+def embedding_items_from(e: DataFrame) -> DataFrame:
+    """FX1 over a given embeddings frame (batch or stream)."""
     domain = (F.col("vec_id") % 8).cast("int")
     block = F.expr("vec_id div 8") % 10
     split = (F.when(domain == 5, "val")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shiftlab.operators import metrics, retrieval, scoring, summaries
 from shiftlab.sources import fixtures as fx
 from shiftlab.streaming.evaluation import streaming_confusion
+from shiftlab.streaming.top_k import start_top_k, streaming_recall_at_k, streaming_top_k, top_k_so_far
 from shiftlab.streaming.top_n import streaming_top_n
 from conftest import SF_SMALL
 
@@ -64,3 +65,49 @@ def test_an_endless_stream_returns_its_handle(spark, tmp_path):
         assert sorted(r.item_id for r in latest_state(spark, out).collect()) == [7, 8, 9]
     finally:
         q.stop()
+
+
+def _probs(n, seed):
+    import numpy as np
+    r = np.random.default_rng(seed)
+    rows = [(int(i), int(r.integers(0, 4)), [float(round(v, 1)) for v in r.random(4)]) for i in r.permutation(n)]
+    return rows + [(n + 1, 1, [0.5, float("nan"), 0.1, 0.1]), (n + 2, 0, None)]
+
+
+def test_streaming_top_k_equals_batch_over_batches_and_a_restart(spark):
+    """Ties, NaN and NULL vectors; four batches, then more files with the same checkpoint."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    src, checkpoint = tempfile.mkdtemp(prefix="shiftlab-stream-"), tempfile.mkdtemp(prefix="shiftlab-ck-")
+    schema = "item_id long, y_true int, probs array<double>"
+    first, more = spark.createDataFrame(_probs(200, 1), schema), spark.createDataFrame(
+        [(i + 1000, y, p) for i, y, p in _probs(100, 2)], schema)
+    first.repartition(4).write.mode("append").parquet(src)
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    def same(got, df):
+        want = retrieval.top_k_per_class(df, 9)
+        cols = ["class_id", "rank", "item_id", "y_true"]
+        assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(tuple(r) for r in want.select(cols).collect())
+        recall = {r.class_id: r.recall for r in streaming_recall_at_k(got, 9, 6).collect()}
+        assert recall == {r.class_id: r.recall for r in retrieval.recall_at_k_per_class(df, 9, 6).collect()}
+
+    same(streaming_top_k(stream(), 9, checkpoint=checkpoint), first)
+    assert len(os.listdir(os.path.join(checkpoint, "commits"))) >= 4
+    more.repartition(3).write.mode("append").parquet(src)
+    same(streaming_top_k(stream(), 9, checkpoint=checkpoint), first.unionByName(more))
+    same(streaming_top_k(stream(), 9, checkpoint=checkpoint), first.unionByName(more))     # nothing new
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_streaming_top_k_sends_k_rows_per_task_and_class(spark):
+    src = tempfile.mkdtemp(prefix="shiftlab-stream-")
+    schema = "item_id string, y_true int, probs array<double>"
+    df = spark.createDataFrame([(f"i{i:04d}", i % 2, [i / 500, 0.5]) for i in range(500)], schema)
+    df.coalesce(1).write.mode("append").parquet(src)
+    q = start_top_k(spark.readStream.schema(schema).parquet(src), 3, os.path.join(src, "_ck"))
+    q.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress[:1]) == 2      # a value per class
+    got = {(r.class_id, r.rank): r.item_id for r in top_k_so_far(spark, os.path.join(src, "_ck")).collect()}
+    assert got == {(0, 1): "i0499", (0, 2): "i0498", (0, 3): "i0497", (1, 1): "i0000", (1, 2): "i0001", (1, 3): "i0002"}
