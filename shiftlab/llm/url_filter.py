@@ -49,10 +49,11 @@ def literal_tokens(pattern: str) -> set[str]:
 
 
 def expression(pattern: str) -> str:
-    """The regular expression of a pattern, over host and path joined by a blank."""
+    """The regular expression of a pattern, over host and path joined by a blank. A host may
+    hold blanks but no slash, and a path is empty or begins with one."""
     host, slash, path = pattern.partition("/")
     wild = lambda s, any_: any_.join(map(re.escape, s.split("*")))
-    return rf"(?:[^ ]*\.)?{wild(host, '[^ ]*')} {wild(slash + path, '.*')}"
+    return rf"(?:[^/]*\.)?{wild(host, '[^/]*')} {wild(slash + path, '.*')}"
 
 
 def _index(rules: list[tuple[str, str]], counts: dict[str, int]):
@@ -93,8 +94,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
     """One row per row of ``pages``: ``page_id``, ``host``, ``path``, ``rule`` (the pattern
     that won, or null), ``verdict`` (the rule's, else ``default``).
 
-    A null url, or one without ``://``, has an empty host and path. Repeated rows are
-    judged each, null ids are carried along, further columns are ignored.
+    A null url, or one without ``://``, has an empty host and path; hosts may hold blanks.
+    Repeated rows are judged each, null ids are carried along, an empty table gives no rows,
+    very long urls are judged whole, further columns are ignored. Raises for more than
+    ``MAX_RULES`` rules.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can be given to every task")
