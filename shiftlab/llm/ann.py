@@ -213,21 +213,28 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     ``query_id``, ``rank`` from 1, ``vec_id``, ``score`` (inner product in double precision;
     ties to the smaller id).
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite
-    components take no part, nor do rows with a null id. Repeated rows count once; of
-    different vectors with one id the best counts. An empty table gives no rows.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do
+    rows with a null id. Vectors of different lengths have no inner product: each length is
+    searched apart. Components keep the column's own type. Repeated rows count once; of different vectors with one id the best counts. An
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
     good = (F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()
             & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists(vector_col, lambda x: x != 0))
     rows = vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if size is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = saved(rows.where(F.size("v") == size["n"]), "vectors")
+    rows = saved(rows, "vectors")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():      # one row per length
+        out = out.unionByName(_nearest(rows.where(F.size("v") == r["n"]), r["n"], k, every, seed))
+    return out
+
+
+def _nearest(rows: DataFrame, dim: int, k: int, every: int, seed: int) -> DataFrame:
+    """:func:`nearest` among vectors of one length."""
+    kind = rows.schema["v"].dataType.simpleString()
     queries = rows.where(F.col("vec_id") % every == 0)
-    h, directory = fit(rows, size["n"], queries, k, seed)
+    h, directory = fit(rows, dim, queries, k, seed)
     deal = _deal(directory)
     lookup = {t: (d["bucket"].to_numpy(), d["shard"].to_numpy(), d["parts"].to_numpy()) for t, d in deal.groupby("t")}
     blocks = -(-queries.count() // BLOCK_QUERIES) or 1
@@ -277,8 +284,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
 
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
     left = (rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)))
-            .mapInPandas(filed, "shard long, bucket long, vec_id long, v array<float>")
+            .mapInPandas(filed, f"shard long, bucket long, vec_id long, v {kind}")
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    right = queries.mapInPandas(asked, "shard long, vec_id long, v array<float>, visit array<int>").select("*", block)
+    right = queries.mapInPandas(asked, f"shard long, vec_id long, v {kind}, visit array<int>").select("*", block)
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(compare, _FOUND)
     return _best(found, k)
