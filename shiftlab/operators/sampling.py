@@ -322,6 +322,35 @@ def shard(items: DataFrame, world: int, rank: int | None = None, pad: bool = Tru
     return out
 
 
+def place_shards(items: DataFrame, world: int, pad: bool = True, order="item_id", parts: int = 1) -> DataFrame:
+    """D4 placed: partition ``r`` of the result holds exactly shard ``r``, sorted by position.
+
+    The partition number is given outright (``repartitionById``), not hashed, so no shard is
+    empty while another is doubled. A shard may be cut into ``parts`` runs of positions, which are
+    the partitions ``r * parts`` to ``r * parts + parts - 1``.
+    """
+    if parts <= 0:
+        raise ValueError("parts must be positive")
+    out = shard(items, world, pad=pad, order=order)
+    number = F.col("shard")
+    if parts > 1:
+        last = out.agg(F.max("position")).first()[0] or 0
+        number = F.col("shard") * parts + F.least(F.lit(parts - 1), F.expr(f"position * {parts} div {last + 1}"))
+    # the shard comes first in the order, so that a write by shard does not sort again
+    return out.repartitionById(world * parts, number.cast("int")).sortWithinPartitions("shard", "position")
+
+
+def write_shards(items: DataFrame, path: str, world: int, pad: bool = True, order="item_id", parts: int = 1) -> None:
+    """D4 sink: a folder ``shard=<r>`` per rank with ``parts`` Parquet files, each sorted by
+    position; a rank reads its own folder alone."""
+    place_shards(items, world, pad, order, parts).write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read_shard(spark, path: str, rank: int) -> DataFrame:
+    """The rows of one rank; only its folder is read."""
+    return spark.read.parquet(path).filter(F.col("shard") == rank)
+
+
 def group_ids(items: DataFrame, fields: Sequence[str], out: str = "group_id") -> DataFrame:
     """Mixed-radix group code over the sorted distinct values of each field.
 

@@ -218,6 +218,32 @@ def predict_table_ordered(items: DataFrame, classes: DataFrame | None = None,
     return with_index_and_count(probs, order)
 
 
+def write_predictions(probs: DataFrame, table: str, buckets: int = 16, key: str = "item_id",
+                      path: str | None = None) -> int:
+    """P6 written for later joins: a catalogue table bucketed and sorted by ``key``, so the
+    predictions of several runs meet without a shuffle. Its files lie under ``path`` (by
+    default in the shared checkpoint folder). Returns the number of rows, which is
+    observed while they are written: the input is scanned once."""
+    from pyspark.sql import Observation
+
+    from shiftlab.session import scratch_path
+    seen = Observation()
+    (probs.observe(seen, F.count(F.lit(1)).alias("n")).repartition(buckets, key)
+          .write.mode("overwrite").option("path", path or scratch_path(probs.sparkSession, "predictions"))
+          .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+    return int(seen.get["n"])
+
+
+def join_predictions(spark, tables: dict[str, str], key: str = "item_id") -> DataFrame:
+    """The probability vectors of several runs side by side: ``key``, ``y_true``, one column per
+    entry of ``tables`` (name -> table written by :func:`write_predictions`)."""
+    out = None
+    for name, table in tables.items():
+        own = spark.table(table).select(key, "y_true", F.col("probs").alias(name))
+        out = own if out is None else out.join(own.drop("y_true"), key)
+    return out
+
+
 def score_pairs_blocked(items: DataFrame, classes: DataFrame, scale: float = 100.0,
                         normalize: bool = True, features: str = "features", item_col: str = "item_id",
                         id_col: str = "class_id", vec_col: str = "vec",

@@ -131,6 +131,9 @@ SELECT item_id, y_true, CAST(class_id AS INTEGER) AS class_id, round(prob, 6) AS
 ORACLE["argmax_predictions"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_pred"], """
 SELECT item_id, y_pred FROM fx12_pred""")
 
+ORACLE["prediction_table_bucketed"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_pred"], """
+SELECT item_id, y_pred, true AS same, (SELECT count(*) FROM fx1) AS n_rows FROM fx12_pred""")
+
 ORACLE["standardize_pixels"] = """
 SELECT vec_id AS item_id, CAST(pos AS INTEGER) AS pos,
        round((x - [0.48145466, 0.4578275, 0.40821073][pos % 3 + 1])
@@ -374,6 +377,8 @@ SELECT item_id, position, CAST(position % {world} AS INTEGER) AS shard FROM allp
 ORACLE["shard"] = _shard("", 4)
 ORACLE["shard_padded"] = _shard("WHERE split = 'train'", 4)
 
+ORACLE["shards_placed"] = f"SELECT *, true AS in_place FROM ({ORACLE['shard_padded']})"
+
 ORACLE["batches"] = with_fx(["fx1"], """
 SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 32 AS batch FROM fx1""")
 
@@ -417,6 +422,8 @@ SELECT 'orders_eval' AS name, metric, split, round(avg(value), 6) AS mean,
        round(stddev_samp(value), 6) AS std
 FROM fx3_metrics GROUP BY split, metric""")
 
+ORACLE["report_format_roundtrip"] = ORACLE["report_roundtrip"]
+
 ORACLE["epoch_log_roundtrip"] = with_fx(["fx4"], """
 SELECT run, epoch, metric FROM fx4""")
 
@@ -429,6 +436,8 @@ SELECT g.arch, p.perc_raw AS perc_ord, l.lr_raw AS lr_ord, r.run FROM
 WHERE NOT EXISTS (SELECT 1 FROM fx7_present x WHERE x.arch = g.arch AND x.perc_ord = p.perc_raw
                   AND x.lr_ord = l.lr_raw AND x.run = r.run)""")
 
+ORACLE["missing_artifacts_stored"] = ORACLE["missing_artifacts"]
+
 ORACLE["grid_results_join"] = with_fx(["fx5", "fx5_summary", "grid"], """
 SELECT g.arch, g.perc_raw AS perc_ord, g.lr_raw AS lr_ord, round(s.id_mean, 6) AS id_mean,
        round(s.ood_mean, 6) AS ood_mean

@@ -8,6 +8,8 @@ decimals (the oracle rounds the same way); exact ones are returned as they are.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +20,7 @@ from shiftlab.operators import (experiments, inference, metrics, retrieval, samp
                                 selection, summaries)
 from shiftlab.plans import limited_data, probe, report, retrieval_eval, training, zero_shot
 from shiftlab.session import scratch_path
+from shiftlab.sources import artifacts, report_format
 from shiftlab.sources import classes as S2
 from shiftlab.sources import fixtures as fx
 from shiftlab.sources import grid as S3
@@ -101,6 +104,20 @@ def q_prediction_table(spark, d):
     return long.select("item_id", "y_true", "class_id", r6("prob").alias("prob"))
 
 
+@register("prediction_table_bucketed")
+def q_prediction_table_bucketed(spark, d):
+    """Two runs written once each and joined bucket by bucket; their scale does not change the class."""
+    items, classes = _items_and_classes(spark, d)
+    tables, n = {}, 0
+    for name, scale in (("a", 100.0), ("b", 50.0)):
+        tables[name] = f"predictions_{name}_{uuid.uuid4().hex}"
+        n = scoring.write_predictions(scoring.predict_table(items, classes, scale=scale), tables[name])
+    both = scoring.join_predictions(spark, tables)
+    y_pred = V.argmax_class("a")
+    return both.select("item_id", y_pred.alias("y_pred"), (y_pred == V.argmax_class("b")).alias("same"),
+                       F.lit(n).cast("bigint").alias("n_rows"))
+
+
 @register("standardize_pixels")
 def q_standardize_pixels(spark, d):
     px = fx.embedding_pixels(spark, d).select("item_id", F.posexplode(V.standardize("pixel")).alias("pos", "value"))
@@ -368,6 +385,17 @@ def q_shard_padded(spark, d):
     return sampling.shard(items, world=4).select("item_id", "position", "shard")
 
 
+@register("shards_placed")
+def q_shards_placed(spark, d):
+    """Shards as written for their ranks, each read back from its own folder."""
+    items = fx.embedding_items(spark, d).filter(F.col("split") == "train")
+    path = scratch_path(spark, "shards")
+    sampling.place_shards(items, 4).select("item_id", "position", "shard", (
+        F.spark_partition_id() == F.col("shard")).alias("in_place")).write.partitionBy("shard").parquet(path)
+    ranks = [sampling.read_shard(spark, path, r) for r in range(4)]
+    return reduce(DataFrame.unionByName, ranks).select("item_id", "position", "shard", "in_place")
+
+
 @register("batches")
 def q_batches(spark, d):
     return sampling.batches(fx.embedding_items(spark, d), 32).select("item_id", "batch")
@@ -423,6 +451,15 @@ def q_report_roundtrip(spark, d):
     return back.select("name", "metric", "split", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
+@register("report_format_roundtrip")
+def q_report_format_roundtrip(spark, d):
+    summ = report.evaluation_summary(fx.order_predictions(spark, d))
+    path = scratch_path(spark, "report-format")
+    report_format.save_reports(summ.withColumn("name", F.lit("orders_eval")), path)
+    back = report_format.load_reports(spark, path)
+    return back.select("name", "metric", "split", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
 @register("epoch_log_roundtrip")
 def q_epoch_log_roundtrip(spark, d):
     path = scratch_path(spark, "epoch-log")
@@ -463,6 +500,21 @@ def q_missing_artifacts(spark, d):
     return experiments.missing_artifacts(exp, fx.lineitem_present_artifacts(spark, d), keys).select(*keys)
 
 
+@register("missing_artifacts_stored")
+def q_missing_artifacts_stored(spark, d):
+    """The present side is what lies in storage: files written here, listed again in tasks."""
+    keys = ["arch", "perc_ord", "lr_ord", "run"]
+    root = scratch_path(spark, "artifacts")
+    fx.lineitem_present_artifacts(spark, d).select(*keys, F.lit("weights").alias("value")) \
+        .write.partitionBy(*keys).text(root)
+    present = artifacts.stored_artifacts(
+        spark, root, r"/arch=([^/]+)/perc_ord=(\d+)/lr_ord=(\d+)/run=(\d+)/part-[^/]*$",
+        {"arch": "string", "perc_ord": "int", "lr_ord": "int", "run": "int"}, "part-*")
+    exp = _raw_keys(experiments.expand_grid(_grid(spark, d), "all"))
+    exp = exp.select("arch", "perc_ord", "lr_ord", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run"))
+    return experiments.missing_artifacts(exp, present, keys).select(*keys)
+
+
 @register("grid_results_join")
 def q_grid_results_join(spark, d):
     g = _grid(spark, d).withColumn("archs", F.concat("archs", F.array(F.lit("NO_swa"))))
