@@ -258,6 +258,12 @@ FROM fx12 WHERE class_id = 0 ORDER BY score DESC, item_id LIMIT 5""")
 ORACLE["global_top_n"] = _TOPN
 ORACLE["streaming_top_n"] = _TOPN
 
+ORACLE["many_prompts_top_n"] = with_fx(["fx1", "fx1_long", "fx2", "fx12"], """
+SELECT prompt_id, rank, item_id, similarity FROM (
+  SELECT CAST(class_id AS INTEGER) AS prompt_id, item_id, round(score, 6) AS similarity,
+         CAST(row_number() OVER (PARTITION BY class_id ORDER BY score DESC, item_id) AS INTEGER) AS rank
+  FROM fx12) WHERE rank <= 5""")
+
 ORACLE["retrieval_labels"] = with_fx(["fx1", "fx1_long", "fx2", "fx12"], """
 SELECT t.rank, t.item_id, t.similarity, t.y_true, lower(n.n_name) AS class_name FROM (
   SELECT CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id,

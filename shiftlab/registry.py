@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftlab.functions import vectors as V
-from shiftlab.operators import (experiments, inference, metrics, retrieval, sampling, scoring,
+from shiftlab.operators import (experiments, inference, many_prompts, metrics, retrieval, sampling, scoring,
                                 selection, summaries)
 from shiftlab.plans import limited_data, probe, report, retrieval_eval, training, zero_shot
 from shiftlab.session import scratch_path
@@ -259,6 +259,13 @@ def q_global_top_n(spark, d):
     return t.select("rank", "item_id", r6("similarity").alias("similarity"))
 
 
+@register("many_prompts_top_n")
+def q_many_prompts_top_n(spark, d):
+    items, classes = _items_and_classes(spark, d)
+    hits, _ = many_prompts.top_n_many(items, classes, n=5)
+    return hits.select("prompt_id", "rank", "item_id", r6("similarity").alias("similarity"))
+
+
 def _nation_classes(spark, d, dataset="fmow_0"):
     vocab = read_table(spark, d, "nation").select(
         F.col("n_nationkey").alias("class_id"), F.lower("n_name").alias("class_name"))
