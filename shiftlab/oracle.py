@@ -569,6 +569,21 @@ FX["fx3_metrics_segment"] = FX["fx3_metrics"].replace("fx3_metrics AS", "fx3_met
     .replace("SELECT run, split, domain, avg", "SELECT run, split, segment, avg")
 ORACLE["evaluation_report_segment"] = _wide("fx3_metrics_segment", ["fx3", "prf"])
 
+FX["fx3_plain"] = FX["fx3"].replace("fx3 AS", "fx3_plain AS", 1)
+FX["fx3_resampled"] = """
+g3 AS (SELECT run, domain, CAST(row_number() OVER (PARTITION BY run ORDER BY domain) - 1 AS BIGINT) AS gno,
+              count(*) AS group_n FROM fx3_plain WHERE split = 'train' GROUP BY run, domain),
+gi3 AS (SELECT *, row_number() OVER (PARTITION BY run, domain ORDER BY item_id) - 1 AS gidx
+        FROM fx3_plain WHERE split = 'train'),
+n3 AS (SELECT run, count(*) AS n, count(DISTINCT domain) AS groups FROM gi3 GROUP BY run),
+r3 AS (SELECT run, groups, unnest(range(n)) AS draw FROM n3),
+d3 AS (SELECT run, ('0x' || substr(md5(CAST(draw AS VARCHAR) || ':g:' || run), 1, 15))::BIGINT % groups AS gno,
+              ('0x' || substr(md5(CAST(draw AS VARCHAR) || ':r:' || run), 1, 15))::BIGINT AS h2 FROM r3),
+fx3 AS (SELECT * FROM fx3_plain WHERE split <> 'train' UNION ALL
+        SELECT gi3.* EXCLUDE (gidx) FROM d3 JOIN g3 USING (run, gno)
+        JOIN gi3 ON gi3.run = d3.run AND gi3.domain = g3.domain AND gi3.gidx = d3.h2 % g3.group_n)"""
+ORACLE["evaluation_report_resampled"] = _wide("fx3_metrics", ["fx3_plain", "fx3_resampled", "prf"])
+
 ORACLE["prediction_table_ordered"] = with_fx(["fx1", "fx1_long", "fx2", "fx12", "fx12_prob"], """
 SELECT i.idx, p.item_id, p.y_true, CAST(p.class_id AS INTEGER) AS class_id, round(p.prob, 6) AS prob,
        (SELECT count(*) FROM fx1) AS n_rows

@@ -736,6 +736,12 @@ def q_group_ids_nullable(spark, d):
     return sampling.group_ids(_nullable_items(spark, d), ["domain", "y_true"]).select("item_id", "group_id")
 
 
+@register("evaluation_report_resampled")
+def q_evaluation_report_resampled(spark, d):
+    w = report.resampled_report(fx.order_predictions(spark, d))
+    return w.select("metric", *[r6(F.col(f"`{c}`")).alias(c) for c in w.columns if c != "metric"])
+
+
 @register("evaluation_report_segment")
 def q_evaluation_report_segment(spark, d):
     w = report.evaluation_report(fx.order_predictions(spark, d), group="segment")
