@@ -27,32 +27,52 @@ SEQUENCE_IDS, END_ID = 4096, 1
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the grammar does not reject; it is learnt from the labelled ones of ``docs``."""
+    """Documents the grammar does not reject; it is learnt from the labelled ones of ``docs``.
+
+    Null and empty texts have no clauses and stay; repeated rows and null ids are judged each.
+    An empty table stays empty.
+    """
     prepare(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model, TOXIC_LIMIT)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
+    """Of equal texts the row with the largest id.
+
+    A null text counts as an empty one; of rows equal in text and id one stays. An empty table
+    stays empty.
+    """
     prepare(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id."""
+    """Of each group of near duplicates the row with the smallest id.
+
+    Null and empty texts are like nothing else and stay, as do rows without an id; rows of one
+    id count as one document. An empty table stays empty.
+    """
     prepare(spark)
     return near_dedup.drop_near_duplicates(docs, width=SHINGLE_WORDS, share=SIMILARITY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A draw in which sources, languages and topics have their target shares."""
+    """A draw in which sources, languages and topics have their target shares.
+
+    Null sources and languages are values of their own, null texts have one token; rows of one id
+    are drawn alike. An empty table stays empty.
+    """
     prepare(spark)
     return mixing.sample_documents(docs, least=LEAST_SHARE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences.
+
+    A null or empty text is its end id alone; repeated rows are packed each; ties take their
+    places in any order. An empty table gives no pieces.
+    """
     prepare(spark)
     return packing.pack_documents(docs, capacity=SEQUENCE_IDS, end_id=END_ID)
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from shiftlab.llm.shingles import mix
 
@@ -144,7 +145,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES, rows: int = 5000):
     """The batch in runs of rows with at most about ``size`` bytes in a column of texts."""
-    n = np.diff(text_bytes(batch.column(column))[1])
+    n = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     at = 0
     while at < len(n):
         k = max(1, int(np.searchsorted(np.cumsum(n[at:at + rows]), size, "right")))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftlab.llm import byte_words
 from shiftlab.llm.common import saved, tidy
 from shiftlab.llm.token_ids import encoder, vocabulary_path
 
@@ -104,8 +105,7 @@ def plan(histogram: dict[int, int], capacity: int, nodes: tuple[int, ...] = NODE
 def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for b in byte_words.slices(batch, 1, rows=1000):
                 ids, n = encoder(path).encode(b.column(1))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 keep = np.ones(len(out), bool)

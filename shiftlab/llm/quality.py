@@ -182,8 +182,9 @@ def score_quality(docs: DataFrame, net: Network, fold: tuple[int, int] = (3, 1),
                   text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted``.
 
-    A null or empty text is one chunk of padding and gets that chunk's score. ``held_out``
-    is null for a null id. Repeated rows are scored each; further columns are ignored.
+    A null or empty text is one chunk of padding and gets that chunk's score; a very long one is
+    scored over all its chunks. ``held_out`` is null for a null id. Repeated rows are scored
+    each, an empty table gives no rows, further columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

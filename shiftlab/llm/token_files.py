@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftlab.llm import byte_words
 from shiftlab.llm.common import saved, tidy
 from shiftlab.llm.token_ids import encoder, vocabulary_path
 from shiftlab.session import scratch_path
@@ -159,8 +160,7 @@ def _write(folder: str, path: str, end_id: int):
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for b in byte_words.slices(batch, 1, rows=1000):
                 ids, n = encoder(path).encode(b.column(1))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 keep = np.ones(len(out), bool)
@@ -200,7 +200,7 @@ def _read(folder: str):
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
                       vocabulary: str | None = None, folder: str | None = None) -> tuple[str, DataFrame]:
     """Encode every whole text, append ``end_id`` to each and write the ids in ascending
-    order of the id column (null ids first, equal ids by text). Returns the folder and its
+    order of the id column (null ids first, equal ids by a hash of the text). Returns the folder and its
     manifest: a row per file with ``file``, ``n_docs``, ``n_ids`` and ``base``, the ids of
     all files before it.
 
@@ -209,9 +209,10 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``SEGMENT_IDS`` ids and task, so the running sum over it stays small.
     """
     folder = folder or scratch_path(docs.sparkSession, "token-files")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(
-        F.col("id").asc_nulls_first(), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       F.xxhash64(text_col).alias("salt"))
+    order = [F.col("id").asc_nulls_first(), F.col("salt")]         # one id may hold many rows
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = saved(rows.mapInArrow(_write(folder, vocabulary or vocabulary_path(), end_id),
                                      "part long, number long, file string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftlab.llm import byte_words
 from shiftlab.llm.common import tidy
 from shiftlab.llm.labelled import held_out, sample
 
@@ -232,11 +233,10 @@ def _weights(model: Model, x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> M
     return Model(model.terminals, tuple(float(v) for v in w[:-1]), float(w[-1]))
 
 
-def _slices(batches, rows: int = 500):
-    """Batches of at most so many rows: texts become Python strings a slice at a time."""
+def _slices(batches, column: int = 1, rows: int = 500):
+    """Batches of at most so many rows and bytes: texts become Python strings a slice at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        yield from byte_words.slices(batch, column, rows=rows)
 
 
 def _scores(model: Model):
@@ -258,8 +258,9 @@ def score_toxicity(docs: DataFrame, model: Model, fold: tuple[int, int] = (5, 0)
                    text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted``.
 
-    A null or empty text has no clauses and gets the score of none. ``held_out`` is null
-    for a null id. Repeated rows are scored each; further columns are ignored.
+    A null or empty text has no clauses and gets the score of none; a very long one is read
+    whole. ``held_out`` is null for a null id. Repeated rows are scored each, an empty table
+    gives no rows, further columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -270,7 +271,7 @@ def score_toxicity(docs: DataFrame, model: Model, fold: tuple[int, int] = (5, 0)
 
 def _keep(model: Model, at: int, limit: float):
     def run(batches):
-        for batch in _slices(batches):
+        for batch in _slices(batches, at):
             s = np.array([model.sums(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(CLASSES))
             yield batch.filter(pa.array(model.score(s) < limit))
     return tidy(run)

@@ -80,7 +80,7 @@ def test_stages_on_nothing_and_on_odd_rows(spark):
 def test_entry_works_without_the_subpackage(monkeypatch):
     import __spark_entry__ as E
     assert "pipeline" in E.queries() and "pipeline" not in E.oracle_sql()
-    assert sum(n.startswith("op") for n in E.queries()) == 10
+    assert sum(n.startswith("op") for n in E.queries()) == 13
     for name in [m for m in sys.modules if m.startswith("shiftlab.llm") or m == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, name)
 
