@@ -5,10 +5,9 @@ It is collected once behind an explicit size check and shipped as a broadcast
 variable; each task multiplies whole Arrow batches of item vectors with it in
 numpy (zero-copy from the Arrow buffers). The item side is never shuffled.
 
-Above the size bound the array form (one score per class per item) is
-refused, since each row would itself hold the oversized class dimension;
-the long form (``score_pairs``) then switches to a blocked plan where each
-block of classes is bounded, and blocks are scored one after another.
+``contrastive_scores`` and ``linear_scores`` are this form and refuse a class side above the
+bound. ``class_blocks.class_scores`` serves any size (beyond the bound the classes are read
+from storage block by block), and so do ``score_pairs`` and ``predict_table``, which use it.
 """
 
 from __future__ import annotations
@@ -172,12 +171,14 @@ def contrastive_scores_native(items: DataFrame, classes: DataFrame, scale: float
 
 
 def predict_table(items: DataFrame, classes: DataFrame | None = None, head: DataFrame | None = None,
-                  scale: float = 100.0) -> DataFrame:
-    """Probability vector and true label per item (contrastive or linear scorer)."""
+                  scale: float = 100.0, max_bytes: int | None = None) -> DataFrame:
+    """Probability vector and true label per item (contrastive or linear scorer), for class
+    sides of any size."""
+    from shiftlab.operators.class_blocks import class_scores
     if head is not None:
-        scored = linear_scores(items, head)
+        scored = class_scores(items, head, 1.0, False, vec_col="w", bias_col="b", max_bytes=max_bytes)
     else:
-        scored = contrastive_scores(items, classes, scale=scale)
+        scored = class_scores(items, classes, scale=scale, max_bytes=max_bytes)
     return scored.select("item_id", "y_true", softmax("scores").alias("probs"))
 
 
@@ -275,16 +276,13 @@ def score_pairs_blocked(items: DataFrame, classes: DataFrame, scale: float = 100
 def score_pairs(items: DataFrame, classes: DataFrame, scale: float = 100.0,
                 normalize: bool = True, features: str = "features", item_col: str = "item_id",
                 id_col: str = "class_id", vec_col: str = "vec",
-                max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                max_bytes: int | None = None) -> DataFrame:
     """Long form ``(item_id, class_id, score)`` of the item x class product.
 
-    Bounded class side: one broadcast matrix, scores exploded with their
-    position. Beyond the bound: ``score_pairs_blocked``.
+    The scores of :func:`class_scores`, for class sides of any size, exploded with their
+    position. (``score_pairs_blocked`` is for items that should meet the classes in cells.)
     """
-    try:
-        scored = contrastive_scores(items.select(item_col, features), classes, scale, normalize,
-                                    features, id_col, vec_col, max_bytes=max_bytes)
-    except ClassMatrixTooLarge:
-        return score_pairs_blocked(items, classes, scale, normalize, features, item_col,
-                                   id_col, vec_col)
+    from shiftlab.operators.class_blocks import class_scores
+    scored = class_scores(items.select(item_col, features), classes, scale, normalize, features, id_col, vec_col,
+                          max_bytes=max_bytes)
     return explode_vector(scored, item_col, "scores", "class_id", "score")

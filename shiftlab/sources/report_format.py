@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from shiftlab import SPLIT_LABELS, SPLITS
+from shiftlab.sources.tables import file_system
 
 FORMAT = "shiftlab_report"
 #: Experiments that one reading task takes.
@@ -32,11 +33,6 @@ SCHEMA = "name string, metric string, split string, mean double, std double"
 _FILE = "report.csv"
 
 
-def _file_system(path: str):
-    from pyarrow import fs
-    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and "://" not in path else path)
-
-
 def report_text(rows: list[tuple]) -> str:
     """The CSV of one report from (metric, split, mean, std) rows."""
     values = {(metric, split): (mean, std) for metric, split, mean, std in rows}
@@ -84,13 +80,13 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         from pyarrow import fs
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         found = system.get_file_info(fs.FileSelector(root))
         names = sorted(f.base_name for f in found if f.type == fs.FileType.Directory and f.base_name.startswith("name="))
         return [_Folders(names[i:i + FOLDERS]) for i in range(0, len(names), FOLDERS)] or [_Folders([])]
 
     def read(self, partition):
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         for name in partition.names:
             with system.open_input_stream(f"{root}/{name}/{_FILE}") as f:
                 text = f.read().decode()
@@ -108,7 +104,7 @@ class _Writer(DataSourceWriter):
             if row["split"] not in SPLITS:
                 raise ValueError(f"unknown split {row['split']!r}")
             reports.setdefault(row["name"], []).append((row["metric"], row["split"], row["mean"], row["std"]))
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         for name, rows in reports.items():
             folder = f"{root}/{self.stage}/{uuid.uuid4().hex}/name={quote(str(name), safe='')}"
             system.create_dir(folder, recursive=True)
@@ -119,7 +115,7 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages):
         from pyarrow import fs
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         staged = [n for m in messages if m is not None for n in m.names]
         names = [name for name, _ in staged]
         twice = sorted({n for n in names if names.count(n) > 1}) if len(set(names)) < len(names) else []
@@ -140,7 +136,7 @@ class _Writer(DataSourceWriter):
         self._remove(system, old)
 
     def abort(self, messages):
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         self._remove(system, f"{root}/{self.stage}")
 
     @staticmethod

@@ -23,6 +23,12 @@ def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(path: str):
+    """A file system for use inside tasks, and the path in it."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and "://" not in path else path)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether a path of any file system Spark can read is a folder."""
     jvm = spark.sparkContext._jvm

@@ -117,3 +117,29 @@ def test_vector_mean_with_many_keys_and_null_keys(spark):
     got = {r.k: r.mean for r in summaries.vector_mean(df, ["k"]).collect()}
     ids = {k: [i for i in range(3000) if i % 700 == k] for k in range(700)}
     assert len(got) == 700 and all(abs(got[None if k == 5 else k][0] - sum(v) / len(v)) < 1e-9 for k, v in ids.items())
+
+
+def test_class_sides_beyond_the_bound_give_the_same_rows(spark, monkeypatch):
+    """With a bound of 1 KB the classes come from storage in many blocks: array and long form, P2, P3 and P6."""
+    from shiftlab.operators import class_blocks
+    r = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, int(r.integers(0, 50)), [float(v) for v in r.normal(size=16)] if i % 9 else None)
+                                   for i in range(60)], "item_id long, y_true int, features array<float>").repartition(3)
+    head = spark.createDataFrame([(c, [float(v) for v in r.normal(size=16)], float(c) / 10) for c in range(50)],
+                                 "class_id int, vec array<double>, b double").repartition(4)
+    monkeypatch.setattr(class_blocks, "ROW_BYTES", 2000)                # five items at a time
+    for kw in ({}, {"normalize": False, "scale": 2.0}, {"normalize": False, "scale": 1.0, "bias_col": "b"}):
+        want = {x.item_id: x.scores for x in class_blocks.class_scores(items, head, **kw).collect()}
+        got = {x.item_id: x.scores for x in class_blocks.class_scores(items, head, max_bytes=1024, **kw).collect()}
+        assert got.keys() == want.keys() and got[9] is None
+        assert all(np.allclose(got[i], want[i], atol=1e-9) for i in want if want[i] is not None)
+    long = {(x.item_id, x.class_id): x.score for x in scoring.score_pairs(items, head).collect()}
+    far = {(x.item_id, x.class_id): x.score for x in scoring.score_pairs(items, head, max_bytes=1024).collect()}
+    assert far.keys() == long.keys() and all(abs(far[k] - long[k]) < 1e-9 for k in long)
+    side = head.select("class_id", F.col("vec").alias("w"), "b")
+    for one, two in ((scoring.predict_table(items, head), scoring.predict_table(items, head, max_bytes=1024)),
+                     (scoring.predict_table(items, head=side), scoring.predict_table(items, head=side, max_bytes=1024))):
+        want = {x.item_id: x.probs for x in one.collect()}
+        assert all(np.allclose(x.probs, want[x.item_id]) for x in two.collect() if x.probs is not None)
+    with pytest.raises(ValueError):
+        class_blocks.class_scores(items, head.filter("class_id <> 3"), max_bytes=1024)
