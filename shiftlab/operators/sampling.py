@@ -379,8 +379,9 @@ def domain_filter(items: DataFrame, group_id: int | None, split: str = "train",
                   group: str = "domain") -> DataFrame:
     """single-domain variant: the ``split`` rows keep only ``group == group_id``.
 
-    Evaluation splits are not filtered. ``group_id=None`` returns the input.
+    Evaluation splits are not filtered, nor are rows without a split. ``group_id=None``
+    returns the input.
     """
     if group_id is None:
         return items
-    return items.filter((F.col("split") != split) | (F.col(group) == group_id))
+    return items.filter(~F.col("split").eqNullSafe(F.lit(split)) | (F.col(group) == group_id))

@@ -17,16 +17,21 @@ from shiftlab.operators.summaries import swa_mean
 from shiftlab.plans import solver
 from shiftlab.sources.tables import written
 
-# The step schedule of the learning rate (every 15 epochs a tenth) and Adam's constants.
-DECAY_EPOCHS, DECAY = 15, 0.1
+# The step schedule of the learning rate (every 15 epochs a tenth), the epochs over which
+# several ranks warm up, and Adam's constants.
+DECAY_EPOCHS, DECAY, WARMUP_EPOCHS = 15, 0.1, 5
 BETA_1, BETA_2, EPSILON = 0.9, 0.999, 1e-8
 
 
-def learning_rates(n_epochs: int, lr: float, swa_epochs: int = 0, swa_lr: float | None = None) -> list[float]:
+def learning_rates(n_epochs: int, lr: float, swa_epochs: int = 0, swa_lr: float | None = None,
+                   world: int = 1) -> list[float]:
     """The rate of every epoch: steps down until weight averaging starts, then a cosine from
-    the last rate to ``swa_lr`` over (at most ten of) the averaged epochs."""
+    the last rate to ``swa_lr`` over (at most ten of) the averaged epochs. The batches of
+    ``world`` ranks together are stepped at ``world`` times the rate, reached from a single rank's
+    in a straight line over ``WARMUP_EPOCHS``."""
     first = n_epochs - swa_epochs if swa_epochs else n_epochs
-    out = [lr * DECAY ** (e // DECAY_EPOCHS) for e in range(first)]
+    warm = [1 / world + (1 - 1 / world) * min(1.0, e / WARMUP_EPOCHS) for e in range(first)]
+    out = [lr * world * w * DECAY ** (e // DECAY_EPOCHS) for e, w in enumerate(warm)]
     last, length = out[-1] if out else lr, max(1, min(10, swa_epochs))
     for e in range(n_epochs - first):
         part = 0.5 * (1 + math.cos(math.pi * min(1.0, e / length)))
@@ -78,7 +83,8 @@ class Training:
 def train_head(items: DataFrame, n_classes: int, n_epochs: int, batch_size: int, lr: float, optimizer: str = "adam",
                weight_decay: float = 0.0, momentum: float = 0.9, swa_epochs: int = 0, swa_lr: float | None = None,
                eval_freq: int = 1, eval_split: str = "val", dataset: str = "items", group: str = "domain",
-               group_id: int | None = None, seed: int = 0, run: int = 1, key: str = "item_id") -> Training:
+               group_id: int | None = None, seed: int = 0, run: int = 1, key: str = "item_id",
+               world: int = 1) -> Training:
     """Train a softmax head on frozen features by mini-batches.
 
     Each epoch draws as many rows as the train split has, uniformly over groups (D3), and cuts
@@ -88,7 +94,8 @@ def train_head(items: DataFrame, n_classes: int, n_epochs: int, batch_size: int,
     optimizer's state and nothing that grows with the data. With ``group_id`` only that group
     is trained on (F1). Epoch 0 and every ``eval_freq``-th one are evaluated on ``eval_split``
     by the dataset's headline metric (A7), all in one scan. ``swa_epochs`` averages the heads of
-    the last epochs (A11). Draws depend on ``seed``, ``run`` and the epoch alone.
+    the last epochs (A11). ``batch_size`` rows are one step; ``world`` scales the rate for batches
+    that stand for those of several ranks. Draws depend on ``seed``, ``run`` and the epoch alone.
     """
     if batch_size <= 0 or n_epochs <= 0 or eval_freq <= 0:
         raise ValueError("batch_size, n_epochs and eval_freq must be positive")
@@ -109,7 +116,7 @@ def train_head(items: DataFrame, n_classes: int, n_epochs: int, batch_size: int,
     def head_of(p):
         return p[:n_classes * width].reshape(n_classes, width), p[n_classes * width:]
 
-    for epoch, rate in enumerate(learning_rates(n_epochs, lr, swa_epochs, swa_lr)):
+    for epoch, rate in enumerate(learning_rates(n_epochs, lr, swa_epochs, swa_lr, world)):
         draws = group_balanced_sample(train, n, seed=seed + 1_000_003 * run + epoch, group=group, key=key)
         draws = draws.withColumn("batch", F.expr(f"draw div {int(batch_size)}"))
         blocks = solver.feature_blocks(draws, F.lit(1), slice_col="batch", by_slice=True)

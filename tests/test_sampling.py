@@ -149,3 +149,9 @@ def test_index_writes_no_checkpoint(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in text and "Window" in text
     assert sorted(r.idx for r in plan.collect()) == list(range(200))
+
+
+def test_domain_filter_keeps_rows_without_a_split(spark):
+    items = spark.createDataFrame([(None, 1), ("train", 0), ("train", 1), ("train", None), ("val", 1)], "split string, domain int")
+    kept = [tuple(r) for r in sampling.domain_filter(items, 0).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, 1), ("train", 0), ("val", 1)], key=repr)

@@ -159,6 +159,7 @@ def test_learning_rates():
     assert training.learning_rates(31, 1.0) == [1.0] * 15 + [0.1] * 15 + [pytest.approx(0.01)]
     rates = training.learning_rates(6, 1.0, swa_epochs=3, swa_lr=0.1)
     assert rates[:4] == [1.0] * 4 and rates[4] > rates[5] > 0.1
+    assert training.learning_rates(8, 0.5, world=4) == pytest.approx([0.5, 0.8, 1.1, 1.4, 1.7, 2.0, 2.0, 2.0])
 
 
 @pytest.mark.parametrize("optimizer, lr", [("adam", 0.05), ("sgd", 0.02)])
