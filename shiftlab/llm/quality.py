@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from shiftlab.llm.common import tidy
 from shiftlab.llm.labelled import held_out, sample
 
-#: Labelled rows used for fitting, and the longest text among them (characters).
-SAMPLE_ROWS, SAMPLE_CHARS = 1_000, 6_000
+#: Labelled rows used for fitting, and the chunks of one text among them (spread over all of it).
+SAMPLE_ROWS, SAMPLE_CHUNKS = 1_000, 24
 CHUNK, STEP = 512, 256
 WIDTH, STRIDE = 8, 4
 CHANNELS, FILTERS, HIDDEN = 4, 12, 8
@@ -124,8 +124,13 @@ class Network:
         return out, loss
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 24, rate: float = 0.01,
-          seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], **how) -> Network:
+    """:func:`train_on_chunks` with all chunks of the texts."""
+    return train_on_chunks([chunks(t.encode("utf-8", "surrogatepass")) for t in texts], labels, **how)
+
+
+def train_on_chunks(parts: list[np.ndarray], labels: list[int], rounds: int = 5, batch: int = 24, rate: float = 0.01,
+                    seed: int = 7) -> Network:
     """Fit by Adam; both labels weigh the same. With one label or none, the network answers
     that label's side (0.5 without rows) for every text."""
     net = Network(seed)
@@ -134,7 +139,6 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 24,
         net.p["w3"][:] = 0
         net.p["b3"][:] = 0 if not len(y) else (3 if y[0] else -3)
         return net
-    parts = [chunks(t.encode("utf-8", "surrogatepass")) for t in texts]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -153,14 +157,28 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 24,
     return net
 
 
+def _sampled_chunks(most: int):
+    """(text, label) -> (chunks, label): at most ``most`` chunks of a text, spread evenly over it."""
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for t in batch.column("text").to_pylist():
+                c = chunks((t or "").encode("utf-8", "surrogatepass"))
+                at = np.unique(np.linspace(0, len(c) - 1, min(most, len(c))).round().astype(np.int64))
+                parts.append(np.ascontiguousarray(c[at]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), batch.column("label")], names=["chunks", "label"])
+    return tidy(run)
+
+
 def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), rows: int = SAMPLE_ROWS,
-          chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text",
+          most: int = SAMPLE_CHUNKS, id_col: str = "doc_id", text_col: str = "text",
           label: str = "quality") -> Network:
-    """Fit on at most ``rows`` labelled documents of at most ``chars`` characters outside
-    the held-out fold."""
-    got = sample(docs, labels, label, fold, rows, id_col, text_col, longest=chars).collect()
-    got = sorted((r["text"], r["label"]) for r in got)
-    return train([t for t, _ in got], [k for _, k in got])
+    """Fit on at most ``rows`` labelled documents outside the held-out fold, of any length; of
+    each at most ``most`` chunks, which lie evenly over the whole text."""
+    some = sample(docs, labels, label, fold, rows, id_col, text_col)
+    got = some.mapInArrow(_sampled_chunks(most), "chunks binary, label int").collect()      # rows * most chunks
+    got = sorted((bytes(r["chunks"]), r["label"]) for r in got)
+    return train_on_chunks([np.frombuffer(c, np.int16).reshape(-1, CHUNK) for c, _ in got], [k for _, k in got])
 
 
 def _scores(net: Network):
