@@ -13,6 +13,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftlab.sources.tables import written
+
 
 # Largest per-key dimension (one row per group or field value) that is broadcast.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -267,18 +269,26 @@ def group_index(items: DataFrame, group: str = "domain", key: str = "item_id") -
     return _group_index(items, group, key)[0]
 
 
+def draw_index(items: DataFrame, group: str = "domain", key: str = "item_id") -> tuple[DataFrame, DataFrame, int]:
+    """What draws over groups look up, written once for many draws: (group number, row in the
+    group, key), (group number, rows) and the number of groups."""
+    gi, starts, n_groups = _group_index(items.select(group, key), group, key)
+    return (written(gi.select("gno", "gidx", key), "draw-index"), written(starts.select("gno", "group_n"), "draw-groups"),
+            n_groups)
+
+
 def group_balanced_sample(items: DataFrame, n: int, seed: int = 0, group: str = "domain",
-                          key: str = "item_id") -> DataFrame:
+                          key: str = "item_id", index: tuple[DataFrame, DataFrame, int] | None = None) -> DataFrame:
     """D3: ``n`` draws with replacement, uniform over groups, then uniform inside the group.
 
     Draw ``i`` picks group ``h1(i) mod G`` and row ``h2(i) mod count(group)``;
     draws and the narrow (group, key) index meet in one equi-join on
     ``(group number, row number)``, and the drawn keys are joined back to the
     rows (``key`` must be unique). No driver loop, no per-group collection, and
-    only the two key columns are indexed.
+    only the two key columns are indexed. ``index`` (of :func:`draw_index`) serves many draws.
     """
     # the index needs only (group, key); drawn keys are joined back to the full rows at the end
-    gi, starts, n_groups = _group_index(items.select(group, key), group, key)
+    gi, starts, n_groups = index or _group_index(items.select(group, key), group, key)
     if n_groups == 0 or n <= 0:
         return items.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
     draws = items.sparkSession.range(n).withColumnRenamed("id", "draw")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.operators.metrics import headline_metric, run_metrics
-from shiftlab.operators.sampling import domain_filter, group_balanced_sample
+from shiftlab.operators.sampling import domain_filter, draw_index, group_balanced_sample
 from shiftlab.operators.selection import best_checkpoint
 from shiftlab.operators.summaries import swa_mean
 from shiftlab.plans import solver
@@ -109,6 +109,7 @@ def train_head(items: DataFrame, n_classes: int, n_epochs: int, batch_size: int,
     n, width = shape["n"], shape["d"]
     if not n:
         raise ValueError("the training split has no rows")
+    index = draw_index(train, group, key)
     point = np.zeros(n_classes * (width + 1))
     state = _Optimizer(optimizer, len(point), weight_decay, momentum)
     batches, heads = [], []
@@ -117,7 +118,7 @@ def train_head(items: DataFrame, n_classes: int, n_epochs: int, batch_size: int,
         return p[:n_classes * width].reshape(n_classes, width), p[n_classes * width:]
 
     for epoch, rate in enumerate(learning_rates(n_epochs, lr, swa_epochs, swa_lr, world)):
-        draws = group_balanced_sample(train, n, seed=seed + 1_000_003 * run + epoch, group=group, key=key)
+        draws = group_balanced_sample(train, n, seed=seed + 1_000_003 * run + epoch, group=group, key=key, index=index)
         draws = draws.withColumn("batch", F.expr(f"draw div {int(batch_size)}"))
         blocks = solver.feature_blocks(draws, F.lit(1), slice_col="batch", by_slice=True)
         tasks = blocks.count()
