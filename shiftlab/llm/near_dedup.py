@@ -50,10 +50,11 @@ def _pieces(batch):
 
 
 def _lanes(sketch: np.ndarray) -> np.ndarray:
-    """Bytes of a sketch for estimates: 32 bits of the banded coordinates, 16 of the rest."""
+    """Bytes of a sketch for estimates: 32 bits of the banded coordinates, 8 of the rest (equal
+    coordinates stay equal; one of 256 others seems so, which only raises an estimate)."""
     banded = BANDS * ROWS
     a = np.ascontiguousarray((sketch[:, :banded] ^ (sketch[:, :banded] >> np.uint64(32))).astype(np.uint32))
-    b = np.ascontiguousarray(sketch[:, banded:].astype(np.uint16))
+    b = np.ascontiguousarray(sketch[:, banded:].astype(np.uint8))
     return np.concatenate([a.view(np.uint8), b.view(np.uint8)], axis=1)
 
 
@@ -121,7 +122,7 @@ def _tile_pairs(share: tuple[int, int], best: bool):
 
     def pairs(ids, comp, n, side, lanes, bucket, ti, tj):
         head = lanes[:, :4 * banded].copy().view(np.uint32)
-        tail = lanes[:, 4 * banded:].copy().view(np.uint16)
+        tail = lanes[:, 4 * banded:]
         left = np.flatnonzero(side == ti)
         right = np.flatnonzero(side == tj)
         for i in left:
@@ -136,8 +137,11 @@ def _tile_pairs(share: tuple[int, int], best: bool):
             if not len(r):
                 continue
             first = same.reshape(len(r), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            score = score + (tail[r] == tail[i]).sum(axis=1)
-            ok = (first == bucket) & (score >= COORDINATES * least)
+            if best:                                          # proposed by the banded coordinates alone; all come later
+                ok = (first == bucket) & (score >= banded * least)
+            else:
+                score = score + (tail[r] == tail[i]).sum(axis=1)
+                ok = (first == bucket) & (score >= COORDINATES * least)
             r, score = r[ok], score[ok]
             if len(r):
                 yield (ids[i], ids[r[[score.argmax()]]] if best else ids[r])
@@ -160,7 +164,7 @@ def _tile_pairs(share: tuple[int, int], best: bool):
     def made(t, starts):
         t = t.combine_chunks()
         cols = {c: t.column(c).to_numpy() for c in ("band", "id", "comp", "n", "side", "ti", "tj")}
-        size = 4 * banded + 2 * (COORDINATES - banded)
+        size = 4 * banded + (0 if best else COORDINATES - banded)
         lanes = np.frombuffer(b"".join(t.column("lanes").to_pylist()), np.uint8).reshape(-1, size)
         out_a, out_b = [], []
         for s, e in zip(starts, [*starts[1:], t.num_rows]):
@@ -218,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .select("bucket", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles")))
         side = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
         rows = of.join(mixed, "bucket")
-        lanes = maybe_in(sets.select("id", "n", "lanes"), F.col("id"), rows.select("id").distinct())
+        lanes = F.substring("lanes", 1, 4 * BANDS * ROWS) if best else F.col("lanes")
+        lanes = maybe_in(sets.select("id", "n", lanes.alias("lanes")), F.col("id"), rows.select("id").distinct())
         rows = (rows.join(lanes.dropDuplicates(["id"]), "id")
                 .withColumn("side", side)
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
