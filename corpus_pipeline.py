@@ -24,6 +24,8 @@ SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 LEAST_SHARE = 0.75
 #: Stage 5: ids of a sequence, and the id that ends a document.
 SEQUENCE_IDS, END_ID = 4096, 1
+#: What a packing task holds: its executor still has the memory of the stages before.
+SLICE_BYTES, WORDS = 1 << 20, 100_000
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +76,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     places in any order. An empty table gives no pieces.
     """
     prepare(spark)
-    return packing.pack_documents(docs, capacity=SEQUENCE_IDS, end_id=END_ID)
+    return packing.pack_documents(docs, capacity=SEQUENCE_IDS, end_id=END_ID, slice_bytes=SLICE_BYTES, words=WORDS)
 
 
 STAGES = [

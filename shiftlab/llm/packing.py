@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from shiftlab.llm import byte_words
 from shiftlab.llm.common import saved, tidy
-from shiftlab.llm.token_ids import encoder, vocabulary_path
+from shiftlab.llm.token_ids import MAX_WORDS, encoder, vocabulary_path
 
 #: Nodes the search may visit for one completion; each is used while the best plan is not
 #: proven optimal.
 NODES = (2_000, 40_000)
 #: Pieces numbered by one window.
 PART_ROWS = 500_000
+#: Bytes of texts encoded together, a thousand texts at most.
+SLICE_BYTES = 8 << 20
 
 
 def best_completion(room: int, lengths: list[int], counts: np.ndarray, nodes: int) -> list[int]:
@@ -102,11 +104,12 @@ def plan(histogram: dict[int, int], capacity: int, nodes: tuple[int, ...] = NODE
     return found
 
 
-def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
+def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool, slice_bytes: int = SLICE_BYTES,
+            words: int = MAX_WORDS):
     def run(batches):
         for batch in batches:
-            for b in byte_words.slices(batch, 1, rows=1000):
-                ids, n = encoder(path).encode(b.column(1))
+            for b in byte_words.slices(batch, 1, size=slice_bytes, rows=1000):
+                ids, n = encoder(path, words).encode(b.column(1))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 keep = np.ones(len(out), bool)
                 ends = np.cumsum(n + 1)
@@ -129,7 +132,8 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096,
-                   end_id: int = 1, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+                   end_id: int = 1, vocabulary: str | None = None, with_ids: bool = False,
+                   slice_bytes: int = SLICE_BYTES, words: int = MAX_WORDS) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``,
     ``sequence_id``, ``offset`` (and ``ids``, little-endian 32-bit, if ``with_ids``).
 
@@ -138,11 +142,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sequence's pieces lie without gaps from 0. Ties are broken by document, piece and
     content; rows equal in all of these (repeated rows) take their places in any order. Null ids
     are ids like any other. An empty table gives no rows; further columns are ignored.
+    ``slice_bytes`` and ``words`` bound what a task holds: bytes of texts encoded together and
+    words whose ids are kept. They change no result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = saved(rows.mapInArrow(
-        _pieces(vocabulary or vocabulary_path(), end_id, capacity, with_ids),
+        _pieces(vocabulary or vocabulary_path(), end_id, capacity, with_ids, slice_bytes, words),
         "doc_id long, text_crc long, piece int, start long, length long, ids_crc32 long, ids binary"), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
 

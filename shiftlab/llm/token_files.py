@@ -43,6 +43,8 @@ MAGIC = b"SLTOKEF1"
 SAMPLE = 256
 #: Ids after which a segment is closed: bounds the memory of a writing or reading task.
 SEGMENT_IDS = 8_000_000
+#: Bytes of texts encoded together, a thousand texts at most.
+SLICE_BYTES = 8 << 20
 _HEAD = struct.Struct("<6Q")
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -160,7 +162,7 @@ def _write(folder: str, path: str, end_id: int):
             return row
 
         for batch in batches:
-            for b in byte_words.slices(batch, 1, rows=1000):
+            for b in byte_words.slices(batch, 1, size=SLICE_BYTES, rows=1000):
                 ids, n = encoder(path).encode(b.column(1))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 keep = np.ones(len(out), bool)

@@ -37,6 +37,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.most = MAX_WORDS
         self.clear()
 
     def clear(self):
@@ -117,7 +118,7 @@ class Encoder:
         rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         if len(words) and rows.min() < 0:
             new = [words[i] for i in np.flatnonzero(rows < 0)]
-            if len(self.index) + len(new) > MAX_WORDS:
+            if len(self.index) + len(new) > self.most:
                 self.clear()
                 new = words
             self._learn([w for w in new if w])
@@ -145,9 +146,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process for a vocabulary file. A task clears its words
-    when it ends: worker processes are used again, also by other stages."""
+def encoder(path: str, words: int = MAX_WORDS) -> Encoder:
+    """The encoder of this worker process for a vocabulary file, which keeps at most ``words``.
+    A task clears its words when it ends: worker processes are used again, also by other
+    stages."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].most = words
     return _ENCODERS[path]
