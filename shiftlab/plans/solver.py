@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from shiftlab.sources.tables import written
 
 #: Rows and bytes of a block of features.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 8 * 1024 * 1024
+#: Partitions of one batch, and bytes of gradients that reach the driver in a step.
+GATHERED_PARTS, GATHERED_BYTES = 64, 64 * 1024 * 1024
 #: Subsets that one block table can tell apart (bits of a long, without its sign).
 MAX_SUBSETS = 62
 #: Widest features whose full second moments are used; wider ones take their variances.
@@ -36,10 +39,14 @@ _BLOCK = "slice string, n long, width int, x binary, y binary, members binary"
 
 
 def feature_blocks(items: DataFrame, members: F.Column, features: str = "features", label: str = "y_true",
-                   slice_col: str = "split", by_slice: bool = False) -> DataFrame:
+                   slice_col: str = "split") -> DataFrame:
     """``items`` as a written table of dense blocks: float32 features, labels and the bits of
-    ``members`` (long). Rows without a vector or a label are left out. ``by_slice`` gives every
-    slice its own folder, for scans of one slice at a time."""
+    ``members`` (long). Rows without a vector or a label are left out."""
+    return written(_as_blocks(items, members, features, label, slice_col), "feature-blocks")
+
+
+def _as_blocks(items: DataFrame, members: F.Column, features: str, label: str, slice_col: str) -> DataFrame:
+    """The blocks of :func:`feature_blocks`, a partition's rows in its own blocks."""
     rows = items.select(F.col(slice_col).cast("string").alias("slice"), F.col(features).cast("array<float>").alias("x"),
                         F.col(label).cast("int").alias("y"), members.cast("long").alias("m"))
     rows = rows.filter("x is not null and y is not null")
@@ -76,7 +83,36 @@ def feature_blocks(items: DataFrame, members: F.Column, features: str = "feature
         for name, parts in held.items():
             yield block(None if name[1] else name[0], parts)
 
-    return written(rows.mapInArrow(run, _BLOCK), "feature-blocks", "slice" if by_slice else None)
+    return rows.mapInArrow(run, _BLOCK)
+
+
+def batch_parts(batch_size: int, parameters: int) -> int:
+    """Partitions of one batch of :func:`batch_blocks`: whole blocks each, and no more than
+    send ``GATHERED_BYTES`` of gradients to the driver in a step."""
+    return max(1, min(-(-batch_size // BLOCK_ROWS), GATHERED_PARTS, GATHERED_BYTES // (8 * max(parameters, 1))))
+
+
+def batch_blocks(draws: DataFrame, batch_size: int, n_batches: int, parts: int, features: str = "features",
+                 label: str = "y_true", draw: str = "draw") -> RDD:
+    """Drawn rows as blocks kept on the executors' disks (``unpersist`` frees them): batch ``b``
+    lies in the partitions ``b * parts`` to ``b * parts + parts - 1`` alone, in order of the draws."""
+    place = F.expr(f"{draw} div {int(batch_size)} * {int(parts)} + {draw} % {int(batch_size)} * {int(parts)} div {int(batch_size)}")
+    dealt = draws.repartitionById(n_batches * parts, place.cast("int")).sortWithinPartitions(draw)
+    return _as_blocks(dealt.withColumn("_slice", F.lit("batch")), F.lit(1), features, label, "_slice") \
+        .select("n", "width", "x", "y").rdd.persist(StorageLevel.DISK_ONLY)
+
+
+def batch_sums(blocks: RDD, partitions: list[int], w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sums of :func:`loss_and_gradient` over some partitions of :func:`batch_blocks`: one job
+    without a shuffle whose tasks read these partitions alone and return a vector each."""
+    def run(rows):
+        total = None
+        for r in rows:
+            x = np.frombuffer(r["x"], np.float32).reshape(r["n"], r["width"]).astype(np.float64)
+            v = _softmax_sums(x, np.frombuffer(r["y"], np.int32), w, b)
+            total = v if total is None else total + v
+        return [] if total is None else [total]
+    return sum(blocks.context.runJob(blocks, run, partitions), np.zeros(1 + w.size + b.size))
 
 
 def _arrays(batch: pa.RecordBatch):
@@ -179,6 +215,20 @@ def moments(blocks: DataFrame, subsets: list[int], n_classes: int, tasks: int |
     return out
 
 
+def _softmax_sums(x: np.ndarray, label: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of the rows' cross-entropies, then its gradient by W (row by row) and b."""
+    score = x @ w.T + b
+    score -= score.max(axis=1, keepdims=True)
+    at = np.arange(len(label))
+    own = score[at, label]
+    np.exp(score, out=score)
+    total = score.sum(axis=1)
+    loss = np.log(total) - own
+    score /= total[:, None]
+    score[at, label] -= 1
+    return np.concatenate([[loss.sum()], (score.T @ x).ravel(), score.sum(axis=0)])
+
+
 def loss_and_gradient(blocks: DataFrame, heads: list[tuple[int, np.ndarray, np.ndarray]],
                       tasks: int | None = None) -> list[np.ndarray]:
     """For every head (subset, W, b): the sum of the cross-entropies of the subset's rows, then
@@ -194,16 +244,7 @@ def loss_and_gradient(blocks: DataFrame, heads: list[tuple[int, np.ndarray, np.n
             z, label = part[s]
             if not len(label):
                 continue
-            score = z @ w.T + b
-            score -= score.max(axis=1, keepdims=True)
-            at = np.arange(len(label))
-            own = score[at, label]
-            np.exp(score, out=score)
-            total = score.sum(axis=1)
-            loss = np.log(total) - own
-            score /= total[:, None]
-            score[at, label] -= 1
-            yield (c,), np.concatenate([[loss.sum()], (score.T @ z).ravel(), score.sum(axis=0)])
+            yield (c,), _softmax_sums(z, label, w, b)
 
     out: list = [None] * len(heads)
     for r in _summed(blocks, add, "cell int", ["cell"], tasks):

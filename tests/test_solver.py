@@ -199,6 +199,35 @@ def test_first_step_is_the_mean_gradient_of_the_drawn_rows(spark):
         assert np.allclose(r.w + [r.b], -0.1 * g[r.class_id] / 60)
 
 
+def test_a_step_is_one_job_without_a_shuffle(spark):
+    x, y = _rows(n=400)
+    items = _items(spark, x, y)
+    jobs = {}
+    for size in (10, 400):
+        spark.sparkContext.setJobGroup(f"steps-{size}", "")
+        t = training.train_head(items, 3, n_epochs=1, batch_size=size, lr=0.1, optimizer="sgd", eval_split="train")
+        jobs[size] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"steps-{size}"))
+        assert t.batches.count() == -(-400 // size)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[10] - jobs[400] <= 45                       # 39 steps more
+
+
+def test_a_batch_of_several_partitions_has_the_sums_of_its_draws(spark, monkeypatch):
+    monkeypatch.setattr(solver, "BLOCK_ROWS", 16)
+    x, y = _rows(n=130)
+    draws = _items(spark, x, y).withColumn("draw", F.col("item_id"))
+    parts = solver.batch_parts(50, 21)
+    assert parts == 4
+    blocks = solver.batch_blocks(draws, 50, 3, parts)
+    w, b = np.linspace(-1, 1, 18).reshape(3, 6), np.zeros(3)
+    rows = {r.draw: r for r in draws.collect()}
+    for batch in range(3):
+        own = [rows[i] for i in range(130) if i // 50 == batch]
+        want = solver._softmax_sums(np.array([r.features for r in own], np.float64), np.array([r.y_true for r in own]), w, b)
+        assert np.allclose(solver.batch_sums(blocks, list(range(batch * parts, (batch + 1) * parts)), w, b), want)
+    blocks.unpersist()
+
+
 def test_training_refuses_what_it_cannot_do(spark):
     x, y = _rows(n=10)
     items = _items(spark, x, y)
