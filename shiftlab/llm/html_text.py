@@ -1,40 +1,39 @@
-"""Main text of web pages by inferred wrappers, one per host.
+"""Main text of web pages by inferred wrappers, one or more per host.
 
 A wrapper is a union-free regular expression over a page's tokens (tags and texts),
 inferred as in RoadRunner (Crescenzi, Mecca, Merialdo, 2001): it starts as one page and
 is aligned with further pages of the host. Texts that differ become slots; at a tag
 mismatch the side whose last element repeats becomes a repeated group, else the shorter
-detour to a common tag becomes optional. Every page is matched as a whole with its host's
-wrapper. The texts that the wrapper has found to be the same on all its pages are template
-and go; what falls into slots, optional and repeated groups stays.
-
-Fixed element rules come first: boilerplate elements go; the content is the page's ``main``, its
-``article`` elements if they hold half of that (a quarter of a page without ``main``), else all of it.
-Weak marks (names that only begin like boilerplate) do not count where they hold most of the content.
-
-Wrappers serve the pages without ``article`` or ``main``. The wrapper of a host is learnt from at most
-``PAGES`` of its pages (the smallest hashes), which only proposes texts: a text is template if it stands
-in that place on ``PRESENT`` of all pages of the host. Pages are matched in time linear in their
-tokens, whatever the wrapper; one that does not match keeps all its texts.
+detour to a common tag becomes optional. Every page is matched as a whole.
+
+The wrappers of a host are aligned with the structures of all its pages, and every page is read
+from the places of the first wrapper that matches it. What a place is, all pages of the host
+decide: it is content, or not, if it is so on ``PRESENT`` of the pages whose elements say what
+their content is; a text of a place outside of groups is template if it stands there on
+``PRESENT`` of all pages of the host (it goes from pages without such elements). Fixed element
+rules are the tie-break, for other places and for pages that match no wrapper: boilerplate
+elements go; the content is the page's ``main``, its ``article`` elements if they hold half of that
+(a quarter of a page without ``main``), else all of it. Weak marks (names that only begin like
+boilerplate) do not count where they hold most of the content. Matching takes time linear in a
+page's tokens, whatever the wrapper.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import json
 import re
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import maybe_in, saved, tidy
-from shiftlab.llm.url_filter import split_url
+from shiftlab.llm.common import saved, tidy
 
-#: Pages of a host that its wrapper is learnt from, and the longest (characters) among them.
-PAGES, LONGEST = 8, 200_000
+#: Instructions that alignment may bring a wrapper to (twice its first page's, if that is more).
+ROOM = 2_000
 #: Pages that must agree in a text to make it template. Texts that make up more than this
 #: share of a page are not: then the pages are copies of each other.
 AGREEING, TEMPLATE_SHARE = 4, 0.5
@@ -230,11 +229,12 @@ def _encoded(page: list[tuple]) -> str:
     return "".join(f"{k}{v}\x01" if k in "<>" else "t\x01" for k, v in page)
 
 
-def _program(nodes: list[tuple], fixed: bool = False) -> tuple[list[tuple], list[str]]:
+def _program(nodes: list[tuple], fixed: bool = False, every: bool = False) -> tuple[list[tuple], list]:
     """The wrapper as instructions: a tag, an optional text (with the number of its fixed place
-    or None), a choice of two ways, a jump; and the texts of the fixed places."""
+    or None), a choice of two ways, a jump; and the texts of the fixed places. With ``every`` all
+    texts are numbered, also in groups; then whether each is outside of groups."""
     code: list[tuple] = []
-    texts: list[str] = []
+    texts: list = []
 
     def add(some, top):
         for n in some:
@@ -242,9 +242,9 @@ def _program(nodes: list[tuple], fixed: bool = False) -> tuple[list[tuple], list
                 code.append(("tag", n))
             elif n[0] == "t":
                 mark = None
-                if top and n[1] is not None:
+                if every or top and n[1] is not None:
                     mark = len(texts)
-                    texts.append(n[1])
+                    texts.append(top if every else n[1])
                 code.append(("text", mark))
             else:
                 at = len(code)
@@ -253,13 +253,14 @@ def _program(nodes: list[tuple], fixed: bool = False) -> tuple[list[tuple], list
                 if n[0] == "+":
                     code.append(("jump", at))
                 code[at] = ("split", at + 1, len(code))
-    add(nodes, fixed)
+    add(nodes, fixed or every)
     return code, texts
 
 
-def _run(code: list[tuple], page: list[tuple], start: int = 0, whole: bool = True) -> tuple[int, dict] | None:
+def _run(code: list[tuple], page: list[tuple], start: int = 0, whole: bool = True,
+         by_token: bool = False) -> tuple[int, dict] | None:
     """Match tokens from ``start`` (to the end, if ``whole``): where the match ends and the place
-    of every fixed text. Each pair of instruction and token is tried once at most."""
+    of every fixed text (``by_token``: the number of the text that each token fills). Each pair of instruction and token is tried once at most."""
     seen, stack = set(), [(0, start, None)]
     n, width = len(page), len(code) + 1
     while stack:
@@ -275,7 +276,10 @@ def _run(code: list[tuple], page: list[tuple], start: int = 0, whole: bool = Tru
                 places = {}
                 while held:
                     k, place, held = held
-                    places[k] = place
+                    if by_token:
+                        places[place] = k
+                    else:
+                        places[k] = place
                 return at, places
             step = code[pc]
             if step[0] == "tag":
@@ -518,25 +522,150 @@ def page_text(page: str | None, wrapper: str | None = None, known=None) -> str:
     return blocks(toks, inside, gone)
 
 
-def _learn(pages: pd.DataFrame) -> pd.DataFrame:
-    simple = [_simple(tokens(h or "")) for h in pages.sort_values("pick")["html"]]
-    simple = [s for s in simple if s]
-    try:
-        found = wrapper_expression(simple) if simple else None
-    except RecursionError:                       # elements nested beyond Python's stack
-        found = None
-    return pd.DataFrame({"host": [pages["host"].iloc[0]], "wrapper": [found]})
+def _lines(toks, inside: list[bool]) -> tuple[list[str], list[bool]]:
+    """For every text of :func:`_simple`: its line without boilerplate, and whether the page's own
+    element rules hold it for content."""
+    places: list[int] = []
+    _simple(toks, places)
+    number = -1
+    parts: list[list[str]] = []
+    own: list[bool] = []
+    fresh, run = True, []
+    for at, (kind, value, bad) in enumerate(toks):
+        if kind != "t" and value not in INLINE:
+            fresh, run = True, []
+            continue
+        piece = value if kind == "t" else " " if value == "br" and kind == "<" else ""
+        if places[at] >= 0 and fresh:
+            number, fresh = number + 1, False
+            parts.append(run)
+            own.append(False)
+        if not bad and piece:
+            run.append(piece)
+        if kind == "t" and not bad and inside[at] and not fresh:
+            own[number] = True
+    return [re.sub(r"\s+", " ", html.unescape("".join(p)).replace("\xa0", " ")).strip() for p in parts], own
+
+
+def _cut(batches):
+    """(page_id, url, host, html) -> the page's structure and the lines of its texts."""
+    for batch in batches:
+        shapes, named, lines, inside, marks = [], [], [], [], []
+        for page in batch.column("html").to_pylist():
+            toks = tokens(page or "")
+            scope, content = _scope(toks)
+            own, kept = _lines(toks, scope)
+            shapes.append(_encoded(_simple(toks)))
+            named.append(content)
+            lines.append(own)
+            inside.append(kept)
+            marks.append([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+                                         "little", signed=True) for x in own])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(shapes, pa.string()),
+             pa.array(named, pa.bool_()), pa.array(lines, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.bool_())),
+             pa.array(marks, pa.list_(pa.int64()))],
+            names=["page_id", "url", "host", "shape", "named", "lines", "inside", "marks"])
+
+
+def _decoded(shape: str) -> list[tuple]:
+    """The block tokens of :func:`_encoded`, their texts as slots."""
+    return [("t", None) if x == "t" else (x[0], x[1:]) for x in shape.split("\x01")[:-1]]
 
 
-def learn_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host: ``host``, ``wrapper`` (null where no content element was found)."""
-    rows = pages.select(_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("pick", F.xxhash64("host", "html"))
-    short = rows.where(F.length("html") <= LONGEST)
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("pick"))
-    picks = short.select("host", "pick").distinct().withColumn("r", rank).where(F.col("r") <= PAGES).select("pick")
-    chosen = (maybe_in(short, F.col("pick"), picks).join(picks, "pick", "left_semi").dropDuplicates(["host", "pick"]))
-    return chosen.groupBy("host").applyInPandas(_learn, "host string, wrapper string")
+def _folded(batches):
+    """Structures with a hash of their form with runs folded: one of each form is aligned."""
+    for batch in batches:
+        folds = []
+        for shape in batch.column("shape").to_pylist():
+            try:
+                form = _expression(_fold(_decoded(shape)))
+            except RecursionError:               # elements nested beyond Python's stack
+                form = None
+            folds.append(form and hashlib.md5(form.encode("utf-8", "surrogatepass")).hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(folds, pa.string())], names=[*batch.schema.names, "fold"])
+
+
+def _extend(found: list[list], page: list[tuple]) -> None:
+    """Make one of a host's wrappers (nodes, program, room) fit a further page: the first that matches
+    it stays as it is, else the first that has room is aligned with it, else it starts another."""
+    if any(_run(code, page) for _, code, _ in found):
+        return
+    for w in found:
+        grown = align(w[0], page)
+        code = _program(grown)[0]
+        if len(code) <= w[2] and _run(code, page):
+            w[0], w[1] = grown, code
+            return
+    nodes = _fold(page)
+    code = _program(nodes)[0]
+    if _run(code, page):
+        found.append([nodes, code, max(ROOM, 2 * len(code))])
+
+
+def _learn(batches):
+    """Structures in order of their hosts -> (host, wrappers); only one host's wrappers are held."""
+    def row(host, found):
+        try:
+            wrapper = json.dumps([w[0] for w in found]) if found else None
+        except RecursionError:
+            wrapper = None
+        return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([wrapper], pa.string())],
+                                          names=["host", "wrapper"])
+    host, found = None, []
+    for batch in batches:
+        for h, shape in zip(batch.column("host").to_pylist(), batch.column("shape").to_pylist()):
+            if h != host:
+                if host is not None:
+                    yield row(host, found)
+                host, found = h, []
+            try:
+                _extend(found, _decoded(shape))
+            except RecursionError:               # this page keeps its own rules
+                pass
+    if host is not None:
+        yield row(host, found)
+
+
+def learn_wrappers(shapes: DataFrame) -> DataFrame:
+    """``host``, ``wrapper``: the wrappers of every host, aligned with all structures of its pages
+    (``host``, ``shape``, ``key``, ``n`` pages), the commonest first. Structures that differ only in
+    how often something repeats are aligned once. A wrapper that alignment would make longer than
+    ``ROOM`` is left as it is and the host gets another, as for pages of another kind."""
+    forms = shapes.select("host", "shape", "key", "n").mapInArrow(
+        tidy(_folded), "host string, shape string, key string, n long, fold string").where("fold is not null")
+    forms = forms.groupBy("host", "fold").agg(F.sum("n").alias("n"), F.min(F.struct("key", "shape")).alias("one"))
+    ordered = forms.select("host", "n", "one.*").repartition("host").sortWithinPartitions("host", F.desc("n"), "key")
+    return ordered.select("host", "shape").mapInArrow(tidy(_learn), "host string, wrapper string").where("wrapper is not null")
+
+
+@functools.lru_cache(maxsize=64)
+def _programs(wrapper: str) -> list[tuple]:
+    return [_program(_nodes(w), every=True) for w in json.loads(wrapper)]
+
+
+@functools.lru_cache(maxsize=4096)
+def _places(wrapper: str, shape: str) -> tuple[int, list[int], list[bool]] | None:
+    """Number of the first wrapper that matches, and for every text of the structure its place in
+    the wrapper and whether that stands there once."""
+    page = _decoded(shape)
+    for number, (code, top) in enumerate(_programs(wrapper)):
+        if m := _run(code, page, by_token=True):
+            at = [m[1][i] for i, t in enumerate(page) if t[0] == "t"]
+            return number, at, [top[k] for k in at]
+    return None
+
+
+def _matched(batches):
+    """(key, host, shape, wrapper) -> the places of the structure's texts, if a wrapper matches it."""
+    for batch in batches:
+        found = [(k, h, *m) for k, h, shape, w in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "shape", "wrapper")))
+                 if (m := _places(w, shape))]
+        keys, hosts, numbers, places, once = zip(*found) if found else [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.string()), pa.array(hosts, pa.string()), pa.array(numbers, pa.int32()),
+             pa.array(places, pa.list_(pa.int32())), pa.array(once, pa.list_(pa.bool_()))],
+            names=["key", "host", "number", "places", "once"])
 
 
 def _host(url):
@@ -544,53 +673,79 @@ def _host(url):
     return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _apply(batches):
+def wrapper_places(cut: DataFrame, matches: DataFrame) -> DataFrame:
+    """What the pages say of their wrapper's places: per ``host`` and wrapper ``number`` the places
+    that are ``content`` on ``PRESENT`` of the pages whose elements say what it is, those that are
+    ``other`` on as many, and the ``known`` template texts ``place mark``."""
+    told = cut.select("key", "named", "inside", "marks", F.transform("lines", F.length).alias("sizes")).join(matches, "key")
+    told = told.select("host", "number", "named", F.inline(F.arrays_zip("places", "once", "inside", "marks", "sizes")))
+    told = told.toDF("host", "number", "named", "place", "once", "inside", "mark", "size").where("size > 0")
+    votes = told.where("named").groupBy("host", "number", "place").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("inside"), 1)).alias("own"))
+    votes = votes.where(F.col("n") >= AGREEING)
+    content, other = F.col("own") >= F.lit(PRESENT) * F.col("n"), F.col("n") - F.col("own") >= F.lit(PRESENT) * F.col("n")
+    votes = votes.groupBy("host", "number").agg(F.collect_list(F.when(content, F.col("place"))).alias("content"),
+                                                F.collect_list(F.when(other, F.col("place"))).alias("other"))
+    whole = cut.groupBy("host").agg(F.count("*").alias("pages"))
+    known = told.where("not named and once").groupBy("host", "number", "place", "mark").agg(F.count("*").alias("n"))
+    known = known.where(F.col("n") >= AGREEING).join(whole, "host").where(F.col("n") >= F.lit(PRESENT) * F.col("pages"))
+    known = known.groupBy("host", "number").agg(F.collect_list(F.concat_ws(" ", "place", "mark")).alias("known"))
+    return votes.join(known, ["host", "number"], "full")
+
+
+@functools.lru_cache(maxsize=256)
+def _facts(facts: str) -> dict[int, tuple[set, set, set]]:
+    return {w["number"]: tuple(set(w.get(c) or ()) for c in ("content", "other", "known")) for w in json.loads(facts)}
+
+
+def _emitted(shape, named, lines, inside, marks, wrapper, facts) -> str:
+    """The lines of a page at its wrapper's content places, without template texts."""
+    own = [i for i, x in enumerate(lines) if x and inside[i]]
+    m = _places(wrapper, shape) if shape and wrapper and facts else None
+    if not m or m[0] not in _facts(facts):
+        return "\n".join(lines[i] for i in own)
+    places, (content, other, known) = m[1], _facts(facts)[m[0]]
+    kept = [i for i, x in enumerate(lines) if x and (places[i] in content or inside[i] and places[i] not in other)]
+    kept = kept or own                           # unlike its host's pages
+    if known and not named:
+        rest = [i for i in kept if f"{places[i]} {marks[i]}" not in known]
+        if sum(len(lines[i]) for i in rest) >= (1 - TEMPLATE_SHARE) * sum(len(lines[i]) for i in kept):
+            kept = rest                          # else a copy of other pages, not a template
+    return "\n".join(lines[i] for i in kept)
+
+
+def _emit(batches):
+    names = ("shape", "named", "lines", "inside", "marks", "wrapper", "facts")
     for batch in batches:
-        texts = [page_text(h, w, k) for h, w, k in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "known")))]
+        texts = [_emitted(*row) for row in zip(*(batch.column(c).to_pylist() for c in names))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def _present(batches):
-    """(host, html, wrapper) -> (host, number of a text that stands in its place; -1: the page)."""
-    for batch in batches:
-        hosts, marks = [], []
-        for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
-            toks = tokens(page or "")
-            found = set() if not toks or _scope(toks)[1] else set(_found(toks, wrapper).values())
-            marks += [-1, *found]
-            hosts += [host] * (1 + len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.int32())],
-                                         names=["host", "mark"])
-
-
-def verified_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host``, ``wrapper``, ``known`` (the numbers of its template texts) for the hosts whose
-    sampled pages propose some: counted over all pages of the host."""
-    wrappers = learn_wrappers(pages, url_col, html_col).where("wrapper is not null")
-    wrappers = saved(wrappers.where(F.get_json_object("wrapper", "$.tag").isNull()), "wrappers")
-    rows = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    marks = rows.join(wrappers, "host").select("host", "html", "wrapper").mapInArrow(
-        tidy(_present), "host string, mark int").groupBy("host", "mark").agg(F.count("*").alias("n"))
-    whole = marks.where("mark < 0").select("host", F.col("n").alias("pages"))
-    known = marks.where("mark >= 0").join(whole, "host").where(
-        (F.col("n") >= AGREEING) & (F.col("n") >= F.lit(PRESENT) * F.col("pages")))
-    known = known.groupBy("host").agg(F.collect_set("mark").alias("known"))      # texts of one wrapper
-    return saved(wrappers.join(known, "host"), "verified-wrappers")
-
-
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: ``page_id``, ``url``, ``text``, ``n_chars`` (code points).
 
-    Null or empty html gives an empty text. Pages without a host share one wrapper.
+    Null or empty html gives an empty text. Pages without a host share their wrappers.
     Repeated rows are extracted each; an empty table gives no rows; further columns are
-    ignored. A very long page is extracted whole like any other (only wrappers are learnt from
-    shorter ones). A ``header`` goes wherever it stands, also in an article.
+    ignored. A very long page is learnt from and extracted whole like any other. A ``header``
+    goes wherever it stands, also in an article.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                         _host(F.col(url_col)).alias("host"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    return (rows.join(verified_wrappers(pages, url_col, html_col), "host", "left")
-            .select("page_id", "url", "html", "wrapper", "known")
-            .mapInArrow(tidy(_apply), f"page_id {kind}, url string, text string, n_chars long"))
+    cut = rows.mapInArrow(tidy(_cut), f"page_id {kind}, url string, host string, shape string, named boolean, "
+                                      "lines array<string>, inside array<boolean>, marks array<long>")
+    cut = saved(cut.withColumn("key", F.md5(F.concat_ws("\n", "host", "shape"))), "page-lines")
+    shapes = cut.where("shape <> ''").groupBy("key").agg(
+        F.first("host").alias("host"), F.first("shape").alias("shape"), F.count("*").alias("n"))     # equal ones
+    shapes = saved(shapes, "page-shapes")
+    wrappers = saved(learn_wrappers(shapes), "wrappers")
+    matches = shapes.join(wrappers, "host").select("key", "host", "shape", "wrapper").mapInArrow(
+        tidy(_matched), "key string, host string, number int, places array<int>, once array<boolean>")
+    matches = saved(matches, "wrapper-matches")
+    facts = wrapper_places(cut, matches).groupBy("host").agg(
+        F.to_json(F.collect_list(F.struct("number", "content", "other", "known"))).alias("facts"))
+    facts = saved(wrappers.join(facts, "host"), "wrapper-places")                # one row per host
+    return cut.drop("key").join(facts, "host", "left").mapInArrow(
+        tidy(_emit), f"page_id {kind}, url string, text string, n_chars long")

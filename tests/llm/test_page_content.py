@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shiftlab.llm import ann, html_text, url_filter
 
@@ -89,6 +90,35 @@ def test_template_texts_are_counted_over_all_pages_of_a_host(spark):
     assert all(t.startswith("All the news") for t in few.values())
 
 
+def test_the_wrapper_finds_the_content_of_pages_that_name_it_otherwise(spark):
+    """On a host whose pages have their text in ``article``, a page whose article is too short for the
+    element rules is still read from that place of the wrapper."""
+    def make(k):
+        story = "tiny" if k == 7 else f"story {k} " + "word " * 60
+        return f"<body><div><b>teasers {k} of today, of the week and of the year</b></div><article><p>{story}</p></article></body>"
+    pages = host_pages(30, make)
+    assert text(make(7)).startswith("teasers")
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, PAGE)).collect()}
+    assert got[7] == "tiny" and all(t.startswith(f"story {k} word") for k, t in got.items() if k != 7)
+
+
+def test_wrappers_are_aligned_with_all_pages_of_a_host(spark):
+    """Every page brings an element that no other has, and some are longer than 200,000 characters."""
+    def make(k):
+        body = "".join(f"<{t}>own {k}</{t}>" for i, t in enumerate(("h2", "h3", "h4", "ul", "ol", "dl")) if k >> i & 1)
+        return f"<body><div>All the news</div>{body}<p>{'word ' * (50_000 if k % 9 == 8 else 30)}{k}</p></body>"
+    pages = [(k, h, m, f"k{k}", 1) for k, h, m in host_pages(64, lambda k: html_text._encoded(html_text._simple(html_text.tokens(make(k)))))]
+    shapes = spark.createDataFrame(pages, "page_id long, host string, shape string, key string, n long").withColumn("host", F.lit("h"))
+    wrappers = html_text.learn_wrappers(shapes)
+    matched = shapes.join(wrappers, "host").select("key", "host", "shape", "wrapper").mapInArrow(
+        html_text._matched, "key string, host string, number int, places array<int>, once array<boolean>").collect()
+    assert {r.key for r in matched} == {f"k{k}" for k in range(64)} and {r.number for r in matched} == {0}
+    assert len({r.places[0] for r in matched}) == 1 and all(r.once[0] for r in matched)
+    got = html_text.main_text(spark.createDataFrame(host_pages(64, make), PAGE)).collect()
+    assert len(got) == 64 and not any("All the news" in r.text for r in got)
+    assert all(r.text.count(f"own {r.page_id}") == bin(r.page_id).count("1") and r.text.endswith(f"word {r.page_id}") for r in got)
+
+
 def test_a_page_that_does_not_match_ends_soon():
     """Wrappers of mixed blocks have many optional groups side by side."""
     r = random.Random(4)
